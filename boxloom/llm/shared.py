@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,17 +12,28 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="spark-ckpt-")
+        spark.sparkContext.setCheckpointDir(folder)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder, so that later reads do not repeat the work behind it.
+    """``df`` checkpointed to the shared folder, so that later reads do not repeat the work behind it."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only where that is unset, as in
-    tests on one machine, a temporary folder is made.
-    """
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", ""):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
-        spark.conf.set("spark.checkpoint.dir", "set")
-    return df.checkpoint()
+    path = f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def ascii_lower(text: Column) -> Column:
