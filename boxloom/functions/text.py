@@ -178,3 +178,8 @@ def colour_of(text: Column, fallback: tuple[int, int, int]) -> Column:
     for name, rgb in named.items():
         out = out.when(t == name, F.array(*[F.lit(v) for v in rgb], F.lit(255)))
     return out.when(t.rlike("^#[0-9a-f]{6}$"), F.array(part(2), part(4), part(6), F.lit(255))).otherwise(F.array(*[F.lit(v) for v in fallback], F.lit(255)))
+
+
+def data_uri(data: Column, kind: str = "image/jpeg") -> Column:
+    """Bytes as a data URI; base64 without the line breaks that Spark puts in."""
+    return F.concat(F.lit(f"data:{kind};base64,"), F.replace(F.base64(data), F.lit("\r\n"), F.lit("")))
