@@ -2,8 +2,9 @@
 
 Test items become windows of WINDOW words (an item with fewer words is one window). The distinct windows
 form a hash set that is broadcast when its size is within MAX_BROADCAST_WINDOWS and joined by shuffle
-beyond that. Training texts are cut into the same windows, hits of a 64-bit hash are verified word by
-word, and a document with enough of its words in hits counts as contaminated.
+beyond that. The windows of training texts are looked up by a hash of their first two words; those that
+are in that set too are hashed whole and looked up again, and what is found is verified word by word. A
+document with enough of its words in hits counts as contaminated.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ WINDOW = 13
 SHARE = 20
 #: Windows of the benchmark that are broadcast at most, about 0.2 kB each.
 MAX_BROADCAST_WINDOWS = 500_000
+#: Stands for the row itself among the hashes of its windows' first words.
+MARK = -1
 
 #: What separates words once A-Z are lower-cased, and what makes a word before that.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -29,14 +32,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP), "")
 
 
-def _windows(words: Column, length: Column | int) -> Column:
-    """Hashes of every run of ``length`` words, in order; null if there are fewer words."""
-    return F.when(
-        F.size(words) >= length,
-        F.transform(F.sequence(F.lit(1), F.size(words) - length + 1), lambda i: F.xxhash64(F.slice(words, i, length))),
-    )
-
-
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """(item_id, len, gram): the distinct windows of every item that has words."""
     words = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w")).where("size(w) > 0")
@@ -48,30 +43,38 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     )
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, text_key, pos, len, gram_id, ...) for every benchmark window in a document; ``pos`` from 1.
+def find_hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hits (doc_id, text_key, n_words, pos, len, h, gram), and the items (h, gram, item_id) of every window.
 
-    Also returns, as a second frame, (gram_id, item_id).
+    ``pos`` counts a document's words from 1. Each row of ``docs`` also has one row with pos 0, which is no
+    hit but tells its words, so that texts are read and cut once.
     """
     items = durable(benchmark_windows(benchmark).withColumn("h", F.xxhash64("gram")))
-    grams = items.groupBy("h", "gram", "len").agg(F.min("item_id").alias("any_item"))
     # The numbers of windows and of their lengths decide the plan; both are single small values.
     sizes = items.agg(F.count("*").alias("n"), F.collect_set("len").alias("lens")).first()
-    words = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("w"))
-    scans = None
     small = sizes.n <= MAX_BROADCAST_WINDOWS
-    for length in sorted(sizes.lens) or [WINDOW]:
-        scan = words.select("doc_id", "text_key", "w", F.posexplode(_windows(F.col("w"), length)).alias("p", "h"))
-        if not small:
-            scan = scan.select("doc_id", "text_key", "p", "h", F.slice("w", F.col("p") + 1, length).alias("seen"))
-        wanted = grams.where(F.col("len") == length)
-        hit = scan.join(F.broadcast(wanted) if small else wanted, "h")
-        seen = F.slice("w", F.col("p") + 1, length) if small else F.col("seen")
-        hit = hit.where(seen == F.col("gram")).select(
-            "doc_id", "text_key", (F.col("p") + 1).alias("pos"), "len", "h", "gram"
-        )
-        scans = hit if scans is None else scans.union(hit)
-    return scans, items.select("h", "gram", "item_id")
+    shared = F.broadcast if small else lambda df: df
+    start = F.xxhash64(F.get("gram", 0), F.get("gram", 1)) if 1 not in sizes.lens else F.when(F.col("len") == 1, F.xxhash64(F.get("gram", 0))).otherwise(F.xxhash64(F.get("gram", 0), F.get("gram", 1)))
+    mark = F.lit(MARK).cast("long")
+    starts = items.groupBy(start.alias("start")).agg(F.collect_set("len").alias("lens"))
+    starts = starts.union(items.sparkSession.range(1).select(mark, F.array(F.lit(0))))
+    grams = items.select(F.col("h").alias("g_h"), "gram").distinct()
+
+    words = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("w"))
+    pairs = F.transform("w", lambda x, i: F.xxhash64(x, F.get("w", i + 1)))
+    keys = F.concat(F.array(mark), pairs, F.transform("w", lambda x: F.xxhash64(x))) if 1 in sizes.lens else F.concat(F.array(mark), pairs)
+    scan = words.select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"), "w", F.posexplode(keys).alias("p", "start"))
+    pos = F.when(F.col("p") > F.col("n_words"), F.col("p") - F.col("n_words")).otherwise(F.col("p")).cast("int")
+    scan = scan.select("doc_id", "text_key", "n_words", pos.alias("pos"), "start", *(["w"] if small else [F.slice("w", F.greatest(F.lit(1), pos), WINDOW).alias("w")]))
+    at = F.greatest(F.lit(1), "pos") if small else F.lit(1)
+    near = (
+        scan.join(shared(starts), "start")
+        .select("doc_id", "text_key", "n_words", "pos", F.explode("lens").alias("len"), "w")
+        .withColumn("seen", F.slice("w", at, F.col("len")))
+        .select("doc_id", "text_key", "n_words", "pos", "len", "seen", F.xxhash64("seen").alias("h"))
+    )
+    hits = near.join(shared(grams), (F.col("h") == F.col("g_h")) & (F.col("seen") == F.col("gram")), "left").where("pos = 0 or gram is not null")
+    return hits.select("doc_id", "text_key", "n_words", "pos", "len", "h", "gram"), items.select("h", "gram", "item_id")
 
 
 def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -81,31 +84,26 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     has no words and is clean; so is every document when the benchmark has no words. Rows that repeat a
     doc_id are judged by their own text; a null doc_id is judged like any other.
     """
-    hits, items = find_hits(docs, benchmark)
-    hits = durable(hits)
-    spans = F.array_sort(F.collect_set(F.struct(F.col("pos").alias("s"), (F.col("pos") + F.col("len")).alias("e"))))
-    covered = hits.groupBy("doc_id", "text_key").agg(spans.alias("spans")).select(
-        "doc_id",
-        "text_key",
-        F.array_distinct(
-            F.flatten(F.transform("spans", lambda x: F.sequence(x.s, x.e - 1)))
-        ).alias("hit_at"),
+    found, items = find_hits(docs, benchmark)
+    found = durable(found)
+    hits = found.where("pos > 0")
+    covered = hits.groupBy("doc_id", "text_key").agg(
+        F.array_distinct(F.flatten(F.collect_set(F.sequence("pos", F.col("pos") + F.col("len") - 1)))).alias("hit_at")
     )
     named = (
         hits.select("doc_id", "text_key", "h", "gram").distinct()
         .join(items, ["h", "gram"])
-        .groupBy("doc_id", "text_key")
+        .groupBy(F.col("doc_id").alias("nd"), F.col("text_key").alias("nt"))
         .agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     )
-    found = (
-        covered.join(named.select(F.col("doc_id").alias("nd"), F.col("text_key").alias("nt"), "items"), F.col("doc_id").eqNullSafe(F.col("nd")) & (F.col("text_key") == F.col("nt")))
-        .select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key"), "hit_at", "items")
+    of = covered.join(named, F.col("doc_id").eqNullSafe(F.col("nd")) & (F.col("text_key") == F.col("nt"))).select(
+        F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key"), "hit_at", "items"
     )
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
-    n_hit = F.coalesce(F.size("hit_at"), F.lit(0)).cast("long")
     return (
-        base.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_key") == F.col("found_key")), "left")
-        .withColumn("n_hit", F.when(F.col("hit_at").isNull(), 0).otherwise(n_hit).cast("long"))
+        found.where("pos = 0")
+        .select("doc_id", "text_key", "n_words")
+        .join(of, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_key") == F.col("found_key")), "left")
+        .withColumn("n_hit", F.when(F.col("hit_at").isNull(), 0).otherwise(F.size("hit_at")).cast("long"))
         .select(
             "doc_id",
             "text_key",
