@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxloom.llm.shared import durable
+
 #: A line on so many distinct sites is boilerplate.
 MIN_SITES = 10
 #: log2 of the sketch's slots; its relative standard error is about 1.04 / sqrt(2 ** LG_K).
@@ -41,7 +43,7 @@ def spread(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> Dat
         .select("doc_id", "source", "pos", *_keys(F.col("line")))
     )
     margin = NEAR_ERRORS * 1.04 / (2 ** (lg_k / 2)) * min_sites
-    seen = (
+    seen = durable(
         lines.groupBy("k1", "k2")
         .agg(
             F.hll_sketch_agg("source", lg_k).alias("sketch"),
@@ -71,8 +73,6 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     empty text is one blank line; blank lines always stay. Rows that repeat a doc_id are one document
     as far as the first place of a line goes, and rows with a null doc_id keep all their lines.
     """
-    from boxloom.llm.shared import durable
-
     boiler = durable(spread(docs, min_sites))
     drops = (
         docs.select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
