@@ -1,0 +1,80 @@
+from __future__ import annotations
+
+import random
+import zlib
+
+import numpy as np
+
+from boxloom.llm import langid as L
+
+SPEECH = {
+    "en": "the and of to that which with from have this will your about there their would".split(),
+    "fr": "le la les des une dans pour avec est que qui sur pas nous vous être où".split(),
+    "de": "der die das und nicht mit für auf eine über können müssen straße schön".split(),
+}
+
+
+def table(spark, n=360):
+    rng = random.Random(4)
+    rows = []
+    for i in range(n):
+        lang = sorted(SPEECH)[i % 3]
+        rows.append((i, " ".join(rng.choice(SPEECH[lang]) for _ in range(rng.randrange(3, 120))), lang if i % 5 else None, "s"))
+    rows += [(n, None, "en", "s"), (n + 1, "", "en", "s"), (n + 2, "123 !?", None, "s"), (None, "the and of that", "en", "s"), (3, rows[3][1], "de", "s"), (n + 3, "straße " * 60000, None, "s")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string"), rows
+
+
+def test_held_out_accuracy_and_whole_query(spark):
+    docs, rows = table(spark)
+    out = L.identify(docs).collect()
+    assert sorted(str(r.doc_id) for r in out) == sorted(str(r[0]) for r in rows)
+    for r in out:
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        assert 0 <= r.score <= 1 and r.lang_pred in {*SPEECH, "und"}
+    held = [r for r in out if r.held_out and r.doc_id < 360]
+    assert len(held) > 60 and np.mean([r.lang_pred == sorted(SPEECH)[r.doc_id % 3] for r in held]) > 0.97
+    by = {r.doc_id: r for r in out}
+    assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (360, 361, 362)) and by[363].lang_pred == "de"
+
+
+def test_nothing_to_learn_from(spark):
+    docs, rows = table(spark, 30)
+    out = L.identify(docs.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()
+    assert len(out) == len(rows) and {r.lang_pred for r in out} == {"und"}
+    assert L.identify(docs.where("false")).collect() == []
+
+
+def test_held_out_rows_are_not_learned_from(spark):
+    from pyspark.sql import functions as F
+
+    docs, _ = table(spark, 60)
+    other = docs.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, "fr").otherwise(F.col("lang")))
+    a, b = L.train(docs), L.train(other)
+    assert all(np.array_equal(x, y) for x, y in zip(a.parameters(), b.parameters()))
+
+
+def test_fast_scoring_equals_the_plain_convolution():
+    net = L.new_network(["a", "b", "c"], 3)
+    scorer = L.Scorer(net)
+    rng = np.random.default_rng(1)
+    for n in (1, 5, L.WINDOW, L.WINDOW + 1, 5 * L.WINDOW + 17):
+        text = rng.integers(1, 256, n, dtype=np.uint8).tobytes()
+        rows, lengths = scorer.windows(text)
+        assert lengths.sum() == n
+        best = []
+        for table in net.tables:
+            w = len(table)
+            acts = [[sum(table[k][r[t + k]] for k in range(w)) for t in range(L.WINDOW + 1)] for r in rows]
+            best.append(np.max(acts, axis=1))
+        assert np.allclose(scorer.tops(rows), np.concatenate(best, axis=1), atol=1e-4)
+        p = L.forward(net, scorer.tops(rows))[1]
+        assert np.allclose(scorer.score([text])[0], (p * lengths[:, None]).sum(0) / n, atol=1e-5)
+
+
+def test_gradients_lower_the_loss():
+    rng = np.random.default_rng(2)
+    x = rng.integers(97, 123, (4000, 32), dtype=np.uint8)
+    y = rng.integers(0, 2, 4000)
+    x[y == 1, 5:8] = np.frombuffer(b"qzx", np.uint8)
+    net = L.fit(x, y, ["no", "yes"])
+    assert (L.forward(net, L.convolve(net, x)[0])[1].argmax(1) == y).mean() > 0.97

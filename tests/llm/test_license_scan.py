@@ -1,0 +1,74 @@
+from __future__ import annotations
+
+import math
+import re
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from boxloom.llm import license_scan as ls
+
+
+def brute_own(text):
+    m = ls.Model()
+    best = None
+    for unit, line in enumerate([text or "", *(text or "").split("\n")]):
+        bag = Counter(ls._words(line))
+        norm = math.sqrt(sum((n * m.idf.get(w, m.rare)) ** 2 for w, n in bag.items()))
+        for t in range(len(m.names)):
+            dot = sum(n * m.idf.get(w, m.rare) * x for k, w, x in m.unit if k == t and (n := bag.get(w)))
+            score = round(dot / norm, 6) if norm else 0
+            if score >= ls.THRESHOLD and (best is None or (score, -t, -unit) > best):
+                best = (score, -t, -unit)
+    return best and (m.names[-best[1]], best[0], best[2] >= -1)
+
+
+def brute(rows):
+    own = [brute_own(t) for _, t in rows]
+    dirs = {}
+    for (path, _), o in zip(rows, own):
+        if path is not None and o and o[2]:
+            d = path.rpartition("/")[0]
+            dirs.setdefault(d, []).append((-o[1], path, o[0]))
+    out = []
+    for (path, _), o in zip(rows, own):
+        d = None
+        if path is not None and not o:
+            d = path.rpartition("/")[0]
+            while d not in dirs and d:
+                d = d.rpartition("/")[0]
+            d = d if d in dirs else None
+        out.append((path, o[0] if o else min(dirs[d])[2] if d is not None else None, o[1] if o else None, "own" if o else "inherited" if d is not None else "none", d))
+    return sorted(out, key=str)
+
+
+def scan(spark, rows):
+    files = spark.createDataFrame([(p, t, "x", 3) for p, t in rows], "path string, text string, licence string, score int")
+    out = ls.scan(files.withColumnsRenamed({"licence": "unit"}), F.col("first_line"))
+    return sorted([(r.path, r.licence, r.score, r.how, r.licence_dir) for r in out.collect()], key=str), out
+
+
+ROWS = [
+    ("a/LICENSE", ls.TEMPLATES[2][1]), ("a/b/c/x.py", "print(1)"), ("a/b/LICENSE", "Released under the MIT license\nmore text"), ("a/y.py", None), ("z.py", ""),
+    ("a/b/own.py", "code here\n# Licensed under the Apache License, Version 2.0.\ncode"), ("d/e.py", "All rights reserved"), ("d/f.py", "no terms"), (None, "Released under the MIT License."),
+    (None, "x"), ("a/b/c/x.py", "print(1)"), ("q/the.txt", "the of and is to in " * 5000), ("q/long.txt", "word " * 30000 + "\nAll rights reserved."), ("q/near.txt", "Licensed under the Apache License Version"),
+    ("r/two.txt", "Released under the MIT License."), ("r/one.txt", "Licensed under CC BY-NC 4.0."), ("r/s.txt", "É à ü"), ("/abs/p.txt", "All rights reserved."), ("/abs/deep/q.txt", "q"),
+]
+
+
+def test_against_brute_force(spark):
+    got, out = scan(spark, ROWS)
+    assert [(*r[:2], r[2] and round(r[2], 5), *r[3:]) for r in got] == [(*r[:2], r[2] and round(r[2], 5), *r[3:]) for r in brute(ROWS)]
+    assert {r[3] for r in got} == {"own", "inherited", "none"}
+
+
+def test_columns_of_the_files_stay(spark):
+    files = spark.createDataFrame([("a/b", "All rights reserved.", 1, 2, 3)], "path string, text string, file_key int, first_line int, how int")
+    row = ls.scan(files.drop("how"), F.lit(True)).first()
+    assert (row.path, row.file_key, row.licence, row.how) == ("a/b", 1, "Proprietary", "own")
+
+
+def test_empty_table_and_no_python(spark):
+    got, out = scan(spark, [])
+    assert got == []
+    assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
