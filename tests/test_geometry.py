@@ -1,0 +1,123 @@
+from __future__ import annotations
+
+import math
+
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from boxloom.functions import geometry as g
+from boxloom.operators import boxes as ops
+from boxloom.operators import ordering
+
+
+def plain_iou(a, b):
+    w = max(0, min(a[2], b[2]) - max(a[0], b[0]))
+    h = max(0, min(a[3], b[3]) - max(a[1], b[1]))
+    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h
+    return w * h / union if union else 0.0
+
+
+def plain_nms(rows, threshold):
+    kept = []
+    for r in sorted(rows, key=lambda r: ((r[2] - r[0]) * (r[3] - r[1]), r[4])):
+        if all(plain_iou(k, r) <= threshold for k in kept):
+            kept.append(r)
+    return sorted(kept)
+
+
+def test_suppression_keeps_what_a_plain_loop_keeps(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = []
+    for image in range(6):
+        for k in range(60):
+            x, y, w, h = rng.randrange(300), rng.randrange(300), rng.randrange(1, 200), rng.randrange(1, 200)
+            rows.append((image, "ab"[k % 2], k, x, y, x + w, y + h))
+        rows.append((image, "a", 60, 5, 5, 5, 5))
+        rows.append((image, "a", 61, 5, 5, 5, 5))
+    df = spark.createDataFrame(rows, "image_id long, label string, det_idx int, x1 int, y1 int, x2 int, y2 int")
+    got = ops.suppress(df, ["image_id", "label"], ["det_idx"], 0.5).collect()
+    for image in range(6):
+        for label in "ab":
+            want = plain_nms([(r[3], r[4], r[5], r[6], r[2]) for r in rows if r[0] == image and r[1] == label], 0.5)
+            assert sorted((r.x1, r.y1, r.x2, r.y2, r.det_idx) for r in got if (r.image_id, r.label) == (image, label)) == want
+    top = ops.suppress(df, ["image_id"], ["det_idx"], 0.4, most=3).collect()
+    assert {r["rank"] for r in top} == {1, 2, 3} and len(top) == 18
+
+
+def test_pairs_are_those_above_the_threshold(spark):
+    rows = [(1, "a", k, *b) for k, b in enumerate([(0, 0, 10, 10), (0, 0, 10, 9), (5, 5, 15, 15), (100, 100, 110, 110), (0, 0, 10, 10)])]
+    df = spark.createDataFrame(rows, "image_id int, label string, det_idx int, x1 int, y1 int, x2 int, y2 int")
+    got = {(r.a, r.b): r.iou for r in ops.overlapping_pairs(df, ["image_id", "label"], "det_idx", 0.1).collect()}
+    want = {(i, j): plain_iou(rows[i][3:], rows[j][3:]) for i in range(5) for j in range(i + 1, 5)}
+    assert got == {k: v for k, v in want.items() if v > 0.1}
+
+
+def plain_starts(length, tile, overlap):
+    step = round(tile * (1 - overlap)) or tile
+    out = list(range(0, length - tile + 1, step if step > 0 else tile))
+    if not out or out[-1] + tile < length:
+        out.append(max(0, length - tile))
+    return sorted(set(out))
+
+
+def test_tiles_cover_the_image(spark):
+    sizes = [(i, w, h) for i, (w, h) in enumerate([(100, 700), (512, 512), (513, 922), (1024, 300), (1900, 1439), (1, 1)])]
+    df = spark.createDataFrame(sizes, "image_id int, w int, h int")
+    got = ops.tiles(df).collect()
+    for i, w, h in sizes:
+        mine = sorted((r for r in got if r.image_id == i), key=lambda r: r.tile_idx)
+        want = [(x, y, min(512, w - x), min(512, h - y)) for y in plain_starts(h, 512, 0.2) for x in plain_starts(w, 512, 0.2)]
+        assert [(r.tile_x, r.tile_y, r.tile_w, r.tile_h) for r in mine] == want
+        assert [r.tile_idx for r in mine] == list(range(len(want)))
+        assert max(r.tile_x + r.tile_w for r in mine) == w and max(r.tile_y + r.tile_h for r in mine) == h
+
+
+def test_mapping_back_rounds_outward_and_inverts(spark):
+    rows = [(v, w, h) for v in range(0, 1001, 37) for w, h in ((640, 480), (300, 900), (1000, 1000))]
+    df = spark.createDataFrame(rows, "v int, w int, h int")
+    side = F.greatest("w", "h")
+    pad = F.floor((side - F.col("w")) / 2)
+    prep = g.scaled(g.original_to_prep(F.col("v"), side, F.col("w"), pad))
+    low, high = g.outward(*[g.prep_to_original(F.col("p"), side, F.col("w"), pad)] * 2)
+    out = df.withColumn("p", prep).select("v", "w", "h", low.alias("low"), high.alias("high")).collect()
+    for r in out:
+        slack = math.ceil(max(r.w, r.h) / r.w) + 1
+        assert r.low <= r.high and abs(r.low - r.v) <= slack and abs(r.high - r.v) <= slack
+
+
+def test_clamp_keeps_nulls_and_is_idempotent(spark):
+    df = spark.createDataFrame([(None,), (-5.0,), (3.5,), (2000.0,)], "x double")
+    once = g.clamp(F.col("x"), 0, 1000)
+    assert [tuple(r) for r in df.select(once, g.clamp(once, 0, 1000)).collect()] == [(None, None), (0.0, 0.0), (3.5, 3.5), (1000.0, 1000.0)]
+
+
+def test_halves_go_to_even(spark):
+    df = spark.createDataFrame([(0.5,), (1.5,), (2.5,), (-0.5,), (-1.5,)], "x double")
+    assert [r[0] for r in df.select(g.half_even(F.col("x"))).collect()] == [round(v) for v in (0.5, 1.5, 2.5, -0.5, -1.5)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.tuples(*[st.integers(0, 50)] * 4), st.tuples(*[st.integers(0, 50)] * 4))
+def test_plain_overlap_is_symmetric_and_bounded(a, b):
+    a, b = ((*sorted(v[::2]), *sorted(v[1::2])) for v in (a, b))
+    a, b = ((v[0], v[2], v[1], v[3]) for v in (a, b))
+    assert plain_iou(a, b) == plain_iou(b, a) and 0 <= plain_iou(a, b) <= 1
+
+
+def test_numbering_needs_no_single_task_and_handles_ties(spark):
+    keys = [5, 5, 5, None, 1, 9, 2, None] + list(range(100, 400))
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k int, i int")
+    got = {r.i: r.row_no for r in ordering.numbered(df, "k", ["i"], ranges=8).collect()}
+    want = sorted(range(len(keys)), key=lambda i: (keys[i] is not None, keys[i] or 0, i))
+    assert got == {i: n for n, i in enumerate(want, 1)}
+    assert ordering.numbered(df.where("false"), "k", ["i"]).count() == 0
+    assert ordering.numbered(df.where("k is null"), "k", ["i"]).count() == 2
+
+
+def test_slices(spark):
+    df = spark.createDataFrame([(i,) for i in range(20)], "i int")
+    ids = lambda *a: sorted(r.i for r in ordering.sliced(df, "i", [], *a).collect())
+    assert ids(3, 8, None) == [3, 4, 5, 6, 7] and ids(3, 8, 2) == [3, 4] and ids(8, 3, None) == list(range(20))
+    assert ids(15, None, 3) == [15, 16, 17] and ids(0, 100, None) == list(range(20))
