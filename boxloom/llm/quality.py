@@ -1,8 +1,9 @@
 """Quality classifier by compression.
 
 zstandard dictionaries are built from good and from bad labelled text. Every window of a text is compressed
-with each; the difference of the compressed sizes in all, over the text's own size, is its feature, and a
-logistic curve fitted on further labelled texts turns it into a score.
+with each. The difference of the compressed sizes in all, over the text's own size, is what tells good from
+bad; the size by the good dictionary, over the same, tells text that repeats itself, which either dictionary
+fits alike. A logistic curve of both, fitted on further labelled texts, turns them into a score.
 """
 
 from __future__ import annotations
@@ -32,14 +33,19 @@ RIDGE = 1e-3
 
 @dataclass(frozen=True)
 class Model:
-    """Dictionaries of good and bad text, and the curve's centre, scale, intercept and slope."""
+    """Dictionaries of good and bad text, and the curve: features' centres and scales, intercept and slopes."""
 
     good: bytes
     bad: bytes
-    centre: float
-    scale: float
+    centre: tuple[float, ...]
+    scale: tuple[float, ...]
     intercept: float
-    slope: float
+    slope: tuple[float, ...]
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Scores of rows of features."""
+        z = self.intercept + (x - np.array(self.centre)) / np.array(self.scale) @ np.array(self.slope)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def windows_of(text: bytes) -> list[bytes]:
@@ -59,12 +65,13 @@ class Sizer:
         words.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-    def feature(self, text: bytes) -> float:
-        """How many bytes less good words take than bad ones, by byte of ``text``; 0 for an empty text."""
-        less = 0
+    def features(self, text: bytes) -> tuple[float, float]:
+        """By byte of ``text``: how many bytes less good words take than bad ones, and how many they take."""
+        good = bad = 0
         for w in windows_of(text):
-            less += len(self.bad.compress(w)) - len(self.good.compress(w))
-        return less / len(text) if text else 0.0
+            good += len(self.good.compress(w))
+            bad += len(self.bad.compress(w))
+        return ((bad - good) / len(text), good / len(text)) if text else (0.0, 0.0)
 
 
 def build_dictionary(samples: list[bytes]) -> bytes:
@@ -75,18 +82,19 @@ def build_dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[:DICT_BYTES]
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, float]:
-    """Centre, scale, intercept and slope of a logistic curve of ``y`` on ``x``, by Newton steps."""
-    centre, scale = float(x.mean()), float(x.std()) or 1.0
-    z = np.stack([np.ones(len(x)), (x - centre) / scale], axis=1)
-    w = np.zeros(2)
+def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[tuple, tuple, float, tuple]:
+    """Centres, scales, intercept and slopes of a logistic curve of ``y`` on the columns of ``x``, by Newton steps."""
+    centre, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale == 0] = 1.0
+    z = np.concatenate([np.ones((len(x), 1)), (x - centre) / scale], axis=1)
+    w = np.zeros(z.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + RIDGE * np.eye(2), z.T @ (y - p) - RIDGE * w)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + RIDGE * np.eye(len(w)), z.T @ (y - p) - RIDGE * w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
-    return centre, scale, float(w[0]), float(w[1])
+    return tuple(centre.tolist()), tuple(scale.tolist()), float(w[0]), tuple(w[1:].tolist())
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -124,13 +132,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sizer = Sizer(good, bad)
         for b in batches:
-            yield pd.DataFrame({"q": b["q"], "x": [sizer.feature(bytes(t)) for t in b["text"]]})
+            x = [sizer.features(bytes(t)) for t in b["text"]]
+            yield pd.DataFrame({"q": b["q"], "less": [v[0] for v in x], "size": [v[1] for v in x]})
 
     fit = []
     for q in (0, 1):
         rows = known.where((half == 1) & (F.col("q") == q)).orderBy("h").limit(FIT_ROWS)
-        fit += rows.select("q", "text").mapInPandas(features, "q int, x double").collect()
-    x, y = np.array([r.x for r in fit]), np.array([float(r.q) for r in fit])
+        fit += rows.select("q", "text").mapInPandas(features, "q int, less double, size double").collect()
+    x, y = np.array([(r.less, r.size) for r in fit]).reshape(-1, 2), np.array([float(r.q) for r in fit])
     if len(set(y)) < 2:
         return None
     return Model(good, bad, *fit_curve(x, y))
@@ -139,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` (doc_id, text and others) with score (double, 0 to 1) and predicted (int).
 
-    Null and empty texts get the score of a feature of zero. Without a model every score is 0.5.
+    Null and empty texts get the score of features of zero. Without a model every score is 0.5.
     """
     if model is None:
         return docs.withColumn("score", F.lit(0.5)).withColumn("predicted", F.lit(1))
@@ -148,9 +157,8 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         sizer = Sizer(model.good, model.bad)
         for batch in texts:
-            x = np.array([sizer.feature(bytes(t)) if t is not None else 0.0 for t in batch])
-            z = model.intercept + model.slope * (x - model.centre) / model.scale
-            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            x = np.array([sizer.features(bytes(t)) if t is not None else (0.0, 0.0) for t in batch])
+            yield pd.Series(model.score(x.reshape(-1, 2)))
 
     return docs.withColumn("score", score(F.col("text").cast("binary"))).withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
 

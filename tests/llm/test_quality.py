@@ -74,19 +74,24 @@ def test_without_labels_or_documents(spark):
     assert q.keep_good(docs, labels.where("false")).count() == len(rows)
 
 
-def test_feature_is_a_sum_over_all_windows():
+def test_features_are_sums_over_all_windows():
     s = q.Sizer(b"good words " * 100, b"BAD!! WORDS!! " * 100)
     text = b"good words " * 300 + b"BAD!! WORDS!! " * 300
     parts = q.windows_of(text)
     assert b"".join(parts) == text and max(map(len, parts)) == q.WINDOW
-    want = sum(len(s.bad.compress(w)) - len(s.good.compress(w)) for w in parts) / len(text)
-    assert s.feature(text) == want and s.feature(b"") == 0
-    assert s.feature(b"good words " * 50) > 0 > s.feature(b"BAD!! WORDS!! " * 50)
+    good, bad = (sum(len(c.compress(w)) for w in parts) for c in (s.good, s.bad))
+    assert s.features(text) == ((bad - good) / len(text), good / len(text)) and s.features(b"") == (0, 0)
+    assert s.features(b"good words " * 50)[0] > 0 > s.features(b"BAD!! WORDS!! " * 50)[0]
 
 
 def test_curve_is_calibrated():
     rng = np.random.default_rng(0)
-    x = rng.standard_normal(20000)
-    y = (rng.random(20000) < 1 / (1 + np.exp(-(0.5 + 1.5 * x)))).astype(float)
+    x = rng.standard_normal((20000, 2))
+    y = (rng.random(20000) < 1 / (1 + np.exp(-(0.5 + 1.5 * x[:, 0] - 0.7 * x[:, 1])))).astype(float)
     centre, scale, b, w = q.fit_curve(x, y)
-    assert abs(w / scale - 1.5) < 0.1 and abs(b - w * centre / scale - 0.5) < 0.1
+    slope = np.array(w) / np.array(scale)
+    assert np.allclose(slope, [1.5, -0.7], atol=0.1) and abs(b - slope @ np.array(centre) - 0.5) < 0.1
+    score = q.Model(b"", b"", centre, scale, b, w).score(x)
+    for low in (0.1, 0.3, 0.5, 0.7):
+        near = (score >= low) & (score < low + 0.2)
+        assert abs(y[near].mean() - score[near].mean()) < 0.03
