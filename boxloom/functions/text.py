@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Keys under which a reply may wrap its list of detections, in order of preference. Fixed values.
@@ -42,15 +42,19 @@ def balanced_array(text: Column) -> Column:
 
     Only brackets are walked, not characters: the text is cut after each of them.
     """
-    at = F.regexp_instr(text, F.lit(r"\["))
+    at = F.instr(text, "[")
     tail = F.substring(text, at, F.length(text))
-    parts = F.regexp_extract_all(tail, F.lit(r"[^\[\]]*[\[\]]"), F.lit(0))
-    walked = F.aggregate(
-        parts,
+    walked = _walk(tail)
+    return F.when((at > 0) & walked.done, F.substring(tail, F.lit(1), walked.length)).otherwise(text)
+
+
+def _walk(tail: Column) -> Column:
+    """struct(depth, length, done) after the brackets of ``tail``; length up to where they first balance."""
+    return F.aggregate(
+        F.regexp_extract_all(tail, F.lit(r"[^\[\]]*[\[\]]"), F.lit(0)),
         F.struct(F.lit(0).alias("depth"), F.lit(0).alias("length"), F.lit(False).alias("done")),
         lambda s, p: F.when(s.done, s).otherwise(_step(s, p)),
     )
-    return F.when((at > 0) & walked.done, F.substring(tail, 1, walked.length)).otherwise(text)
 
 
 def _step(state: Column, part: Column) -> Column:
@@ -63,6 +67,27 @@ def detection_json(reply: Column) -> Column:
     return balanced_array(without_fences(answer_of(without_thoughts(reply))))
 
 
+def with_detection_json(df: DataFrame, reply: str, name: str = "json") -> DataFrame:
+    """``df`` with ``name``: what is left of the reply in column ``reply`` to be read as JSON.
+
+    The same as ``detection_json``, one column for each step: each step uses the one before several times,
+    and as one expression it would be worked out anew for each use.
+    """
+    steps = (
+        ("_bare", without_thoughts(F.col(reply))),
+        ("_body", answer_of(F.col("_bare"))),
+        ("_open", without_fences(F.col("_body"))),
+        ("_at", F.instr("_open", "[")),
+        ("_tail", F.substring("_open", F.col("_at"), F.length("_open"))),
+        ("_walk", _walk(F.col("_tail"))),
+    )
+    out = df
+    for step, value in steps:
+        out = out.withColumn(step, value)
+    whole = (F.col("_at") > 0) & F.col("_walk.done")
+    return out.withColumn(name, F.when(whole, F.substring("_tail", F.lit(1), F.col("_walk.length"))).otherwise(F.col("_open"))).drop(*[s for s, _ in steps])
+
+
 def wrapped_list(value: Column) -> Column:
     """The list in a VARIANT reply: itself, or that under the first known key; null if there is none."""
     own = F.try_variant_get(value, "$", "array<variant>")

@@ -18,7 +18,10 @@ def read_binary(spark, path: str, pattern: str = "*.{jpg,jpeg,png}") -> DataFram
 
 
 def rasters(images: DataFrame, w: int, h: int) -> DataFrame:
-    """(image_id, w, h, data): RGB rasters drawn from the keys of ``images``."""
+    """(image_id, w, h, data): RGB rasters drawn from the keys of ``images``.
+
+    Keys are few bytes and pixels much work, so the keys are dealt over all cores first.
+    """
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         y, x = np.mgrid[:h, :w]
@@ -26,7 +29,8 @@ def rasters(images: DataFrame, w: int, h: int) -> DataFrame:
             data = [np.stack([(x * (i % 7) + y * (i % 5) + i) % 256, (x * 3 + y * (i % 3) + i * 2) % 256, (x + y + i) % 256], -1).astype(np.uint8).tobytes() for i in b["image_id"]]
             yield pd.DataFrame({"image_id": b["image_id"], "w": w, "h": h, "data": data})
 
-    return images.select("image_id").mapInPandas(draw, "image_id long, w int, h int, data binary")
+    cores = images.sparkSession.sparkContext.defaultParallelism
+    return images.select("image_id").repartition(cores, "image_id").mapInPandas(draw, "image_id long, w int, h int, data binary")
 
 
 def _arrays(b: pd.DataFrame) -> list[np.ndarray]:

@@ -69,7 +69,8 @@ def live(make_client: Callable[[], Callable[[str], str]], workers: int = 16) ->
 
 def detect_round(images: DataFrame, replies: DataFrame, categories: list[str], tiled: bool, tile: int, overlap: float) -> DataFrame:
     """(image_id, round, tile_idx, pos, label, x1..y2) of one round's replies; tiles are merged by suppression."""
-    read = replies.where("reply is not null").select("image_id", "round", "tile_idx", F.posexplode(t.wrapped_list(F.try_parse_json(t.detection_json(F.col("reply"))))).alias("pos", "item"))
+    read = t.with_detection_json(replies.where("reply is not null"), "reply").withColumn("value", F.try_parse_json("json"))
+    read = read.select("image_id", "round", "tile_idx", F.posexplode(t.wrapped_list(F.col("value"))).alias("pos", "item"))
     valid = box_ops.validated(read, "item", categories).where("drop_reason is null").drop("drop_reason")
     if not tiled:
         return valid

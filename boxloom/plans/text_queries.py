@@ -89,7 +89,8 @@ select conv_id, turn, regexp_replace(regexp_replace(regexp_replace(r, '^\s+|\s+$
 
 
 def balanced_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _wrapped(spark, sf_dir).select("conv_id", "turn", F.md5(t.balanced_array(F.col("listed")).cast("binary")).alias("digest"), F.length(t.balanced_array(F.col("listed"))).alias("n"))
+    found = t.with_detection_json(_wrapped(spark, sf_dir), "listed", "array")
+    return found.select("conv_id", "turn", F.md5(F.col("array").cast("binary")).alias("digest"), F.length("array").alias("n"))
 
 
 BALANCED_SQL = """
@@ -110,7 +111,8 @@ def _detector_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def validate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every entry of the replies, with what it was dropped for or its label and box."""
-    parsed = _detector_replies(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.posexplode(t.wrapped_list(F.try_parse_json(t.detection_json(F.col("reply"))))).alias("pos", "item"))
+    read = t.with_detection_json(_detector_replies(spark, sf_dir), "reply").withColumn("value", F.try_parse_json("json"))
+    parsed = read.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.posexplode(t.wrapped_list(F.col("value"))).alias("pos", "item"))
     return box_ops.validated(parsed, "item", shapes.CATEGORIES)
 
 

@@ -104,17 +104,17 @@ REPAIR_SQL = "select event_id, event_id as a from events"
 
 def frame_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blur, edge and texture metrics of rasters, one by part."""
-    return pix.metrics(pix.rasters(shapes.images(spark, sf_dir), 48, 40))
+    return pix.metrics(pix.rasters(shapes.images(spark, sf_dir), 32, 24))
 
 
 def conditioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channel means of rasters after white balance, contrast, denoising and letterboxing."""
-    return pix.conditioned(pix.rasters(shapes.images(spark, sf_dir), 48, 40), 64, 64)
+    return pix.conditioned(pix.rasters(shapes.images(spark, sf_dir), 32, 24), 64, 64)
 
 
 def region_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate regions of rasters: thresholded, closed, connected and sized."""
-    return pix.proposals(pix.rasters(shapes.images(spark, sf_dir), 48, 40))
+    return pix.proposals(pix.rasters(shapes.images(spark, sf_dir), 32, 24))
 
 
 QUERIES = {
