@@ -5,8 +5,9 @@ the cosine of sparse TF-IDF vectors; the best template at or above THRESHOLD is
 file without one takes that of the nearest directory above it which holds a licence file.
 
 Inverse document frequencies come from the templates, which are a fixed collection; a word in none of them
-weighs most. So a line's vector needs no statistics of other lines, and lines that can't reach the threshold
-are told by the words they share with templates before any join.
+weighs most. So a line's vector needs no statistics of other lines. A line that lacks the rarest words
+of a template can't reach the threshold with it, whatever else they share: files and lines without any such
+word are left before any join, and so are lines that share too little with all templates together.
 """
 
 from __future__ import annotations
@@ -55,6 +56,10 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     ("Proprietary", "All rights reserved."),
 )
+#: Function words, which count for nothing.
+STOP_WORDS = tuple(
+    "a an and any are as at be been by can do either for from has have in including is it its may not of on or so such that the their this to under unless was were whom with without you".split()
+)
 GAP = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
 
 
@@ -64,7 +69,8 @@ def words_of(text: Column) -> Column:
 
 
 def _words(text: str) -> list[str]:
-    return [w for w in re.split(r"[^0-9a-z\x80-\U0010FFFF]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text)) if w]
+    parts = re.split(r"[^0-9a-z\x80-\U0010FFFF]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    return [w for w in parts if w and w not in STOP_WORDS]
 
 
 class Model:
@@ -81,6 +87,21 @@ class Model:
             norm = math.sqrt(sum((n * self.idf[w]) ** 2 for w, n in bag.items()))
             self.unit += [(k, w, n * self.idf[w] / norm) for w, n in sorted(bag.items())]
 
+    def anchors(self, threshold: float) -> list[str]:
+        """Words of which every text with a cosine of ``threshold`` to some template has at least one.
+
+        Of each template its rarest words, until the others' part of its unit vector is shorter than that.
+        """
+        out = set()
+        for t in range(len(self.names)):
+            rest = 1.0
+            for _, w, x in sorted((u for u in self.unit if u[0] == t), key=lambda u: (-self.idf[u[1]], -len(u[1]), u[1])):
+                if rest < threshold**2 * (1 - 1e-9):
+                    break
+                out.add(w)
+                rest -= x * x
+        return sorted(out)
+
 
 def own_licences(files: DataFrame, model: Model, threshold: float) -> DataFrame:
     """(file_key, licence, score, first_line) of every file with a template at or above ``threshold``.
@@ -91,7 +112,9 @@ def own_licences(files: DataFrame, model: Model, threshold: float) -> DataFrame:
     spark = files.sparkSession
     idf = F.create_map(*[x for w, v in model.idf.items() for x in (F.lit(w), F.lit(v))])
     text = F.coalesce("text", F.lit(""))
-    units = files.select("file_key", F.posexplode(F.concat(F.array(text), F.split(text, "\n"))).alias("unit", "line")).where("line <> ''")
+    anchors = model.anchors(threshold)
+    some = lambda words: F.exists(words, lambda x: x.isin(anchors))
+    units = files.where(some(words_of(text))).select("file_key", F.posexplode(F.concat(F.array(text), F.split(text, "\n"))).alias("unit", "line"))
     known = F.filter("w", lambda x: x.isin(list(model.idf)))
     mass = F.aggregate(
         F.array_distinct("known"), F.lit(0.0),
@@ -102,8 +125,9 @@ def own_licences(files: DataFrame, model: Model, threshold: float) -> DataFrame:
     others = (F.size("w") - F.size("known")) * model.rare**2
     near = (
         units.select("file_key", "unit", words_of(F.col("line")).alias("w"))
+        .where(some(F.col("w")))
+        .withColumn("w", F.filter("w", lambda x: ~x.isin(*STOP_WORDS)))
         .withColumn("known", known)
-        .where(F.size("known") > 0)
         .withColumn("mass", mass)
         .where(F.col("mass") * (1 + 1e-9) >= threshold**2 * (F.col("mass") + others))
     )
@@ -198,7 +222,7 @@ with i(word, idf) as (values {idf}), tw(t, word, weight) as (values {unit}), nam
 f as (select doc_id, coalesce(text, '') as text, source || '/' || cast(doc_id // 100 as varchar) as folder, source || '/' || cast(doc_id // 100 as varchar) || '/' || cast(doc_id as varchar) as path from documents),
 u as (select doc_id, 0 as unit, text as line from f union all
       select doc_id, generate_subscripts(string_split(text, chr(10)), 1), unnest(string_split(text, chr(10))) from f),
-w as (select doc_id, unit, unnest(list_filter(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), lambda x: x <> '')) as word from u),
+w as (select doc_id, unit, unnest(list_filter(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), lambda x: x <> '' and x not in ({", ".join(map(quote, STOP_WORDS))}))) as word from u),
 c as (select doc_id, unit, w.word, count(*) * coalesce(any_value(idf), {m.rare!r}::double) as x from w left join i on w.word = i.word group by doc_id, unit, w.word),
 n as (select doc_id, unit, sqrt(sum(x * x)) as norm from c group by doc_id, unit),
 s as (select c.doc_id, c.unit, t, round(sum(x * weight) / any_value(norm), 6) as score from c join tw on c.word = tw.word join n on n.doc_id = c.doc_id and n.unit = c.unit group by c.doc_id, c.unit, t having score >= {THRESHOLD}),
