@@ -7,7 +7,6 @@ does not ask the model again. ``replay`` makes either from recorded replies.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -16,20 +15,11 @@ from pyspark.sql import functions as F
 from boxloom.functions import geometry as g
 from boxloom.functions import text as t
 from boxloom.operators import boxes as box_ops
+from boxloom.sources.durable import durable
 
 Model = Callable[[DataFrame], DataFrame]
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed; in spark.checkpoint.dir where the cluster names one."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", ""):
-        folder = tempfile.mkdtemp(prefix="spark-ckpt-")
-        spark.sparkContext.setCheckpointDir(folder)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return df.checkpoint()
-
-
 def replay(recorded: DataFrame, keys: list[str]) -> Model:
     """A model that answers from ``recorded`` (keys, reply); what was not recorded gets no reply."""
     return lambda requests: requests.join(recorded.select(*keys, "reply"), keys, "left")
@@ -98,11 +88,11 @@ def detect(images: DataFrame, detector: Model, judge: Model, categories: list[st
         told = t.feedback_for_tile(F.col("feedback"), *[F.col(c) for c in ("tile_x", "tile_y", "tile_w", "tile_h", "w", "h")])
         prompt = F.concat(F.lit("Find: " + ", ".join(categories)), F.when(told != "", F.concat(F.lit("\nFeedback:\n"), told)).otherwise(""), F.when(~F.upper(F.trim("actions")).isin("", "NONE"), F.concat(F.lit("\nRequired actions:\n"), "actions")).otherwise(""))
         asked = slots.join(active, "image_id").select("image_id", F.lit(k).alias("round"), "tile_idx", prompt.alias("prompt"))
-        found = kept(detect_round(images, kept(detector(asked)), categories, tiled, tile, overlap))
+        found = durable(detect_round(images, durable(detector(asked)), categories, tiled, tile, overlap))
         listed = found.groupBy("image_id").agg(F.count("*").alias("n"), F.to_json(F.array_sort(F.collect_list(F.struct("tile_idx", "pos", "label", "x1", "y1", "x2", "y2")))).alias("boxes"))
         shown = active.select("image_id").join(listed, "image_id", "left").select("image_id", F.lit(k).alias("round"), F.coalesce("n", F.lit(0)).alias("n"), F.concat(F.lit("Judge: "), F.coalesce("boxes", F.lit("[]"))).alias("prompt"))
         reply = t.without_thoughts(F.coalesce("reply", F.lit("")))
-        done = kept(judge(shown).select("image_id", "round", t.judge_score(reply).alias("score"), t.judge_feedback(reply).alias("feedback"), t.judge_actions(reply).alias("actions"), "n"))
+        done = durable(judge(shown).select("image_id", "round", t.judge_score(reply).alias("score"), t.judge_feedback(reply).alias("feedback"), t.judge_actions(reply).alias("actions"), "n"))
         all_rounds = done if all_rounds is None else all_rounds.union(done)
         all_found = found if all_found is None else all_found.union(found)
         active = done.where(F.col("score") < threshold).select("image_id", "feedback", "actions")
