@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.shared import connected_components, durable, fold_links
+from boxloom.llm.shared import connected_components, fold_links
+from boxloom.sources.durable import durable
 
 THRESHOLD = 0.95
 #: Chance that a linked pair right at the threshold agrees on no band.

@@ -19,7 +19,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.shared import ascii_lower, durable
+from boxloom.llm.shared import ascii_lower
+from boxloom.sources.durable import durable
 
 THRESHOLD = 0.7
 #: (licence, template). Several templates may stand for one licence.
@@ -156,6 +157,10 @@ def own_licences(files: DataFrame, model: Model, threshold: float) -> DataFrame:
     )
 
 
+#: Names that ``scan`` uses on its way.
+HIDDEN = ("licence", "score", "how", "licence_dir", "file_key", "first_line", "own_key", "folder", "l_dir", "dir_licence", "u_folder", "up", "above")
+
+
 def parents_of(path: Column) -> Column:
     """The directories above ``path``, outermost first; '' is the root."""
     parts = F.split(path, "/")
@@ -171,7 +176,7 @@ def scan(files: DataFrame, licence_file: Column, model: Model | None = None, thr
     repeat a path and text come back as often.
     """
     model = model or Model()
-    hidden = {c: f"_own_{c}" for c in files.columns if c in ("licence", "score", "how", "licence_dir", "file_key", "first_line")}
+    hidden = {c: f"_own_{c}" for c in files.columns if c in HIDDEN}
     keyed = files.withColumnsRenamed(hidden).withColumn("file_key", F.sha2(F.concat_ws("\n", F.coalesce("path", F.lit("\0")), F.coalesce("text", F.lit("\0"))), 256))
     own = durable(own_licences(keyed.select("file_key", "text"), model, threshold))
     seen = keyed.join(own.withColumnRenamed("file_key", "own_key"), F.col("file_key") == F.col("own_key"), "left").drop("own_key", "file_key")

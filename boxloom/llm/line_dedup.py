@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.shared import durable
+from boxloom.sources.durable import durable
 
 #: A line on so many distinct sites is boilerplate.
 MIN_SITES = 10
@@ -66,12 +66,13 @@ def spread(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> Dat
     return sure.select("k1", "k2", "first").union(near.join(exact, ["k1", "k2"]).select("k1", "k2", "first"))
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """``docs`` with ``text`` freed of boilerplate lines, and columns n_lines, n_removed (long).
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool = True) -> DataFrame:
+    """``docs`` with ``text`` freed of boilerplate lines and, with ``counts``, n_lines and n_removed (long).
 
-    Every row of the input comes back, with its other columns. A null text stays null with no lines; an
-    empty text is one blank line; blank lines always stay. Rows that repeat a doc_id are one document
-    as far as the first place of a line goes, and rows with a null doc_id keep all their lines.
+    Every row of the input comes back, with its other columns; its own columns of those two names give way.
+    A null text stays null with no lines; an empty text is one blank line; blank lines always stay. Rows
+    that repeat a doc_id are one document as far as the first place of a line goes, and rows with a null
+    doc_id keep all their lines.
     """
     boiler = durable(spread(docs, min_sites))
     drops = (
@@ -81,30 +82,22 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
         .select("doc_id", "pos", *_keys(F.col("line")))
         .join(boiler, ["k1", "k2"])
         .where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
-        .groupBy("doc_id")
-        .agg(
-            F.collect_set(F.struct("pos", "k1", "k2")).alias("drop_at"),
-        )
-        .withColumnRenamed("doc_id", "drop_id")
+        .groupBy(F.col("doc_id").alias("_drop_id"))
+        .agg(F.collect_set(F.struct("pos", "k1", "k2")).alias("_drop_at"))
     )
     lines = split_lines(F.col("text"))
     held = F.filter(
         lines,
-        lambda line, i: ~F.array_contains(
-            F.col("drop_at"), F.struct(i.alias("pos"), F.xxhash64(F.trim(line)).alias("k1"), F.xxhash64(F.lit(7), F.trim(line)).alias("k2"))
-        ),
+        lambda line, i: ~F.array_contains("_drop_at", F.struct(i.alias("pos"), *_keys(F.trim(line)))),
     )
-    n_lines = F.coalesce(F.size(lines), F.lit(0))
-    cols = [c for c in docs.columns if c not in ("n_lines", "n_removed", "drop_id", "drop_at")]
-    return (
-        docs.select(*cols)
-        .join(drops, F.col("doc_id") == F.col("drop_id"), "left")
-        .withColumn("kept", F.when(F.col("drop_at").isNotNull(), held))
-        .select(
-            *[F.coalesce(F.array_join("kept", "\n"), F.col("text")).alias("text") if c == "text" else F.col(c) for c in cols],
-            F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
-            F.when(F.col("kept").isNotNull(), n_lines - F.size("kept")).otherwise(0).cast("long").alias("n_removed"),
-        )
+    names = ("n_lines", "n_removed") if counts else ()
+    cols = [c for c in docs.columns if c not in names]
+    out = docs.select(*cols).join(drops, F.col("doc_id") == F.col("_drop_id"), "left").withColumn("_held", F.when(F.col("_drop_at").isNotNull(), held))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
+    numbers = (n_lines, F.when(F.col("_held").isNotNull(), n_lines - F.size("_held")).otherwise(0))
+    return out.select(
+        *[F.coalesce(F.array_join("_held", "\n"), F.col("text")).alias("text") if c == "text" else F.col(c) for c in cols],
+        *[n.cast("long").alias(name) for name, n in zip(names, numbers)],
     )
 
 

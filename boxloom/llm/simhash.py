@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.shared import connected_components, durable, fold_links
+from boxloom.llm.shared import connected_components, fold_links
+from boxloom.sources.durable import durable
 
 SHINGLE = 3
 SEED = 42
@@ -199,5 +200,5 @@ def dedup_documents(docs: DataFrame) -> DataFrame:
 
     Rows that repeat a doc_id all stay or all go; rows with a null doc_id stay.
     """
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left_anti")

@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from boxloom.llm import entry
+from boxloom.llm import entry, license_scan
 from tests.llm.test_simhash import brute_components, brute_print
 
 SF = "/root/testdata/sf0.001"
@@ -73,6 +75,24 @@ def test_run_equals_its_stages_and_takes_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(empty)).collect() == []
 
 
+CLASHES = "n_lines n_removed kept drop_at line k1 k2 first pos fp rep component_id gone_id bad_id hit_at h gram start p w score predicted q half held_out lang_pred piece bin_id all grp row_key folder up licence how".split()
+
+
+def test_extra_columns_of_any_name_pass_through(spark, tmp_path):
+    small(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    docs = docs.select("*", *[F.concat(F.lit(name), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("string")).alias(name) for name in CLASHES])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        row = out.where("doc_id = 1").first()
+        assert all(row[c] == f"{c}1" for c in CLASHES), name
+    assert corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).count() >= docs.count()
+    files = docs.withColumn("path", F.col("doc_id").cast("string"))
+    kept = license_scan.scan(files, F.lit(True)).where("doc_id = 1").first()
+    assert all(kept[c] == f"{c}1" for c in CLASHES if c not in ("licence", "how", "score"))
+
+
 def test_every_operator_is_registered_once():
     numbers = sorted(int(name[2:].split("_")[0]) for name in entry.QUERIES)
     assert numbers == list(range(1, 11))
