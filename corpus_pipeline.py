@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxloom.llm import decontam, line_dedup, packing, quality, simhash
-from boxloom.llm.shared import written
+from boxloom.sources.durable import written
 from boxloom.sources.tables import read_table
 
 
@@ -21,7 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go but for their first place; ``n_chars`` follows the text. Every document stays."""
-    out = line_dedup.dedup_lines(docs).drop("n_lines", "n_removed")
+    out = line_dedup.dedup_lines(docs, counts=False)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
