@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from boxloom.functions import text as t
 from boxloom.operators import boxes as box_ops
 from boxloom.plans import shapes
-from boxloom.sources.tables import read_table
+from boxloom.sources.tables import read_table, spread
 
 
 def judge_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +100,7 @@ select conv_id, turn, md5('[' || cast(length(text) as varchar) || ', [1]]') as d
 
 def _detector_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A detector's JSON by line item, with entries that must be dropped."""
-    return shapes.plain_boxes(spark, sf_dir).select(
+    return spread(shapes.plain_boxes(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "label", "x1", "y1", "x2", "y2")).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         F.expr(
             """concat('[{"label":"', label, '","bbox_2d":[', x1, ',', y1, ',"', x2, '",', y2 * 2, ']},{"label":"zz","bbox_2d":[1,2,3,4]},"text",{"label":"A","bbox_2d":[', x1,
