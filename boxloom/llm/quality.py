@@ -8,6 +8,7 @@ fits alike. A logistic curve of both, fitted on further labelled texts, turns th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,13 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.llm.shared import crc_bucket
+from boxloom.sources.durable import durable
 
 #: A text is good if its score is at least this.
 ACCEPT = 0.3
 FOLDS, HELD_OUT = 5, 0
-#: Bytes of a window, and how many windows of labelled text a dictionary is built from at most, by class.
-WINDOW, DICT_WINDOWS = 512, 6000
-#: Bytes of a dictionary, and labelled texts that the curve is fitted on at most, by class.
+#: Bytes of a window, and how many windows a dictionary is built from at most: so many in all, of one text.
+WINDOW, DICT_WINDOWS, TEXT_WINDOWS = 512, 6000, 8
+#: Bytes of a dictionary, and labelled texts, by class, that dictionaries and curve are fitted on at most, each.
 DICT_BYTES, FIT_ROWS = 112 * 1024, 1500
 LEVEL = 3
 #: Pull of the curve's coefficients to zero.
@@ -100,27 +102,32 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[tuple, tuple, float, tuple]
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model from the labelled rows outside the held-out fold; None unless both classes are there.
 
-    Reads at most DICT_WINDOWS windows and FIT_ROWS texts of each class, those of least hash, whatever the
-    size of the tables. Half of the rows serve the dictionaries, the other half the curve. Null texts,
-    null labels and ids, and documents with contradicting labels are left out.
+    Learns from at most FIT_ROWS texts of each class for the dictionaries and as many for the curve, those
+    whose ids hash lowest, whatever the size of the tables. They are chosen by id alone, so that only the
+    chosen ids, a table of bounded size, travel to the texts. Null texts, labels and ids, and documents with
+    contradicting labels are left out; of rows that repeat an id the least text counts.
     """
     said = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2")).where("q = q2")
-    known = (
-        docs.where("text is not null and text <> ''")
-        .select("doc_id", "text")
-        .where(crc_bucket(F.col("doc_id"), FOLDS) != HELD_OUT)
-        .join(said.select("doc_id", "q"), "doc_id")
-        .select("q", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    )
-    half = F.pmod("h", F.lit(2))
+    there = docs.where("text is not null and text <> ''").select("doc_id").where(crc_bucket(F.col("doc_id"), FOLDS) != HELD_OUT).distinct()
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    known = said.join(there, "doc_id").select("doc_id", "q", half.alias("half"), F.xxhash64("doc_id", F.lit(1)).alias("h"))
+    chosen = None
+    for q in (0, 1):
+        for k in (0, 1):
+            some = known.where((F.col("q") == q) & (F.col("half") == k)).orderBy("h", "doc_id").limit(FIT_ROWS)
+            chosen = some if chosen is None else chosen.union(some)
+    chosen = durable(chosen)
+    texts = docs.where("text is not null and text <> ''").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = durable(texts.groupBy("doc_id", "q", "half", "h").agg(F.min("text").cast("binary").alias("text")))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for q, text, h in zip(b["q"], b["text"], b["h"]):
-                parts = windows_of(text)
-                yield pd.DataFrame({"q": q, "h": h, "at": range(len(parts)), "w": parts})
+                parts = windows_of(bytes(text))
+                at = np.sort(np.random.default_rng(h & 0xFFFFFFFF).permutation(len(parts))[:TEXT_WINDOWS])
+                yield pd.DataFrame({"q": q, "h": h, "at": at, "w": [parts[k] for k in at]})
 
-    picked = known.where(half == 0).mapInPandas(cut, "q int, h long, at int, w binary").withColumn("o", F.xxhash64("h", "at"))
+    picked = texts.where("half = 0").mapInPandas(cut, "q int, h long, at int, w binary").withColumn("o", F.xxhash64("h", "at"))
     parts: dict[int, list[bytes]] = {}
     for q in (0, 1):
         rows = picked.where(F.col("q") == q).orderBy("o", "w").limit(DICT_WINDOWS).select("w").collect()
@@ -135,14 +142,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
             x = [sizer.features(bytes(t)) for t in b["text"]]
             yield pd.DataFrame({"q": b["q"], "less": [v[0] for v in x], "size": [v[1] for v in x]})
 
-    fit = []
-    for q in (0, 1):
-        rows = known.where((half == 1) & (F.col("q") == q)).orderBy("h").limit(FIT_ROWS)
-        fit += rows.select("q", "text").mapInPandas(features, "q int, less double, size double").collect()
+    fit = texts.where("half = 1").select("q", "text").mapInPandas(features, "q int, less double, size double").collect()
+    fit.sort()
     x, y = np.array([(r.less, r.size) for r in fit]).reshape(-1, 2), np.array([float(r.q) for r in fit])
     if len(set(y)) < 2:
         return None
-    return Model(good, bad, *fit_curve(x, y))
+    # The classes are sampled apart: their true shares move the curve back.
+    share = {r.q: r["count"] for r in known.where("half = 1").groupBy("q").count().collect()}
+    centre, scale, intercept, slope = fit_curve(x, y)
+    intercept += math.log(share[1] / share[0]) - math.log(y.sum() / (len(y) - y.sum()))
+    return Model(good, bad, centre, scale, intercept, slope)
 
 
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
