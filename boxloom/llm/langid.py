@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.llm.shared import crc_bucket
+from boxloom.sources.durable import durable
 
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 4, 2
@@ -124,32 +125,39 @@ def cut_windows(text: bytes, size: int) -> np.ndarray:
 def train(docs: DataFrame) -> Network | None:
     """A network from the rows with a language outside the held-out fold; None without any.
 
-    Reads at most TRAIN_ROWS texts of each language, those of least hash, and TRAIN_CUTS windows of each
-    at places that the hash picks, whatever the size of the table.
+    Learns from at most TRAIN_ROWS texts of each language, those whose ids hash lowest, and TRAIN_CUTS windows
+    of each at places that the hash picks, whatever the size of the table. The texts are chosen by id alone,
+    so that only a table of bounded size travels to them; of rows that repeat an id the least text counts,
+    and the least language.
     """
-    known = docs.where("text is not null and lang is not null and doc_id is not null").where(crc_bucket(F.col("doc_id"), FOLDS) != HELD_OUT)
-    known = known.select("lang", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    langs = sorted(r.lang for r in known.select("lang").distinct().collect())
+    good = docs.where("text is not null and lang is not null and doc_id is not null").where(crc_bucket(F.col("doc_id"), FOLDS) != HELD_OUT)
+    ids = good.groupBy("doc_id").agg(F.min("lang").alias("known_lang")).withColumn("h", F.xxhash64("doc_id"))
+    langs = sorted(r.known_lang for r in ids.select("known_lang").distinct().collect())
+    chosen = None
+    for lang in langs:
+        some = ids.where(F.col("known_lang") == lang).orderBy("h", "doc_id").limit(TRAIN_ROWS)
+        chosen = some if chosen is None else chosen.union(some)
+    if chosen is None:
+        return None
+    chosen = durable(chosen)
+    texts = good.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "known_lang", "h").agg(F.min("text").cast("binary").alias("text"))
 
     def cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             lang, part = [], []
-            for name, text, h in zip(b["lang"], b["text"], b["h"]):
+            for name, text, h in zip(b["known_lang"], b["text"], b["h"]):
                 rows = cut_windows(bytes(text), TRAIN_WINDOW)
                 picked = np.random.default_rng(h & 0xFFFFFFFF).permutation(len(rows))[:TRAIN_CUTS]
                 part += [rows[k].tobytes() for k in sorted(picked)]
                 lang += [name] * len(picked)
             yield pd.DataFrame({"lang": lang, "part": part})
 
-    x, y = [], []
-    for k, lang in enumerate(langs):
-        rows = known.where(F.col("lang") == lang).orderBy("h", "text").limit(TRAIN_ROWS).select("lang", "text", "h")
-        got = rows.mapInPandas(cuts, "lang string, part binary").select("part").collect()
-        x += [np.frombuffer(bytes(r.part), np.uint8) for r in got]
-        y += [k] * len(got)
-    if not x:
+    got = sorted((r.lang, bytes(r.part)) for r in texts.mapInPandas(cuts, "lang string, part binary").collect())
+    if not got:
         return None
-    return fit(np.stack(x), np.array(y), langs)
+    x = np.stack([np.frombuffer(part, np.uint8) for _, part in got])
+    return fit(x, np.array([langs.index(lang) for lang, _ in got]), langs)
 
 
 class Scorer:
