@@ -173,9 +173,9 @@ select o_orderkey, md5('Find: A, R' || case when feedback <> '' then chr(10) ||
 
 
 def judge_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections of an image and label as the judge sees them: numbered, in JSON; by digest."""
+    """All detections of an image as the judge sees them: numbered, in JSON; by digest."""
     entry = F.struct(F.concat(F.lit("Box #"), F.col("i").cast("string")).alias("box_index"), F.col("label"), F.array("x1", "y1", "x2", "y2").alias("bbox_2d"))
-    listed = shapes.boxes(spark, sf_dir).where("det_idx <= 20").withColumn("i", F.col("det_idx")).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("i", entry.alias("e")))).alias("rows"))
+    listed = shapes.boxes(spark, sf_dir).withColumn("i", F.col("det_idx")).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("i", entry.alias("e")))).alias("rows"))
     return listed.select("image_id", F.md5(F.to_json(F.transform("rows", lambda r: r.e)).cast("binary")).alias("digest"))
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from boxloom.functions import text as t
 from boxloom.functions.repair import repair, repaired
 from boxloom.operators.boxes import validated
+from boxloom.plans import shapes, text_queries
+from tests.oracle import SF_DIR
 
 
 def one(spark, fn, *values):
@@ -135,3 +138,13 @@ def test_repair_gives_up_and_leaves_valid_json(spark):
     assert repair("]") is None and repair(None) is None
     df = spark.createDataFrame([(1, '{"a":1}'), (2, "{'a':2}"), (3, "}{"), (4, None)], "i int, j string")
     assert sorted((r.i, r.j) for r in repaired(df, "j").collect()) == [(1, '{"a":1}'), (2, '{"a":2}'), (3, None), (4, None)]
+
+
+def test_judge_prompt_lists_every_box_of_an_image(spark):
+    rows = shapes.boxes(spark, SF_DIR).collect()
+    listed = {}
+    for r in sorted(rows, key=lambda r: (r.image_id, r.det_idx)):
+        listed.setdefault(r.image_id, []).append({"box_index": f"Box #{r.det_idx}", "label": r.label, "bbox_2d": [r.x1, r.y1, r.x2, r.y2]})
+    assert max(map(len, listed.values())) > 20
+    want = {k: hashlib.md5(json.dumps(v, separators=(",", ":")).encode()).hexdigest() for k, v in listed.items()}
+    assert {r.image_id: r.digest for r in text_queries.judge_prompt(spark, SF_DIR).collect()} == want
