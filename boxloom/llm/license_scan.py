@@ -1,8 +1,9 @@
 """License scans with DataFrame functions only.
 
-Templates are licence texts and notices. A file's lines, and the file as a whole, are compared with them by
-the cosine of sparse TF-IDF vectors; the best template at or above THRESHOLD is the file's own licence. A
-file without one takes that of the nearest directory above it which holds a licence file.
+Templates are licence texts and notices. A file's lines, its blocks of lines between lines without words, the
+sentences of either and the file as a whole are compared with them by the cosine of sparse TF-IDF vectors;
+the best template at or above THRESHOLD is the file's own licence. A file without one takes that of the
+nearest directory above it which holds a licence file.
 
 Inverse document frequencies come from the templates, which are a fixed collection; a word in none of them
 weighs most. So a line's vector needs no statistics of other lines. A line that lacks the rarest words
@@ -57,11 +58,24 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     ("Proprietary", "All rights reserved."),
 )
+#: Short notices (licence, notice, words a unit must have): alike but for the licence's name, so the cosine alone
+#: would take one for another. They leave the weights of TEMPLATES as they are.
+NOTICES = (
+    ("MIT", "This file is licensed under the MIT License.", ("mit",)),
+    ("Apache-2.0", "This file is licensed under the Apache License, Version 2.0.", ("apache", "2")),
+    ("GPL-3.0", "This work is licensed under GPL version 3.", ("gpl", "3")),
+    ("GPL-3.0", "This file is licensed under the GPLv3.", ("gplv3",)),
+    ("BSD-3-Clause", "This file is licensed under the BSD 3-Clause License.", ("bsd", "3", "clause")),
+    ("MPL-2.0", "This file is licensed under the Mozilla Public License 2.0.", ("mozilla", "2")),
+)
 #: Function words, which count for nothing.
 STOP_WORDS = tuple(
     "a an and any are as at be been by can do either for from has have in including is it its may not of on or so such that the their this to under unless was were whom with without you".split()
 )
 GAP = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
+#: What parts blocks: lines without words; and what parts sentences.
+WORDLESS = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]*\n"
+SENTENCE = r"(?<=[.!?])\s+"
 
 
 def words_of(text: Column) -> Column:
@@ -75,14 +89,21 @@ def _words(text: str) -> list[str]:
 
 
 class Model:
-    """Weights of template words: ``idf`` by word, ``rare`` for others, ``unit`` (template, word) -> weight."""
+    """Weights of template words: ``idf`` by word, ``rare`` for others, ``unit`` (template, word) -> weight.
+
+    ``must`` has the words without which a template, by its number, does not count. ``notices`` come after ``templates``
+    and have no part in the frequencies.
+    """
 
-    def __init__(self, templates: tuple = TEMPLATES):
+    def __init__(self, templates: tuple = TEMPLATES, notices: tuple = ()):
         bags = [Counter(_words(t)) for _, t in templates]
         seen = Counter(w for bag in bags for w in bag)
-        self.names = [name for name, _ in templates]
+        self.names = [name for name, *_ in (*templates, *notices)]
+        self.must = {len(templates) + k: set(words) for k, (_, _, words) in enumerate(notices)}
         self.idf = {w: math.log((1 + len(bags)) / (1 + n)) + 1 for w, n in sorted(seen.items())}
         self.rare = math.log(1 + len(bags)) + 1
+        bags += [Counter(_words(t)) for _, t, _ in notices]
+        self.idf |= {w: self.rare for bag in bags for w in bag if w not in self.idf}
         self.unit = []
         for k, bag in enumerate(bags):
             norm = math.sqrt(sum((n * self.idf[w]) ** 2 for w, n in bag.items()))
@@ -104,18 +125,35 @@ class Model:
         return sorted(out)
 
 
+def units_of(text: Column) -> Column:
+    """What of ``text`` is compared, as an array of (at, line).
+
+    ``at`` is 0 for the whole text and the number of a line, from 1. A block of several lines that opens the text is
+    at 1, as are its first sentence and all sentences of the first line; what comes later is at 2.
+    """
+    unit = lambda at, line: F.struct(at.cast("int").alias("at"), line.alias("line"))
+    later = lambda first: F.when(first, 1).otherwise(2)
+    lines = F.transform(F.split(text, "\n"), lambda x, i: unit(i + 1, x))
+    blocks = F.split(F.regexp_replace(text, "^" + WORDLESS, ""), "\n" + WORDLESS)
+    blocks = F.filter(F.transform(blocks, lambda x, i: unit(later(i == 0), x)), lambda u: F.contains(u.line, F.lit("\n")))
+    several = lambda units: F.filter(units, lambda u: u.line.rlike(SENTENCE))
+    of_lines = F.transform(several(lines), lambda u: F.transform(F.split(u.line, SENTENCE), lambda s: unit(later(u.at == 1), s)))
+    of_blocks = F.transform(several(blocks), lambda u: F.transform(F.split(u.line, SENTENCE), lambda s, i: unit(later((u.at == 1) & (i == 0)), s)))
+    return F.concat(F.array(unit(F.lit(0), text)), lines, blocks, F.flatten(of_lines), F.flatten(of_blocks))
+
+
 def own_licences(files: DataFrame, model: Model, threshold: float) -> DataFrame:
     """(file_key, licence, score, first_line) of every file with a template at or above ``threshold``.
 
-    ``files`` is (file_key, text). Units are the lines, numbered from 1, and the whole text, 0. Of equal scores the
-    earlier template wins. ``first_line``: the best unit is the first line or the whole text.
+    ``files`` is (file_key, text). Units are what ``units_of`` gives. Of equal scores the earlier template wins.
+    ``first_line``: the best unit opens the text or is the whole of it.
     """
     spark = files.sparkSession
     idf = F.create_map(*[x for w, v in model.idf.items() for x in (F.lit(w), F.lit(v))])
     text = F.coalesce("text", F.lit(""))
     anchors = model.anchors(threshold)
     some = lambda words: F.exists(words, lambda x: x.isin(anchors))
-    units = files.where(some(words_of(text))).select("file_key", F.posexplode(F.concat(F.array(text), F.split(text, "\n"))).alias("unit", "line"))
+    units = files.where(some(words_of(text))).select("file_key", F.posexplode(units_of(text)).alias("unit", "u")).select("file_key", "unit", "u.at", "u.line")
     known = F.filter("w", lambda x: x.isin(list(model.idf)))
     mass = F.aggregate(
         F.array_distinct("known"), F.lit(0.0),
@@ -125,34 +163,36 @@ def own_licences(files: DataFrame, model: Model, threshold: float) -> DataFrame:
     # other word adds rare ** 2 to that length or more.
     others = (F.size("w") - F.size("known")) * model.rare**2
     near = (
-        units.select("file_key", "unit", words_of(F.col("line")).alias("w"))
+        units.select("file_key", "unit", "at", words_of(F.col("line")).alias("w"))
         .where(some(F.col("w")))
         .withColumn("w", F.filter("w", lambda x: ~x.isin(*STOP_WORDS)))
         .withColumn("known", known)
         .withColumn("mass", mass)
         .where(F.col("mass") * (1 + 1e-9) >= threshold**2 * (F.col("mass") + others))
     )
-    counts = near.select("file_key", "unit", F.explode("w").alias("word")).groupBy("file_key", "unit", "word").agg(F.count("*").alias("tf"))
-    weights = spark.createDataFrame(model.unit, "template int, t_word string, weight double")
+    counts = near.select("file_key", "unit", "at", F.explode("w").alias("word")).groupBy("file_key", "unit", "at", "word").agg(F.count("*").alias("tf"))
+    weights = spark.createDataFrame([(k, w, x, int(w in model.must.get(k, ()))) for k, w, x in model.unit], "template int, t_word string, weight double, must int")
+    needed = F.array(*[F.lit(len(model.must.get(k, ()))) for k in range(len(model.names))])
     idfs = spark.createDataFrame(sorted(model.idf.items()), "i_word string, idf double")
     weighed = durable(
         counts.join(F.broadcast(idfs), F.col("word") == F.col("i_word"), "left").select(
-            "file_key", "unit", "word", (F.col("tf") * F.coalesce("idf", F.lit(model.rare))).alias("x")
+            "file_key", "unit", "at", "word", (F.col("tf") * F.coalesce("idf", F.lit(model.rare))).alias("x")
         )
     )
     norms = weighed.groupBy("file_key", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     names = F.array(*[F.lit(n) for n in model.names])
     scored = (
         weighed.join(F.broadcast(weights), F.col("word") == F.col("t_word"))
-        .groupBy("file_key", "unit", "template")
-        .agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+        .groupBy("file_key", "unit", "at", "template")
+        .agg(F.sum(F.col("x") * F.col("weight")).alias("dot"), F.sum("must").alias("must"))
+        .where(F.col("must") == F.get(needed, F.col("template")))
         .join(norms, ["file_key", "unit"])
-        .select("file_key", "unit", "template", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+        .select("file_key", "at", "template", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
         .where(F.col("score") >= threshold)
     )
     return (
         scored.groupBy("file_key")
-        .agg(F.max(F.struct("score", (-F.col("template")).alias("t"), (-F.col("unit")).alias("u"))).alias("best"))
+        .agg(F.max(F.struct("score", (-F.col("template")).alias("t"), (-F.col("at")).alias("u"))).alias("best"))
         .select("file_key", F.element_at(names, 1 - F.col("best.t")).alias("licence"), F.col("best.score").alias("score"), (F.col("best.u") >= -1).alias("first_line"))
     )
 
@@ -175,7 +215,7 @@ def scan(files: DataFrame, licence_file: Column, model: Model | None = None, thr
     the least path, counts. A null text has no licence of its own; a null path inherits nothing. Rows that
     repeat a path and text come back as often.
     """
-    model = model or Model()
+    model = model or Model(notices=NOTICES)
     hidden = {c: f"_own_{c}" for c in files.columns if c in HIDDEN}
     keyed = files.withColumnsRenamed(hidden).withColumn("file_key", F.sha2(F.concat_ws("\n", F.coalesce("path", F.lit("\0")), F.coalesce("text", F.lit("\0"))), 256))
     own = durable(own_licences(keyed.select("file_key", "text"), model, threshold))

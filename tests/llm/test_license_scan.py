@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import re
+import textwrap
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -72,3 +73,20 @@ def test_empty_table_and_no_python(spark):
     got, out = scan(spark, [])
     assert got == []
     assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
+
+
+def test_wrapped_headers_and_sentences_of_a_line(spark):
+    header = textwrap.wrap(ls.TEMPLATES[2][1], 76)
+    code = "\n".join(f"value_{i} = compute(input_{i}, other_{i})" for i in range(60))
+    rows = [
+        ("a/top.py", "/*\n * " + "\n * ".join(header) + "\n */\n" + code), ("b/low.py", code + "\n\n# " + "\n# ".join(header) + "\n#\n" + code),
+        ("c/line.py", "x\n# Copyright 2024 Foo Bar. All rights reserved.\ny"), ("d/mit.py", "This file is licensed under the MIT license"),
+        ("e/gpl.py", "This work is licensed under GPL version 3"), ("f/gpl2.py", "This work is licensed under GPL version 2"), ("g/own.py", "This file is licensed under the Foo license"),
+        ("a/x.py", "x"), ("b/x.py", "x"), ("h/far.py", "\n" * 20000 + "x. " * 20000),
+    ]
+    got = {r[0]: (r[1], r[3]) for r in scan(spark, rows)[0]}
+    none = (None, "none")
+    assert got == {
+        "a/top.py": ("MIT", "own"), "b/low.py": ("MIT", "own"), "c/line.py": ("Proprietary", "own"), "d/mit.py": ("MIT", "own"), "e/gpl.py": ("GPL-3.0", "own"),
+        "f/gpl2.py": none, "g/own.py": none, "a/x.py": ("MIT", "inherited"), "b/x.py": none, "h/far.py": none,
+    }
