@@ -161,7 +161,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     good = rows.where(usable())
-    classes = durable(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).where("rep is not null"))
+    # Classes are numbered, since those of one least vec_id are still two.
+    classes = good.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).where("id is not null")
+    classes = durable(classes.withColumn("rep", F.monotonically_increasing_id()))
     found = None
     for dim in sorted(r[0] for r in classes.select(F.size("embedding")).distinct().collect()):
         own = classes.where(F.size("embedding") == dim)
@@ -172,13 +174,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     found = durable(found)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     component = connected_components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
+    linked = classes.join(component, F.col("rep") == F.col("node")).select("node", "component", "id")
+    least = linked.groupBy("component").agg(F.min("id").alias("least"))
+    component = linked.join(least, "component").select("node", "least")
     known = (
         classes.join(links.withColumnRenamed("rep", "l_rep"), F.col("rep") == F.col("l_rep"), "left")
         .join(component, F.col("rep") == F.col("node"), "left")
         .select(
             F.col("embedding").alias("known"),
             (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
+            F.coalesce("least", "id").alias("component_id"),
         )
     )
     return rows.join(known, usable() & (F.col("embedding") == F.col("known")), "left").select(

@@ -58,13 +58,17 @@ def fingerprint(hashes: np.ndarray) -> np.uint64:
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.fromiter((fingerprint(shingle_hashes(x.as_py())) for x in batch.column(1)), np.uint64, len(batch))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) for every row; a null text has no words and so fingerprint zero."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(
-        _fingerprint_batches, "doc_id long, fp long"
+def fingerprints(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp long) for every row, and a hash ``key`` of its text if ``keyed``.
+
+    A null text has no words and so fingerprint zero.
+    """
+    key = [F.xxhash64("text").alias("key")] if keyed else []
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), *key).mapInArrow(
+        _fingerprint_batches, "doc_id long, fp long" + ", key long" * keyed
     )
 
 
@@ -126,13 +130,13 @@ def _compare(a: np.ndarray, b: np.ndarray, nodes: np.ndarray, size: np.ndarray,
 
 
 def _join_subtrees(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Star edges (src, dst) that connect what is linked between or in the subtrees of a group."""
+    """Star edges (src, dst) of fingerprints that connect what is linked between or in the subtrees of a group."""
     turn, first, second, top = (int(x) for x in key)
     value = rows["fp"].to_numpy().view(np.uint64)
     if turn:
         value = value << np.uint64(32) | value >> np.uint64(32)
     order = np.argsort(value, kind="stable")
-    value, ids = value[order], rows["rep"].to_numpy()[order]
+    value, ids = value[order], rows["fp"].to_numpy()[order]
     split = np.searchsorted(value >> np.uint64(top), np.uint64(second)) if second != first else 0
     label = np.arange(len(value))
     if second == first:
@@ -148,7 +152,7 @@ def _join_subtrees(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def link_fingerprints(nodes: DataFrame, n: int) -> DataFrame:
-    """Edges (src, dst) that connect the ``rep`` of all fingerprints that link; ``nodes`` is (fp, rep), distinct.
+    """Edges (src, dst) that connect all fingerprints that link; ``nodes`` has distinct ``fp``.
 
     Not every link is an edge, but linked nodes are always reachable. ``n`` is the number of nodes; it
     sets how many levels Spark walks.
@@ -167,10 +171,10 @@ def link_fingerprints(nodes: DataFrame, n: int) -> DataFrame:
     own = F.shiftrightunsigned("t.v", top).cast("int")
     mates = F.explode(F.array(F.lit(0), *[F.lit(1 << i) for i in range(levels)])).alias("flip")
     return (
-        nodes.select("fp", "rep", turned)
-        .select("fp", "rep", "t.turn", own.alias("own"), mates)
+        nodes.select("fp", turned)
+        .select("fp", "t.turn", own.alias("own"), mates)
         .withColumn("mate", F.col("own").bitwiseXOR(F.col("flip")))
-        .select("fp", "rep", "turn", F.least("own", "mate").alias("first"), F.greatest("own", "mate").alias("second"), F.lit(top).alias("top"))
+        .select("fp", "turn", F.least("own", "mate").alias("first"), F.greatest("own", "mate").alias("second"), F.lit(top).alias("top"))
         .groupBy("turn", "first", "second", "top")
         .applyInPandas(_join_subtrees, "src long, dst long")
     )
@@ -183,22 +187,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     without words have fingerprint zero and link like any other. A null doc_id takes part, but names a
     component only if all its documents lack one (then null).
     """
-    prints = durable(fingerprints(docs))
-    nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    named = nodes.where("rep is not null")
-    component = connected_components(link_fingerprints(named, named.count()))
-    by_print = nodes.join(component, F.col("rep") == F.col("node"), "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id")
-    )
-    return prints.join(by_print, "fp").select(
+    return _with_components(durable(fingerprints(docs))).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
+def _with_components(prints: DataFrame) -> DataFrame:
+    """``prints`` (doc_id, fp and others) with component_id; fingerprints are the nodes, ids only name what they form."""
+    nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    component = connected_components(link_fingerprints(nodes, nodes.count()))
+    linked = nodes.join(component, F.col("fp") == F.col("node")).select("fp", "rep", "component")
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    linked = linked.join(least, "component").select(F.col("fp").alias("l_fp"), "least")
+    by_print = nodes.join(linked, F.col("fp") == F.col("l_fp"), "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+    return prints.join(by_print, "fp")
+
+
 def dedup_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose component has one of a smaller doc_id; same columns.
+    """``docs`` without the rows whose component has one of a smaller doc_id; same columns.
 
-    Rows that repeat a doc_id all stay or all go; rows with a null doc_id stay.
+    Texts that share a doc_id are judged each by its own component. Rows that repeat a doc_id and text all
+    stay or all go; rows with a null doc_id stay.
     """
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left_anti")
+    found = _with_components(durable(fingerprints(docs, keyed=True)))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key")).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_key")), "left_anti")

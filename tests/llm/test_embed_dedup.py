@@ -117,3 +117,10 @@ def test_bands_follow_the_number_of_vectors():
     assert e.plan_bands(0)[0] == 6
     bits, bands = e.plan_bands(10**6)
     assert 16 <= bits <= 18 and 1 - (1 - 0.8989**bits) ** bands > 0.996
+
+
+def test_vectors_of_one_id_are_vectors_of_their_own(spark):
+    x, y = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    near_x, near_y = [1.0, 0.01, 0.0], [0.0, 1.0, 0.01]
+    assert run(spark, [1, 1, 4, 5], [x, y, near_x, near_y]) == [(1, 1, 1, True), (1, 1, 1, True), (4, 1, 1, False), (5, 1, 1, False)]
+    assert run(spark, [3, 3, 1, 5], [x, y, near_x, near_y]) == [(1, 1, 1, True), (3, 1, 1, False), (3, 1, 3, True), (5, 1, 3, False)]

@@ -107,3 +107,12 @@ def test_components_of_chains_stars_and_loops(spark):
     want = {i: 1 for i in range(1, 41)} | {k: 100 for k in range(100, 130)} | {201: 201, 205: 201}
     assert got == want
     assert shared.connected_components(spark.createDataFrame([], "src long, dst long")).collect() == []
+
+
+def test_texts_of_one_id_are_judged_each(spark):
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(40)) for w in ("river", "stone", "light", "hope"))
+    docs = spark.createDataFrame([(2, a), (5, a), (5, b), (1, c), (1, d), (7, c), (8, d)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.dedup_documents(docs).collect())) == sorted([(2, a), (5, b), (1, c), (1, d)])
+    docs = spark.createDataFrame([(3, a), (3, b), (1, a), (2, b)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect())
+    assert got == [(1, 1), (2, 2), (3, 1), (3, 2)]
