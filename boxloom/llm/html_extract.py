@@ -45,13 +45,19 @@ _BLOCK = frozenset(
 _BAD_TAGS = frozenset("nav footer aside form menu dialog button search fieldset".split())
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 _GOOD_TAGS = frozenset("article main".split())
-#: Words of class and id names that mark what surrounds an article.
+#: A class or id token marks what surrounds an article by its last word but for _SUFFIXES, unless it has one of _MODIFIERS.
 _BAD_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|popup|modal|overlay|nav\w*|menu\w*|"
-    r"breadcrumb\w*|header|masthead|foot|footer|sidebar|side|widget\w*|comment\w*|reply|replies|disqus|respond|related|recommend\w*|"
-    r"share|sharing|social|subscribe|newsletter|signup|login|search\w*|form|toolbar|pagination|pager|copyright|skip\w*|disclaimer|toc)(?:$|[\s_-])",
+    r"(?:ad|ads|adv|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|popup|modal|overlay|nav\w*|menu\w*|"
+    r"breadcrumb\w*|header|masthead|foot|footer|sidebar|widget\w*|comment\w*|reply|replies|disqus|respond|related|recommend\w*|"
+    r"share|sharing|social|subscribe|newsletter|signup|login|search\w*|form|toolbar|pagination|pager|copyright|skip\w*|disclaimer|toc)",
     re.I,
 )
+_SUFFIXES = frozenset("area bar block bottom box button buttons container inner item items left link links list right section slot top unit wrap wrapper".split())
+_MODIFIERS = frozenset("has no with without is open opened close closed collapsed expanded active enabled disabled fixed sticky".split())
+#: Names of what holds articles other than the page's own.
+_OTHERS = re.compile(r"\b(?:comment|repl|disqus|respond|related|recommend|promo|sponsor|ads?\b|widget)", re.I)
+#: What stands in an element marked by its name alone; an article or main inside counts as good again.
+_NAMED = "named"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|$)|<(?P<raw>{_RAW})\b[^>]*?(?:/>|>.*?(?:</(?P=raw)\s*>|$))|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
@@ -70,25 +76,40 @@ class Block:
     heading: bool
 
 
-def _is_bad(tag: str, attrs: str, in_article: bool) -> bool:
+def _marked(token: str) -> bool:
+    words = [w for w in re.split("[-_]+", token.lower()) if w]
+    if not _MODIFIERS.isdisjoint(words):
+        return False
+    if words == ["side"]:
+        return True
+    while len(words) > 1 and (words[-1] in _SUFFIXES or words[-1].isdigit()):
+        words.pop()
+    return bool(words) and _BAD_NAMES.fullmatch(words[-1]) is not None
+
+
+def _is_bad(tag: str, attrs: str, in_article: bool) -> bool | str:
+    named = False
     if tag in _BAD_TAGS or (tag == "header" and not in_article):
         return True
     for name, value in _ATTR.findall(attrs):
         value = value.strip("\"'")
         name = name.lower()
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and _BAD_NAMES.search(value):
-            return True
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            bad = [token for token in value.split() if _marked(token)]
+            if any(_OTHERS.search(token.replace("_", "-")) for token in bad):
+                return True
+            named = _NAMED if bad else named
         if name == "role" and value.lower() in _BAD_ROLES or name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-    return False
+    return named
 
 
 def blocks_of(page: str) -> list[Block]:
     """The non-empty blocks of ``page`` in order; ``inside`` is True in an article, False in page furniture."""
     out: list[Block] = []
-    open_: list[tuple[str, bool | None]] = []
+    open_: list[tuple[str, bool | str | None]] = []
     parts: list[str] = []
     linked, anchors = 0, 0
 
@@ -98,10 +119,11 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             inside = None
             for _, kind in open_:
-                if kind is False:
+                if kind is False or (kind == _NAMED and inside):
                     inside = False
                     break
-                inside = inside or kind
+                if kind is not None:
+                    inside = kind is True
             out.append(Block(text, linked, inside, bool(open_) and any(re.fullmatch("h[1-6]", t) for t, _ in open_[-3:])))
         parts.clear()
         linked = 0
@@ -124,9 +146,9 @@ def blocks_of(page: str) -> list[Block]:
             anchors = max(0, anchors - 1) if m["close"] else 1
             continue
         if tag not in _BLOCK:
-            if not m["close"] and tag not in _VOID and _is_bad(tag, m["attrs"], False):
+            if not m["close"] and tag not in _VOID and (bad := _is_bad(tag, m["attrs"], False)):
                 flush()
-                open_.append((tag, False))
+                open_.append((tag, _NAMED if bad == _NAMED else False))
             elif m["close"] and any(t == tag for t, _ in open_):
                 flush()
                 while open_.pop()[0] != tag:
@@ -142,8 +164,9 @@ def blocks_of(page: str) -> list[Block]:
             if tag in ("p", "li", "td", "th", "tr", "dt", "dd") or re.fullmatch("h[1-6]", tag):
                 _close_implied(open_, tag)
             if tag not in _VOID:
-                in_article = any(kind for _, kind in open_)
-                open_.append((tag, False if _is_bad(tag, m["attrs"], in_article) else True if tag in _GOOD_TAGS else None))
+                in_article = any(kind is True for _, kind in open_)
+                bad = _is_bad(tag, m["attrs"], in_article)
+                open_.append((tag, _NAMED if bad == _NAMED else False if bad else True if tag in _GOOD_TAGS else None))
     flush()
     return out
 
@@ -166,7 +189,7 @@ def decide(block: Block) -> bool | None:
         return True
     words = _WORD.findall(block.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if "©" in block.text or "(c)" in block.text.lower():
+    if len(block.text) < LONG and ("©" in block.text or "(c)" in block.text.lower()):
         return False
     if len(block.text) < SHORT or block.heading:
         return None

@@ -50,3 +50,22 @@ def test_whole_query(spark):
     assert out == sorted([(1, "u", len(PROSE), PROSE)] * 2 + [(3, "v", 0, ""), (4, "w", 250001, ("é " + "long " * 50000).strip())])
     assert [tuple(r) for r in extract_pages(pages.where("page_id = 2")).collect()] == [(2, None, "", 0)]
     assert extract_pages(pages.where("page_id > 9")).collect() == []
+
+
+def test_layout_names_do_not_empty_a_page():
+    for name in ("content has-sidebar", "no-sidebar", "nav-open", "header-image", "left-side", "with-ads", "content__header--fixed"):
+        assert main_text(f'<div class="{name}"><p>{PROSE}</div>') == PROSE, name
+    for name in ("sidebar", "left-sidebar", "site-footer", "ad_slot_1", "cookie-notice", "main-nav", "widget-area", "x menu", "side"):
+        assert main_text(f'<div class="{name}"><p>{PROSE}</div>') == "", name
+
+
+def test_an_article_in_a_marked_wrapper_counts_again():
+    assert main_text(f'<div class="header"><p>{PROSE}</p><article><p>Text.</p><div class="share"><p>Send</p></div></article></div>') == "Text."
+    assert main_text(f'<main><p>Text.</p><div class="toolbar"><article>{PROSE}</article></div></main>') == "Text."
+    assert main_text(f'<p>{PROSE}</p><div class="related-list"><article>{PROSE}</article></div>') == PROSE
+    assert main_text(f"<nav><article>{PROSE}</article></nav>") == ""
+
+
+def test_a_long_block_that_counts_to_c_stays():
+    assert main_text(f"<p>{PROSE} It is (a) one, (b) two and (c) three.</p>") == f"{PROSE} It is (a) one, (b) two and (c) three."
+    assert main_text(f"<p>{PROSE}</p><p>(c) 2024 by the owner of all of it</p>") == PROSE
