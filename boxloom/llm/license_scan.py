@@ -112,10 +112,14 @@ class Model:
     def anchors(self, threshold: float) -> list[str]:
         """Words of which every text with a cosine of ``threshold`` to some template has at least one.
 
-        Of each template its rarest words, until the others' part of its unit vector is shorter than that.
+        Of each template its rarest words, until the others' part of its unit vector is shorter than that. Of a
+        template with words that must be there, one of those.
         """
         out = set()
         for t in range(len(self.names)):
+            if t in self.must:
+                out.add(max(self.must[t], key=lambda w: (self.idf[w], len(w), w)))
+                continue
             rest = 1.0
             for _, w, x in sorted((u for u in self.unit if u[0] == t), key=lambda u: (-self.idf[u[1]], -len(u[1]), u[1])):
                 if rest < threshold**2 * (1 - 1e-9):
