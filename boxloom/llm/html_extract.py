@@ -1,15 +1,17 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block tags. The first pass decides blocks by what they stand in (menus,
-notices, forms and the like are bad; inside an article they are good unless links fill them) and else
-by link density, length and stop-word density; short or middling blocks stay open. The second pass gives
-open blocks the label of the nearest decided neighbours: good if the nearer one is good, or both are.
+A page is cut into blocks at block tags. The first pass adds up a score for every block: stop-word density and
+length of its unlinked words speak for main text, link density and a lack of stop words against it, and what
+the block stands in (an article, a menu, an element named for adverts) shifts the score as a prior. Scores of
+DECIDED or more are main text, those of minus DECIDED or less are not; ambiguous blocks, mostly short ones,
+stay open. The second pass gives them the label of their nearest decided neighbours.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,10 +31,19 @@ STOP_WORDS = frozenset(
     el los las y es del se lo con su al como pero sus este esta ya entre sin sobre ser son fue ha más muy también hasta
     """.split()
 )
-#: Bytes of text that make a block long enough to be judged alone, and the share of stop words it needs.
-LONG, SHORT = 140, 40
+#: Characters of unlinked text that make a block very long, long or at least not short, and shares of stop words.
+VERY_LONG, LONG, SHORT = 600, 140, 40
 STOP_HIGH, STOP_LOW = 0.25, 0.12
-LINK_HIGH = 0.4
+#: Share of a block's text in links that speaks against it.
+LINK_HIGH = 0.6
+#: A score of so much, either way, decides a block.
+DECIDED = 1.0
+#: Evidence of the block itself: very long, long and middling prose, long text that is no prose, a heading, links, links
+#: in a list, and a copyright mark.
+MUCH_PROSE, PROSE, SOME_PROSE, NO_PROSE, HEADING, LINKED, LINKED_ITEM, RIGHTS = 4.0, 2.0, 0.5, -1.0, 0.5, -1.5, -2.0, -1.5
+#: Priors of what it stands in: an article; text beside one; an element named for furniture; a text element named so;
+#: furniture by its tag or role; such an element that is never closed.
+ARTICLE, BESIDE, NAMED, NAMED_TEXT, FURNITURE, UNCLOSED = 0.75, -1.0, -3.0, -1.0, -5.5, -0.5
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = "script|style|noscript|template|svg|iframe|object|canvas|textarea|select|math|title"
@@ -41,10 +52,14 @@ _BLOCK = frozenset(
     footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot
     th thead tr ul""".split()
 )
-#: Elements whose content is never main text.
+#: Elements that hold no main text as a rule.
 _BAD_TAGS = frozenset("nav footer aside form menu dialog button search fieldset".split())
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 _GOOD_TAGS = frozenset("article main".split())
+#: Elements that hold one run of text, and those that may well end a cut-off page unclosed.
+_TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dt dd td th span b i em strong a".split())
+_LAST_TAGS = frozenset("footer aside".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A class or id token marks what surrounds an article by its last word but for _SUFFIXES, unless it has one of _MODIFIERS.
 _BAD_NAMES = re.compile(
     r"(?:ad|ads|adv|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|popup|modal|overlay|nav\w*|menu\w*|"
@@ -53,27 +68,48 @@ _BAD_NAMES = re.compile(
     re.I,
 )
 _SUFFIXES = frozenset("area bar block bottom box button buttons container inner item items left link links list right section slot top unit wrap wrapper".split())
-_MODIFIERS = frozenset("has no with without is open opened close closed collapsed expanded active enabled disabled fixed sticky".split())
-#: Names of what holds articles other than the page's own.
-_OTHERS = re.compile(r"\b(?:comment|repl|disqus|respond|related|recommend|promo|sponsor|ads?\b|widget)", re.I)
-#: What stands in an element marked by its name alone; an article or main inside counts as good again.
-_NAMED = "named"
+_MODIFIERS = frozenset("has no with without is open opened close closed collapsed expanded active enabled disabled fixed sticky entry post article title".split())
+#: Names of what holds articles and prose other than the page's own.
+_OTHERS = re.compile(r"\b(?:comment|repl|disqus|respond|related|recommend|promo|sponsor|ads?\b|widget|cookie|consent|gdpr|notice)", re.I)
+
+# Attributes up to the end of a tag. A quoted value ends before white space, "/" or ">"; one that runs over a tag to the
+# equals sign of another attribute has lost its closing quote, and the tag then ends at its first ">".
+_QUOTED = r"\"(?![^\"]*<[^\"]*=\")[^\"]*\"(?=[\s/>])|'(?![^']*<[^']*=')[^']*'(?=[\s/>])"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|$)|<(?P<raw>{_RAW})\b[^>]*?(?:/>|>.*?(?:</(?P=raw)\s*>|$))|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|(?P<text>[^<]+|<)",
+    rf"<!--.*?(?:-->|$)|<(?P<raw>{_RAW})\b[^<>]*+>(?:(?<=/>)|.*?(?:</(?P=raw)\s*>|$))"
+    rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*+)(?P<attrs>(?:[^\s\"'<>]++|\s++|{_QUOTED})*+)>"
+    r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][\w:-]*+)(?P<attrs2>[^<>]*+)>"
+    r"|<[a-zA-Z][\w:-]*+\s[^<>]*[\"'][^<>]*(?=<)|</?[a-zA-Z][^<>]*+$|<[!?][^<>]*+>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 _ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
+
+class Node:
+    """An element that text stands in; ``own`` is what its tag and names say: a prior and how far it reaches."""
+
+    __slots__ = ("parent", "tag", "own", "closed", "context")
+
+    def __init__(self, parent: Node | None, tag: str, own: str | None):
+        self.parent, self.tag, self.own, self.closed, self.context = parent, tag, own, False, None
 
 
 @dataclass
 class Block:
-    """A run of text between block tags."""
+    """A run of text between block tags, with what it stands in as a prior."""
 
     text: str
+    #: Text outside links, and how many characters are inside them.
+    unlinked: str
     linked: int
-    inside: bool | None
     heading: bool
+    item: bool
+    #: Inside an article; inside what is furniture by all it says.
+    inside: bool = False
+    furniture: bool = False
+    prior: float = 0.0
 
 
 def _marked(token: str) -> bool:
@@ -87,122 +123,178 @@ def _marked(token: str) -> bool:
     return bool(words) and _BAD_NAMES.fullmatch(words[-1]) is not None
 
 
-def _is_bad(tag: str, attrs: str, in_article: bool) -> bool | str:
-    named = False
-    if tag in _BAD_TAGS or (tag == "header" and not in_article):
-        return True
-    for name, value in _ATTR.findall(attrs):
-        value = value.strip("\"'")
-        name = name.lower()
+def _says(tag: str, attrs: str) -> str | None:
+    """What an element's tag and attributes say of its content: article, furniture, others, named, hidden or nothing."""
+    said = "article" if tag in _GOOD_TAGS else "furniture" if tag in _BAD_TAGS else "header" if tag == "header" else None
+    for name, value in _ATTR.findall(attrs) if attrs else ():
+        value, name = value.strip("\"'"), name.lower()
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
+            return "hidden"
+        if name == "role" and value.lower() in _BAD_ROLES:
+            said = "furniture"
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
             bad = [token for token in value.split() if _marked(token)]
             if any(_OTHERS.search(token.replace("_", "-")) for token in bad):
-                return True
-            named = _NAMED if bad else named
-        if name == "role" and value.lower() in _BAD_ROLES or name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return named
+                said = "others" if said in (None, "named") else said
+            elif bad and said is None:
+                said = "named"
+    return said
+
+
+def _context(node: Node | None) -> tuple[float, bool, bool]:
+    """(prior, inside an article, furniture for good) of what stands in ``node``; its parents are known already."""
+    if node is None:
+        return 0.0, False, False
+    if node.context is None:
+        prior, inside, fixed = _context(node.parent)
+        own = node.own
+        if fixed or own is None:
+            pass
+        elif own == "hidden":
+            prior, fixed = FURNITURE, True
+        elif own == "article":
+            prior, inside = ARTICLE, True
+        elif own == "furniture" and not node.closed and node.tag not in _LAST_TAGS:
+            prior += UNCLOSED
+        elif own in ("furniture", "others") or (own == "header" and not inside and node.closed):
+            prior, fixed = FURNITURE, own != "others" or node.tag not in _TEXT_TAGS
+            if not fixed:
+                prior = NAMED_TEXT + (ARTICLE if inside else 0.0)
+        elif own == "header":
+            prior += 0.0 if inside else UNCLOSED
+        elif own == "named" and node.tag in _TEXT_TAGS:
+            prior += NAMED_TEXT
+        elif own == "named":
+            prior, fixed = NAMED, inside
+        node.context = (prior, inside, fixed)
+    return node.context
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The non-empty blocks of ``page`` in order; ``inside`` is True in an article, False in page furniture."""
-    out: list[Block] = []
-    open_: list[tuple[str, bool | str | None]] = []
+    """The non-empty blocks of ``page`` in order."""
+    found: list[tuple[Block, Node | None]] = []
+    nodes: list[Node] = []
+    open_: list[Node] = []
+    counts: Counter = Counter()
     parts: list[str] = []
+    free: list[str] = []
     linked, anchors = 0, 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            inside = None
-            for _, kind in open_:
-                if kind is False or (kind == _NAMED and inside):
-                    inside = False
-                    break
-                if kind is not None:
-                    inside = kind is True
-            out.append(Block(text, linked, inside, bool(open_) and any(re.fullmatch("h[1-6]", t) for t, _ in open_[-3:])))
+            near = [n.tag for n in open_[-3:]]
+            unlinked = text if not linked else " ".join(html.unescape("".join(free)).split())
+            found.append((Block(text, unlinked, linked, not _HEADINGS.isdisjoint(near), "li" in near), open_[-1] if open_ else None))
         parts.clear()
+        free.clear()
         linked = 0
 
+    def start(tag: str, own: str | None) -> None:
+        node = Node(open_[-1] if open_ else None, tag, own)
+        nodes.append(node)
+        open_.append(node)
+        counts[tag] += 1
+
+    def end(tag: str) -> None:
+        while (node := open_.pop()).tag != tag:
+            counts[node.tag] -= 1
+        node.closed = True
+        counts[tag] -= 1
+
     for m in _TOKEN.finditer(page):
         text = m["text"]
         if text is not None:
             parts.append(text)
             if anchors:
                 linked += len(html.unescape(text).strip())
+            else:
+                free.append(text)
             continue
-        tag = m["tag"]
+        tag, close, attrs = (m["tag"], m["close"], m["attrs"]) if m["tag"] else (m["tag2"], m["close2"], m["attrs2"])
         if not tag:
             continue
         tag = tag.lower()
         if tag == "br":
             parts.append(" ")
-            continue
-        if tag == "a":
-            anchors = max(0, anchors - 1) if m["close"] else 1
-            continue
-        if tag not in _BLOCK:
-            if not m["close"] and tag not in _VOID and (bad := _is_bad(tag, m["attrs"], False)):
+            free.append(" ")
+        elif tag == "a":
+            anchors = max(0, anchors - 1) if close else 1
+        elif tag not in _BLOCK:
+            if close:
+                if counts[tag]:
+                    flush()
+                    end(tag)
+            elif tag not in _VOID and (own := _says(tag, attrs)):
                 flush()
-                open_.append((tag, _NAMED if bad == _NAMED else False))
-            elif m["close"] and any(t == tag for t, _ in open_):
-                flush()
-                while open_.pop()[0] != tag:
-                    pass
-            continue
-        flush()
-        anchors = 0
-        if m["close"]:
-            if any(t == tag for t, _ in open_):
-                while open_.pop()[0] != tag:
-                    pass
+                start(tag, own)
         else:
-            if tag in ("p", "li", "td", "th", "tr", "dt", "dd") or re.fullmatch("h[1-6]", tag):
-                _close_implied(open_, tag)
+            flush()
+            anchors = 0
+            if close:
+                if counts[tag]:
+                    end(tag)
+                continue
+            if tag in _ENDS or tag in _HEADINGS:
+                ends = _ENDS.get(tag, ("p",))
+                while open_ and open_[-1].tag in ends:
+                    node = open_.pop()
+                    node.closed = True
+                    counts[node.tag] -= 1
             if tag not in _VOID:
-                in_article = any(kind is True for _, kind in open_)
-                bad = _is_bad(tag, m["attrs"], in_article)
-                open_.append((tag, _NAMED if bad == _NAMED else False if bad else True if tag in _GOOD_TAGS else None))
+                start(tag, _says(tag, attrs))
     flush()
-    return out
+    for node in nodes:
+        _context(node)
+    has_article = False
+    for block, node in found:
+        block.prior, block.inside, fixed = _context(node)
+        block.furniture = fixed or block.prior <= NAMED
+        has_article |= block.inside and not block.furniture
+    if has_article:
+        for block, _ in found:
+            if not block.inside and not block.furniture:
+                block.prior += BESIDE
+    return [block for block, _ in found]
 
 
-def _close_implied(open_: list, tag: str) -> None:
-    """End an open paragraph or item that a new one ends by itself."""
-    ends = {"p": ("p",), "li": ("p", "li"), "td": ("p", "td", "th"), "th": ("p", "td", "th"), "tr": ("p", "td", "th", "tr"), "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd")}.get(tag, ("p",))
-    while open_ and open_[-1][0] in ends:
-        open_.pop()
+#: Open paragraphs and items that a new element ends by itself.
+_ENDS = {"p": ("p",), "li": ("p", "li"), "td": ("p", "td", "th"), "th": ("p", "td", "th"), "tr": ("p", "td", "th", "tr"), "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd")}
 
 
-def decide(block: Block) -> bool | None:
-    """First pass: True for main text, False for furniture, None where the block alone can't tell."""
-    if block.inside is False:
-        return False
-    links = block.linked / max(1, len(block.text))
-    if links > LINK_HIGH:
-        return False
-    if block.inside:
-        return True
-    words = _WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+def score(block: Block) -> float:
+    """First pass: the prior of what the block stands in and the evidence of its own text."""
+    total = block.prior
+    size = len(block.unlinked)
+    if size >= SHORT:
+        words = _WORD.findall(block.unlinked.lower())
+        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        if size >= LONG:
+            total += NO_PROSE if stops < STOP_LOW else 0.0 if stops < STOP_HIGH else PROSE if size < VERY_LONG else MUCH_PROSE
+        elif stops >= STOP_HIGH:
+            total += SOME_PROSE
+    if block.heading:
+        total += HEADING
+    if block.linked > LINK_HIGH * len(block.text):
+        total += LINKED_ITEM if block.item else LINKED
     if len(block.text) < LONG and ("©" in block.text or "(c)" in block.text.lower()):
-        return False
-    if len(block.text) < SHORT or block.heading:
-        return None
-    if len(block.text) >= LONG:
-        return True if stops >= STOP_HIGH else None if stops >= STOP_LOW else False
-    return None
+        total += RIGHTS
+    return total
+
+
+def decide(block: Block) -> bool | None:
+    """True for main text, False for furniture, None where the score leaves the block open."""
+    total = score(block)
+    return True if total >= DECIDED else False if total <= -DECIDED else None
 
 
-def spread(labels: list[bool | None], heads: list[bool]) -> list[bool]:
+def spread(labels: list[bool | None], heads: list[bool], lean: bool = False) -> list[bool]:
     """Second pass: open blocks take the label of the nearest decided neighbours.
 
     Between two that differ the nearer counts; at equal distance the block is bad, unless it is a
-    heading of good text below it. Without any decided block all are good.
+    heading of good text below it. Without any decided block all are good. With ``lean``, as in an article, an open
+    block is bad only between two bad ones.
     """
     n = len(labels)
     before, after = [None] * n, [None] * n
@@ -223,6 +315,8 @@ def spread(labels: list[bool | None], heads: list[bool]) -> list[bool]:
             out.append(label)
         elif b is None and a is None:
             out.append(True)
+        elif lean:
+            out.append(b is None or a is None or bool(labels[a] or labels[b]))
         elif b is None or a is None:
             out.append(bool(labels[a if b is None else b]))
         elif labels[a] == labels[b]:
@@ -234,19 +328,25 @@ def spread(labels: list[bool | None], heads: list[bool]) -> list[bool]:
     return out
 
 
+def label_blocks(blocks: list[Block]) -> list[bool]:
+    """Both passes: whether each block is main text.
+
+    Furniture says nothing about its neighbours. Blocks of an article look at each other first, so that a menu beside
+    it takes none of its short paragraphs; then what is beside it looks at all.
+    """
+    labels = [decide(b) for b in blocks]
+    heads = [b.heading for b in blocks]
+    for at, lean in (([i for i, b in enumerate(blocks) if b.inside and not b.furniture], True), ([i for i, b in enumerate(blocks) if not b.furniture], False)):
+        found = spread([labels[i] for i in at], [heads[i] for i in at], lean)
+        for i, good in zip(at, found):
+            labels[i] = good
+    return [label is True for label in labels]
+
+
 def main_text(page: str | None) -> str:
     """The main text of an html page, one line per block; empty for a null or blank page."""
     blocks = blocks_of(page or "")
-    labels = [decide(b) for b in blocks]
-    if not any(label or label is None for label in labels):
-        return ""
-    # Where a page marks its article, text outside it is furniture unless it is decided otherwise.
-    if any(b.inside for b in blocks):
-        labels = [label if b.inside or label is False else False for b, label in zip(blocks, labels)]
-    # What stands in page furniture says nothing about its neighbours.
-    held = [(b, label) for b, label in zip(blocks, labels) if b.inside is not False]
-    keep = spread([label for _, label in held], [b.heading for b, _ in held])
-    return "\n".join(b.text for (b, _), k in zip(held, keep) if k)
+    return "\n".join(b.text for b, good in zip(blocks, label_blocks(blocks)) if good)
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -259,6 +359,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``; other columns are not carried.
 
     A null html is an empty page. Nothing is cut or capped; rows that repeat a page_id come back as often.
+    An attribute that lacks its closing quote ends with its tag, an element that is never closed counts for
+    little unless it is a footer or sidebar, and time grows with a page's length however deep its elements nest.
     """
     return pages.select("page_id", "url", F.col("html")).mapInPandas(
         _extract, "page_id long, url string, text string, n_chars long"

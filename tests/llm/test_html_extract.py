@@ -1,5 +1,14 @@
 from __future__ import annotations
 
+import re
+import time
+from collections import Counter
+from html.parser import HTMLParser
+
+import pytest
+
+from boxloom.llm import entry
+from boxloom.llm import html_extract as h
 from boxloom.llm.html_extract import decide, extract_pages, blocks_of, main_text, spread
 
 PROSE = "The cat is on the mat and it was there for the whole of the day, as it is in all of the stories that we have of it in this land and by the sea."
@@ -69,3 +78,147 @@ def test_an_article_in_a_marked_wrapper_counts_again():
 def test_a_long_block_that_counts_to_c_stays():
     assert main_text(f"<p>{PROSE} It is (a) one, (b) two and (c) three.</p>") == f"{PROSE} It is (a) one, (b) two and (c) three."
     assert main_text(f"<p>{PROSE}</p><p>(c) 2024 by the owner of all of it</p>") == PROSE
+
+
+class Plain(HTMLParser):
+    """Blocks of a page by the standard library's parser: (text, unlinked text, linked characters, elements around)."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.around, self.blocks, self.now = [], [], [[], [], []]
+        self.feed(page)
+        self.close()
+        self.cut()
+
+    def cut(self):
+        text, free, links = (" ".join("".join(x).split()) for x in self.now)
+        if text:
+            self.blocks.append((text, free, sum(len(x.strip()) for x in self.now[2]), list(self.around)))
+        self.now = [[], [], []]
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.now[0].append(" ")
+            self.now[1].append(" ")
+        elif tag in ("meta", "a", "b"):
+            self.around += [(tag, None)] if tag == "a" else []
+        else:
+            self.cut()
+            if tag in ("p", "li", "h1") and self.around and self.around[-1][0] in (("p", "li") if tag == "li" else ("p",)):
+                self.around.pop()
+            self.around.append((tag, dict(attrs).get("class")))
+
+    def handle_endtag(self, tag):
+        if tag == "b":
+            return
+        if tag != "a":
+            self.cut()
+        if tag in [t for t, _ in self.around]:
+            while self.around.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        tags = {t for t, _ in self.around}
+        if not tags & {"script", "style", "title"}:
+            self.now[0].append(data)
+            self.now[2 if "a" in tags else 1].append(data)
+
+
+def plain_text(page):
+    """Both passes over the blocks of ``Plain``, with every neighbour looked at, and how each block was decided."""
+    blocks = Plain(page).blocks
+    article = any("article" in dict(around) for *_, around in blocks)
+    rows = []
+    for text, free, linked, around in blocks:
+        names = dict(around)
+        inside = "article" in names
+        furniture = "nav" in names or "footer" in names or "ad" in names.values() or "sidebar" in names.values()
+        total = -5.5 if "nav" in names or "footer" in names or "ad" in names.values() else -3.0 if furniture else 0.75 if inside else -1.0 if article else 0.0
+        words = re.findall(r"[^\W\d_]+", free.lower())
+        share = sum(w in h.STOP_WORDS for w in words) / max(1, len(words))
+        if len(free) >= 140:
+            total += -1.0 if share < 0.12 else 0.0 if share < 0.25 else 2.0 if len(free) < 600 else 4.0
+        elif len(free) >= 40 and share >= 0.25:
+            total += 0.5
+        near = [t for t, _ in around if t != "a"][-3:]
+        total += 0.5 if "h1" in near else 0.0
+        total += 0.0 if linked <= 0.6 * len(text) else -2.0 if "li" in near else -1.5
+        total += -1.5 if len(text) < 140 and ("©" in text or "(c)" in text.lower()) else 0.0
+        rows.append({"text": text, "inside": inside, "furniture": furniture, "head": "h1" in near, "label": True if total >= 1 else False if total <= -1 else None})
+    ways = Counter()
+    for part, lean in ([r for r in rows if r["inside"]], True), (rows, False):
+        part = [r for r in part if not r["furniture"]]
+        decided = [(i, r["label"]) for i, r in enumerate(part) if r["label"] is not None]
+        for i, r in enumerate(part):
+            if r["label"] is not None:
+                ways["first pass"] += not r.get("by")
+                continue
+            before = [d for d in decided if d[0] < i][-1:]
+            after = [d for d in decided if d[0] > i][:1]
+            sides = [good for _, good in before + after]
+            if len(sides) < 2 or sides[0] == sides[1]:
+                good = sides[0] if sides and not lean else all(sides) if not lean else len(sides) < 2 or sides[0]
+            elif lean:
+                good = True
+            elif r["head"]:
+                good = after[0][1]
+            else:
+                good = after[0][1] if after[0][0] - i < i - before[0][0] else before[0][1] if i - before[0][0] < after[0][0] - i else False
+            r["new"], r["by"] = good, True
+            ways["neighbours" if sides else "alone"] += 1
+        for r in part:
+            r["label"] = r.pop("new", r["label"])
+    return "\n".join(r["text"] for r in rows if r["label"] and not r["furniture"]), ways
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_whole_query_equals_a_plain_two_pass_version(spark, sf):
+    got = entry.op3_html_extract(spark, f"/root/testdata/{sf}").collect()
+    want, ways = {}, Counter()
+    for r in spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").collect():
+        text, how = plain_text(r.html or "")
+        want[r.page_id] = (r.url, text, len(text))
+        ways += how
+    assert {r.page_id: (r.url, r.text, r.n_chars) for r in got} == want and len(got) == len(want)
+    assert ways["first pass"] > 0 and ways["neighbours"] > 0
+
+
+def test_pages_without_an_article_equal_a_plain_two_pass_version(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect() if r.html]
+    ways, kept = Counter(), 0
+    for k, page in enumerate(pages):
+        bare = page.replace("<article", "<div").replace("</article", "</div")
+        for p in (bare, page.replace("<article>", f"<p>{PROSE}</p><ul><li><a href=x>one more link here</a><li><a>two</a></ul><p>Short.</p><article>"), bare.replace("<p>", f"<div class=sidebar><p>{PROSE}</div><p>", 1)):
+            text, how = plain_text(p)
+            assert main_text(p) == text, k
+            ways += how
+        kept += main_text(bare) == main_text(page)
+    assert ways["first pass"] > 0 and ways["neighbours"] > 0
+    assert kept > 0.85 * len(pages)
+
+
+def test_prose_beside_an_article_stays_and_short_text_there_goes():
+    page = f"<p>{PROSE}</p><p>By me</p><h1>Head</h1><article><p>Short.</p></article><p>{PROSE} So.</p><div>Terms of it</div>"
+    assert main_text(page) == f"{PROSE}\nHead\nShort.\n{PROSE} So."
+
+
+def test_tags_and_names_shift_a_score_but_do_not_decide():
+    assert main_text(f'<article><p class="side by">{PROSE}</p><div class="entry-header"><h1>Title</h1></div><p>{PROSE}</p></article>') == f"{PROSE}\nTitle\n{PROSE}"
+    assert main_text(f'<div class="form"><p>{PROSE * 5}</p></div>') == PROSE * 5
+    assert main_text(f"<article><p>See <a>{'the long title of it ' * 4}</a>, which is on the table of all that there is.</p><p>{PROSE}</p></article>").startswith("See the long")
+    assert main_text(f"<article><p>{PROSE}</p><ul><li><a>Next one</a></li></ul><p>End.</p></article>") == f"{PROSE}\nEnd."
+
+
+def test_open_elements_and_lost_quotes():
+    assert main_text(f"<nav><ul><li><a>one</a></ul><article><p>Short.</p><p>{PROSE}</p></article>") == f"Short.\n{PROSE}"
+    assert main_text(f"<article><p>{PROSE}</p></article><footer>All rights<p>{PROSE}") == PROSE
+    assert main_text('<p class="x>one</p><p class="y">two</p>\n<p class="z>three') == "one\ntwo\nthree"
+    assert main_text("<p title='a<b>c'>one</p><p title='x>two</p><p>it's three</p><p class='fo") == "one\ntwo\nit's three"
+
+
+def test_time_grows_with_length_however_deep_elements_nest():
+    began = time.perf_counter()
+    assert main_text("<div>" * 50_000 + PROSE + "</div>" * 50_000) == PROSE
+    for noise in ("<a ", '<p class="', "<!", "</p", "<p title='a<b'", "<svg", "<!--"):
+        main_text(noise * 100_000)
+    assert time.perf_counter() - began < 20
