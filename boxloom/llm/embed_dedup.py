@@ -1,19 +1,21 @@
 """Embedding near-dedup with randomised-rotation binary codes.
 
-Unit vectors are rotated at random and kept as sign codes with a correction factor, the inner product of
-vector and code. The inner product of a code with another rotated vector, divided by that factor, is an
-unbiased estimate of the cosine, and its error is bounded with a stated confidence: pairs whose upper
-bound is under the threshold are left, all others are recomputed exactly in double precision.
-
-Which pairs are looked at is decided by bands of sign bits from further rotations: a pair is compared
-where it agrees on all bits of some band. Equal vectors are one class; crowded buckets are cut into blocks
-that meet pairwise, so that no task holds more than two blocks.
+Unit vectors are rotated at random and kept as packed sign bits with a correction factor, the inner product of
+vector and code. Codes and factors are stored once. Bands of code bits decide which codes meet; what meets is
+compared by XOR and popcount, whose share of differing bits is an unbiased estimate of the angle. Only of pairs
+whose confidence bound reaches the threshold are the vectors fetched. With these the inner product of a code and
+the other rotated vector, divided by the stored factor, is an unbiased estimate of the cosine with a narrower
+bound, and pairs that it leaves open are recomputed exactly in double precision.
+
+Equal vectors are one class; crowded buckets are cut into blocks that meet pairwise, so that no task holds more
+than two blocks. What is shuffled for each band is a code, not a vector.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,11 +28,13 @@ from boxloom.sources.durable import durable
 THRESHOLD = 0.95
 #: Chance that a linked pair right at the threshold agrees on no band.
 MISS = 0.003
+#: Bits of a code at least; vectors of fewer dimensions are rotated several times.
+WIDTH = 192
 #: Classes aimed at in a bucket, and the most that a block of a crowded bucket holds.
-BUCKET, BLOCK = 8, 1024
+BUCKET, BLOCK = 128, 1024
 #: Classes aimed at in a group of uncrowded buckets.
 SHARD = 4096
-#: Standard errors of the estimate that a bound allows.
+#: Standard errors of the estimates that a bound allows.
 ERRORS = 4.0
 SEED = 20
 
@@ -41,11 +45,51 @@ def rotations(dim: int, count: int, seed: int = SEED) -> np.ndarray:
     return np.concatenate([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(count)], axis=1)
 
 
+@lru_cache(maxsize=8)
+def turn_of(dim: int) -> np.ndarray:
+    """The rotations of vectors of ``dim`` that give a code of WIDTH bits or more; unit vectors stay unit vectors."""
+    count = -(-WIDTH // dim)
+    return rotations(dim, count) / math.sqrt(count)
+
+
 def plan_bands(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
-    """(bits of a band, bands) for ``n`` vectors: buckets of about BUCKET, and MISS at the threshold."""
+    """(bits of a band, bands) for ``n`` vectors: buckets of about BUCKET, and ``miss`` at the threshold.
+
+    A band is a sample of the code's bits, so the chance is taken over how many of these differ.
+    """
     bits = int(min(30, max(6, round(math.log2(max(n, 1) / BUCKET)))))
-    agree = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, math.ceil(math.log(miss) / math.log1p(-agree))
+    p = math.acos(threshold) / math.pi
+    share = [math.comb(WIDTH, h) * p**h * (1 - p) ** (WIDTH - h) for h in range(WIDTH + 1)]
+    agree = [math.comb(WIDTH - h, bits) / math.comb(WIDTH, bits) for h in range(WIDTH + 1)]
+    bands = 1
+    while sum(w * (1 - a) ** bands for w, a in zip(share, agree)) > miss:
+        bands += 1 + bands // 32
+    return bits, bands
+
+
+@lru_cache(maxsize=8)
+def band_bits(width: int, bits: int, bands: int) -> np.ndarray:
+    """(bands, bits) places of the code's bits that make up each band."""
+    rng = np.random.default_rng(SEED + 1)
+    return np.stack([rng.permutation(width)[:bits] for _ in range(bands)])
+
+
+def words_of(bits: np.ndarray) -> np.ndarray:
+    """Rows of booleans as rows of 64-bit words, the last padded with zeros."""
+    return np.packbits(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64))), axis=1).view(np.uint64)
+
+
+def signs_of(words: np.ndarray, width: int) -> np.ndarray:
+    """Codes of +-1/sqrt(width) from rows of words."""
+    return (np.unpackbits(words.view(np.uint8), axis=1)[:, :width] * 2.0 - 1.0) / math.sqrt(width)
+
+
+@lru_cache(maxsize=8)
+def band_masks(width: int, bits: int, bands: int) -> np.ndarray:
+    """(bands, words): the bits of each band, as in a code."""
+    on = np.zeros((bands, width), bool)
+    on[np.arange(bands)[:, None], band_bits(width, bits, bands)] = True
+    return words_of(on)
 
 
 def usable(embedding: str = "embedding"):
@@ -55,23 +99,22 @@ def usable(embedding: str = "embedding"):
     return F.coalesce(v.isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def band_rows(classes: DataFrame, dim: int, bits: int, bands: int) -> DataFrame:
-    """(rep, n, embedding, bands, band, bucket): each class once for each band."""
-    turns = -(-bits * bands // dim)
+def coded(classes: DataFrame, bits: int, bands: int) -> DataFrame:
+    """``classes`` (rep, n, embedding) with code (packed bits), factor and buckets, one of each band."""
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        turn = rotations(dim, turns, SEED + 1)[:, : bits * bands]
-        weight = 1 << np.arange(bits, dtype=np.int32)
+        weight = 1 << np.arange(bits, dtype=np.int64)
         for b in batches:
-            if len(b):
-                sign = (_unit(b["embedding"])[1] @ turn > 0).reshape(len(b), bands, bits)
-                b["bands"] = list((sign @ weight).astype(np.int32))
-                yield b
+            for dim, rows in b.groupby(b["embedding"].map(len)):
+                turn = turn_of(dim)
+                rotated, signs, factor = sign_codes(_unit(rows["embedding"])[1], turn)
+                on = signs > 0
+                words = words_of(on)
+                buckets = on[:, band_bits(turn.shape[1], bits, bands)] @ weight
+                yield rows.assign(code=[w.tobytes() for w in words], factor=factor, buckets=list(buckets.astype(np.int32)))
 
     kind = classes.schema["embedding"].dataType.simpleString()
-    return classes.mapInPandas(code, f"rep long, n long, embedding {kind}, bands array<int>").select(
-        "rep", "n", "embedding", "bands", F.posexplode("bands").alias("band", "bucket")
-    )
+    return classes.mapInPandas(code, f"rep long, n long, embedding {kind}, code binary, factor double, buckets array<int>")
 
 
 def _unit(embedding: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -83,21 +126,27 @@ def _unit(embedding: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sign_codes(unit: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rotated, code, factor): rotated vectors, their codes of +-1/sqrt(dim), and the product of both."""
+    """(rotated, code, factor): rotated vectors, their codes of +-1/sqrt(width), and the product of both."""
     rotated = unit @ turn
-    code = np.where(rotated >= 0, 1.0, -1.0) / math.sqrt(unit.shape[1])
+    code = np.where(rotated >= 0, 1.0, -1.0) / math.sqrt(turn.shape[1])
     return rotated, code, np.einsum("ij,ij->i", rotated, code)
 
 
 def may_link(code: np.ndarray, factor: np.ndarray, other: np.ndarray, threshold: float, errors: float = ERRORS) -> np.ndarray:
     """Where the upper bound of the estimated cosine of coded and rotated vectors reaches ``threshold``.
 
-    ``code`` and ``other`` are matched row by row. The estimate's standard error is at most
-    sqrt((1 - factor ** 2) / (dim - 1)) / factor.
+    ``code`` and ``other`` are matched row by row. Of a pair with cosine ``threshold`` or more the estimate's standard
+    error is at most sqrt((1 - threshold ** 2) * (1 - factor ** 2) / (width - 1)) / factor.
     """
     guess = np.einsum("ij,ij->i", code, other) / factor
-    error = np.sqrt(np.maximum(0, 1 - factor**2) / max(1, code.shape[1] - 1)) / factor
-    return guess + errors * error >= threshold
+    error = np.sqrt(np.maximum(0, 1 - factor**2) * max(0.0, 1 - threshold**2) / max(1, code.shape[1] - 1)) / factor
+    return guess + errors * error >= threshold - 1e-9
+
+
+def most_differing(width: int, threshold: float, errors: float = ERRORS) -> float:
+    """Differing bits of ``width`` that a pair at the threshold has at most, within ``errors`` standard errors."""
+    p = math.acos(threshold) / math.pi
+    return width * p + errors * math.sqrt(width * p * (1 - p))
 
 
 def pairs_in_runs(start: np.ndarray, end: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -118,32 +167,68 @@ def pairs_across(left: np.ndarray, right: np.ndarray, most: int) -> Iterator[tup
         yield np.repeat(part, len(right)), np.tile(right, len(part))
 
 
-def compare_group(key: tuple, rows: pd.DataFrame, dim: int, threshold: float, most: int = 1 << 17) -> pd.DataFrame:
-    """Links found in a group of buckets or in a pair of blocks: (rep, links, root).
+def _meetings(rows: pd.DataFrame, first: int, second: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions of ``rows`` (sorted by bucket) that meet: in one bucket, or of two blocks of it."""
+    if first == second:
+        bucket = rows["bucket"].to_numpy()
+        start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        return pairs_in_runs(start, np.r_[start[1:], len(bucket)], most)
+    block = rows["block"].to_numpy()
+    return pairs_across(np.flatnonzero(block == first), np.flatnonzero(block == second), most)
+
+
+def _open_pairs(words: np.ndarray, pairs: Iterator, dim: int, band: int, bits: int, bands: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Those of ``pairs`` that may link by their codes and agree on no earlier band, to which they are left."""
+    width = turn_of(dim).shape[1]
+    most, masks = most_differing(width, threshold), band_masks(width, bits, bands)[:band]
+    for i, j in pairs:
+        differ = words[i] ^ words[j]
+        near = np.bitwise_count(differ).sum(axis=1) <= most
+        i, j, differ = i[near], j[near], differ[near]
+        for mask in masks:
+            fresh = (differ & mask).any(axis=1)
+            if not fresh.all():
+                i, j, differ = i[fresh], j[fresh], differ[fresh]
+        if len(i):
+            yield i, j
+
+
+def _sorted(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    rows = rows.sort_values(["bucket", "block", "rep"], kind="stable")
+    return rows, np.frombuffer(b"".join(rows["code"]), np.uint64).reshape(len(rows), -1)
+
+
+KEY = ("dim", "band", "part", "first", "second")
+KEY_SCHEMA = ", ".join(f"{k} int" for k in KEY)
+
+
+def candidates(key: tuple, rows: pd.DataFrame, bits: int, bands: int, threshold: float, most: int = 1 << 17) -> pd.DataFrame:
+    """(KEY, bucket, block, rep) of the classes in a group of buckets, or pair of blocks, that may link there."""
+    dim, band, _, first, second = (int(x) for x in key)
+    rows, words = _sorted(rows)
+    some = np.zeros(len(rows), bool)
+    for i, j in _open_pairs(words, _meetings(rows, first, second, most), dim, band, bits, bands, threshold):
+        some[i] = some[j] = True
+    return rows.loc[some, [*KEY, "bucket", "block", "rep"]]
 
-    ``links`` counts the vectors of linked classes found here, ``root`` is a class reachable by them. A pair
-    that agrees on an earlier band is left to it.
+
+def compare_group(key: tuple, rows: pd.DataFrame, bits: int, bands: int, threshold: float, most: int = 1 << 17) -> pd.DataFrame:
+    """Links found among the candidates of a group: (rep, links, root).
+
+    ``links`` counts the vectors of linked classes found here, ``root`` is a class reachable by them.
     """
-    band, _, _, first, second = (int(x) for x in key)
-    rows = rows.sort_values(["bucket", "block", "rep"], kind="stable")
+    dim, band, _, first, second = (int(x) for x in key)
+    rows, words = _sorted(rows)
     x, unit = _unit(rows["embedding"])
     length = np.linalg.norm(x, axis=1)
-    codes = np.stack(rows["bands"].to_numpy())[:, :band]
-    rep, n, block = rows["rep"].to_numpy(), rows["n"].to_numpy(), rows["block"].to_numpy()
-    if first == second:
-        bucket = rows["bucket"].to_numpy()
-        start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        pairs = pairs_in_runs(start, np.r_[start[1:], len(bucket)], most)
-    else:
-        pairs = pairs_across(np.flatnonzero(block == first), np.flatnonzero(block == second), most)
-    rotated, code, factor = sign_codes(unit, rotations(dim, 1))
+    rotated, factor = unit @ turn_of(dim), rows["factor"].to_numpy()
+    codes = signs_of(words, rotated.shape[1])
+    rep, n = rows["rep"].to_numpy(), rows["n"].to_numpy()
     links, label = np.zeros(len(rep), np.int64), np.arange(len(rep))
-    for i, j in pairs:
-        near = may_link(code[i], factor[i], rotated[j], threshold)
+    for i, j in _open_pairs(words, _meetings(rows, first, second, most), dim, band, bits, bands, threshold):
+        near = may_link(codes[i], factor[i], rotated[j], threshold)
         i, j = i[near], j[near]
         hit = np.einsum("ij,ij->i", x[i], x[j]) / (length[i] * length[j]) >= threshold
-        if band:
-            hit &= ~(codes[i] == codes[j]).any(axis=1)
         i, j = i[hit], j[hit]
         np.add.at(links, i, n[j])
         np.add.at(links, j, n[i])
@@ -159,34 +244,36 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     no links and their own id as component. Rows that repeat a vec_id count as vectors of their own.
     Vectors of different lengths never link. vec_id must not be null in more than one row to be told apart.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    good = rows.where(usable())
+    # 128 bits stand for a vector where rows meet their class, so that vectors are shuffled once.
+    keys = [F.when(usable(), F.xxhash64("embedding")).alias("k1"), F.when(usable(), F.xxhash64(F.lit(7), "embedding")).alias("k2")]
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", *keys)
+    classes = (
+        rows.where("k1 is not null")
+        .groupBy("k1", "k2")
+        .agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.any_value("embedding").alias("embedding"))
+        .where("id is not null")
+    )
     # Classes are numbered, since those of one least vec_id are still two.
-    classes = good.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).where("id is not null")
     classes = durable(classes.withColumn("rep", F.monotonically_increasing_id()))
-    found = None
-    for dim in sorted(r[0] for r in classes.select(F.size("embedding")).distinct().collect()):
-        own = classes.where(F.size("embedding") == dim)
-        part = _links_of(own, dim, threshold)
-        found = part if found is None else found.union(part)
-    if found is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = durable(found)
+    n = classes.count()
+    found = durable(_links_of(classes, n, *plan_bands(n, threshold), threshold))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     component = connected_components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
-    linked = classes.join(component, F.col("rep") == F.col("node")).select("node", "component", "id")
+    named = classes.select("rep", "id", "n", "k1", "k2")
+    linked = named.join(component, F.col("rep") == F.col("node")).select("node", "component", "id")
     least = linked.groupBy("component").agg(F.min("id").alias("least"))
     component = linked.join(least, "component").select("node", "least")
     known = (
-        classes.join(links.withColumnRenamed("rep", "l_rep"), F.col("rep") == F.col("l_rep"), "left")
+        named.join(links.withColumnRenamed("rep", "l_rep"), F.col("rep") == F.col("l_rep"), "left")
         .join(component, F.col("rep") == F.col("node"), "left")
         .select(
-            F.col("embedding").alias("known"),
+            F.col("k1").alias("c1"),
+            F.col("k2").alias("c2"),
             (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
             F.coalesce("least", "id").alias("component_id"),
         )
     )
-    return rows.join(known, usable() & (F.col("embedding") == F.col("known")), "left").select(
+    return rows.select("vec_id", "k1", "k2").join(known, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"),
@@ -194,31 +281,34 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     )
 
 
-def _links_of(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
-    bits, bands = plan_bands(classes.count(), threshold)
-    coded = band_rows(classes.select("rep", "n", "embedding"), dim, bits, bands)
+def _links_of(classes: DataFrame, n: int, bits: int, bands: int, threshold: float) -> DataFrame:
+    """(rep, links, root) found anywhere among ``n`` classes."""
+    codes = durable(coded(classes.select("rep", "n", "embedding"), bits, bands))
+    small = codes.select("rep", "code", F.size("embedding").alias("dim"), F.posexplode("buckets").alias("band", "bucket"))
+    places = ("dim", "band", "bucket")
     crowded = (
-        coded.groupBy("band", "bucket").count().where(F.col("count") > BLOCK)
-        .select(F.col("band").alias("c_band"), F.col("bucket").alias("c_bucket"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+        small.groupBy(*places).count().where(F.col("count") > BLOCK)
+        .select(*[F.col(c).alias(f"c_{c}") for c in places], F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     )
-    shards = max(1, classes.count() // SHARD)
+    shards = max(1, n // SHARD)
     alone = F.col("blocks") == 1
     blocked = (
-        coded.join(crowded, (F.col("band") == F.col("c_band")) & (F.col("bucket") == F.col("c_bucket")), "left")
+        small.join(crowded, [F.col(c) == F.col(f"c_{c}") for c in places], "left")
         .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mate"))
         .select(
-            "rep", "n", "embedding", "bands", "band", "bucket", "block",
-            alone.cast("int").alias("shared"),
-            F.when(alone, F.pmod(F.xxhash64("bucket"), F.lit(shards)).cast("int")).otherwise(F.col("bucket")).alias("part"),
-            F.least("block", "mate").alias("first"),
-            F.greatest("block", "mate").alias("second"),
+            "dim", "band",
+            F.when(alone, F.pmod(F.xxhash64("bucket"), F.lit(shards)).cast("int")).otherwise(-1 - F.col("bucket")).alias("part"),
+            F.least("block", "mate").alias("first"), F.greatest("block", "mate").alias("second"),
+            "bucket", "block", "rep", "code",
         )
     )
-    return blocked.groupBy("band", "shared", "part", "first", "second").applyInPandas(
-        lambda key, rows: compare_group(key, rows, dim, threshold), "rep long, links long, root long"
+    may = durable(
+        blocked.groupBy(*KEY).applyInPandas(lambda key, rows: candidates(key, rows, bits, bands, threshold), f"{KEY_SCHEMA}, bucket int, block int, rep long")
     )
+    held = may.join(codes.select(F.col("rep").alias("c_rep"), "n", "embedding", "code", "factor"), F.col("rep") == F.col("c_rep")).drop("c_rep")
+    return held.groupBy(*KEY).applyInPandas(lambda key, rows: compare_group(key, rows, bits, bands, threshold), "rep long, links long, root long")
 
 
 ORACLE = """

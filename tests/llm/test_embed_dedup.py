@@ -116,7 +116,35 @@ def test_nothing_to_link(spark, rows):
 def test_bands_follow_the_number_of_vectors():
     assert e.plan_bands(0)[0] == 6
     bits, bands = e.plan_bands(10**6)
-    assert 16 <= bits <= 18 and 1 - (1 - 0.8989**bits) ** bands > 0.996
+    assert e.BUCKET / 2 <= 10**6 / 2**bits <= e.BUCKET * 2
+    rng, p = np.random.default_rng(5), np.arccos(0.95) / np.pi
+    differ = rng.random((2000, e.WIDTH)) < p
+    missed = differ[:, e.band_bits(e.WIDTH, bits, bands)].any(axis=2).all(axis=1)
+    assert missed.mean() < 0.01
+
+
+def test_codes_are_packed_and_their_distance_estimates_the_angle():
+    rng = np.random.default_rng(6)
+    a = rng.standard_normal((4000, 64))
+    b = 2.5 * a + rng.standard_normal((4000, 64))
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
+    turn = e.turn_of(64)
+    (_, code, factor), (_, other, _) = e.sign_codes(a, turn), e.sign_codes(b, turn)
+    words = e.words_of(code > 0)
+    assert words.shape == (4000, 3) and np.array_equal(e.signs_of(words, 192), code)
+    differ = np.bitwise_count(words ^ e.words_of(other > 0)).sum(axis=1)
+    angle = np.arccos(np.einsum("ij,ij->i", a, b))
+    assert abs((differ / 192 * np.pi - angle).mean()) < 0.01
+    at = np.array([e.most_differing(192, np.cos(x)) for x in angle])
+    assert (differ <= at).mean() > 0.999
+    near = e.may_link(code, factor, b @ turn, 0.95)
+    assert near[np.cos(angle) >= 0.95].mean() > 0.999 and not near[np.cos(angle) < 0.7].any()
+
+
+def test_vectors_of_several_lengths_share_one_plan(spark):
+    rows = [v for k, dim in enumerate((1, 2, 3, 7, 200)) for v in vectors(10 + k, [1] * 5 + [3, 4], 0.05, dim)]
+    ids = list(range(len(rows)))
+    assert run(spark, ids, rows) == brute(ids, rows)
 
 
 def test_vectors_of_one_id_are_vectors_of_their_own(spark):
