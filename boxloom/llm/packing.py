@@ -1,9 +1,10 @@
 """Best-fit packing into several sequence lengths.
 
 Texts are cut into pieces of at most the longest permitted length. Pieces are dealt by hash into groups of
-bounded size, and each group is packed by itself: pieces in descending order go to the open bin with the
-least room that takes them; where none does, the bin size of least cost per expected content is opened.
-At the end every bin shrinks to the least permitted length that holds its contents.
+bounded size, copies of one piece evenly over all of them, and each group is packed by itself: pieces in
+descending order go to the open bin with the least room that takes them; where none does, the bin size of least
+cost per expected content is opened. At the end every bin shrinks to the least permitted length that holds its
+contents.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from boxloom.sources.durable import durable
 CAPACITIES = (2048, 4096, 8192, 16384)
 #: What a sequence costs besides its length, in tokens: longer sequences are cheaper by token.
 BIN_COST = 64
-#: Pieces aimed at in a group.
-GROUP = 8192
+#: Pieces aimed at in a group, and copies of a full piece that one row stands for until they are written out.
+GROUP, COPIES = 8192, 4096
 
 
 def byte_tokens(text: Column) -> Column:
@@ -93,28 +94,39 @@ def pack(docs: DataFrame, tokens: Column | None = None, capacities: tuple[int, .
     or empty text is its end mark alone. Rows that repeat are packed each; a null doc_id stays null.
     """
     capacities = tuple(sorted(capacities))
-    parts = durable(pieces_of(docs, byte_tokens(F.coalesce("text", F.lit(""))) if tokens is None else tokens, capacities))
+    pieces = pieces_of(docs, byte_tokens(F.coalesce("text", F.lit(""))) if tokens is None else tokens, capacities)
+    # Rows that repeat are alike in all that counts here, so that one row and their number stand for them.
+    parts = durable(pieces.groupBy("doc_id", "row_key", "piece", "start", "n_tokens").agg(F.count("*").alias("copies")))
     full = F.col("n_tokens") == capacities[-1]
-    groups = max(1, -(-parts.where(~full).count() // group))
+    groups = max(1, -(-(parts.where(~full).agg(F.sum("copies")).first()[0] or 0) // group))
+    k = F.explode(F.sequence(F.lit(0), (F.least("copies", F.lit(groups)) - 1).cast("int"))).alias("k")
     loose = (
         parts.where(~full)
-        .withColumn("grp", F.pmod(F.xxhash64("row_key", "piece"), F.lit(groups)).cast("int"))
+        .select("*", k)
+        .withColumn("grp", F.pmod(F.pmod(F.xxhash64("row_key", "piece"), F.lit(groups)) + F.col("k"), F.lit(groups)).cast("int"))
+        .withColumn("copies", F.floor(F.col("copies") / groups) + (F.col("k") < F.col("copies") % groups).cast("int"))
+        .drop("k")
         .groupBy("grp")
         .applyInPandas(
             lambda rows: _pack_group(rows, capacities),
             "doc_id long, piece int, start long, n_tokens long, bin_id string, bin_offset long, bin_tokens long, bin_capacity long",
         )
     )
-    alone = parts.where(full).select(
+    some = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))).alias("from")
+    each = F.explode(F.sequence("from", F.least("copies", F.col("from") + COPIES) - 1)).alias("copy")
+    alone = (
+        parts.where(full).select("*", some).repartition("row_key", "piece", "from").select("doc_id", "row_key", "piece", "start", "n_tokens", each)
+    ).select(
         "doc_id", "piece", "start", "n_tokens",
-        F.concat_ws("-", F.lit("full"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex("row_key"), "piece").alias("bin_id"),
+        F.concat_ws("-", F.lit("full"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex("row_key"), "piece", "copy").alias("bin_id"),
         F.lit(0).cast("long").alias("bin_offset"), F.col("n_tokens").alias("bin_tokens"), F.col("n_tokens").alias("bin_capacity"),
     )
     return loose.union(alone)
 
 
 def _pack_group(rows: pd.DataFrame, capacities: tuple[int, ...]) -> pd.DataFrame:
-    rows = rows.sort_values(["row_key", "doc_id", "piece"], kind="stable")
+    rows = rows.sort_values(["row_key", "doc_id", "piece"], kind="stable").reset_index(drop=True)
+    rows = rows.loc[rows.index.repeat(rows["copies"])]
     bins, offset, capacity = best_fit(rows["n_tokens"].to_numpy(), capacities)
     total = np.bincount(bins, weights=rows["n_tokens"]).astype(np.int64)
     names = np.char.add(f"{rows['grp'].iloc[0]}-", bins.astype(str))

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from boxloom.llm import packing
+from boxloom.llm import entry, packing
+from tests.oracle import SF_DIR
 
 
 @settings(max_examples=200, deadline=None)
@@ -68,3 +69,58 @@ def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     with pytest.raises(IndexError):
         packing.best_fit(np.array([100]), (64,), 0)
+
+
+def plain_best_fit(sizes, capacities, bin_cost):
+    """Every open bin looked at for every piece: (contents, capacity) of each bin."""
+    left, bins = sorted(sizes, reverse=True), []
+    for at, size in enumerate(left):
+        fitting = [b for b in bins if b[0] - sum(b[1]) >= size]
+        if fitting:
+            min(fitting, key=lambda b: b[0] - sum(b[1]))[1].append(size)
+            continue
+        later = left[at + 1 :]
+        cost = {}
+        for cap in capacities:
+            if cap >= size:
+                filled = min(cap, size + sum(later)) if min(sizes) <= cap - size else size
+                cost[cap] = (cap + bin_cost) / filled
+        bins.append([min(cost, key=lambda c: (cost[c], c)), [size]])
+    return sorted((sorted(held), min(c for c in capacities if c >= sum(held))) for _, held in bins)
+
+
+def bins_of(sizes, bins, capacity):
+    held = {}
+    for size, b, cap in zip(sizes, bins, capacity):
+        held.setdefault(b, ([], cap))[0].append(int(size))
+    return sorted((sorted(x), int(cap)) for x, cap in held.values())
+
+
+def test_best_fit_equals_a_plain_version():
+    rng = np.random.default_rng(1)
+    for k in range(60):
+        sizes = rng.integers(1, 2 + k, rng.integers(1, 90))
+        bins, _, capacity = packing.best_fit(sizes, (16, 32, 64), k % 5)
+        assert bins_of(sizes, bins, capacity) == plain_best_fit(sizes.tolist(), (16, 32, 64), k % 5)
+
+
+def test_whole_query_equals_a_plain_version_by_group(spark):
+    out = entry.op5_packing(spark, SF_DIR).toPandas()
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").toPandas()
+    want = {r.doc_id: len((r.text or "").encode()) + 1 for r in docs.itertuples()}
+    assert out.groupby("doc_id").n_tokens.sum().to_dict() == want
+    for name, rows in out.groupby(out.bin_id.str.split("-").str[0]):
+        got = bins_of(rows.n_tokens, rows.bin_id, rows.bin_capacity)
+        if name == "full":
+            assert got == [([packing.CAPACITIES[-1]], packing.CAPACITIES[-1])] * len(rows)
+        else:
+            assert got == plain_best_fit(rows.n_tokens.tolist(), packing.CAPACITIES, packing.BIN_COST)
+
+
+def test_copies_of_one_row_are_dealt_over_all_groups(spark):
+    docs = spark.range(40_000).selectExpr("7L as doc_id", "repeat('x', 99) as text")
+    out = packing.pack(docs).toPandas()
+    groups = out.bin_id.str.split("-").str[0].value_counts()
+    assert len(out) == 40_000 and len(groups) == 5 and groups.max() <= packing.GROUP
+    long = packing.pack(spark.range(5000).selectExpr("7L as doc_id", "repeat('x', 16383) as text")).toPandas()
+    assert len(long) == 5000 and long.bin_id.nunique() == 5000
