@@ -75,30 +75,32 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool = True
     doc_id keep all their lines.
     """
     boiler = durable(spread(docs, min_sites))
+    text_key = F.xxhash64("text")
     drops = (
-        docs.select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
+        docs.select("doc_id", text_key.alias("text_key"), F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
         .withColumn("line", F.trim("line"))
         .where("line <> ''")
-        .select("doc_id", "pos", *_keys(F.col("line")))
+        .select("doc_id", "text_key", "pos", *_keys(F.col("line")))
         .join(boiler, ["k1", "k2"])
         .where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
-        .groupBy(F.col("doc_id").alias("_drop_id"))
-        .agg(F.collect_set(F.struct("pos", "k1", "k2")).alias("_drop_at"))
-    )
-    lines = split_lines(F.col("text"))
-    held = F.filter(
-        lines,
-        lambda line, i: ~F.array_contains("_drop_at", F.struct(i.alias("pos"), *_keys(F.trim(line)))),
+        .groupBy(F.col("doc_id").alias("_drop_id"), F.col("text_key").alias("_drop_key"))
+        .agg(F.sort_array(F.collect_set("pos")).alias("_drop_at"))
     )
     names = ("n_lines", "n_removed") if counts else ()
     cols = [c for c in docs.columns if c not in names]
-    out = docs.select(*cols).join(drops, F.col("doc_id") == F.col("_drop_id"), "left").withColumn("_held", F.when(F.col("_drop_at").isNotNull(), held))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    numbers = (n_lines, F.when(F.col("_held").isNotNull(), n_lines - F.size("_held")).otherwise(0))
-    return out.select(
-        *[F.coalesce(F.array_join("_held", "\n"), F.col("text")).alias("text") if c == "text" else F.col(c) for c in cols],
-        *[n.cast("long").alias(name) for name, n in zip(names, numbers)],
+    lines = F.when(F.col("text").isNotNull(), split_lines(F.col("text")))
+    out = (
+        docs.select(*cols, lines.alias("_lines"))
+        .join(drops, (F.col("doc_id") == F.col("_drop_id")) & (text_key == F.col("_drop_key")), "left")
+        .withColumn("_n", F.coalesce(F.when(F.col("_lines").isNotNull(), F.size("_lines")), F.lit(0)))
     )
+    # What stays is the runs of lines between those that go, so that the work is in proportion to the lines.
+    starts = F.concat(F.array(F.lit(0)), F.transform("_drop_at", lambda x: x + 1))
+    ends = F.concat("_drop_at", F.array("_n"))
+    held = F.flatten(F.zip_with(starts, ends, lambda start, end: F.slice("_lines", start + 1, end - start)))
+    text = F.when(F.col("_drop_at").isNull(), F.col("text")).otherwise(F.array_join(held, "\n"))
+    numbers = (F.col("_n"), F.coalesce(F.array_size("_drop_at"), F.lit(0)))
+    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in cols], *[n.cast("long").alias(name) for name, n in zip(names, numbers)])
 
 
 ORACLE = """

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from boxloom.llm import line_dedup
 
@@ -58,3 +59,18 @@ def test_nulls_blanks_copies_and_long_texts(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_time_grows_with_lines_where_all_are_boilerplate(spark):
+    lines = [f"menu {k}" for k in range(50_000)]
+    rows = [(d, "\n".join(lines[d:] + [f"own {d}"]), f"s{d}") for d in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    began = time.perf_counter()
+    out = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(docs).collect()}
+    assert time.perf_counter() - began < 60
+    assert out[0] == (rows[0][1], 0) and out[5] == ("menu 5\nmenu 6\nmenu 7\nmenu 8\nown 5", 50_000 - 9) and out[11] == ("own 11", 50_000 - 11)
+
+
+def test_texts_of_one_id_lose_their_own_lines(spark):
+    rows = [(i, f"menu\ntext {i}", f"s{i}") for i in range(12)] + [(5, "other\nmenu\nmenu", "s5"), (5, "menu", "s5"), (5, "menu", "s5")]
+    assert run(spark, rows) == brute(rows, 10)
