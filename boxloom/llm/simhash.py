@@ -5,7 +5,7 @@ that differ in at most three bits differ in at most one bit of their first or of
 tries are joined with themselves, one for each half leading: node pairs are walked together from the
 root, their differing bits add up, and a pair is left as soon as it has more than HALF_BITS in the
 leading half or more than MAX_BITS in all. The upper levels are walked by Spark, which deals the pairs
-of subtrees out as groups; the lower levels by numpy within a group.
+of subtrees out as groups and walks on below those that are too large; the lower levels by numpy within a group.
 """
 
 from __future__ import annotations
@@ -27,8 +27,9 @@ SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
 HALF_BITS = MAX_BITS // 2
-#: Fingerprints aimed at in a subtree that one group of a task takes.
-SUBTREE = 8192
+#: Fingerprints aimed at in a subtree that one group of a task takes; a pair of subtrees with LIMIT times as many is
+#: walked further by Spark, STEP levels at a time.
+SUBTREE, LIMIT, STEP = 8192, 4, 4
 #: Hashes whose bits are counted at once.
 CHUNK = 1 << 16
 #: Node pairs walked at once, and the size of a pair that is compared outright.
@@ -151,14 +152,41 @@ def _join_subtrees(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"src": ids[linked], "dst": ids[label[linked]]})
 
 
+GROUP = ("turn", "first", "second", "top")
+
+
+def _walked(rows: DataFrame, levels: int) -> DataFrame:
+    """``rows`` (fp, turn, v, mate, err, top) after so many more levels of the tries.
+
+    A row stands for a fingerprint in the pair of its own node and ``mate``. A level down it meets both children of
+    the mate, with one error more where the bits differ, as far as the budget allows.
+    """
+    for _ in range(levels):
+        bit = F.explode(F.array(F.lit(0), F.lit(1))).alias("bit")
+        limit = F.when(F.col("top") >= 32, HALF_BITS).otherwise(MAX_BITS)
+        own = F.expr("shiftrightunsigned(v, top) & 1")
+        rows = (
+            rows.select("fp", "turn", "v", "mate", "err", (F.col("top") - 1).alias("top"), bit)
+            .select("fp", "turn", "v", (F.col("mate") * 2 + F.col("bit")).alias("mate"), (F.col("err") + (own != F.col("bit")).cast("int")).alias("err"), "top")
+            .where(F.col("err") <= limit)
+        )
+    return rows
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """``rows`` with own, first and second: each in the pair of nodes it stands for."""
+    own = F.expr("shiftrightunsigned(v, top)")
+    return rows.withColumns({"own": own, "first": F.least(own, "mate"), "second": F.greatest(own, "mate")})
+
+
 def link_fingerprints(nodes: DataFrame, n: int) -> DataFrame:
     """Edges (src, dst) that connect all fingerprints that link; ``nodes`` has distinct ``fp``.
 
     Not every link is an edge, but linked nodes are always reachable. ``n`` is the number of nodes; it
-    sets how many levels Spark walks.
+    sets how many levels Spark walks at first. Pairs of subtrees that are still too large are walked further, so
+    that a group is bounded however alike the leading bits are: STEP levels above the leaves a pair holds few anyway.
     """
     levels = int(min(20, max(2, np.ceil(np.log2(max(n, 1) / SUBTREE)))))
-    top = 64 - levels
     turned = F.explode(
         F.array(
             F.struct(F.lit(0).alias("turn"), F.col("fp").alias("v")),
@@ -168,16 +196,27 @@ def link_fingerprints(nodes: DataFrame, n: int) -> DataFrame:
             ),
         )
     ).alias("t")
-    own = F.shiftrightunsigned("t.v", top).cast("int")
-    mates = F.explode(F.array(F.lit(0), *[F.lit(1 << i) for i in range(levels)])).alias("flip")
-    return (
+    own = F.shiftrightunsigned("v", 64 - levels)
+    flips = F.explode(F.array(F.lit(0), *[F.lit(1 << i) for i in range(levels)])).alias("flip")
+    rows = (
         nodes.select("fp", turned)
-        .select("fp", "t.turn", own.alias("own"), mates)
-        .withColumn("mate", F.col("own").bitwiseXOR(F.col("flip")))
-        .select("fp", "turn", F.least("own", "mate").alias("first"), F.greatest("own", "mate").alias("second"), F.lit(top).alias("top"))
-        .groupBy("turn", "first", "second", "top")
-        .applyInPandas(_join_subtrees, "src long, dst long")
+        .select("fp", "t.turn", "t.v", flips)
+        .select("fp", "turn", "v", own.bitwiseXOR(F.col("flip").cast("long")).alias("mate"), (F.col("flip") != 0).cast("int").alias("err"), F.lit(64 - levels).alias("top"))
     )
+    taken, rows = None, _grouped(rows)
+    while True:
+        both = (F.col("first") == F.col("second")) | (F.min("own") < F.max("own"))
+        pairs = rows.groupBy(*GROUP).agg(F.count("*").alias("size"), both.alias("both")).where("size > 1 and both")
+        pairs = durable(pairs.select(*[F.col(c).alias(f"l_{c}") for c in GROUP], ((F.col("size") > LIMIT * SUBTREE) & (F.col("top") > STEP)).alias("large")))
+        last = pairs.where("large").isEmpty()
+        # Pairs with an empty side are left here, so that walking on is in proportion to what is there.
+        found = rows.join(pairs, (F.col("turn") == F.col("l_turn")) & (F.col("first") == F.col("l_first")) & (F.col("second") == F.col("l_second")) & (F.col("top") == F.col("l_top")))
+        small = (rows if last and taken is None else found.where("not large")).select("fp", *GROUP)
+        taken = small if taken is None else taken.union(small)
+        if last:
+            break
+        rows = _grouped(durable(_walked(found.where("large"), STEP)))
+    return taken.groupBy(*GROUP).applyInPandas(_join_subtrees, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -116,3 +116,21 @@ def test_texts_of_one_id_are_judged_each(spark):
     docs = spark.createDataFrame([(3, a), (3, b), (1, a), (2, b)], "doc_id long, text string")
     got = sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect())
     assert got == [(1, 1), (2, 2), (3, 1), (3, 2)]
+
+
+@pytest.mark.parametrize("limit", [2])
+def test_crowded_subtrees_are_walked_further(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "SUBTREE", 64)
+    monkeypatch.setattr(simhash, "LIMIT", limit)
+    rng = np.random.default_rng(8)
+    near = np.uint64(0xFEDCBA9876543210) ^ (np.uint64(1) << rng.integers(0, 64, (500, 4), dtype=np.uint64)).cumsum(axis=1, dtype=np.uint64)[:, 3]
+    low = np.uint64(0xFEDCBA9800000000) | rng.integers(0, 1 << 14, 400, dtype=np.uint64)
+    value = np.unique(np.concatenate([near, low, rng.integers(0, 1 << 63, 300, dtype=np.uint64)]))
+    fp = value.view(np.int64).tolist()
+    nodes = spark.createDataFrame([(v,) for v in fp], "fp long")
+    edges = [(r.src, r.dst) for r in simhash.link_fingerprints(nodes, len(fp)).collect()]
+    at = {v: k for k, v in enumerate(fp)}
+    got = shared.fold_links(np.arange(len(fp)), np.array([at[a] for a, _ in edges], int), np.array([at[b] for _, b in edges], int))
+    i, j = np.nonzero(np.bitwise_count(value[:, None] ^ value[None, :]) <= 3)
+    assert np.array_equal(got, shared.fold_links(np.arange(len(fp)), i, j))
+    assert len(set(got.tolist())) < len(fp)
