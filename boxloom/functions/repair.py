@@ -66,6 +66,5 @@ def repaired(df: DataFrame, column: str) -> DataFrame:
         for s in texts:
             yield s.map(repair)
 
-    good = df.where(F.try_parse_json(column).isNotNull())
-    bad = df.where(F.try_parse_json(column).isNull())
-    return good.union(bad.withColumn(column, mend(F.col(column))))
+    bad = F.try_parse_json(column).isNull()
+    return df.withColumn(column, F.when(bad, mend(F.when(bad, F.col(column)))).otherwise(F.col(column)))

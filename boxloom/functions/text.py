@@ -24,12 +24,17 @@ def without_thoughts(reply: Column) -> Column:
     return strip(F.regexp_replace(reply, r"(?s)<think>.*?</think>", ""))
 
 
-def without_fences(reply: Column, depth: int = 3) -> Column:
-    """``reply`` without code fences around the whole of it, nested up to ``depth`` deep."""
-    out = strip(reply)
-    for _ in range(depth):
-        out = strip(F.regexp_replace(out, r"(?s)^```[a-zA-Z]*\r?\n?(.*?)```\s*$", "$1"))
-    return out
+def without_fences(reply: Column) -> Column:
+    """``reply`` without code fences around the whole of it, however deep they are nested.
+
+    Every step takes two fence marks, so that half of their number is steps enough; the rest of the steps are idle.
+    """
+    bare = lambda x: strip(F.regexp_replace(x, r"(?s)^```[a-zA-Z]*\r?\n?(.*?)```\s*$", "$1"))
+    marks = F.floor((F.size(F.split(reply, "```")) - 1) / 2).cast("int")
+    step = lambda s, _: F.when(s.done, s).otherwise(F.struct(bare(s.text).alias("text"), (bare(s.text) == s.text).alias("done")))
+    start = F.struct(strip(reply).alias("text"), F.lit(False).alias("done"))
+    walked = F.aggregate(F.array_repeat(F.lit(0), marks), start, step, lambda s: s.text)
+    return F.when(F.contains(reply, F.lit("```")), walked).otherwise(strip(reply))
 
 
 def answer_of(reply: Column) -> Column:
@@ -88,10 +93,18 @@ def with_detection_json(df: DataFrame, reply: str, name: str = "json") -> DataFr
     return out.withColumn(name, F.when(whole, F.substring("_tail", F.lit(1), F.col("_walk.length"))).otherwise(F.col("_open"))).drop(*[s for s, _ in steps])
 
 
-def wrapped_list(value: Column) -> Column:
-    """The list in a VARIANT reply: itself, or that under the first known key; null if there is none."""
+def wrapped_list(value: Column, text: Column | None = None) -> Column:
+    """The list in a VARIANT reply: itself, or that under the first known key; null if there is none.
+
+    With its JSON ``text``, where the order of its keys is kept, the first list under any key comes last.
+    """
     own = F.try_variant_get(value, "$", "array<variant>")
-    return F.coalesce(own, *[F.try_variant_get(value, f"$.{k}", "array<variant>") for k in WRAPPERS])
+    found = [own, *[F.try_variant_get(value, f"$.{k}", "array<variant>") for k in WRAPPERS]]
+    if text is not None:
+        fields = F.map_values(F.from_json(text, "map<string,variant>"))
+        lists = F.filter(fields, lambda v: F.startswith(F.schema_of_variant(v), F.lit("ARRAY")))
+        found.append(F.when(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.try_variant_get(F.get(lists, 0), "$", "array<variant>")))
+    return F.coalesce(*found)
 
 
 def judge_score(reply: Column) -> Column:
@@ -178,7 +191,11 @@ def escaped(text: Column) -> Column:
     return text
 
 
-def tail_of(text: Column, n: int, mark: str) -> Column:
+#: How much of a log is shown.
+LOG_TAIL = 8 * 1024
+
+
+def tail_of(text: Column, n: int = LOG_TAIL, mark: str = "...") -> Column:
     """The last ``n`` characters of ``text`` behind ``mark``; a shorter text as it is."""
     return F.when(F.length(text) > n, F.concat(F.lit(mark), F.right(text, F.lit(n)))).otherwise(text)
 

@@ -2,34 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.functions import geometry as g
 
 
 def suppress(df: DataFrame, keys: list[str], order: list[str], threshold: float, most: int | None = None) -> DataFrame:
-    """Greedy non-maximum suppression within ``keys``: (keys, order, x1, y1, x2, y2) of the boxes kept.
+    """Greedy non-maximum suppression within ``keys``: (keys, rank, order, x1, y1, x2, y2) of the boxes kept.
 
-    Boxes go by area ascending, then ``order``; one is kept unless its overlap with a kept box is above
-    ``threshold``. ``most`` keeps the first so many. The group of an image and label is what the operator
-    folds over; it stays in the JVM as one expression.
+    Boxes go by area ascending, then ``order``, then corners; one is kept unless its overlap with a kept box is above
+    ``threshold``. ``most`` keeps the first so many. Rows are clustered by key and sorted, and a task walks them once:
+    it holds one group's kept boxes, never the group, and compares a batch of boxes with them at a time.
     """
-    box = F.struct(((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).cast("long").alias("area"), *order, "x1", "y1", "x2", "y2")
-    grouped = df.groupBy(*keys).agg(F.array_sort(F.collect_list(box)).alias("boxes"))
-
-    def side(b: Column) -> dict:
-        return {k: b[k] for k in ("x1", "y1", "x2", "y2")}
-
-    kept = F.aggregate(
-        "boxes",
-        F.expr("slice(boxes, 1, 0)"),
-        lambda acc, b: F.when(F.exists(acc, lambda k: g.iou(side(k), side(b)) > threshold), acc).otherwise(F.array_append(acc, b)),
-    )
-    out = grouped.select(*keys, kept.alias("kept"))
-    if most is not None:
-        out = out.select(*keys, F.slice("kept", 1, most).alias("kept"))
-    return out.select(*keys, F.posexplode("kept").alias("rank", "b")).select(*keys, (F.col("rank") + 1).alias("rank"), *[F.col(f"b.{c}") for c in [*order, "x1", "y1", "x2", "y2"]])
+    box = ["x1", "y1", "x2", "y2"]
+    area = ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).cast("long")
+    rows = df.select(*keys, *order, *box, area.alias("_area"))
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "rank int", *(f"`{c}` {types[c]}" for c in [*order, *box])])
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, np.zeros((0, 4))
+        for b in batches:
+            if not len(b):
+                continue
+            code = b.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+            starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            corners = b[box].to_numpy(np.float64)
+            keep, rank = np.zeros(len(b), bool), np.zeros(len(b), np.int32)
+            names = list(b[keys].iloc[starts].itertuples(index=False, name=None))
+            for start, end, name in zip(starts, [*starts[1:], len(b)], names):
+                if not _same(name, last):
+                    last, held = name, np.zeros((0, 4))
+                for at in range(start, end, CHUNK):
+                    part = corners[at : min(end, at + CHUNK)]
+                    good = _kept(held, part, threshold) if most is None or len(held) < most else np.zeros(len(part), bool)
+                    if most is not None:
+                        good &= np.cumsum(good) + len(held) <= most
+                    keep[at : at + len(part)] = good
+                    rank[at : at + len(part)] = len(held) + np.cumsum(good)
+                    held = np.concatenate([held, part[good]])
+            out = b.assign(rank=rank)[keep]
+            yield out[[*keys, "rank", *order, *box]]
+
+    sort = [*keys, "_area", *order, *box]
+    return rows.repartition(*keys).sortWithinPartitions(*sort).mapInPandas(walk, schema)
+
+
+#: Boxes that are compared with each other at once.
+CHUNK = 512
+
+
+def _same(a: tuple, b: tuple | None) -> bool:
+    """Whether two keys are one; nulls are alike."""
+    return b is not None and all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b))
+
+
+def _over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Intersection over union of every box of ``a`` with every one of ``b``; 0 where the union is empty."""
+    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
+    shared = np.clip(high - low, 0, None).prod(axis=2)
+    union = (a[:, 2:] - a[:, :2]).prod(axis=1)[:, None] + (b[:, 2:] - b[:, :2]).prod(axis=1)[None] - shared
+    return np.divide(shared, union, out=np.zeros_like(shared), where=union != 0)
+
+
+def _kept(held: np.ndarray, boxes: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of ``boxes``, best first, stay beside the kept boxes ``held``."""
+    good = ~(_over(held, boxes) > threshold).any(axis=0)
+    near = _over(boxes, boxes) > threshold
+    for i in np.flatnonzero(np.triu(near, 1).any(axis=1)):
+        if good[i]:
+            good[i + 1 :] &= ~near[i, i + 1 :]
+    return good
 
 
 def overlapping_pairs(df: DataFrame, keys: list[str], ident: str, threshold: float) -> DataFrame:
@@ -65,14 +113,13 @@ def validated(items: DataFrame, item: str, categories: list[str]) -> DataFrame:
     clamped to 0-1000 and a side under 1 drops the box; what is left is cut to integers.
     """
     v = F.col(item)
-    is_object = F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
-    is_text = F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.label", "variant")) == "STRING", F.lit(False))
-    read = items.select(
-        "*",
-        F.coalesce(is_object, F.lit(False)).alias("_object"),
-        F.when(is_object & is_text, F.try_variant_get(v, "$.label", "string")).alias("_label"),
-        F.when(is_object, F.try_variant_get(v, "$.bbox_2d", "array<variant>")).alias("_box"),
-    ).withColumn("_n", F.transform("_box", lambda b: F.try_variant_get(b, "$", "double")))
+    label = F.try_variant_get(v, "$.label", "variant")
+    held = items.withColumn("_label", F.when(F.schema_of_variant(label) == "STRING", label.cast("string")))
+    # Numbers are read as one array; only where one of them is none are they read one by one.
+    each = F.transform(F.try_variant_get(v, "$.bbox_2d", "array<variant>"), lambda b: F.try_variant_get(b, "$", "double"))
+    held = held.withColumn("_n", F.when(F.col("_label").isin(categories), F.coalesce(F.try_variant_get(v, "$.bbox_2d", "array<double>"), each)))
+    is_object = F.col("_label").isNotNull() | F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
+    read = held.withColumn("_object", F.coalesce(is_object, F.lit(False)))
     side = {}
     for axis, i, j in (("x", 0, 2), ("y", 1, 3)):
         a, b = F.get("_n", i), F.get("_n", j)
@@ -82,7 +129,7 @@ def validated(items: DataFrame, item: str, categories: list[str]) -> DataFrame:
     reason = (
         F.when(~F.col("_object"), "not an object")
         .when(F.col("_label").isNull() | ~F.col("_label").isin(categories), "unknown label")
-        .when(F.col("_box").isNull() | (F.size("_box") != 4), "malformed box")
+        .when(F.col("_n").isNull() | (F.size("_n") != 4), "malformed box")
         .when(F.exists("_n", lambda x: x.isNull()), "not numeric")
         .when(thin, "degenerate")
     )

@@ -31,12 +31,14 @@ def parsed_lines(lines: DataFrame, line: str) -> DataFrame:
 
     A line that is not five numbers is malformed; so is a blank one.
     """
-    parts = F.split(F.trim(F.regexp_replace(F.coalesce(F.col(line), F.lit("")), r"\s+", " ")), " ")
-    values = F.transform(parts, lambda p: p.try_cast("double"))
-    bad = (F.size(parts) != 5) | F.exists(values, lambda v: v.isNull())
-    out = lines.withColumn("_v", values).withColumn("malformed", bad)
+    # The parts are one column and the numbers five, each worked out once.
+    text = F.coalesce(F.col(line), F.lit(""))
+    parts = F.split(F.when(text.rlike(r"[^\S ]|  |^ | $"), F.trim(F.regexp_replace(text, r"\s+", " "))).otherwise(text), " ")
     names = ("cls", "xc", "yc", "bw", "bh")
-    return out.select(*lines.columns, "malformed", *[F.when(~F.col("malformed"), F.get("_v", i)).alias(n) for i, n in enumerate(names)])
+    read = lines.withColumn("_p", parts).select(*lines.columns, F.size("_p").alias("_n"), *[F.get("_p", i).try_cast("double").alias(f"_{n}") for i, n in enumerate(names)])
+    bad = (F.col("_n") != 5) | F.greatest(*[F.col(f"_{n}").isNull() for n in names])
+    read = read.withColumn("malformed", bad)
+    return read.select(*lines.columns, "malformed", *[F.when(~F.col("malformed"), F.col(f"_{n}")).alias(n) for n in names])
 
 
 def pixel_boxes(boxes: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """The detection loop over all images at once, with the model behind two tables-to-tables functions.
 
 A detector takes requests (image_id, round, tile_idx, prompt) and returns them with ``reply``; a judge takes
-(image_id, round, prompt). Replies are written out before they are used, so that a task that is run again
+(image_id, round, prompt), a verifier takes boxes (image_id, round, tile_idx, pos, label, crop, prompt). A null reply
+is a failed call: a detector's finds nothing in that round, a judge's scores 0 and a verifier's keeps its box.
+Replies that are no JSON are repaired where they can be. Replies are written out before they are used, so that a task that is run again
 does not ask the model again. ``replay`` makes either from recorded replies.
 """
 
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from boxloom.functions import geometry as g
 from boxloom.functions import text as t
+from boxloom.functions.repair import repaired
 from boxloom.operators import boxes as box_ops
 from boxloom.sources.durable import durable
 
@@ -43,15 +46,26 @@ def with_retries(call: Callable[[str], str], tries: int = 3, base_delay: float =
 
 
 def live(make_client: Callable[[], Callable[[str], str]], workers: int = 16) -> Model:
-    """A model that asks a client, made once for each task, for every request; ``workers`` bounds what runs at once."""
+    """A model that asks a client, made once for each task, for every request; ``workers`` bounds what runs at once.
+
+    A request that fails to the last has a null reply and says why in ``error``; the others go on.
+    """
 
     def model(requests: DataFrame) -> DataFrame:
         def ask(batches):
             call = with_retries(make_client())
+
+            def answer(prompt: str) -> tuple[str | None, str | None]:
+                try:
+                    return call(prompt), None
+                except RuntimeError as failure:
+                    return None, f"{failure}: {failure.__cause__}"
+
             for b in batches:
-                yield b.assign(reply=[call(p) for p in b["prompt"]])
+                said = [answer(p) for p in b["prompt"]]
+                yield b.assign(reply=[r for r, _ in said], error=[e for _, e in said])
 
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema) + ", reply string"
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema) + ", reply string, error string"
         return requests.repartition(workers).mapInPandas(ask, schema)
 
     return model
@@ -59,8 +73,8 @@ def live(make_client: Callable[[], Callable[[str], str]], workers: int = 16) ->
 
 def detect_round(images: DataFrame, replies: DataFrame, categories: list[str], tiled: bool, tile: int, overlap: float) -> DataFrame:
     """(image_id, round, tile_idx, pos, label, x1..y2) of one round's replies; tiles are merged by suppression."""
-    read = t.with_detection_json(replies.where("reply is not null"), "reply").withColumn("value", F.try_parse_json("json"))
-    read = read.select("image_id", "round", "tile_idx", F.posexplode(t.wrapped_list(F.col("value"))).alias("pos", "item"))
+    read = repaired(t.with_detection_json(replies.where("reply is not null"), "reply"), "json").withColumn("value", F.try_parse_json("json"))
+    read = read.select("image_id", "round", "tile_idx", F.posexplode(t.wrapped_list(F.col("value"), F.col("json"))).alias("pos", "item"))
     valid = box_ops.validated(read, "item", categories).where("drop_reason is null").drop("drop_reason")
     if not tiled:
         return valid
@@ -72,7 +86,26 @@ def detect_round(images: DataFrame, replies: DataFrame, categories: list[str], t
     return box_ops.suppress(moved, ["image_id", "round", "label"], ["tile_idx", "pos"], 0.5).drop("rank")
 
 
-def detect(images: DataFrame, detector: Model, judge: Model, categories: list[str], max_rounds: int = 3, threshold: int = 8, tiled: bool = True, tile: int = 512, overlap: float = 0.2) -> tuple[DataFrame, DataFrame]:
+#: A crop is padded by so much of its box, and one under so many pixels is not asked about.
+CROP_PAD, CROP_LEAST = 0.2, 10
+
+
+def verified(images: DataFrame, found: DataFrame, verifier: Model) -> DataFrame:
+    """``found`` without the boxes that ``verifier`` denies on a second look at their crops."""
+    boxes = found.join(images.select("image_id", "w", "h"), "image_id")
+    x1, x2 = g.crop_by_box(F.col("x1"), F.col("x2"), F.col("w"), CROP_PAD)
+    y1, y2 = g.crop_by_box(F.col("y1"), F.col("y2"), F.col("h"), CROP_PAD)
+    prompt = F.concat(F.lit("Is a '"), "label", F.lit("' in this crop? Answer <present>YES</present> or <present>NO</present>."))
+    crops = boxes.select(*found.columns, F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")).alias("crop"), prompt.alias("prompt"))
+    large = F.expr(f"crop.x2 - crop.x1 >= {CROP_LEAST} and crop.y2 - crop.y1 >= {CROP_LEAST}")
+    asked = durable(verifier(crops.where(large)))
+    return asked.where(t.said_present(F.col("reply"))).select(*found.columns).union(crops.where(~large).select(*found.columns))
+
+
+def detect(
+    images: DataFrame, detector: Model, judge: Model, categories: list[str], max_rounds: int = 3, threshold: int = 8, tiled: bool = True, tile: int = 512, overlap: float = 0.2,
+    verifier: Model | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Rounds (image_id, round, score, feedback, actions, n) and their detections for ``images`` (image_id, w, h).
 
     Every round asks for all images that have not reached ``threshold`` yet, with the feedback of the round
@@ -89,6 +122,8 @@ def detect(images: DataFrame, detector: Model, judge: Model, categories: list[st
         prompt = F.concat(F.lit("Find: " + ", ".join(categories)), F.when(told != "", F.concat(F.lit("\nFeedback:\n"), told)).otherwise(""), F.when(~F.upper(F.trim("actions")).isin("", "NONE"), F.concat(F.lit("\nRequired actions:\n"), "actions")).otherwise(""))
         asked = slots.join(active, "image_id").select("image_id", F.lit(k).alias("round"), "tile_idx", prompt.alias("prompt"))
         found = durable(detect_round(images, durable(detector(asked)), categories, tiled, tile, overlap))
+        if verifier is not None:
+            found = durable(verified(images, found, verifier))
         listed = found.groupBy("image_id").agg(F.count("*").alias("n"), F.to_json(F.array_sort(F.collect_list(F.struct("tile_idx", "pos", "label", "x1", "y1", "x2", "y2")))).alias("boxes"))
         shown = active.select("image_id").join(listed, "image_id", "left").select("image_id", F.lit(k).alias("round"), F.coalesce("n", F.lit(0)).alias("n"), F.concat(F.lit("Judge: "), F.coalesce("boxes", F.lit("[]"))).alias("prompt"))
         reply = t.without_thoughts(F.coalesce("reply", F.lit("")))

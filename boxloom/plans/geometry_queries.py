@@ -139,22 +139,24 @@ def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAIRS_SQL = f"""
-with {shapes.WITH}
-select a.image_id, a.label, a.det_idx as a, b.det_idx as b, {IOU_SQL.format(a="a", b="b")} as iou
-from boxes a join boxes b on a.image_id = b.image_id and a.label = b.label and a.det_idx < b.det_idx where {IOU_SQL.format(a="a", b="b")} > 0.5
+with {shapes.WITH},
+t as (select a.image_id, a.label, a.det_idx as a, b.det_idx as b, (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) as shared,
+  (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) as sides
+  from boxes a join boxes b on a.image_id = b.image_id and a.label = b.label and a.det_idx < b.det_idx and a.x1 < b.x2 and b.x1 < a.x2 and a.y1 < b.y2 and b.y1 < a.y2)
+select image_id, label, a, b, shared / (sides - shared) as iou from t where shared / (sides - shared) > 0.5
 """
 
 
 def som_nms_top30(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate regions of an image, whatever their label: size filter, suppression at 0.4, the first 30."""
-    b = shapes.boxes(spark, sf_dir).withColumn("area", F.expr("(x2 - x1) * (y2 - y1)")).where("area > 0.0005 * 1000000 and area < 0.05 * 1000000")
+    b = shapes.boxes(spark, sf_dir).withColumn("area", F.expr("(x2 - x1) * (y2 - y1)")).where("area > 0.0005 * 1000000 and area < 0.3 * 1000000")
     return ops.suppress(b, ["image_id"], ["det_idx"], 0.4, most=30).select("image_id", F.col("rank").alias("proposal_id"), "x1", "y1", "x2", "y2")
 
 
 SOM_SQL = f"""
 with recursive {shapes.WITH},
 ranked as (select *, row_number() over (partition by image_id order by (x2 - x1) * (y2 - y1), det_idx) as pos from boxes
-  where (x2 - x1) * (y2 - y1) > 0.0005 * 1000000 and (x2 - x1) * (y2 - y1) < 0.05 * 1000000),
+  where (x2 - x1) * (y2 - y1) > 0.0005 * 1000000 and (x2 - x1) * (y2 - y1) < 0.3 * 1000000),
 {_fold(["image_id"], 0.4)}
 select image_id, cast(p as int) as proposal_id, k.x1 as x1, k.y1 as y1, k.x2 as x2, k.y2 as y2
 from (select image_id, unnest(kept) as k, generate_subscripts(kept, 1) as p from fin) where p <= 30

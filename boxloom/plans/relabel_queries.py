@@ -10,6 +10,8 @@ from boxloom.operators import relabel as ops
 from boxloom.plans import shapes
 from boxloom.sources.tables import read_table
 
+#: Classes known before a run, with their ids.
+KNOWN = [("click_1", 0), ("stain", 1)]
 #: Confidence from which a class needs no review.
 REVIEW = 2
 
@@ -76,8 +78,7 @@ cc as (select *, coalesce(confidence <= {REVIEW}, false) as low_confidence from
 def class_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of classes in the order of first sight, after two that were known."""
     seen = class_replies(spark, sf_dir).where("status = 'classified'").select(F.col("class_name").alias("name"), F.col("event_id").alias("ord"))
-    known = spark.createDataFrame([("click_1", 0), ("stain", 1)], "name string, id int")
-    return ops.first_seen_ids(seen, known)
+    return ops.first_seen_ids(seen, spark.createDataFrame(KNOWN, "name string, id int"))
 
 
 CLASS_SQL = f"""
@@ -99,9 +100,21 @@ select count(*) as boxes_seen, count(*) filter (s = 'malformed_line') as boxes_m
 
 
 def relabel_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relabelled files of orders, by digest; a file without boxes is empty."""
-    lines = _parsed(spark, sf_dir).withColumn("class_id", F.when(~F.col("malformed"), F.col("l_partkey") % 9)).withColumn("o", F.struct("l_linenumber", "l_partkey", "l_suppkey"))
-    return ops.label_lines(lines, "l_orderkey", "o").select("l_orderkey", "n_lines", F.md5(F.regexp_replace("content", r"0\.0*(\d)", "0.$1").cast("binary")).alias("digest"))
+    """Relabelled files of orders, by digest; a file without boxes is empty. Classes have the ids of ``class_ids``, by event."""
+    ids = class_ids(spark, sf_dir).select(F.col("name").alias("c_name"), F.col("id").alias("class_id")).union(spark.createDataFrame(KNOWN, "c_name string, class_id long"))
+    classes = class_replies(spark, sf_dir).where("status = 'classified'").join(ids, F.col("class_name") == F.col("c_name")).select(F.col("event_id"), "class_id")
+    lines = _parsed(spark, sf_dir).join(classes, F.col("l_orderkey") == F.col("event_id"), "left").drop("event_id")
+    lines = lines.withColumn("class_id", F.when(~F.col("malformed"), F.col("class_id"))).withColumn("o", F.struct("l_linenumber", "l_partkey", "l_suppkey"))
+    return ops.label_lines(lines, "l_orderkey", "o").select("l_orderkey", "n_lines", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+RELABEL_SQL = f"""
+with {shapes.WITH}, {REPLIES_SQL},
+ids as (select class_name, row_number() over (order by min(event_id)) + 1 as id from cc where status = 'classified' and class_name not in ('click_1', 'stain') group by 1 union all select 'click_1', 0 union all select 'stain', 1),
+k as (select event_id, id from cc join ids using (class_name) where status = 'classified'),
+l as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when len(string_split(ln, ' ')) = 5 and id is not null then id || ' ' || array_to_string(list_transform(string_split(ln, ' ')[2:], lambda x: cast(cast(x as double) as varchar)), ' ') end as line from yolo left join k on l_orderkey = event_id)
+select l_orderkey, cast(count(line) as int) as n_lines, md5(coalesce(string_agg(line || chr(10), '' order by l_linenumber, l_partkey, l_suppkey, line), '')) as digest from l group by 1
+"""
 
 
 def low_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,5 +181,5 @@ QUERIES = {
 
 ORACLES = {
     "label_image_join": JOIN_SQL, "yolo_to_pixel": YOLO_SQL, "class_replies": f"with {REPLIES_SQL} select * from cc", "class_ids": CLASS_SQL, "run_counters": COUNTERS_SQL,
-    "low_confidence": LOW_SQL, "merge_class_map": MERGE_SQL, "category_lookup": LOOKUP_SQL, "resume_antijoin": RESUME_SQL, "batch_antijoin": BATCH_SQL,
+    "relabel_lines": RELABEL_SQL, "low_confidence": LOW_SQL, "merge_class_map": MERGE_SQL, "category_lookup": LOOKUP_SQL, "resume_antijoin": RESUME_SQL, "batch_antijoin": BATCH_SQL,
 }

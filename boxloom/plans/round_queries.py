@@ -216,13 +216,20 @@ def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unique_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("img"), F.floor(F.col("doc_id") / 4).cast("string")).alias("stem"))
+    """Stems of four documents each; of every second four one has the name that another would get."""
+    taken = F.expr("case when doc_id % 8 = 7 or doc_id % 16 = 1 then '_1' else '' end")
+    d = read_table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("img"), F.floor(F.col("doc_id") / 4).cast("string"), taken).alias("stem"))
     return ordering.unique_stems(d, "stem", ["doc_id"]).select("doc_id", "uniq_stem")
 
 
 STEMS_SQL = """
-with s as (select doc_id, 'img' || doc_id // 4 as stem from documents)
-select doc_id, case when k = 0 then stem else stem || '_' || k end as uniq_stem from (select *, row_number() over (partition by stem order by doc_id) - 1 as k from s)
+with recursive s as (select doc_id, doc_id // 4 as f, 'img' || doc_id // 4 || case when doc_id % 8 = 7 or doc_id % 16 = 1 then '_1' else '' end as stem from documents),
+o as (select *, row_number() over (partition by f order by doc_id) as k from s),
+r as (select f, k, doc_id, stem as name, [stem] as taken from o where k = 1
+  union all select f, k, doc_id, name, list_append(taken, name) from (select o.f, o.k, o.doc_id, r.taken,
+    case when list_contains(r.taken, o.stem) then o.stem || '_' || list_filter(range(1, len(r.taken) + 2), lambda i: not list_contains(r.taken, o.stem || '_' || i))[1] else o.stem end as name
+    from r join o on o.f = r.f and o.k = r.k + 1))
+select doc_id, name as uniq_stem from r
 """
 
 QUERIES = {

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxloom.functions import text as t
+from boxloom.functions.repair import repaired
 from boxloom.operators import boxes as box_ops
 from boxloom.plans import shapes
 from boxloom.sources.tables import read_table, spread
@@ -67,24 +68,33 @@ select o_orderkey, 'no place' || case when ia or ib then chr(10) || 'near ' ||
 
 def _wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as detector replies: thoughts, an answer, a fence and an array around the text."""
-    c = read_table(spark, sf_dir, "conversations").where("text is not null")
+    c = read_table(spark, sf_dir, "conversations")
     return c.select(
         "conv_id", "turn",
-        F.concat(F.lit("<think>x</think>"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<answer>```json\n"), "text", F.lit("\n```</answer>"))).otherwise(F.col("text"))).alias("reply"),
+        F.concat(F.lit("<think>x</think>"), F.when(F.col("turn") % 4 == 0, F.concat(F.lit("<answer>```\n```md\n```\n```a\n```json\n"), "text", F.lit("\n```\n```\n```\n```\n```</answer>")))
+            .when(F.col("turn") % 2 == 0, F.concat(F.lit("<answer>```json\n"), "text", F.lit("\n```</answer>"))).otherwise(F.col("text"))).alias("reply"),
         F.concat(F.lit("see ["), F.length("text").cast("string"), F.lit(", [1]] or "), F.when(F.col("turn") % 3 == 0, "[").otherwise("]"), "text").alias("listed"),
     )
 
 
 def strip_think_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.col("reply")
-    return _wrapped(spark, sf_dir).select("conv_id", "turn", t.without_fences(t.answer_of(t.without_thoughts(r)), 1).alias("body"))
+    return _wrapped(spark, sf_dir).select("conv_id", "turn", t.without_fences(t.answer_of(t.without_thoughts(r))).alias("body"))
+
+
+def _bare_sql(x: str, times: int) -> str:
+    """``x`` without white space at its ends and, so many times, without a fence around it."""
+    x = f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return x if not times else _bare_sql(f"regexp_replace({_bare_sql(x, times - 1)}, '(?s)^```[a-zA-Z]*\\r?\\n?(.*?)```\\s*$', '\\1')", 0)
 
 
-STRIP_SQL = r"""
-with w as (select conv_id, turn, '<think>x</think>' || case when turn % 2 = 0 then '<answer>```json' || chr(10) || text || chr(10) || '```</answer>' else text end as reply from conversations where text is not null),
+STRIP_SQL = rf"""
+with w as (select conv_id, turn, '<think>x</think>' || case
+    when turn % 4 = 0 then '<answer>```' || chr(10) || '```md' || chr(10) || '```' || chr(10) || '```a' || chr(10) || '```json' || chr(10) || text || repeat(chr(10) || '```', 5) || '</answer>'
+    when turn % 2 = 0 then '<answer>```json' || chr(10) || text || chr(10) || '```</answer>' else text end as reply from conversations),
 a as (select conv_id, turn, regexp_replace(regexp_replace(reply, '(?s)<think>.*?</think>', '', 'g'), '^\s+|\s+$', '', 'g') as r from w),
 b as (select conv_id, turn, case when regexp_matches(r, '(?s)<answer>.*?</answer>') then regexp_replace(regexp_extract(r, '(?s)<answer>(.*?)</answer>', 1), '^\s+|\s+$', '', 'g') else r end as r from a)
-select conv_id, turn, regexp_replace(regexp_replace(regexp_replace(r, '^\s+|\s+$', '', 'g'), '(?s)^```[a-zA-Z]*\r?\n?(.*?)```\s*$', '\1'), '^\s+|\s+$', '', 'g') as body from b
+select conv_id, turn, {_bare_sql("r", 7)} as body from b
 """
 
 
@@ -94,7 +104,10 @@ def balanced_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BALANCED_SQL = """
-select conv_id, turn, md5('[' || cast(length(text) as varchar) || ', [1]]') as digest, cast(length('[' || cast(length(text) as varchar) || ', [1]]') as int) as n from conversations where text is not null
+with l as (select conv_id, turn, 'see [' || length(text) || ', [1]] or ' || case when turn % 3 = 0 then '[' else ']' end || text as s from conversations),
+b as (select conv_id, turn, s, strpos(s, '[') as at, unnest(list_transform(range(1, 60), lambda i: {'i': i, 'up': length(regexp_replace(substr(s, strpos(s, '['), i), '[^\\[]', '', 'g')), 'down': length(regexp_replace(substr(s, strpos(s, '['), i), '[^\\]]', '', 'g'))})) as p from l),
+e as (select conv_id, turn, min(p.i) as n from b where p.up = p.down and p.up > 0 group by conv_id, turn)
+select l.conv_id, l.turn, md5(substr(s, strpos(s, '['), n)) as digest, cast(length(substr(s, strpos(s, '['), n)) as int) as n from l left join e on l.conv_id = e.conv_id and l.turn = e.turn
 """
 
 
@@ -104,15 +117,15 @@ def _detector_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         F.expr(
             """concat('[{"label":"', label, '","bbox_2d":[', x1, ',', y1, ',"', x2, '",', y2 * 2, ']},{"label":"zz","bbox_2d":[1,2,3,4]},"text",{"label":"A","bbox_2d":[', x1,
-            ',null,3,4]},{"label":"R","bbox_2d":[5,7,5,900]},{"label":"A","bbox_2d":[9,8,1.9]},{"label":"A","bbox_2d":[', x2, '.7,90.2,', x1, '.2,10.9]}]')"""
+            ',null,3,4]},{"label":"R","bbox_2d":[5,7,5,900]},{"label":"A","bbox_2d":[9,8,1.9]},{"label":"A","bbox_2d":[', x2, '.7,90.2,', x1, '.2,10.9]}', case when l_partkey % 5 = 0 then ',]' else ']' end)"""
         ).alias("reply"),
     )
 
 
 def validate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every entry of the replies, with what it was dropped for or its label and box."""
-    read = t.with_detection_json(_detector_replies(spark, sf_dir), "reply").withColumn("value", F.try_parse_json("json"))
-    parsed = read.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.posexplode(t.wrapped_list(F.col("value"))).alias("pos", "item"))
+    read = repaired(t.with_detection_json(_detector_replies(spark, sf_dir), "reply"), "json").withColumn("value", F.try_parse_json("json"))
+    parsed = read.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.posexplode(t.wrapped_list(F.col("value"), F.col("json"))).alias("pos", "item"))
     return box_ops.validated(parsed, "item", shapes.CATEGORIES)
 
 
@@ -136,15 +149,22 @@ select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(pos as int) as pos,
 
 
 def json_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists under the keys that replies wrap them in, as many entries as the line number."""
+    """Lists under the keys that replies wrap them in, known or not, as many entries as the line number; some are beside another list."""
     li = read_table(spark, sf_dir, "lineitem")
-    keys = F.array(*[F.lit(k) for k in (*t.WRAPPERS, "other")])
-    key = F.get(keys, (F.col("l_partkey") % 6).cast("int"))
-    reply = F.concat(F.lit('{"note":1,"'), key, F.lit('":['), F.array_join(F.array_repeat(F.lit("{}"), F.col("l_linenumber")), ","), F.lit("]}"))
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", F.size(t.wrapped_list(F.try_parse_json(reply))).alias("n")).withColumn("n", F.when(F.col("n") >= 0, F.col("n")))
-
-
-UNWRAP_SQL = "select l_orderkey, l_linenumber, l_partkey, case when l_partkey % 6 < 5 then l_linenumber end as n from lineitem"
+    keys = F.array(*[F.lit(k) for k in (*t.WRAPPERS, "other", "zz")])
+    key = F.get(keys, (F.col("l_partkey") % 7).cast("int"))
+    before = F.when(F.col("l_suppkey") % 3 == 0, '{"note":[],"').when(F.col("l_suppkey") % 3 == 1, '{"note":"[]","').otherwise('{"note":{"a":[0]},"')
+    reply = F.concat(before, key, F.lit('":['), F.array_join(F.array_repeat(F.lit("{}"), F.col("l_linenumber")), ","), F.lit('],"a":[1,2,3,4,5,6,7,8,9]}'))
+    found = t.wrapped_list(F.try_parse_json("reply"), F.col("reply"))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", reply.alias("reply")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.size(found).alias("n"))
+
+
+UNWRAP_SQL = """
+with r as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, case l_suppkey % 3 when 0 then '{"note":[],"' when 1 then '{"note":"[]","' else '{"note":{"a":[0]},"' end
+  || (['detections', 'objects', 'results', 'items', 'data', 'other', 'zz'])[l_partkey % 7 + 1] || '":[' || array_to_string(list_transform(range(l_linenumber), lambda i: '{}'), ',') || '],"a":[1,2,3,4,5,6,7,8,9]}' as reply from lineitem),
+k as (select *, list_filter(['detections', 'objects', 'results', 'items', 'data'], lambda k: json_type(reply, '$.' || k) = 'ARRAY') as known, list_filter(json_keys(reply), lambda k: json_type(reply, '$.' || k) = 'ARRAY') as listed from r)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(json_array_length(reply, '$.' || coalesce(known[1], listed[1])) as int) as n from k
+"""
 
 
 def verify_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +201,7 @@ def judge_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 JUDGE_PROMPT_SQL = f"""
 with {shapes.WITH}
-select image_id, md5('[' || string_agg('{{"box_index":"Box #' || det_idx || '","label":"' || label || '","bbox_2d":[' || x1 || ',' || y1 || ',' || x2 || ',' || y2 || ']}}', ',' order by det_idx) || ']') as digest from boxes where det_idx <= 20 group by image_id
+select image_id, md5('[' || string_agg('{{"box_index":"Box #' || det_idx || '","label":"' || label || '","bbox_2d":[' || x1 || ',' || y1 || ',' || x2 || ',' || y2 || ']}}', ',' order by det_idx) || ']') as digest from boxes group by image_id
 """
 
 
@@ -242,12 +262,12 @@ select p_partkey, case p_partkey % 4 when 0 then '/models/' || p_partkey when 1
 def status_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as table cells: cut to 120 characters and escaped; and the tail of a log of them."""
     c = read_table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", t.escaped(F.substring("text", 1, 120)).alias("cell"), F.md5(t.tail_of(F.col("text"), 200, "...").cast("binary")).alias("tail"))
+    return c.select("conv_id", "turn", t.escaped(F.substring("text", 1, 120)).alias("cell"), F.md5(t.tail_of(F.repeat(F.concat("text", F.lit("\n")), F.lit(40))).cast("binary")).alias("tail"))
 
 
 STATUS_SQL = """
 select conv_id, turn, replace(replace(replace(replace(replace(substring(text, 1, 120), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') as cell,
-  md5(case when length(text) > 200 then '...' || right(text, 200) else text end) as tail from conversations
+  md5(case when length(l) > 8192 then '...' || right(l, 8192) else l end) as tail from (select *, repeat(text || chr(10), 40) as l from conversations)
 """
 
 

@@ -71,18 +71,30 @@ def session_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detect_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole loop over recorded replies: an order is an image, its lines are the rounds' full-image replies."""
+    """The whole loop over recorded replies: an order is an image, its lines are the rounds' full-image replies.
+
+    Some replies have a comma too many, some calls failed, and boxes are verified on a second look.
+    """
     li = read_table(spark, sf_dir, "lineitem")
     images = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image_id"), F.lit(1000).alias("w"), F.lit(800).alias("h"))
     entry = F.expr("""concat('{"label":"', l_returnflag, '","bbox_2d":[', (l_partkey * 37) % 700, ',', (l_suppkey * 53) % 700, ',', (l_partkey * 37) % 700 + 90, ',', (l_suppkey * 53) % 700 + 80, ']}')""")
-    replies = li.groupBy(F.col("l_orderkey").alias("image_id"), F.least("l_linenumber", F.lit(3)).alias("round")).agg(F.concat(F.lit("<think>t</think><answer>["), F.array_join(F.array_sort(F.collect_list(entry)), ","), F.lit("]</answer>")).alias("reply"))
+    listed = li.groupBy(F.col("l_orderkey").alias("image_id"), F.least("l_linenumber", F.lit(3)).alias("round")).agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    end = F.when(F.col("image_id") % 5 == 0, ",]</answer>").otherwise("]</answer>")
+    text = F.concat(F.lit("<think>t</think><answer>["), F.array_join("e", ","), end)
+    replies = listed.select("image_id", "round", F.when((F.col("image_id") + F.col("round")) % 7 != 0, text).alias("reply"))
+    looks = listed.select("image_id", "round", F.posexplode("e").alias("pos", "x")).select(
+        "image_id", "round", "pos", F.expr("case (image_id + pos) % 4 when 0 then '<present>NO</present>' when 2 then 'yes' when 3 then '<present> yes </present>' end").alias("reply")
+    )
     scores = images.select("image_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("round")).withColumn("reply", F.concat(F.lit("<score>"), ((F.col("image_id") * 7 + F.col("round") * 3) % 11).cast("string"), F.lit("</score><feedback>f</feedback>")))
-    rounds, _ = loop.detect(images, loop.replay(replies, ["image_id", "round"]), loop.replay(scores, ["image_id", "round"]), shapes.CATEGORIES, tiled=False)
+    models = loop.replay(replies, ["image_id", "round"]), loop.replay(scores, ["image_id", "round"])
+    rounds, _ = loop.detect(images, *models, shapes.CATEGORIES, tiled=False, verifier=loop.replay(looks, ["image_id", "round", "pos"]))
     return round_ops.best_rounds(rounds).select("image_id", F.col("round").alias("best_round"), F.col("score").alias("best_score"), "n")
 
 
 DETECT_SQL = """
-with n as (select l_orderkey, least(l_linenumber, 3) as round, count(*) filter (l_returnflag in ('A', 'R')) as n from lineitem group by 1, 2),
+with e as (select l_orderkey, least(l_linenumber, 3) as round, l_returnflag as label, '{"label":"' || l_returnflag || '","bbox_2d":[' || (l_partkey * 37) % 700 || ',' || (l_suppkey * 53) % 700 || ',' || ((l_partkey * 37) % 700 + 90) || ',' || ((l_suppkey * 53) % 700 + 80) || ']}' as x from lineitem),
+p as (select *, row_number() over (partition by l_orderkey, round order by x) - 1 as pos from e),
+n as (select l_orderkey, round, count(*) filter (label in ('A', 'R') and (l_orderkey + round) % 7 <> 0 and (l_orderkey + pos) % 4 <> 0) as n from p group by 1, 2),
 s as (select o_orderkey as image_id, cast(r as int) as round, cast((o_orderkey * 7 + r * 3) % 11 as int) as score from orders, range(1, 4) t(r)),
 d as (select *, coalesce(max(case when score >= 8 then 1 else 0 end) over (partition by image_id order by round rows between unbounded preceding and 1 preceding), 0) as done from s),
 b as (select *, row_number() over (partition by image_id order by score desc, round) as k from d where done = 0)

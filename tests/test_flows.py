@@ -189,3 +189,27 @@ def test_regions_are_connected_parts():
     comp = back.copy()
     comp[2, 2] = 60
     assert px.stroke_mask(np.zeros((5, 5, 4), np.uint8), comp, back).sum() == 1
+
+
+def test_a_call_that_fails_to_the_last_ends_no_job(spark, monkeypatch):
+    monkeypatch.setattr("time.sleep", lambda s: None)
+
+    def client():
+        def call(p):
+            if "1" in p:
+                raise OSError("gone")
+            return "<present>no</present>"
+
+        return call
+
+    req = spark.createDataFrame([(1, "box 1"), (2, "box 2")], "id int, prompt string")
+    monkeypatch.setattr(loop, "with_retries", lambda call, make=loop.with_retries: make(call, sleep=lambda s: None))
+    got = {r.id: (r.reply, r.error) for r in loop.live(client, workers=1)(req).collect()}
+    assert got[2] == ("<present>no</present>", None) and got[1][0] is None and "gone" in got[1][1]
+
+
+def test_second_look_drops_what_is_denied(spark):
+    images = spark.createDataFrame([(1, 1000, 1000)], "image_id long, w int, h int")
+    found = spark.createDataFrame([(1, 1, 0, k, "A", 10 * k, 10, x2, 900) for k, x2 in enumerate((500, 600, 700, 31))], "image_id long, round int, tile_idx int, pos int, label string, x1 int, y1 int, x2 int, y2 int")
+    said = spark.createDataFrame([(0, "<present>NO</present>"), (1, "yes"), (3, "<present>NO</present>")], "pos int, reply string")
+    assert sorted(r.pos for r in loop.verified(images, found, loop.replay(said, ["pos"])).collect()) == [1, 2, 3]

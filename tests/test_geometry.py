@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -121,3 +122,43 @@ def test_slices(spark):
     ids = lambda *a: sorted(r.i for r in ordering.sliced(df, "i", [], *a).collect())
     assert ids(3, 8, None) == [3, 4, 5, 6, 7] and ids(3, 8, 2) == [3, 4] and ids(8, 3, None) == list(range(20))
     assert ids(15, None, 3) == [15, 16, 17] and ids(0, 100, None) == list(range(20))
+
+
+def test_names_are_never_given_twice(spark):
+    def plain(stems):
+        out = []
+        for s in stems:
+            name, k = s, 1
+            while name in out:
+                name, k = f"{s}_{k}", k + 1
+            out.append(name)
+        return out
+
+    stems = ["a", "a", "a_1", "a_1", "a", "b_2", "b", "b", "b", "b_2", "c", "c", "_1", "", "", "a_1_1"]
+    df = spark.createDataFrame(list(enumerate(stems)), "i int, stem string")
+    got = {r.i: r.uniq_stem for r in ordering.unique_stems(df, "stem", ["i"]).collect()}
+    assert [got[i] for i in range(len(stems))] == plain(stems)
+
+
+def test_suppression_across_batches_equals_a_plain_version(spark, monkeypatch):
+    from boxloom.operators import boxes
+
+    monkeypatch.setattr(boxes, "CHUNK", 3)
+    rng = random.Random(9)
+    rows = [(k % 3 if k % 7 else None, k, *(lambda x, y: (x, y, x + rng.randrange(0, 40), y + rng.randrange(0, 40)))(rng.randrange(60), rng.randrange(60))) for k in range(300)]
+
+    def iou(a, b):
+        n = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+        u = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - n
+        return n / u if u else 0.0
+
+    want = set()
+    for g in {r[0] for r in rows}:
+        kept = []
+        for r in sorted((r for r in rows if r[0] == g), key=lambda r: ((r[4] - r[2]) * (r[5] - r[3]), r[1])):
+            if not any(iou(k[2:], r[2:]) > 0.3 for k in kept):
+                kept.append(r)
+        want |= {(*r[:2], k) for k, r in enumerate(kept, 1)}
+    df = spark.createDataFrame(rows, "g int, i int, x1 int, y1 int, x2 int, y2 int").repartition(3)
+    assert {(r.g, r.i, r["rank"]) for r in boxes.suppress(df, ["g"], ["i"], 0.3).collect()} == want
+    assert {(r.g, r.i, r["rank"]) for r in boxes.suppress(df, ["g"], ["i"], 0.3, most=5).collect()} == {w for w in want if w[2] <= 5}

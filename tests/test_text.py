@@ -148,3 +148,12 @@ def test_judge_prompt_lists_every_box_of_an_image(spark):
     assert max(map(len, listed.values())) > 20
     want = {k: hashlib.md5(json.dumps(v, separators=(",", ":")).encode()).hexdigest() for k, v in listed.items()}
     assert {r.image_id: r.digest for r in text_queries.judge_prompt(spark, SF_DIR).collect()} == want
+
+
+def test_fences_of_any_depth_and_lists_under_any_key(spark):
+    deep = "```\n" * 5 + "x" + "\n```" * 5
+    assert one(spark, t.without_fences, deep, "```a```b", "``` x", None) == ["x", "```a```b", "``` x", None]
+    cases = ['{"note":1,"z":[1,2],"a":[3]}', '{"data":{},"items":[4]}', '[5]', '{"a":1}', "7", '{"b":"[]","c":[6]}']
+    df = spark.createDataFrame([(c,) for c in cases], "x string")
+    got = [r[0] for r in df.select(F.to_json(t.wrapped_list(F.try_parse_json("x"), F.col("x")))).collect()]
+    assert got == ["[1,2]", "[4]", "[5]", None, None, "[6]"]
