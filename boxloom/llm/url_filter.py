@@ -1,13 +1,15 @@
 """URL filters by a weighted vocabulary and host rules.
 
-An Aho-Corasick automaton finds strict and soft terms in host and path. A term counts only between
-boundaries (no letter or digit on either side). One strict term, or SOFT_HITS distinct soft ones, block
-a url. Rules for hosts and paths come before the vocabulary; the longest that fits decides.
+An Aho-Corasick automaton finds strict and soft terms in the whole percent-decoded url: host, path, query and
+fragment. A term counts only between boundaries (no letter or digit on either side). One strict term, or
+SOFT_HITS distinct soft ones whose weights reach REJECT, block a url. Rules for hosts and paths come before the
+vocabulary; the longest that fits decides.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from urllib.parse import unquote
 
 import ahocorasick
 import pandas as pd
@@ -24,11 +26,20 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Terms that block on their own.
-STRICT = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "casino", "porn", "xxx", "viagra", "jackpot", "escort")
-#: Terms of which SOFT_HITS distinct ones block.
-SOFT = ("spam", "cheap", "pills", "free", "bets", "win", "ads", "track", "bonus", "deal", "adult", "loan", "poker", "betting", "sexy", "tracker")
-SOFT_HITS = 2
+#: Terms that block on their own, in several languages.
+STRICT = tuple(
+    "casino kasino casinos porn porno pornos xxx viagra cialis jackpot escort escorts hentai tragaperras spielautomaten tragamonedas camgirls payday-loan".split()
+)
+#: Weights of terms that block together with others, by what they speak of.
+SOFT_BY_WEIGHT = {
+    0.7: "spam adult nude nudes sex erotik erotica erotique paris-sportifs popunder adserver malware",
+    0.6: "pills pillen pilules pastillas bets betting wetten apuestas poker slots roulette ads werbung publicidad sexy hookup gewinnspiel",
+    0.5: "cheap billig barato pas-cher free gratis gratuit kostenlos win gewinn gagner gana bonus bono track tracker tracking loan loans kredit prestamo dating cams replica",
+    0.4: "farm deal deals discount rabatt descuento coupon credit affiliate pixel cam",
+    0.3: "x click klick clic offer angebot oferta",
+}
+SOFT = {term: weight for weight, terms in SOFT_BY_WEIGHT.items() for term in terms.split()}
+SOFT_HITS, REJECT = 2, 1.0
 
 
 def host_of(url: Column) -> Column:
@@ -50,72 +61,85 @@ def rule_for(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return out
 
 
-def build_automaton(strict: tuple, soft: tuple) -> ahocorasick.Automaton:
+def build_automaton(strict: tuple, soft: tuple | Mapping[str, float]) -> ahocorasick.Automaton:
+    """Finds ``strict`` and ``soft`` terms; soft terms without weights weigh REJECT together when there are SOFT_HITS."""
     words = ahocorasick.Automaton()
     for term in sorted({*strict, *soft}):
-        words.add_word(term, (term, term in strict))
+        weight = None if term in strict else soft[term] if isinstance(soft, Mapping) else REJECT / SOFT_HITS
+        words.add_word(term, (term, weight))
     words.make_automaton()
     return words
 
 
-def term_hits(words: ahocorasick.Automaton, text: str) -> tuple[int, int]:
-    """Numbers of distinct strict and soft terms that stand between boundaries in ``text``."""
-    strict, soft = set(), set()
-    for end, (term, hard) in words.iter(text):
+def weighed_hits(words: ahocorasick.Automaton, text: str) -> tuple[int, int, float]:
+    """Numbers of distinct strict and soft terms that stand between boundaries in ``text``, and the soft ones' weight."""
+    strict, soft = set(), {}
+    for end, (term, weight) in words.iter(text):
         start = end - len(term)
         if (start < 0 or not text[start].isalnum()) and (end + 1 == len(text) or not text[end + 1].isalnum()):
-            (strict if hard else soft).add(term)
-    return len(strict), len(soft)
+            if weight is None:
+                strict.add(term)
+            else:
+                soft[term] = weight
+    return len(strict), len(soft), round(sum(sorted(soft.values())), 6)
+
+
+def term_hits(words: ahocorasick.Automaton, text: str) -> tuple[int, int]:
+    """Numbers of distinct strict and soft terms that stand between boundaries in ``text``."""
+    return weighed_hits(words, text)[:2]
 
 
-def scan_urls(parts: DataFrame, strict: tuple = STRICT, soft: tuple = SOFT) -> DataFrame:
-    """``parts`` (with string columns host and path) plus n_strict and n_soft (int)."""
+def scan_urls(urls: DataFrame, strict: tuple = STRICT, soft: Mapping[str, float] = SOFT) -> DataFrame:
+    """``urls`` (with string column url) plus n_strict and n_soft (int) and soft_weight (double)."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = build_automaton(strict, soft)
         for b in batches:
-            hits = [term_hits(words, (h + p).lower()) for h, p in zip(b["host"], b["path"])]
-            b["n_strict"], b["n_soft"] = [x[0] for x in hits], [x[1] for x in hits]
+            hits = [weighed_hits(words, unquote(u or "").lower()) for u in b["url"]]
+            b["n_strict"], b["n_soft"], b["soft_weight"] = ([x[k] for x in hits] for k in range(3))
             yield b
 
-    return parts.mapInPandas(scan, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", n_strict int, n_soft int")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema)
+    return urls.mapInPandas(scan, schema + ", n_strict int, n_soft int, soft_weight double")
 
 
-def judge_urls(pages: DataFrame) -> DataFrame:
-    """Per row of ``pages``: page_id, host, path, rule, verdict, n_strict, n_soft.
+def judge_urls(pages: DataFrame, strict: tuple = STRICT, soft: Mapping[str, float] = SOFT, rules: tuple = RULES) -> DataFrame:
+    """Per row of ``pages``: page_id, host, path, rule, verdict, n_strict, n_soft, soft_weight.
 
-    A null url, or one without ``://``, has empty host and path, fits no rule and is allowed. Rows that
-    repeat a page_id are judged one by one.
+    A null url, or one without ``://``, has empty host and path and fits no rule; a null one has no terms. Percent
+    escapes that are no UTF-8 stand for no letter. Rows that repeat a page_id are judged one by one.
     """
     url = F.col("url")
-    parts = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
-    own = F.when((F.col("n_strict") > 0) | (F.col("n_soft") >= SOFT_HITS), "block").otherwise("allow")
+    parts = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"))
+    own = F.when((F.col("n_strict") > 0) | ((F.col("n_soft") >= SOFT_HITS) & (F.col("soft_weight") >= REJECT)), "block").otherwise("allow")
     return (
-        scan_urls(parts)
-        .withColumn("fit", rule_for(F.col("host"), F.col("path")))
-        .select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", own).alias("verdict"), "n_strict", "n_soft")
+        scan_urls(parts, strict, soft)
+        .withColumn("fit", rule_for(F.col("host"), F.col("path"), rules))
+        .select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", own).alias("verdict"), "n_strict", "n_soft", "soft_weight")
     )
 
 
 def _oracle() -> str:
     def found(term: str) -> str:
-        return f"cast(regexp_matches(u, '(^|[^\\p{{L}}\\p{{N}}]){term}($|[^\\p{{L}}\\p{{N}}])') as int)"
+        return f"regexp_matches(u, '(^|[^\\p{{L}}\\p{{N}}]){term}($|[^\\p{{L}}\\p{{N}}])')"
 
+    strict = " + ".join(f"cast({found(t)} as int)" for t in STRICT)
+    soft = ", ".join(f"case when {found(t)} then {w}::double end" for t, w in SOFT.items())
     fits = " union all ".join(f"select '{v}' as v, '{h}' as h, '{p}' as p" for v, h, p in RULES)
     return f"""
 with a as (
-  select page_id,
+  select page_id, lower(case when contains(url, '%') then url_decode(url) else coalesce(url, '') end) as u,
     case when strpos(url, '://') > 0 then translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end as host,
     case when strpos(url, '://') > 0 then regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) else '' end as path
   from pages
-), s as (select *, lower(host || path) as u from a),
-c as (select *, {" + ".join(map(found, STRICT))} as n_strict, {" + ".join(found(x) for x in SOFT if x not in STRICT)} as n_soft from s),
+), w as (select *, {strict} as n_strict, list_filter([{soft}], lambda x: x is not null) as s from a),
+c as (select *, len(s) as n_soft, round(coalesce(list_sum(s), 0), 6) as soft_weight from w),
 r as ({fits}),
 f as (select c.*, (select arg_max({{'rule': r.h || r.p, 'v': r.v}}, length(r.h || r.p)) from r
        where (c.host = r.h or ends_with(c.host, '.' || r.h)) and starts_with(c.path, r.p)) as fit from c)
 select page_id, host, path, fit.rule as rule,
-  coalesce(fit.v, case when n_strict > 0 or n_soft >= {SOFT_HITS} then 'block' else 'allow' end) as verdict,
-  cast(n_strict as int) as n_strict, cast(n_soft as int) as n_soft
+  coalesce(fit.v, case when n_strict > 0 or (n_soft >= {SOFT_HITS} and soft_weight >= {REJECT}) then 'block' else 'allow' end) as verdict,
+  cast(n_strict as int) as n_strict, cast(n_soft as int) as n_soft, soft_weight
 from f
 """
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from boxloom.llm import url_filter as u
 
 
@@ -13,20 +15,20 @@ def host_path(url):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), tail[:cut]
 
 
-def verdict(host, path):
+def verdict(host, path, url=""):
     best = None
     for v, h, p in u.RULES:
         if (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or len(h + p) > len(best[0])):
             best = (h + p, v)
     if best:
         return best
-    text, hits = (host + path).lower(), {True: set(), False: set()}
+    text, hits = unquote(url or "").lower(), {True: set(), False: set()}
     for hard, terms in ((True, u.STRICT), (False, u.SOFT)):
         for t in terms:
             for i in range(len(text)):
                 if text.startswith(t, i) and (i == 0 or not text[i - 1].isalnum()) and (i + len(t) == len(text) or not text[i + len(t)].isalnum()):
                     hits[hard].add(t)
-    return None, "block" if hits[True] or len(hits[False]) >= u.SOFT_HITS else "allow"
+    return None, "block" if hits[True] or (len(hits[False]) >= 2 and sum(u.SOFT[t] for t in hits[False]) > 0.999) else "allow"
 
 
 URLS = [
@@ -34,6 +36,7 @@ URLS = [
     "http://a.net/de/8", "http://example.net/de/8", "http://x.example.net/de/81/", "http://notexample.net/de/8", "http://y.org/es/", "http://y.org/es", "http://com/en/", "http://xcom/en/",
     "http://casino-win.fr/", "http://www.cheap-pills.fr/a", "http://mycasino.fr", "http://casinos.fr", "http://free.fr/bets", "http://free.fr/free", "http://a.fr/?casino", "http://a.fr/x#free/bets",
     "ftp://É.fr/Ü?q", "http://a.fr/\nx/free\nwin", "http://a.fr/" + "x/" * 50000 + "poker/loan", "a://b://c/d",
+    "http://a.fr/?q=casino", "http://a.fr/#x=Billig&y=Pillen", "http://a.fr/%63asino", "http://a.fr/my%20casino%FF", "http://a.fr/%zz%", "casino.example.com/x", "http://a.fr/deal/farm", "http://a.fr/pas-cher/pilules",
 ]
 
 
@@ -44,7 +47,7 @@ def test_against_plain_python(spark):
     want = []
     for i, x, *_ in rows:
         h, p = host_path(x)
-        want.append((i, h, p, *verdict(h, p)))
+        want.append((i, h, p, *verdict(h, p, x)))
     assert got == sorted(want, key=str)
     assert {w[4] for w in want} == {"allow", "block"}
 
@@ -62,3 +65,15 @@ def test_automaton_counts_distinct_terms_between_boundaries():
 
 def test_empty_table(spark):
     assert u.judge_urls(spark.createDataFrame([], "page_id long, url string")).collect() == []
+
+
+def test_weights_count_only_together():
+    words = u.build_automaton(u.STRICT, u.SOFT)
+    assert u.weighed_hits(words, "deal/farm?click") == (0, 3, 1.1) and u.weighed_hits(words, "spam spam") == (0, 1, 0.7)
+    assert u.weighed_hits(words, "paris-sportifs, gratuit") == (0, 2, 1.2)
+
+
+def test_another_vocabulary_and_other_rules(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/good"), (2, "http://a.b/x?one&two"), (3, "http://c.d/bad")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in u.judge_urls(pages, ("bad",), {"one": 0.5, "two": 0.5}, (("allow", "d", "/b"),)).collect()}
+    assert got == {1: (None, "allow"), 2: (None, "block"), 3: ("d/b", "allow")}
