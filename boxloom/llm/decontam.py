@@ -1,10 +1,11 @@
 """Benchmark decontamination with DataFrame functions only.
 
 Test items become windows of WINDOW words (an item with fewer words is one window). The distinct windows
-form a hash set that is broadcast when its size is within MAX_BROADCAST_WINDOWS and joined by shuffle
-beyond that. The windows of training texts are looked up by a hash of their first two words; those that
-are in that set too are hashed whole and looked up again, and what is found is verified word by word. A
-document with enough of its words in hits counts as contaminated.
+form a hash set that is broadcast if its measured size is within MAX_BROADCAST_BYTES. The windows of training
+texts are then looked up by a hash of their first two words; those that are in that set too are hashed whole and
+looked up again, and what is found is verified word by word. A larger set is met by shuffled hashes of whole
+windows, without any words, and only what is found goes back to its text to be verified. A document with enough
+of its words in hits counts as contaminated.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from boxloom.sources.durable import durable
 WINDOW = 13
 #: A document is contaminated if it has a hit and SHARE times its hit words are at least its words.
 SHARE = 20
-#: Windows of the benchmark that are broadcast at most, about 0.2 kB each.
-MAX_BROADCAST_WINDOWS = 500_000
+#: Bytes of benchmark windows that are broadcast at most, each counted with OVERHEAD bytes for itself and its words.
+MAX_BROADCAST_BYTES, OVERHEAD = 200_000_000, 256
+#: Parts that a shuffled window is dealt into, as one passage may stand in a third of all documents.
+SALT = 16
 #: Stands for the row itself among the hashes of its windows' first words.
 MARK = -1
 
@@ -36,46 +39,72 @@ def words_of(text: Column) -> Column:
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """(item_id, len, gram): the distinct windows of every item that has words."""
     words = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w")).where("size(w) > 0")
-    length = F.least(F.size("w"), F.lit(WINDOW))
-    return (
-        words.withColumn("len", length)
-        .select("item_id", "len", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1), lambda i: F.slice("w", i, F.col("len")))).alias("gram"))
-        .distinct()
-    )
+    windows = F.transform(F.sequence(F.lit(0), F.size("w") - WINDOW), lambda i: F.array(*_from(i, WINDOW)))
+    grams = F.when(F.size("w") <= WINDOW, F.array("w")).otherwise(windows)
+    return words.select("item_id", F.least(F.size("w"), F.lit(WINDOW)).alias("len"), F.explode(grams).alias("gram")).distinct()
+
+
+def _from(i: Column, n: int) -> list[Column]:
+    """``n`` words from place ``i``, counted from 0. Within a lambda ``slice`` would read the whole array for each of them."""
+    return [F.get("w", i + k) for k in range(n)]
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Hits (doc_id, text_key, n_words, pos, len, h, gram), and the items (h, gram, item_id) of every window.
 
     ``pos`` counts a document's words from 1. Each row of ``docs`` also has one row with pos 0, which is no
-    hit but tells its words, so that texts are read and cut once.
+    hit but tells its words.
     """
     items = durable(benchmark_windows(benchmark).withColumn("h", F.xxhash64("gram")))
-    # The numbers of windows and of their lengths decide the plan; both are single small values.
-    sizes = items.agg(F.count("*").alias("n"), F.collect_set("len").alias("lens")).first()
-    small = sizes.n <= MAX_BROADCAST_WINDOWS
-    shared = F.broadcast if small else lambda df: df
-    start = F.xxhash64(F.get("gram", 0), F.get("gram", 1)) if 1 not in sizes.lens else F.when(F.col("len") == 1, F.xxhash64(F.get("gram", 0))).otherwise(F.xxhash64(F.get("gram", 0), F.get("gram", 1)))
+    # The bytes of all windows and their lengths decide the plan; both are single small values.
+    size = F.sum(F.octet_length(F.array_join("gram", " ")).cast("long") + OVERHEAD)
+    sizes = items.agg(F.coalesce(size, F.lit(0)).alias("bytes"), F.collect_set("len").alias("lens")).first()
+    grams = items.select(F.col("h").alias("g_h"), "gram").distinct()
+    words = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("w"))
+    find = _by_broadcast if sizes.bytes <= MAX_BROADCAST_BYTES else _by_shuffle
+    return find(words, items, grams, sorted(sizes.lens)), items.select("h", "gram", "item_id")
+
+
+def _by_broadcast(words: DataFrame, items: DataFrame, grams: DataFrame, lens: list[int]) -> DataFrame:
+    """Hits by two broadcast joins in one pass over the texts. Rows with pos 0 are carried through them; nothing is dealt by key."""
+    start = F.xxhash64(F.get("gram", 0), F.get("gram", 1)) if 1 not in lens else F.when(F.col("len") == 1, F.xxhash64(F.get("gram", 0))).otherwise(F.xxhash64(F.get("gram", 0), F.get("gram", 1)))
     mark = F.lit(MARK).cast("long")
     starts = items.groupBy(start.alias("start")).agg(F.collect_set("len").alias("lens"))
     starts = starts.union(items.sparkSession.range(1).select(mark, F.array(F.lit(0))))
-    grams = items.select(F.col("h").alias("g_h"), "gram").distinct()
-
-    words = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("w"))
     pairs = F.transform("w", lambda x, i: F.xxhash64(x, F.get("w", i + 1)))
-    keys = F.concat(F.array(mark), pairs, F.transform("w", lambda x: F.xxhash64(x))) if 1 in sizes.lens else F.concat(F.array(mark), pairs)
+    keys = F.concat(F.array(mark), pairs, F.transform("w", lambda x: F.xxhash64(x))) if 1 in lens else F.concat(F.array(mark), pairs)
     scan = words.select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"), "w", F.posexplode(keys).alias("p", "start"))
     pos = F.when(F.col("p") > F.col("n_words"), F.col("p") - F.col("n_words")).otherwise(F.col("p")).cast("int")
-    scan = scan.select("doc_id", "text_key", "n_words", pos.alias("pos"), "start", *(["w"] if small else [F.slice("w", F.greatest(F.lit(1), pos), WINDOW).alias("w")]))
-    at = F.greatest(F.lit(1), "pos") if small else F.lit(1)
     near = (
-        scan.join(shared(starts), "start")
+        scan.withColumn("pos", pos)
+        .join(F.broadcast(starts), "start")
         .select("doc_id", "text_key", "n_words", "pos", F.explode("lens").alias("len"), "w")
-        .withColumn("seen", F.slice("w", at, F.col("len")))
+        .withColumn("seen", F.slice("w", F.greatest(F.lit(1), "pos"), F.col("len")))
         .select("doc_id", "text_key", "n_words", "pos", "len", "seen", F.xxhash64("seen").alias("h"))
     )
-    hits = near.join(shared(grams), (F.col("h") == F.col("g_h")) & (F.col("seen") == F.col("gram")), "left").where("pos = 0 or gram is not null")
-    return hits.select("doc_id", "text_key", "n_words", "pos", "len", "h", "gram"), items.select("h", "gram", "item_id")
+    hits = near.join(F.broadcast(grams), (F.col("h") == F.col("g_h")) & (F.col("seen") == F.col("gram")), "left").where("pos = 0 or gram is not null")
+    return hits.select("doc_id", "text_key", "n_words", "pos", "len", "h", "gram")
+
+
+def _by_shuffle(words: DataFrame, items: DataFrame, grams: DataFrame, lens: list[int]) -> DataFrame:
+    """Hits by shuffled hashes of whole windows; windows and texts meet only where hashes do."""
+    ids = words.select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"), "w")
+    # The hash of several words is that of their array.
+    window = lambda n: lambda i: F.struct((i + 1).alias("pos"), F.lit(n).alias("len"), F.xxhash64(*_from(i, n)).alias("h"))
+    each = [F.transform(F.sequence(F.lit(0), F.size("w") - n), window(n)) for n in lens]
+    none = F.array().cast("array<struct<pos:int,len:int,h:bigint>>")
+    seen = ids.select("doc_id", "text_key", F.explode(F.concat(*[F.when(F.size("w") >= n, a).otherwise(none) for n, a in zip(lens, each)])).alias("s")).select("doc_id", "text_key", "s.*")
+    dealt = grams.select("g_h").distinct().select("g_h", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("g_salt"))
+    met = durable(seen.join(dealt, (F.col("h") == F.col("g_h")) & (F.pmod(F.xxhash64("doc_id", "text_key", "pos"), F.lit(SALT)) == F.col("g_salt")), "left_semi"))
+    texts = met.select(F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key")).distinct()
+    texts = ids.distinct().join(texts, F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("text_key").eqNullSafe(F.col("m_key"))).select("m_id", "m_key", "n_words", "w")
+    shown = met.join(texts, F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("text_key").eqNullSafe(F.col("m_key"))).select(
+        "doc_id", "text_key", "n_words", "pos", "len", "h", F.slice("w", F.col("pos"), F.col("len")).alias("seen"), F.pmod(F.xxhash64("doc_id", "text_key", "pos"), F.lit(SALT)).alias("salt")
+    )
+    dealt = grams.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("g_salt"))
+    hits = shown.join(dealt, (F.col("h") == F.col("g_h")) & (F.col("salt") == F.col("g_salt")) & (F.col("seen") == F.col("gram")))
+    marks = ids.select("doc_id", "text_key", "n_words", F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("array<string>").alias("gram"))
+    return hits.select("doc_id", "text_key", "n_words", "pos", "len", "h", "gram").union(marks)
 
 
 def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def test_only_long_items_and_shuffled_join(spark, monkeypatch):
     items = [(i, t) for i, t in items if len(words(t)) >= 13]
     d, b = frames(spark, docs, items)
     assert got(decontam.judge(d, b)) == brute(docs, items)
-    monkeypatch.setattr(decontam, "MAX_BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(decontam, "MAX_BROADCAST_BYTES", -1)
     docs, items = cases()
     d, b = frames(spark, docs, items)
     assert got(decontam.judge(d, b)) == brute(docs, items)
