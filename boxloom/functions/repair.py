@@ -58,13 +58,22 @@ def _scalar(tok: str) -> str:
     return _NAMES.get(tok, tok if _NUMBER.match(tok) else json.dumps(tok, ensure_ascii=False))
 
 
-def repaired(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with ``column`` mended where it is not valid JSON; null where it can't be."""
+def repaired(df: DataFrame, column: str, value: str | None = None) -> DataFrame:
+    """``df`` with ``column`` mended where it is not valid JSON; null where it can't be. ``value`` names a column to hold it as VARIANT.
+
+    Text is parsed once, and only what does not parse goes to Python and is parsed again.
+    """
 
     @F.pandas_udf("string")
     def mend(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
             yield s.map(repair)
 
-    bad = F.try_parse_json(column).isNull()
-    return df.withColumn(column, F.when(bad, mend(F.when(bad, F.col(column)))).otherwise(F.col(column)))
+    name = value or "_value"
+    tried = df.withColumn(name, F.try_parse_json(column))
+    mended = tried.withColumn("_mended", mend(F.when(F.col(name).isNull(), F.col(column))))
+    good = F.col(name).isNotNull()
+    out = mended.withColumn(column, F.when(good, F.col(column)).otherwise(F.col("_mended")))
+    if value is None:
+        return out.drop(name, "_mended")
+    return out.withColumn(name, F.when(good, F.col(name)).otherwise(F.try_parse_json("_mended"))).drop("_mended")
