@@ -37,7 +37,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = license_scan.document_files(read_table(spark, sf_dir, "documents"))
-    return license_scan.scan(files, F.col("first_line")).drop("text")
+    return license_scan.scan(files, F.col("first_line") | F.col("index")).drop("text", "index")
 
 
 def op8_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,8 +256,14 @@ def scan(files: DataFrame, licence_file: Column, model: Model | None = None, thr
 
 
 def document_files(docs: DataFrame) -> DataFrame:
-    """``docs`` as files source/<hundreds of doc_id>/<doc_id>."""
-    return docs.select("doc_id", "text", F.concat_ws("/", "source", F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string")).alias("path"))
+    """``docs`` as files source/<thousands>/<hundreds>/<tens>/<doc_id>, with round ids in the directories further up.
+
+    The file of a round id is the ``index`` of its directory: a notice in it speaks for the directory, as does one that
+    opens any file. A null source is called unknown; a null doc_id has no path.
+    """
+    level = lambda n: F.when(F.col("doc_id") % n != 0, F.floor(F.col("doc_id") / n).cast("string"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), level(1000), level(100), level(10), F.col("doc_id").cast("string"))
+    return docs.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), path).alias("path"), F.coalesce(F.col("doc_id") % 10 == 0, F.lit(False)).alias("index"))
 
 
 def _oracle() -> str:
@@ -268,7 +274,8 @@ def _oracle() -> str:
     names = ", ".join(f"({k}, {quote(n)})" for k, n in enumerate(m.names))
     return f"""
 with i(word, idf) as (values {idf}), tw(t, word, weight) as (values {unit}), names(t, licence) as (values {names}),
-f as (select doc_id, coalesce(text, '') as text, source || '/' || cast(doc_id // 100 as varchar) as folder, source || '/' || cast(doc_id // 100 as varchar) || '/' || cast(doc_id as varchar) as path from documents),
+g as (select doc_id, coalesce(text, '') as text, concat_ws('/', coalesce(source, 'unknown'), case when doc_id % 1000 <> 0 then cast(doc_id // 1000 as varchar) end, case when doc_id % 100 <> 0 then cast(doc_id // 100 as varchar) end, case when doc_id % 10 <> 0 then cast(doc_id // 10 as varchar) end) as folder from documents),
+f as (select *, folder || '/' || cast(doc_id as varchar) as path from g),
 u as (select doc_id, 0 as unit, text as line from f union all
       select doc_id, generate_subscripts(string_split(text, chr(10)), 1), unnest(string_split(text, chr(10))) from f),
 w as (select doc_id, unit, unnest(list_filter(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), lambda x: x <> '' and x not in ({", ".join(map(quote, STOP_WORDS))}))) as word from u),
@@ -276,8 +283,10 @@ c as (select doc_id, unit, w.word, count(*) * coalesce(any_value(idf), {m.rare!r
 n as (select doc_id, unit, sqrt(sum(x * x)) as norm from c group by doc_id, unit),
 s as (select c.doc_id, c.unit, t, round(sum(x * weight) / any_value(norm), 6) as score from c join tw on c.word = tw.word join n on n.doc_id = c.doc_id and n.unit = c.unit group by c.doc_id, c.unit, t having score >= {THRESHOLD}),
 own as (select doc_id, licence, score, unit <= 1 as first_line from (select *, row_number() over (partition by doc_id order by score desc, t, unit) as k from s) join names using (t) where k = 1),
-d as (select folder, licence as dir_licence from (select folder, licence, row_number() over (partition by folder order by score desc, path, licence) as k from f join own using (doc_id) where first_line) where k = 1),
-a as (select f.*, own.licence as own_licence, own.score, d.dir_licence, d.folder as l_dir from f left join own using (doc_id) left join d using (folder))
+d as (select folder, licence as dir_licence from (select folder, licence, row_number() over (partition by folder order by score desc, path, licence) as k from f join own using (doc_id) where first_line or doc_id % 10 = 0) where k = 1),
+up as (select folder, unnest(list_transform(range(0, len(string_split(folder, '/')) + 1), lambda i: array_to_string(string_split(folder, '/')[1:i], '/'))) as above from (select distinct folder from f)),
+near as (select up.folder, arg_max({{'d': d.folder, 'l': d.dir_licence}}, length(d.folder)) as n from up join d on above = d.folder group by up.folder),
+a as (select f.*, own.licence as own_licence, own.score, n.l as dir_licence, n.d as l_dir from f left join own using (doc_id) left join near using (folder))
 select doc_id, path, coalesce(own_licence, dir_licence) as licence, score,
   case when own_licence is not null then 'own' when dir_licence is not null then 'inherited' else 'none' end as how,
   case when own_licence is null then l_dir end as licence_dir

@@ -90,3 +90,19 @@ def test_wrapped_headers_and_sentences_of_a_line(spark):
         "a/top.py": ("MIT", "own"), "b/low.py": ("MIT", "own"), "c/line.py": ("Proprietary", "own"), "d/mit.py": ("MIT", "own"), "e/gpl.py": ("GPL-3.0", "own"),
         "f/gpl2.py": none, "g/own.py": none, "a/x.py": ("MIT", "inherited"), "b/x.py": none, "h/far.py": none,
     }
+
+
+def test_whole_query_inherits_from_several_levels_up(spark):
+    line = "Licensed under the Apache License, Version 2.0."
+    docs = spark.createDataFrame(
+        [(2000, f"a\n{line}", "s"), (2100, "b\nReleased under the MIT License.", "s"), (2111, "c", "s"), (2150, "d", "s"), (2300, "e", "s"), (2345, "f", "s"), (2346, f"g\n{line}", "s"), (2347, "h", "s"), (2111, "i", None), (None, "j", "s"), (3001, "k", "s")],
+        "doc_id long, text string, source string",
+    )
+    files = ls.document_files(docs)
+    out = ls.scan(files, F.col("first_line") | F.col("index"))
+    got = {r.text[0]: (r.path, r.licence, r.how, r.licence_dir) for r in out.collect()}
+    assert got == {
+        "a": ("s/2000", "Apache-2.0", "own", None), "b": ("s/2/2100", "MIT", "own", None), "c": ("s/2/21/211/2111", "MIT", "inherited", "s/2"), "d": ("s/2/21/2150", "MIT", "inherited", "s/2"),
+        "e": ("s/2/2300", "MIT", "inherited", "s/2"), "f": ("s/2/23/234/2345", "MIT", "inherited", "s/2"), "g": ("s/2/23/234/2346", "Apache-2.0", "own", None), "h": ("s/2/23/234/2347", "MIT", "inherited", "s/2"),
+        "i": ("unknown/2/21/211/2111", None, "none", None), "j": (None, None, "none", None), "k": ("s/3/30/300/3001", "Apache-2.0", "inherited", "s"),
+    }
