@@ -90,8 +90,9 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool = True
     cols = [c for c in docs.columns if c not in names]
     lines = F.when(F.col("text").isNotNull(), split_lines(F.col("text")))
     out = (
-        docs.select(*cols, lines.alias("_lines"))
+        docs.select(*cols)
         .join(drops, (F.col("doc_id") == F.col("_drop_id")) & (text_key == F.col("_drop_key")), "left")
+        .withColumn("_lines", lines)
         .withColumn("_n", F.coalesce(F.when(F.col("_lines").isNotNull(), F.size("_lines")), F.lit(0)))
     )
     # What stays is the runs of lines between those that go, so that the work is in proportion to the lines.
