@@ -158,22 +158,17 @@ def own_licences(files: DataFrame, model: Model, threshold: float) -> DataFrame:
     anchors = model.anchors(threshold)
     some = lambda words: F.exists(words, lambda x: x.isin(anchors))
     units = files.where(some(words_of(text))).select("file_key", F.posexplode(units_of(text)).alias("unit", "u")).select("file_key", "unit", "u.at", "u.line")
-    known = F.filter("w", lambda x: x.isin(list(model.idf)))
-    mass = F.aggregate(
-        F.array_distinct("known"), F.lit(0.0),
-        lambda acc, x: acc + F.pow(F.size(F.filter("known", lambda y: y == x)) * idf[x], F.lit(2.0)),
-    )
     # What a unit shares with all templates must be threshold ** 2 of its squared length at least, and every
     # other word adds rare ** 2 to that length or more.
-    others = (F.size("w") - F.size("known")) * model.rare**2
-    near = (
-        units.select("file_key", "unit", "at", words_of(F.col("line")).alias("w"))
-        .where(some(F.col("w")))
-        .withColumn("w", F.filter("w", lambda x: ~x.isin(*STOP_WORDS)))
-        .withColumn("known", known)
-        .withColumn("mass", mass)
-        .where(F.col("mass") * (1 + 1e-9) >= threshold**2 * (F.col("mass") + others))
+    mass = lambda known: F.aggregate(
+        F.array_distinct(known), F.lit(0.0), lambda acc, x: acc + F.pow(F.size(F.filter(known, lambda y: y == x)) * idf[x], F.lit(2.0))
     )
+    split = lambda w: F.struct(F.filter(w, lambda x: ~x.isin(*STOP_WORDS)).alias("w"), F.filter(w, lambda x: x.isin(list(model.idf))).alias("known"))
+    weigh = lambda b: F.struct(b.w.alias("w"), mass(b.known).alias("mass"), ((F.size(b.w) - F.size(b.known)) * model.rare**2).alias("others"))
+    shares = lambda b: b.mass * (1 + 1e-9) >= threshold**2 * (b.mass + b.others)
+    # One unit's words are bound by lambdas, step by step: as columns, a filter would work them out anew wherever it names them.
+    bag = F.transform(F.filter(F.array(words_of(F.col("line"))), some), split)
+    near = units.select("file_key", "unit", "at", F.explode(F.filter(F.transform(bag, weigh), shares)).alias("b")).select("file_key", "unit", "at", "b.w")
     counts = near.select("file_key", "unit", "at", F.explode("w").alias("word")).groupBy("file_key", "unit", "at", "word").agg(F.count("*").alias("tf"))
     weights = spark.createDataFrame([(k, w, x, int(w in model.must.get(k, ()))) for k, w, x in model.unit], "template int, t_word string, weight double, must int")
     needed = F.array(*[F.lit(len(model.must.get(k, ()))) for k in range(len(model.names))])
