@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,6 +131,38 @@ def said_present(reply: Column) -> Column:
     return F.when(reply.isNull(), True).when(word != "", word == "YES").otherwise(F.contains(F.upper(reply), F.lit("YES")))
 
 
+def filled(template: str, **values: Column) -> Column:
+    """``template`` with every ``{{ name }}``, or else every ``{name}``, replaced by the column of that name.
+
+    A name without a column is an error; a null value is empty.
+    """
+    form = r"\{\{\s*(\w+)\s*\}\}"
+    parts = re.split(form if re.search(form, template) else r"\{(\w+)\}", template)
+    if missing := sorted(set(parts[1::2]) - values.keys()):
+        raise ValueError(f"the template names what is not given: {', '.join(missing)}")
+    return F.concat(*[F.coalesce(values[p], F.lit("")) if k % 2 else F.lit(p) for k, p in enumerate(parts)])
+
+
+def candidates_block(regions: Column) -> Column:
+    """Candidate regions, an array of (id, x1, y1, x2, y2), as lines of a prompt; none give an empty string."""
+    corners = lambda r: F.concat_ws(", ", *[r[c].cast("string") for c in ("x1", "y1", "x2", "y2")])
+    lines = F.transform(regions, lambda r: F.concat(F.lit("- Candidate #"), r.id.cast("string"), F.lit(": bbox_2d ["), corners(r), F.lit("]")))
+    return F.when(F.size(regions) > 0, F.concat(F.lit("\nCandidate regions on the 0-1000 scale:\n"), F.array_join(lines, "\n"))).otherwise("")
+
+
+def region_prompt(classes: Column, definitions: Column) -> Column:
+    """What a classifier of drawn regions is told: its classes, what they mean unless that is blank, and the form of its reply."""
+    meant = F.when(strip(F.coalesce(definitions, F.lit(""))) != "", F.concat(F.lit("\nDefinitions:\n"), definitions)).otherwise("")
+    return F.concat(F.lit("Classes: "), F.array_join(classes, ", "), meant, F.lit('\nName the one class of this region, or none: {"class":"<name>","confidence":<0-100>,"reasoning":"<short>"}'))
+
+
+def endpoint(port: Column, external: Column, url: Column, key: Column, model: Column) -> dict[str, Column]:
+    """base_url, api_key and model_name of a request: an outside service's, else the local server's."""
+    # Fixed values.
+    local = {"base_url": F.concat(F.lit("http://127.0.0.1:"), port.cast("string"), F.lit("/v1")), "api_key": F.lit("no-key"), "model_name": F.lit("local-model")}
+    return {name: F.when(external, given).otherwise(local[name]) for name, given in zip(local, (url, key, model))}
+
+
 def feedback_for_tile(feedback: Column, x: Column, y: Column, w: Column, h: Column, image_w: Column, image_h: Column) -> Column:
     """Feedback for one tile: lines without coordinates, and those with a point in the tile.
 

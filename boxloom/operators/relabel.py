@@ -26,6 +26,14 @@ def image_for_label(labels: DataFrame, images: DataFrame, extensions: list[str])
     )
 
 
+def unmatched_labels(labels: DataFrame, images: DataFrame, extensions: list[str]) -> DataFrame:
+    """(stem) of the labels without an image, whatever the case of its name."""
+    held = images.select(F.lower("name").alias("_low"))
+    wanted = labels.select("stem", F.explode(F.array(*[F.lit(e) for e in extensions])).alias("ext"))
+    found = wanted.join(held, F.lower(F.concat("stem", "ext")) == F.col("_low"), "left_semi").select("stem")
+    return labels.select("stem").distinct().join(found, "stem", "left_anti")
+
+
 def parsed_lines(lines: DataFrame, line: str) -> DataFrame:
     """``lines`` with malformed (boolean) and cls, xc, yc, bw, bh (double) of a YOLO label line.
 
@@ -61,6 +69,24 @@ def class_reply(reply: Column) -> dict[str, Column]:
     }
 
 
+def region_reply(reply: Column, value: Column, classes: list[str]) -> dict[str, Column]:
+    """class_name, confidence (0-100), reasoning and class_id of a drawn region's ``reply`` and its VARIANT ``value``.
+
+    A failed call, a null or empty reply, has the class error; a reply that is no object has an empty class. Both have
+    confidence 0. ``class_id`` is the place in ``classes``, null for any other class, none included.
+    """
+    failed = F.coalesce(reply, F.lit("")) == ""
+    text = lambda field: F.coalesce(F.trim(F.try_variant_get(value, f"$.{field}", "string")), F.lit(""))
+    name = F.when(failed, "error").otherwise(F.lower(text("class")))
+    at = F.array_position(F.array(*[F.lit(c) for c in classes]), name)
+    return {
+        "class_name": name,
+        "confidence": F.when(failed, 0.0).otherwise(F.coalesce(F.try_variant_get(value, "$.confidence", "double"), F.lit(0.0))),
+        "reasoning": F.when(failed, "the call failed").otherwise(text("reasoning")),
+        "class_id": F.when(at > 0, (at - 1).cast("int")),
+    }
+
+
 def first_seen_ids(seen: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(name, id, first_ord): ids in the order of first sight, after the ids of ``known`` (name, id).
 
@@ -100,6 +126,18 @@ def run_counters(statuses: DataFrame) -> DataFrame:
     )
 
 
+def still_to_do(work: DataFrame, done: DataFrame, outputs: DataFrame, key: str, in_place: bool) -> DataFrame:
+    """``work`` that neither the ledger ``done`` nor files in ``outputs`` show as done; outputs say nothing if they are the inputs."""
+    left = not_done(work, done, key)
+    return left if in_place else not_done(left, outputs, key)
+
+
+def with_presence(listed: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """``listed`` with found (boolean): whether its key is in ``held``. Rows that repeat stay."""
+    there = held.select(F.col(key).alias("_held")).distinct()
+    return listed.join(there, F.col(key) == F.col("_held"), "left").select(*listed.columns, F.col("_held").isNotNull().alias("found"))
+
+
 def not_done(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """``work`` whose key is not in ``done``."""
     return work.join(done.select(key).distinct(), key, "left_anti")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxloom.functions.repair import repaired
 from boxloom.operators import boxes as box_ops
 from boxloom.operators import relabel as ops
 from boxloom.plans import shapes
@@ -173,13 +174,63 @@ def batch_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BATCH_SQL = "select doc_id // 2 as batch, count(*) as n from documents where doc_id // 2 not in (select doc_id // 2 from labels) group by 1"
 
+
+def resume_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that neither the ledger (labels of quality 1) nor older outputs (all other labels) show as done."""
+    labels = read_table(spark, sf_dir, "labels")
+    return ops.still_to_do(read_table(spark, sf_dir, "documents").select("doc_id", "lang"), labels.where("quality = 1"), labels.where("quality <> 1"), "doc_id", False)
+
+
+LEGACY_SQL = "select doc_id, lang from documents where doc_id not in (select doc_id from labels where quality is not null)"
+
+
+def image_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a list of images, with those that are not there marked."""
+    return ops.with_presence(read_table(spark, sf_dir, "documents").select("doc_id", "source"), read_table(spark, sf_dir, "labels"), "doc_id")
+
+
+LIST_SQL = "select doc_id, source, doc_id in (select doc_id from labels) as found from documents"
+
+
+def unmatched_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels without an image; images have the names of ``label_image_join``."""
+    names = read_table(spark, sf_dir, "documents").where("doc_id % 2 = 0 or doc_id % 3 = 0").select(F.concat(F.lit("IMG"), F.col("doc_id").cast("string"), F.lit(".Png")).alias("name"))
+    labels = read_table(spark, sf_dir, "labels").select(F.concat(F.lit("img"), F.col("doc_id").cast("string")).alias("stem"))
+    return ops.unmatched_labels(labels, names, [".jpg", ".jpeg", ".png"])
+
+
+UNMATCHED_SQL = "select distinct 'img' || doc_id as stem from labels where doc_id not in (select doc_id from documents where doc_id % 2 = 0 or doc_id % 3 = 0)"
+
+#: Classes that a drawn region may have, in the order of their ids.
+REGION_CLASSES = ["click", "view", "purchase"]
+
+
+def region_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, confidence and reason of drawn regions; failed calls, faulty JSON and other classes among them."""
+    reply = F.expr("""case event_id % 7 when 0 then null when 1 then '[1]' when 2 then concat('{"class":" ', upper(event_type), ' ","confidence":"', user_id % 100, '.5"}') when 3 then '{"class":"none","confidence":"x","reasoning":" blank "}'
+        when 4 then concat('{"class":"', event_type, '","confidence":', user_id % 101, ',}') when 5 then '' else concat('{"class":"', event_type, '","confidence":', user_id % 101, ',"reasoning":"seen"}') end""")
+    read = repaired(read_table(spark, sf_dir, "events").select("event_id", reply.alias("reply"), reply.alias("json")), "json", "value")
+    return read.select("event_id", *[v.alias(k) for k, v in ops.region_reply(F.col("reply"), F.col("value"), REGION_CLASSES).items()])
+
+
+REGION_SQL = """
+with r as (select event_id, case event_id % 7 when 0 then null when 1 then '[1]' when 2 then '{"class":" ' || upper(event_type) || ' ","confidence":"' || user_id % 100 || '.5"}' when 3 then '{"class":"none","confidence":"x","reasoning":" blank "}'
+  when 4 then '{"class":"' || event_type || '","confidence":' || user_id % 101 || ',}' when 5 then '' else '{"class":"' || event_type || '","confidence":' || user_id % 101 || ',"reasoning":"seen"}' end as reply from events),
+f as (select event_id, coalesce(reply, '') = '' as failed, cast(case when coalesce(reply, '') = '' then '{}' else regexp_replace(reply, ',\\s*}', '}') end as json) as j from r),
+c as (select event_id, case when failed then 'error' else lower(trim(coalesce(j->>'$.class', ''))) end as class_name, case when failed then 0.0::double else coalesce(try_cast(j->>'$.confidence' as double), 0.0::double) end as confidence,
+  case when failed then 'the call failed' else trim(coalesce(j->>'$.reasoning', '')) end as reasoning from f)
+select *, cast(nullif(coalesce(list_position(['click', 'view', 'purchase'], class_name), 0), 0) - 1 as int) as class_id from c
+"""
+
 QUERIES = {
     "label_image_join": label_image_join, "yolo_to_pixel": yolo_to_pixel, "class_replies": class_replies, "class_ids": class_ids, "run_counters": run_counters,
     "relabel_lines": relabel_lines, "low_confidence": low_confidence, "merge_class_map": merge_class_map, "category_lookup": category_lookup,
     "resume_antijoin": resume_antijoin, "batch_antijoin": batch_antijoin,
+    "resume_legacy": resume_legacy, "image_list": image_list, "unmatched_labels": unmatched_labels, "region_replies": region_replies,
 }
 
 ORACLES = {
     "label_image_join": JOIN_SQL, "yolo_to_pixel": YOLO_SQL, "class_replies": f"with {REPLIES_SQL} select * from cc", "class_ids": CLASS_SQL, "run_counters": COUNTERS_SQL,
     "relabel_lines": RELABEL_SQL, "low_confidence": LOW_SQL, "merge_class_map": MERGE_SQL, "category_lookup": LOOKUP_SQL, "resume_antijoin": RESUME_SQL, "batch_antijoin": BATCH_SQL,
+    "resume_legacy": LEGACY_SQL, "image_list": LIST_SQL, "unmatched_labels": UNMATCHED_SQL, "region_replies": REGION_SQL,
 }

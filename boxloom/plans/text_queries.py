@@ -192,6 +192,54 @@ select o_orderkey, md5('Find: A, R' || case when feedback <> '' then chr(10) ||
 """
 
 
+#: A detector's prompt of one's own.
+TEMPLATE = "Find {{ categories_list }}.{{category_definitions}}{{ feedback_block }}"
+
+
+def template_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts by a template, with all boxes of an order as candidate regions and its judge's feedback; by digest."""
+    box = F.struct(F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("o"), *[F.expr(e).alias(c) for c, e in (("x1", "l_partkey % 900"), ("y1", "l_suppkey % 900"), ("x2", "l_partkey % 900 + 90"), ("y2", "l_suppkey % 900 + 90"))])
+    boxes = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(box)).alias("b"))
+    regions = F.transform("b", lambda r, i: F.struct((i + 1).alias("id"), r.x1.alias("x1"), r.y1.alias("y1"), r.x2.alias("x2"), r.y2.alias("y2")))
+    told = judge_parse(spark, sf_dir).join(boxes, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("regions", regions)
+    prompt = t.filled(TEMPLATE, categories_list=F.lit(", ".join(shapes.CATEGORIES)), category_definitions=t.candidates_block(F.col("regions")), feedback_block=F.concat(F.lit("\nFeedback: "), "feedback"))
+    return told.select("o_orderkey", F.md5(prompt.cast("binary")).alias("digest"))
+
+
+TEMPLATE_SQL = f"""
+with p as ({JUDGE_SQL}),
+b as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as i, l_partkey % 900 as x, l_suppkey % 900 as y from lineitem),
+c as (select l_orderkey, chr(10) || 'Candidate regions on the 0-1000 scale:' || chr(10) || string_agg('- Candidate #' || i || ': bbox_2d [' || x || ', ' || y || ', ' || x + 90 || ', ' || y + 90 || ']', chr(10) order by i) as s from b group by 1)
+select o_orderkey, md5('Find A, R.' || coalesce(s, '') || chr(10) || 'Feedback: ' || feedback) as digest from p left join c on o_orderkey = l_orderkey
+"""
+
+
+def region_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the classifier of each user's regions is told; some users have no definitions."""
+    seen = read_table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_set("event_type")).alias("classes"))
+    definitions = F.expr("case user_id % 3 when 0 then ' ' when 1 then concat('click: of ', user_id) end")
+    return seen.select("user_id", t.region_prompt(F.col("classes"), definitions).alias("prompt"))
+
+
+REGION_PROMPT_SQL = """
+select user_id, 'Classes: ' || string_agg(distinct event_type, ', ' order by event_type) || case when user_id % 3 = 1 then chr(10) || 'Definitions:' || chr(10) || 'click: of ' || user_id else '' end
+  || chr(10) || 'Name the one class of this region, or none: {"class":"<name>","confidence":<0-100>,"reasoning":"<short>"}' as prompt from events group by user_id
+"""
+
+
+def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where requests go: to an outside service for every third part, else to a local server."""
+    url, key, model = [F.concat(F.lit(s), F.col("p_partkey").cast("string")) for s in ("https://api.example.com/", "k", "m")]
+    e = t.endpoint((8000 + F.col("p_partkey") % 10), F.col("p_partkey") % 3 == 0, url, key, model)
+    return read_table(spark, sf_dir, "part").select("p_partkey", *[v.alias(k) for k, v in e.items()])
+
+
+ENDPOINT_SQL = """
+select p_partkey, case when p_partkey % 3 = 0 then 'https://api.example.com/' || p_partkey else 'http://127.0.0.1:' || 8000 + p_partkey % 10 || '/v1' end as base_url,
+  case when p_partkey % 3 = 0 then 'k' || p_partkey else 'no-key' end as api_key, case when p_partkey % 3 = 0 then 'm' || p_partkey else 'local-model' end as model_name from part
+"""
+
+
 def judge_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All detections of an image as the judge sees them: numbered, in JSON; by digest."""
     entry = F.struct(F.concat(F.lit("Box #"), F.col("i").cast("string")).alias("box_index"), F.col("label"), F.array("x1", "y1", "x2", "y2").alias("bbox_2d"))
@@ -286,6 +334,7 @@ QUERIES = {
     "balanced_array": balanced_array, "validate_json": validate_json, "json_unwrap": json_unwrap, "verify_filter": verify_filter,
     "detector_prompt": detector_prompt, "judge_prompt": judge_prompt, "classify_prompt": classify_prompt, "data_uri": data_uri,
     "serving_extra": serving_extra, "category_lists": category_lists, "model_sources": model_sources, "status_text": status_text, "colours": colours,
+    "template_prompt": template_prompt, "region_prompt": region_prompt, "endpoints": endpoints,
 }
 
 ORACLES = {
@@ -293,4 +342,5 @@ ORACLES = {
     "balanced_array": BALANCED_SQL, "validate_json": VALIDATE_SQL, "json_unwrap": UNWRAP_SQL, "verify_filter": VERIFY_SQL,
     "detector_prompt": PROMPT_SQL, "judge_prompt": JUDGE_PROMPT_SQL, "classify_prompt": CLASSIFY_PROMPT_SQL, "data_uri": URI_SQL,
     "serving_extra": EXTRA_SQL, "category_lists": CATEGORY_SQL, "model_sources": MODEL_SQL, "status_text": STATUS_SQL, "colours": COLOUR_SQL,
+    "template_prompt": TEMPLATE_SQL, "region_prompt": REGION_PROMPT_SQL, "endpoints": ENDPOINT_SQL,
 }

@@ -31,6 +31,13 @@ def sot_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.fold_batch(frames(spark, sf_dir), "session", ["frame_id"], tracking.start, tracking.tracker("CSRT (TrackerCSRT)"), tracking.TRACK_SCHEMA)
 
 
+def tracker_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks on every tick of sessions that change their algorithm; every third tick has detections."""
+    name = F.expr("element_at(array('ByteTrack', 'CSRT (TrackerCSRT)', 'None (Pass-through)'), cast(1 + frame_id div 500 % 3 as int))")
+    ticks = frames(spark, sf_dir).select("session", "frame_id", name.alias("algorithm"), F.when((F.col("session") + F.col("frame_id")) % 3 == 0, F.col("boxes")).alias("boxes"))
+    return folds.fold_batch(ticks, "session", ["frame_id"], tracking.tick_start, tracking.tick, tracking.TRACK_SCHEMA)
+
+
 def pass_through(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections that no tracker changes, as rows."""
     box = F.from_json("boxes", "array<array<string>>")
@@ -130,7 +137,7 @@ def region_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "bytetrack": bytetrack, "sot_merge": sot_merge, "pass_through": pass_through, "iou_matrix": iou_matrix, "session_gate": session_gate, "detect_replay": detect_replay,
+    "bytetrack": bytetrack, "sot_merge": sot_merge, "tracker_ticks": tracker_ticks, "pass_through": pass_through, "iou_matrix": iou_matrix, "session_gate": session_gate, "detect_replay": detect_replay,
     "json_repair": json_repair, "frame_metrics": frame_metrics, "conditioned": conditioned, "region_proposals": region_proposals,
 }
 

@@ -48,10 +48,11 @@ def updated_description(description: dict[str, Any], ids: dict[str, int]) -> dic
 def ledger(spark: SparkSession, path: str, settings: str) -> DataFrame:
     """Finished images of runs with the same ``settings``; none if there is no ledger yet.
 
-    Batches are done when their images are: nothing else is recorded of them.
+    Batches are done when their images are: nothing else is recorded of them. Files that can't be read count as
+    not there, so that their images are done again.
     """
     try:
-        return spark.read.schema(LEDGER_SCHEMA).parquet(path).where(F.col("settings") == settings)
+        return spark.read.schema(LEDGER_SCHEMA).option("ignoreCorruptFiles", "true").parquet(path).where(F.col("settings") == settings)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise

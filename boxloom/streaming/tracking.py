@@ -169,6 +169,37 @@ def tracker(name: str):
     return next((step for part, step in ALGORITHMS.items() if part in low), merge_track)
 
 
+def glide(state: dict, row: dict) -> tuple[dict, list[dict]]:
+    """One frame without detections: tracks that are followed move on by their speed; lost ones wait."""
+    for t in state["tracked"]:
+        predict(t)
+    return state, [_output(row, t["id"], t["label"], t["score"], rect(t), t["hits"]) for t in state["tracked"]]
+
+
+def tick_start() -> dict:
+    return {"algorithm": None, "byte": start(), "single": start(), "last": []}
+
+
+def tick(state: dict, row: dict) -> tuple[dict, list[dict]]:
+    """One tick of a session under the algorithm that ``row`` names; null boxes are a tick between detections.
+
+    Between detections Kalman tracks glide and all others are shown as they were last. A change of algorithm
+    ends single-object tracks, whose numbers are not given again, and leaves the Kalman ones.
+    """
+    if row["algorithm"] != state["algorithm"]:
+        state |= {"algorithm": row["algorithm"], "single": state["single"] | {"tracked": []}}
+    step = tracker(row["algorithm"] or "")
+    own = "byte" if step is byte_track else "single"
+    if row["boxes"] is not None:
+        state[own], out = step(state[own], row)
+    elif step is byte_track:
+        state[own], out = glide(state[own], row)
+    else:
+        out = [o | {"session": row["session"], "frame_id": row["frame_id"]} for o in state["last"]]
+    state["last"] = out
+    return state, out
+
+
 GATE_SCHEMA = "session long, frame_id long, submitted boolean, applied boolean"
 
 

@@ -69,3 +69,10 @@ def test_results_are_written(spark, tmp_path):
     sinks.write_label_files(files, str(tmp_path / "labels"), True)
     assert next((tmp_path / "labels/batch=0/stem=a").glob("part-*.txt")).read_text() == "1 2\n3 4\n"
     assert next((tmp_path / "labels/batch=1/stem=b").glob("part-*.txt")).read_text().strip() == ""
+
+
+def test_damaged_ledger_files_are_done_again(spark, tmp_path):
+    path = tmp_path / "ledger"
+    labels.record(spark.createDataFrame([("a", 0)], "stem string, batch int"), str(path), "s")
+    (path / "part-bad.parquet").write_bytes(b"no parquet")
+    assert [r.stem for r in labels.ledger(spark, str(path), "s").collect()] == ["a"]

@@ -157,3 +157,12 @@ def test_fences_of_any_depth_and_lists_under_any_key(spark):
     df = spark.createDataFrame([(c,) for c in cases], "x string")
     got = [r[0] for r in df.select(F.to_json(t.wrapped_list(F.try_parse_json("x"), F.col("x")))).collect()]
     assert got == ["[1,2]", "[4]", "[5]", None, None, "[6]"]
+
+
+def test_templates_take_columns_and_name_what_is_missing(spark):
+    df = spark.createDataFrame([("x", None)], "a string, b string")
+    a, b = df.a, df.b
+    got = df.select(t.filled("{{ a }}-{{b}} {a}", a=a, b=b).alias("double"), t.filled("{a}{b}", a=a, b=b).alias("single"), t.filled("none", a=a).alias("plain")).first()
+    assert tuple(got) == ("x- {a}", "x", "none")
+    with pytest.raises(ValueError, match="c"):
+        t.filled("{{ c }}", a=a)
