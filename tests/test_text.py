@@ -166,3 +166,9 @@ def test_templates_take_columns_and_name_what_is_missing(spark):
     assert tuple(got) == ("x- {a}", "x", "none")
     with pytest.raises(ValueError, match="c"):
         t.filled("{{ c }}", a=a)
+
+
+def test_forms_of_colours(spark):
+    cases = {"#1aF": [17, 170, 255, 9], "#1aFc": [17, 170, 255, 9], "#10203040": [16, 32, 48, 9], "rgb(1, 2,255)": [1, 2, 255, 9], "none": [0, 0, 0, 0], "": [0, 0, 0, 0], None: [0, 0, 0, 0], "Red": [255, 0, 0, 9], "#12": [7, 8, 9, 9], "transparent": [7, 8, 9, 9]}
+    df = spark.createDataFrame([(c,) for c in cases], "c string")
+    assert {r.c: r.rgba for r in df.select("c", t.colour_of(F.col("c"), (7, 8, 9), 9).alias("rgba")).collect()} == cases
