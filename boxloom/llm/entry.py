@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import decontam, embed_dedup, html_extract, langid, license_scan, line_dedup, packing, quality, simhash, url_filter
+from boxloom.llm import decontam, embed_dedup, fill_middle, html_extract, langid, license_scan, line_dedup, packing, quality, simhash, url_filter
 from boxloom.sources.tables import read_table
 
 
@@ -52,6 +52,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash": op2_simhash,
@@ -63,6 +67,7 @@ QUERIES = {
     "op8_embed_dedup": op8_embed_dedup,
     "op9_langid": op9_langid,
     "op10_url_filter": op10_url_filter,
+    "op11_fill_middle": op11_fill_middle,
 }
 
 ORACLES = {
@@ -71,4 +76,5 @@ ORACLES = {
     "op7_license_scan": license_scan.ORACLE,
     "op8_embed_dedup": embed_dedup.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
+    "op11_fill_middle": fill_middle.ORACLE,
 }

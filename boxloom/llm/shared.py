@@ -23,6 +23,15 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(each)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` has none of, whatever the case of their letters."""
+    taken = {c.lower() for c in df.columns}
+    lead = "_"
+    while any((lead + name).lower() in taken for name in names):
+        lead += "_"
+    return [lead + name for name in names]
+
+
 def crc_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo ``n``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

@@ -1,0 +1,88 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from boxloom.llm import fill_middle as fim
+
+TOKEN = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
+ALPHABET = ["a", "b", " ", "\n", "\t", "\x0b", "\x1c", "\x85", " ", "é", "ß", "日", " ", "🙂", "\U0010ffff", "<", ">", "P"]
+
+
+def brute(doc_id, text, unit="tokens", rate=50):
+    """The contract, in code points."""
+    text = text or ""
+    hexed = hashlib.sha256(f"42:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(hexed[8 * k : 8 * k + 8], 16) for k in range(4))
+    tokens = TOKEN.findall(text) if unit == "tokens" else list(text)
+    n = len(tokens)
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= rate:
+        return n, "plain", None, None, text
+    a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+    p, m, s = "".join(tokens[:a]), "".join(tokens[a:b]), "".join(tokens[b:])
+    if h4 % 100 < 80:
+        return n, "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+def texts(seed, count):
+    rng = random.Random(seed)
+    return ["".join(rng.choices(ALPHABET, k=rng.randrange(0, 60))) for _ in range(count)]
+
+
+def test_index_turns_places_into_bytes_and_back():
+    for text in texts(1, 300):
+        raw = text.encode()
+        index = fim.ByteIndex(np.frombuffer(raw, np.uint8))
+        places = np.arange(len(text) + 1)
+        want = [len(text[:k].encode()) for k in places]
+        assert index.to_bytes(places).tolist() == want
+        assert index.to_chars(np.array(want)).tolist() == places.tolist()
+        assert index.n_chars == len(text) and len(index.starts) == sum(ord(c) > 127 for c in text)
+
+
+def test_tokens_are_those_of_the_pattern():
+    for text in texts(2, 500):
+        ends = fim.token_ends(np.frombuffer(text.encode(), np.uint8)).tolist()
+        want, at = [], 0
+        for token in TOKEN.findall(text):
+            at += len(token.encode())
+            want.append(at)
+        assert ends == want
+
+
+@pytest.mark.parametrize("unit", fim.UNITS)
+def test_against_brute_force(spark, unit):
+    rows = list(enumerate(texts(3, 400))) + [(None, "no id here"), (None, None), (500, None), (501, ""), (502, "has <P> in it"), (503, "<P"), (504, " \n ")]
+    rows += [(7, "one text of an id"), (7, "another text, 日本語, of an id"), (7, "one text of an id"), (-9, "é" * 300_000), (505, "word 日 " * 100_000)]
+    docs = spark.createDataFrame([(d, t, 1, "x", "y", 2) for d, t in rows], "doc_id long, text string, _text int, form string, _cut string, _form_ int")
+    out = fim.transform(docs, unit=unit)
+    assert out.columns == ["doc_id", "text", "_text", "_cut", "_form_", "n", "form", "prefix_chars", "middle_chars", "output"]
+    back = out.withColumn("back", fim.restored(out.output, out.form)).collect()
+    got = sorted(((r.doc_id, r.text, r.n, r.form, r.prefix_chars, r.middle_chars, r.output) for r in back), key=str)
+    assert got == sorted(((d, t, *brute(d, t, unit)) for d, t in rows), key=str)
+    assert all(r.back == (r.text or "") for r in back)
+    assert {r.form for r in back} == {"plain", "psm", "spm"} and {r["_cut"] for r in back} == {"y"}
+
+
+def test_rates_of_nothing_and_all(spark):
+    docs = spark.createDataFrame([(k, f"some words of text {k}") for k in range(200)], "doc_id long, text string")
+    assert {r.form for r in fim.transform(docs, rate=0).collect()} == {"plain"}
+    assert {r.form for r in fim.transform(docs, rate=100, suffix_first=0).collect()} == {"psm"}
+    assert fim.transform(docs.limit(0)).collect() == []
+
+
+def test_other_marks_are_checked_and_restored(spark):
+    docs = spark.createDataFrame([(k, f"a.b [pre] {k} é") for k in range(50)], "doc_id long, text string")
+    marks = ("\\E[a]", "[b.*]", "[c]")
+    out = fim.transform(docs, rate=100, marks=marks)
+    assert all(r.back == r.text for r in out.withColumn("back", fim.restored(out.output, out.form, marks)).collect() if r.form != "plain")
+    for bad in (("<P>", "<P>", "<M>"), ("", "<S>", "<M>"), ("<P>", "P", "<M>"), ("ab", "ba", "c"), ("aba", "x", "y")):
+        with pytest.raises(ValueError):
+            fim.transform(docs, marks=bad)
+    with pytest.raises(ValueError):
+        fim.transform(docs, unit="lines")
