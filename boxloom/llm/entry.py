@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import decontam, embed_dedup, fill_middle, html_extract, langid, license_scan, line_dedup, packing, quality, simhash, url_filter
+from boxloom.llm import decontam, embed_dedup, fill_middle, html_extract, langid, license_scan, line_dedup, packing, quality, simhash, token_count, url_filter
 from boxloom.sources.tables import read_table
 
 
@@ -56,6 +57,11 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op13_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_count.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash": op2_simhash,
@@ -68,6 +74,7 @@ QUERIES = {
     "op9_langid": op9_langid,
     "op10_url_filter": op10_url_filter,
     "op11_fill_middle": op11_fill_middle,
+    "op13_token_count": op13_token_count,
 }
 
 ORACLES = {
