@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import decontam, embed_dedup, fill_middle, html_extract, langid, license_scan, line_dedup, packing, quality, simhash, token_count, url_filter
+from boxloom.llm import decontam, embed_dedup, fill_middle, html_extract, langid, license_scan, line_dedup, packing, prefix_trie, quality, simhash, token_count, url_filter
 from boxloom.sources.tables import read_table
 
 
@@ -57,6 +57,10 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def op13_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_count.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
@@ -74,6 +78,7 @@ QUERIES = {
     "op9_langid": op9_langid,
     "op10_url_filter": op10_url_filter,
     "op11_fill_middle": op11_fill_middle,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_token_count": op13_token_count,
 }
 
@@ -84,4 +89,5 @@ ORACLES = {
     "op8_embed_dedup": embed_dedup.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
     "op11_fill_middle": fill_middle.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
 }
