@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block tags. The first pass adds up a score for every block: stop-word density and
 length of its unlinked words speak for main text, link density and a lack of stop words against it, and what
-the block stands in (an article, a menu, an element named for adverts) shifts the score as a prior. Scores of
+the block stands in (an article, a menu, an element named for adverts) shifts the score as a prior. A lack of stop
+words only counts in a page whose text as a whole is in a language they are known of; else length speaks alone. Scores of
 DECIDED or more are main text, those of minus DECIDED or less are not; ambiguous blocks, mostly short ones,
 stay open. The second pass gives them the label of their nearest decided neighbours.
 """
@@ -34,6 +35,8 @@ STOP_WORDS = frozenset(
 #: Characters of unlinked text that make a block very long, long or at least not short, and shares of stop words.
 VERY_LONG, LONG, SHORT = 600, 140, 40
 STOP_HIGH, STOP_LOW = 0.25, 0.12
+#: Characters that a character of a script without spaces between words counts for.
+UNSPACED = 3
 #: Share of a block's text in links that speaks against it.
 LINK_HIGH = 0.6
 #: A score of so much, either way, decides a block.
@@ -84,6 +87,9 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+#: Letters beyond the Latin script and its marks, and those of scripts that put no space between words.
+_OTHER_SCRIPT = re.compile(r"[\u0370-\u1dff\u2c00-\u2c5f\u2c80-\ua71f\ua840-\uab2f\uab70-\ufaff\ufb13-\uffdc\U00010000-\U0001ffff\U00020000-\U0003ffff]")
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -263,16 +269,35 @@ def blocks_of(page: str) -> list[Block]:
 _ENDS = {"p": ("p",), "li": ("p", "li"), "td": ("p", "td", "th"), "th": ("p", "td", "th"), "tr": ("p", "td", "th", "tr"), "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd")}
 
 
-def score(block: Block) -> float:
-    """First pass: the prior of what the block stands in and the evidence of its own text."""
+def stop_words(text: str) -> tuple[int, int]:
+    """Words of ``text``, and how many of them are stop words."""
+    words = _WORD.findall(text.lower())
+    return len(words), sum(w in STOP_WORDS for w in words)
+
+
+def in_known_language(blocks: list[Block]) -> bool:
+    """True if the unlinked text of all blocks but furniture has as many stop words as prose of a listed language."""
+    counts = [stop_words(b.unlinked) for b in blocks if not b.furniture]
+    return sum(n for _, n in counts) >= STOP_HIGH * max(1, sum(n for n, _ in counts))
+
+
+def score(block: Block, known: bool = True) -> float:
+    """First pass: the prior of what the block stands in and the evidence of its own text.
+
+    Where the page's language is not ``known``, and in a block of letters other than Latin ones, length is evidence by
+    itself; a character of a script without spaces between words counts as several.
+    """
     total = block.prior
-    size = len(block.unlinked)
+    others = 0 if block.unlinked.isascii() else len(_OTHER_SCRIPT.findall(block.unlinked))
+    size = len(block.unlinked) + (UNSPACED - 1) * (len(_UNSPACED.findall(block.unlinked)) if others else 0)
     if size >= SHORT:
-        words = _WORD.findall(block.unlinked.lower())
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        words, stops = stop_words(block.unlinked)
+        share = stops / max(1, words)
+        if not known or 2 * others > sum(map(len, _WORD.findall(block.unlinked))):
+            share = max(share, STOP_HIGH)
         if size >= LONG:
-            total += NO_PROSE if stops < STOP_LOW else 0.0 if stops < STOP_HIGH else PROSE if size < VERY_LONG else MUCH_PROSE
-        elif stops >= STOP_HIGH:
+            total += NO_PROSE if share < STOP_LOW else 0.0 if share < STOP_HIGH else PROSE if size < VERY_LONG else MUCH_PROSE
+        elif share >= STOP_HIGH:
             total += SOME_PROSE
     if block.heading:
         total += HEADING
@@ -283,9 +308,9 @@ def score(block: Block) -> float:
     return total
 
 
-def decide(block: Block) -> bool | None:
+def decide(block: Block, known: bool = True) -> bool | None:
     """True for main text, False for furniture, None where the score leaves the block open."""
-    total = score(block)
+    total = score(block, known)
     return True if total >= DECIDED else False if total <= -DECIDED else None
 
 
@@ -334,7 +359,8 @@ def label_blocks(blocks: list[Block]) -> list[bool]:
     Furniture says nothing about its neighbours. Blocks of an article look at each other first, so that a menu beside
     it takes none of its short paragraphs; then what is beside it looks at all.
     """
-    labels = [decide(b) for b in blocks]
+    known = in_known_language(blocks)
+    labels = [decide(b, known) for b in blocks]
     heads = [b.heading for b in blocks]
     for at, lean in (([i for i, b in enumerate(blocks) if b.inside and not b.furniture], True), ([i for i, b in enumerate(blocks) if not b.furniture], False)):
         found = spread([labels[i] for i in at], [heads[i] for i in at], lean)

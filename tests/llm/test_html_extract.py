@@ -129,6 +129,8 @@ def plain_text(page):
     blocks = Plain(page).blocks
     article = any("article" in dict(around) for *_, around in blocks)
     rows = []
+    prose = [re.findall(r"[^\W\d_]+", free.lower()) for _, free, _, around in blocks if not {"nav", "footer"} & dict(around).keys() and not {"ad", "sidebar"} & set(dict(around).values())]
+    known = sum(w in h.STOP_WORDS for words in prose for w in words) >= 0.25 * max(1, sum(map(len, prose)))
     for text, free, linked, around in blocks:
         names = dict(around)
         inside = "article" in names
@@ -136,6 +138,7 @@ def plain_text(page):
         total = -5.5 if "nav" in names or "footer" in names or "ad" in names.values() else -3.0 if furniture else 0.75 if inside else -1.0 if article else 0.0
         words = re.findall(r"[^\W\d_]+", free.lower())
         share = sum(w in h.STOP_WORDS for w in words) / max(1, len(words))
+        share = share if known else max(share, 0.25)
         if len(free) >= 140:
             total += -1.0 if share < 0.12 else 0.0 if share < 0.25 else 2.0 if len(free) < 600 else 4.0
         elif len(free) >= 40 and share >= 0.25:
@@ -222,3 +225,29 @@ def test_time_grows_with_length_however_deep_elements_nest():
     for noise in ("<a ", '<p class="', "<!", "</p", "<p title='a<b'", "<svg", "<!--"):
         main_text(noise * 100_000)
     assert time.perf_counter() - began < 20
+
+
+OTHERS = {
+    "Italian": "Il gatto dorme sul tappeto e nessuno lo disturba perché tutti sanno che quando si sveglia comincia a girare per la casa cercando qualcosa da mangiare o qualcuno con cui giocare fino a sera.",
+    "Russian": "Кошка спит на ковре, и никто её не беспокоит, потому что все знают: когда она просыпается, она начинает ходить по дому в поисках еды или того, с кем можно поиграть до самого вечера.",
+    "Chinese": "猫在地毯上睡觉,没有人打扰它,因为大家都知道它醒来以后会在屋子里到处走动,寻找吃的东西,或者找人一起玩到晚上。",
+    "Thai": "แมวนอนอยู่บนพรมและไม่มีใครรบกวนมันเพราะทุกคนรู้ว่าเมื่อมันตื่นขึ้นมามันจะเริ่มเดินไปรอบๆบ้านเพื่อหาอะไรกินหรือหาใครสักคนเล่นด้วยจนถึงเย็น",
+    "Turkish": "Kedi halının üzerinde uyuyor ve kimse onu rahatsız etmiyor çünkü herkes uyandığında evin içinde dolaşıp yiyecek bir şeyler ya da akşama kadar oynayacak birini aradığını biliyor.",
+    "Arabic": "تنام القطة على السجادة ولا يزعجها أحد لأن الجميع يعلمون أنها عندما تستيقظ تبدأ بالتجول في المنزل بحثا عن شيء تأكله أو شخص تلعب معه حتى المساء وهذا كل ما في الأمر.",
+}
+
+
+@pytest.mark.parametrize("language", sorted(OTHERS))
+def test_languages_whose_stop_words_are_not_listed_keep_their_text(language):
+    text = OTHERS[language]
+    menu = "<nav><ul><li><a href=/>Home</a></li></ul></nav><div class='menu'><a href=/x>X</a></div>"
+    foot = "<div id='cookie-notice'>" + text + "</div><footer>" + text + "</footer>"
+    assert main_text(f"<body><h1>T</h1><p>{text}</p><p>{text}</p></body>") == f"T\n{text}\n{text}"
+    assert main_text(f"{menu}<div>{text}</div>{foot}") == text
+    assert main_text(f"{menu}<article><h1>T</h1><p>{text}</p><p>{text[:30]}</p></article>{foot}") == f"T\n{text}\n{text[:30]}".strip()
+    assert main_text(f"{menu}<h1>T</h1><p>{text}</p><p><a href=/>{text}</a></p><p>{text}</p>{foot}") == f"T\n{text}\n{text}"
+
+
+def test_other_scripts_in_a_page_of_a_listed_language_stay():
+    for language in ("Russian", "Chinese", "Arabic"):
+        assert main_text(f"<p>{PROSE}</p><p>{OTHERS[language]}</p><p>{PROSE}</p>") == f"{PROSE}\n{OTHERS[language]}\n{PROSE}"
