@@ -242,7 +242,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
     Null or zero vectors and those with null or non-finite components link with nothing, and so have
     no links and their own id as component. Rows that repeat a vec_id count as vectors of their own.
-    Vectors of different lengths never link. vec_id must not be null in more than one row to be told apart.
+    Vectors of different lengths never link. A row without a vec_id links like any other, but names a component
+    only if no row of it has an id (then null); it is kept only there.
     """
     # 128 bits stand for a vector where rows meet their class, so that vectors are shuffled once.
     keys = [F.when(usable(), F.xxhash64("embedding")).alias("k1"), F.when(usable(), F.xxhash64(F.lit(7), "embedding")).alias("k2")]
@@ -251,7 +252,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         rows.where("k1 is not null")
         .groupBy("k1", "k2")
         .agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.any_value("embedding").alias("embedding"))
-        .where("id is not null")
     )
     # Classes are numbered, since those of one least vec_id are still two.
     classes = durable(classes.withColumn("rep", F.monotonically_increasing_id()))
@@ -277,7 +277,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"),
-        F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)).alias("kept"),
+        F.coalesce("component_id", "vec_id").eqNullSafe(F.col("vec_id")).alias("kept"),
     )
 
 

@@ -152,3 +152,10 @@ def test_vectors_of_one_id_are_vectors_of_their_own(spark):
     near_x, near_y = [1.0, 0.01, 0.0], [0.0, 1.0, 0.01]
     assert run(spark, [1, 1, 4, 5], [x, y, near_x, near_y]) == [(1, 1, 1, True), (1, 1, 1, True), (4, 1, 1, False), (5, 1, 1, False)]
     assert run(spark, [3, 3, 1, 5], [x, y, near_x, near_y]) == [(1, 1, 1, True), (3, 1, 1, False), (3, 1, 3, True), (5, 1, 3, False)]
+
+
+def test_rows_without_an_id_link_and_name_nothing(spark):
+    rows = [(1, [1.0, 0.0]), (None, [1.0, 0.01]), (None, [0.0, 1.0]), (None, [0.01, 1.0]), (5, [-1.0, 0.0]), (None, [-1.0, 0.0]), (None, None), (7, None)]
+    out = e.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in out), key=str)
+    assert got == sorted([(1, 1, 1, True), (None, 1, 1, False), (None, 1, None, True), (None, 1, None, True), (5, 1, 5, True), (None, 1, 5, False), (None, 0, None, True), (7, 0, 7, True)], key=str)
