@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.shared import ascii_lower
+from boxloom.llm.shared import ascii_lower, fresh
 from boxloom.sources.durable import durable
 
 WINDOW = 13
@@ -149,20 +149,22 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without contaminated documents; same columns."""
-    bad = judge(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_key")), "left_anti")
+    id_, key_ = fresh(docs, "bad_id", "bad_key")
+    bad = judge(docs, benchmark).where("contaminated").select(F.col("doc_id").alias(id_), F.col("text_key").alias(key_))
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key_)), "left_anti")
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with every hit word, and what separates it from the next word, cut from ``text``."""
-    hits = judge(docs, benchmark).where("n_hit > 0").select(F.col("doc_id").alias("_hit_id"), F.col("text_key").alias("_hit_key"), F.col("hit_at").alias("_hit_at")).dropDuplicates(["_hit_id", "_hit_key"])
+    id_, key_, at_ = fresh(docs, "hit_id", "hit_key", "hit_at")
+    hits = judge(docs, benchmark).where("n_hit > 0").select(F.col("doc_id").alias(id_), F.col("text_key").alias(key_), F.col("hit_at").alias(at_)).dropDuplicates([id_, key_])
     gap = "[" + r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F" + "]*"
     parts = F.regexp_extract_all("text", F.lit(WORD + gap), F.lit(0))
-    kept = F.filter(parts, lambda _, i: ~F.array_contains("_hit_at", i + 1))
-    text = F.when(F.col("_hit_at").isNull(), F.col("text")).otherwise(
+    kept = F.filter(parts, lambda _, i: ~F.array_contains(at_, i + 1))
+    text = F.when(F.col(at_).isNull(), F.col("text")).otherwise(
         F.concat(F.regexp_extract("text", "^" + gap, 0), F.array_join(kept, ""))
     )
-    joined = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_hit_id")) & (F.xxhash64("text") == F.col("_hit_key")), "left")
+    joined = docs.join(hits, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key_)), "left")
     return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
 
 

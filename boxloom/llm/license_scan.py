@@ -20,7 +20,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.shared import ascii_lower
+from boxloom.llm.shared import ascii_lower, fresh
 from boxloom.sources.durable import durable
 
 THRESHOLD = 0.7
@@ -215,7 +215,8 @@ def scan(files: DataFrame, licence_file: Column, model: Model | None = None, thr
     repeat a path and text come back as often.
     """
     model = model or Model(notices=NOTICES)
-    hidden = {c: f"_own_{c}" for c in files.columns if c in HIDDEN}
+    clashing = [c for c in files.columns if c in HIDDEN]
+    hidden = dict(zip(clashing, fresh(files, *clashing)))
     keyed = files.withColumnsRenamed(hidden).withColumn("file_key", F.sha2(F.concat_ws("\n", F.coalesce("path", F.lit("\0")), F.coalesce("text", F.lit("\0"))), 256))
     own = durable(own_licences(keyed.select("file_key", "text"), model, threshold))
     seen = keyed.join(own.withColumnRenamed("file_key", "own_key"), F.col("file_key") == F.col("own_key"), "left").drop("own_key", "file_key")

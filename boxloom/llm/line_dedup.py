@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxloom.llm.shared import fresh
 from boxloom.sources.durable import durable
 
 #: A line on so many distinct sites is boilerplate.
@@ -76,6 +77,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool = True
     """
     boiler = durable(spread(docs, min_sites))
     text_key = F.xxhash64("text")
+    id_, key_, at_, lines_, n_ = fresh(docs, "drop_id", "drop_key", "drop_at", "lines", "n")
     drops = (
         docs.select("doc_id", text_key.alias("text_key"), F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
         .withColumn("line", F.trim("line"))
@@ -83,24 +85,24 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool = True
         .select("doc_id", "text_key", "pos", *_keys(F.col("line")))
         .join(boiler, ["k1", "k2"])
         .where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
-        .groupBy(F.col("doc_id").alias("_drop_id"), F.col("text_key").alias("_drop_key"))
-        .agg(F.sort_array(F.collect_set("pos")).alias("_drop_at"))
+        .groupBy(F.col("doc_id").alias(id_), F.col("text_key").alias(key_))
+        .agg(F.sort_array(F.collect_set("pos")).alias(at_))
     )
     names = ("n_lines", "n_removed") if counts else ()
-    cols = [c for c in docs.columns if c not in names]
+    cols = [c for c in docs.columns if c.lower() not in names]
     lines = F.when(F.col("text").isNotNull(), split_lines(F.col("text")))
     out = (
         docs.select(*cols)
-        .join(drops, (F.col("doc_id") == F.col("_drop_id")) & (text_key == F.col("_drop_key")), "left")
-        .withColumn("_lines", lines)
-        .withColumn("_n", F.coalesce(F.when(F.col("_lines").isNotNull(), F.size("_lines")), F.lit(0)))
+        .join(drops, (F.col("doc_id") == F.col(id_)) & (text_key == F.col(key_)), "left")
+        .withColumn(lines_, lines)
+        .withColumn(n_, F.coalesce(F.when(F.col(lines_).isNotNull(), F.size(lines_)), F.lit(0)))
     )
     # What stays is the runs of lines between those that go, so that the work is in proportion to the lines.
-    starts = F.concat(F.array(F.lit(0)), F.transform("_drop_at", lambda x: x + 1))
-    ends = F.concat("_drop_at", F.array("_n"))
-    held = F.flatten(F.zip_with(starts, ends, lambda start, end: F.slice("_lines", start + 1, end - start)))
-    text = F.when(F.col("_drop_at").isNull(), F.col("text")).otherwise(F.array_join(held, "\n"))
-    numbers = (F.col("_n"), F.coalesce(F.array_size("_drop_at"), F.lit(0)))
+    starts = F.concat(F.array(F.lit(0)), F.transform(at_, lambda x: x + 1))
+    ends = F.concat(at_, F.array(n_))
+    held = F.flatten(F.zip_with(starts, ends, lambda start, end: F.slice(lines_, start + 1, end - start)))
+    text = F.when(F.col(at_).isNull(), F.col("text")).otherwise(F.array_join(held, "\n"))
+    numbers = (F.col(n_), F.coalesce(F.array_size(at_), F.lit(0)))
     return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in cols], *[n.cast("long").alias(name) for name, n in zip(names, numbers)])
 
 

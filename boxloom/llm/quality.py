@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.shared import crc_bucket
+from boxloom.llm.shared import crc_bucket, fresh
 from boxloom.sources.durable import durable
 
 #: A text is good if its score is at least this.
@@ -181,6 +181,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that the classifier rejects; same columns."""
-    cols = docs.columns
-    scored = score_documents(docs.withColumnsRenamed({c: f"_own_{c}" for c in cols if c in ("score", "predicted")}), train(docs, labels))
-    return scored.where("predicted = 1").select(*[F.col(f"_own_{c}").alias(c) if c in ("score", "predicted") else c for c in cols])
+    hidden = dict(zip(("score", "predicted"), fresh(docs, "own_score", "own_predicted")))
+    renamed = {c: hidden[c.lower()] for c in docs.columns if c.lower() in hidden}
+    scored = score_documents(docs.withColumnsRenamed(renamed), train(docs, labels))
+    return scored.where("predicted = 1").select(*[F.col(renamed.get(c, c)).alias(c) for c in docs.columns])

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.shared import connected_components, fold_links
+from boxloom.llm.shared import connected_components, fold_links, fresh
 from boxloom.sources.durable import durable
 
 SHINGLE = 3
@@ -249,5 +249,6 @@ def dedup_documents(docs: DataFrame) -> DataFrame:
     stay or all go; rows with a null doc_id stay.
     """
     found = _with_components(durable(fingerprints(docs, keyed=True)))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key")).distinct()
-    return docs.join(gone, (F.col("doc_id") == F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_key")), "left_anti")
+    id_, key_ = fresh(docs, "gone_id", "gone_key")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_), F.col("key").alias(key_)).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col(id_)) & (F.xxhash64("text") == F.col(key_)), "left_anti")

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from boxloom.llm import entry, license_scan
+from boxloom.llm import decontam, entry, license_scan
 from tests.llm.test_simhash import brute_components, brute_print
 
 SF = "/root/testdata/sf0.001"
@@ -76,6 +76,7 @@ def test_run_equals_its_stages_and_takes_empty_tables(spark, tmp_path):
 
 
 CLASHES = "n_lines n_removed kept drop_at line k1 k2 first pos fp rep component_id gone_id bad_id hit_at h gram start p w score predicted q half held_out lang_pred piece bin_id all grp row_key folder up licence how".split()
+CLASHES += "_lines _n _drop_id _drop_key _drop_at _gone_id _gone_key _bad_id _bad_key _hit_id _hit_key _hit_at _own_score _own_predicted __hit_at".split()
 
 
 def test_extra_columns_of_any_name_pass_through(spark, tmp_path):
@@ -88,6 +89,8 @@ def test_extra_columns_of_any_name_pass_through(spark, tmp_path):
         row = out.where("doc_id = 1").first()
         assert all(row[c] == f"{c}1" for c in CLASHES), name
     assert corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).count() >= docs.count()
+    cut = decontam.cut_spans(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet"))
+    assert cut.columns == docs.columns and all(cut.where("doc_id = 1").first()[c] == f"{c}1" for c in CLASHES)
     files = docs.withColumn("path", F.col("doc_id").cast("string"))
     kept = license_scan.scan(files, F.lit(True)).where("doc_id = 1").first()
     assert all(kept[c] == f"{c}1" for c in CLASHES if c not in ("licence", "how", "score"))
@@ -95,4 +98,4 @@ def test_extra_columns_of_any_name_pass_through(spark, tmp_path):
 
 def test_every_operator_is_registered_once():
     numbers = sorted(int(name[2:].split("_")[0]) for name in entry.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
