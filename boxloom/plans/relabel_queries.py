@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxloom.config import layered
 from boxloom.functions.repair import repaired
 from boxloom.operators import boxes as box_ops
 from boxloom.operators import relabel as ops
+from boxloom.plans import relabel_flow as flow
 from boxloom.plans import shapes
+from boxloom.plans.detect import replay
+from boxloom.sources.durable import shared_folder
+from boxloom.sources.labels import label_files
 from boxloom.sources.tables import read_table
 
 #: Classes known before a run, with their ids.
@@ -222,15 +229,59 @@ c as (select event_id, case when failed then 'error' else lower(trim(coalesce(j-
 select *, cast(nullif(coalesce(list_position(['click', 'view', 'purchase'], class_name), 0), 0) - 1 as int) as class_id from c
 """
 
+#: Images of a batch of ``relabel_run``.
+RUN_BATCH = 5_000
+
+RUN_SQL = f"""
+with {shapes.WITH},
+l as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, ln) as line_no, 'o' || l_orderkey as stem, 320 + (l_orderkey * 37) % 1600 as w, 240 + (l_orderkey * 53) % 1200 as h from yolo),
+s as (select stem, row_number() over (order by stem) as row_no from (select distinct stem from l)),
+p as (select l.*, row_no, l_orderkey % 23 = 0 as unread, l_orderkey * 7 + line_no as k, string_split(ln, ' ') as t, case when len(string_split(ln, ' ')) = 5 then list_transform(string_split(ln, ' '), lambda x: cast(x as double)) end as v from l join s using (stem)),
+b as (select *, v is not null and not unread and greatest(0, least(w, round_even((v[2] + v[4] / 2) * w, 0))) > greatest(0, least(w, round_even((v[2] - v[4] / 2) * w, 0)))
+    and greatest(0, least(h, round_even((v[3] + v[5] / 2) * h, 0))) > greatest(0, least(h, round_even((v[3] - v[5] / 2) * h, 0))) as whole from p),
+r as (select *, case k % 11 when 0 then null when 1 then '[1]' when 2 then '{{"class":5}}' when 3 then '{{"class":"  "}}' else '{{"class":" Kind_' || (k % 29) || ' ","confidence":' || (k % 5 + 1) || '}}' end as reply from b),
+c as (select *, case when whole and json_type(reply, '$.class') = 'VARCHAR' then nullif(lower(trim(json_extract_string(reply, '$.class'))), '') end as class_name from r),
+i as (select class_name, row_number() over (order by min((row_no, line_no))) + 1 as class_id from c where class_name is not null and class_name not in ('kind_4', 'stain') group by 1 union all select 'kind_4', 0 union all select 'stain', 1)
+select stem, cast((any_value(row_no) - 1) // {RUN_BATCH} as int) as batch, cast(count(class_id) as int) as n_lines,
+  md5(coalesce(string_agg(class_id || ' ' || array_to_string(list_transform(v[2:], lambda x: cast(x as varchar)), ' ') || chr(10), '' order by line_no) filter (class_id is not null), '')) as digest
+from c left join i using (class_name) where not unread group by stem
+"""
+
+
+def relabel_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as labelled images through the whole flow, stopped after its first batch and taken up again; what is in the files."""
+    lines = shapes.yolo_lines(spark, sf_dir).withColumn("stem", F.concat(F.lit("o"), F.col("l_orderkey").cast("string")))
+    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "ln")))
+    files = lines.groupBy("l_orderkey", "stem").agg(F.transform(rows, lambda r: r["ln"]).alias("lines"))
+    k = "(l_orderkey * 7 + pos + 1)"
+    said = f"""case {k} % 11 when 0 then null when 1 then '[1]' when 2 then '{{"class":5}}' when 3 then '{{"class":"  "}}' else concat('{{"class":" Kind_', {k} % 29, ' ","confidence":', {k} % 5 + 1, '}}') end"""
+    replies = files.select("stem", "l_orderkey", F.posexplode("lines").alias("pos", "ln")).select("stem", (F.col("pos") + 1).alias("line_no"), F.expr(said).alias("reply"))
+    readable = F.col("l_orderkey") % 23 != 0
+    images = files.select(
+        "stem", F.array_join("lines", "\n").alias("content"),
+        F.when(readable, 320 + (F.col("l_orderkey") * 37) % 1600).cast("int").alias("w"), F.when(readable, 240 + (F.col("l_orderkey") * 53) % 1200).cast("int").alias("h"),
+    )
+    folder = f"{shared_folder(spark).rstrip('/')}/relabel/{uuid.uuid4().hex}"
+    known = spark.createDataFrame([("kind_4", 0), ("stain", 1)], "name string, id long")
+    ask, settings = replay(replies, ["stem", "line_no"]), layered({"batch_size": RUN_BATCH})
+    steps: list[dict] = []
+    flow.relabel(images, ask, f"{folder}/labels", f"{folder}/state", settings, known, steps.append, lambda: bool(steps))
+    flow.relabel(images, ask, f"{folder}/labels", f"{folder}/state", settings, known)
+    found = label_files(spark, f"{folder}/labels")
+    return found.select("stem", "batch", (F.size(F.split("content", "\n")) - 1).alias("n_lines"), F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
 QUERIES = {
     "label_image_join": label_image_join, "yolo_to_pixel": yolo_to_pixel, "class_replies": class_replies, "class_ids": class_ids, "run_counters": run_counters,
     "relabel_lines": relabel_lines, "low_confidence": low_confidence, "merge_class_map": merge_class_map, "category_lookup": category_lookup,
     "resume_antijoin": resume_antijoin, "batch_antijoin": batch_antijoin,
     "resume_legacy": resume_legacy, "image_list": image_list, "unmatched_labels": unmatched_labels, "region_replies": region_replies,
+    "relabel_run": relabel_run,
 }
 
 ORACLES = {
     "label_image_join": JOIN_SQL, "yolo_to_pixel": YOLO_SQL, "class_replies": f"with {REPLIES_SQL} select * from cc", "class_ids": CLASS_SQL, "run_counters": COUNTERS_SQL,
     "relabel_lines": RELABEL_SQL, "low_confidence": LOW_SQL, "merge_class_map": MERGE_SQL, "category_lookup": LOOKUP_SQL, "resume_antijoin": RESUME_SQL, "batch_antijoin": BATCH_SQL,
     "resume_legacy": LEGACY_SQL, "image_list": LIST_SQL, "unmatched_labels": UNMATCHED_SQL, "region_replies": REGION_SQL,
+    "relabel_run": RUN_SQL,
 }

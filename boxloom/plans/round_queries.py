@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boxloom.operators import ordering, rounds as ops
-from boxloom.plans import shapes
+from boxloom.plans import progress, shapes
 from boxloom.sources.tables import read_table
 
 GOOD = 8
@@ -167,6 +167,21 @@ select video, event_id, frame_no from e where frame_no % cast(trunc(greatest(1.0
 """
 
 
+def progress_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as images that users' runs have finished: how many, at what rate, and how long the rest takes."""
+    e = read_table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    out = progress.progress_log(e, "user_id", "ts", ["event_id"])
+    return out.select("user_id", "event_id", "done", "total", F.round("rate", 9).alias("rate"), F.round("eta", 3).alias("eta"))
+
+
+PROGRESS_SQL = """
+with p as (select user_id, event_id, count(*) over (partition by user_id order by ts, event_id rows unbounded preceding) as done, count(*) over (partition by user_id) as total,
+  (epoch_us(ts) - min(epoch_us(ts)) over (partition by user_id)) / 1e6 as t from events),
+r as (select *, case when t > 0 then done / t else 0.0::double end as rate from p)
+select user_id, event_id, done, total, round(rate, 9) as rate, case when rate > 0 then round((total - done) / rate, 3) end as eta from r
+"""
+
+
 def score_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracker detections by score: high, low or dropped."""
     score = F.expr("event_id % 100 / 100.0D")
@@ -237,6 +252,7 @@ QUERIES = {
     "explorer": explorer, "box_index": box_index, "image_counts": image_counts, "tile_concat": tile_concat, "status_fold": status_fold,
     "batch_summary": batch_summary, "late_drop": late_drop, "frame_sampling": frame_sampling, "score_split": score_split, "triage_decision": triage_decision,
     "image_batches": image_batches, "slice_sample": slice_sample, "seeded_shuffle": seeded_shuffle, "unique_stems": unique_stems,
+    "progress_log": progress_log,
 }
 
 ORACLES = {
@@ -244,4 +260,5 @@ ORACLES = {
     "explorer": EXPLORER_SQL, "box_index": INDEX_SQL, "image_counts": COUNTS_SQL, "tile_concat": CONCAT_SQL, "status_fold": FOLD_SQL,
     "batch_summary": BATCH_SQL, "late_drop": LATE_SQL, "frame_sampling": SAMPLING_SQL, "score_split": SPLIT_SQL, "triage_decision": TRIAGE_SQL,
     "image_batches": BATCHES_SQL, "slice_sample": SLICE_SQL, "unique_stems": STEMS_SQL,
+    "progress_log": PROGRESS_SQL,
 }

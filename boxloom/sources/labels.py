@@ -8,16 +8,26 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxloom.sources.label_source import LabelFiles
+
 LEDGER_SCHEMA = "stem string, settings string, batch int, finished timestamp"
 
 
+def label_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(stem, content, batch) of the .txt files of ``folder`` and of its folders of batches."""
+    spark.dataSource.register(LabelFiles)
+    return spark.read.format("label_files").load(folder)
+
+
 def label_lines(spark: SparkSession, folder: str) -> DataFrame:
     """(stem, line_no, line) of the .txt files of ``folder``; line_no from 1, within one file."""
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.[tT][xX][tT]").select("value", F.col("_metadata.file_name").alias("file"))
-    stem = F.regexp_replace("file", r"(?i)\.txt$", "")
-    return files.select(stem.alias("stem"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("pos", "line")).select(
-        "stem", (F.col("pos") + 1).alias("line_no"), "line"
-    )
+    return lines_of(label_files(spark, folder).select("stem", "content")).drop("content")
+
+
+def lines_of(files: DataFrame) -> DataFrame:
+    """``files`` (content and others) with line_no from 1 and line: a row for every line; an empty file has one, blank."""
+    split = F.split(F.regexp_replace("content", r"\r?\n$", ""), r"\r?\n")
+    return files.select("*", F.posexplode(split).alias("_pos", "line")).withColumn("line_no", F.col("_pos") + 1).select(*files.columns, "line_no", "line")
 
 
 def labelled_stems(lines: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.operators import rounds as ops
+from boxloom.sources.label_source import LabelFiles
 
 
 def write_best(rounds: DataFrame, detections: DataFrame, path: str) -> None:
@@ -25,9 +26,13 @@ def write_history(rounds: DataFrame, path: str) -> None:
 
 
 def write_label_files(files: DataFrame, path: str, batched: bool) -> None:
-    """Contents (stem, content, and batch if ``batched``) by folder of batch and stem; an image without boxes has an empty file."""
-    keys = ["batch", "stem"] if batched else ["stem"]
-    files.select(*keys, F.regexp_replace("content", r"\n$", "").alias("value")).write.mode("overwrite").partitionBy(*keys).text(path)
+    """A file <stem>.txt for each row (stem, content, and batch if ``batched``, whose folder it goes to); other files stay.
+
+    An image without boxes has an empty file. Stems must not repeat within a folder.
+    """
+    files.sparkSession.dataSource.register(LabelFiles)
+    columns = ["stem", "content"] + ["batch"] * batched
+    files.select(*columns).write.format("label_files").mode("append").save(path)
 
 
 def write_review(records: DataFrame, path: str) -> None:

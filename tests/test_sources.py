@@ -67,8 +67,7 @@ def test_results_are_written(spark, tmp_path):
     assert json.loads(read("history")[0]["history"])[1]["feedback"] == "g"
     files = spark.createDataFrame([("a", 0, "1 2\n3 4\n"), ("b", 1, "")], "stem string, batch int, content string")
     sinks.write_label_files(files, str(tmp_path / "labels"), True)
-    assert next((tmp_path / "labels/batch=0/stem=a").glob("part-*.txt")).read_text() == "1 2\n3 4\n"
-    assert next((tmp_path / "labels/batch=1/stem=b").glob("part-*.txt")).read_text().strip() == ""
+    assert (tmp_path / "labels/batch_0000/a.txt").read_text() == "1 2\n3 4\n" and (tmp_path / "labels/batch_0001/b.txt").read_text() == ""
 
 
 def test_damaged_ledger_files_are_done_again(spark, tmp_path):
