@@ -72,7 +72,9 @@ def _over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _kept(held: np.ndarray, boxes: np.ndarray, threshold: float) -> np.ndarray:
     """Which of ``boxes``, best first, stay beside the kept boxes ``held``."""
-    good = ~(_over(held, boxes) > threshold).any(axis=0)
+    good = np.ones(len(boxes), bool)
+    for at in range(0, len(held), 4 * CHUNK):
+        good &= ~(_over(held[at : at + 4 * CHUNK], boxes) > threshold).any(axis=0)
     near = _over(boxes, boxes) > threshold
     for i in np.flatnonzero(np.triu(near, 1).any(axis=1)):
         if good[i]:
@@ -80,12 +82,49 @@ def _kept(held: np.ndarray, boxes: np.ndarray, threshold: float) -> np.ndarray:
     return good
 
 
+#: Boxes of a group that a cell of its grid holds, about, where they are spread evenly.
+CELL = 64
+
+
 def overlapping_pairs(df: DataFrame, keys: list[str], ident: str, threshold: float) -> DataFrame:
-    """(keys, a, b, iou) of boxes of one group, a < b, whose overlap is above ``threshold``."""
-    left = df.select(*keys, F.col(ident).alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("x1", "y1", "x2", "y2")])
-    right = df.select(*keys, F.col(ident).alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")])
-    pairs = left.join(right, keys).where("a < b and a_x1 < b_x2 and b_x1 < a_x2 and a_y1 < b_y2 and b_y1 < a_y2")
-    return pairs.select(*keys, "a", "b", g.iou(g.corners("a_"), g.corners("b_")).alias("iou")).where(F.col("iou") > threshold)
+    """(keys, a, b, iou) of boxes of one group, a < b, whose overlap is above ``threshold``, which is 0 or more.
+
+    Each group has a grid of its own, of one cell where it is small; cells are no narrower than its boxes are on
+    average, so that a box is in four of them or so. Boxes that touch meet in every cell they share and count in the one
+    that holds the upper left corner of what they share. Work grows with the boxes that touch, not with a group's
+    square. Null keys and corners pair with nothing.
+    """
+    side = {"x": F.col("x2") - F.col("x1"), "y": F.col("y2") - F.col("y1")}
+    box = df.select(*keys, F.col(ident).alias("_id"), *[F.col(c).cast("double").alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")], *["x1", "y1", "x2", "y2"])
+    stats = [F.count("*").alias("_n")]
+    for axis, length in side.items():
+        stats += [F.min(f"_{axis}1").alias(f"_{axis}0"), (F.max(f"_{axis}2") - F.min(f"_{axis}1")).alias(f"_{axis}all"), F.avg(length).alias(f"_{axis}avg")]
+    cells = F.greatest(F.lit(1.0), F.floor(F.sqrt(F.col("_n") / CELL)).cast("double"))
+    grid = box.groupBy(*keys).agg(*stats)
+    grid = grid.select(*keys, "_x0", "_y0", *[F.greatest(F.col(f"_{c}all") / cells, F.col(f"_{c}avg"), F.lit(1e-9)).alias(f"_{c}cell") for c in "xy"])
+    cell = lambda at, axis: F.floor((at - F.col(f"_{axis}0")) / F.col(f"_{axis}cell"))
+    held = box.join(grid, keys).where("_x2 >= _x1 and _y2 >= _y1")
+    for axis in "xy":
+        held = held.withColumn(f"_c{axis}", F.explode(F.sequence(cell(F.col(f"_{axis}1"), axis), cell(F.col(f"_{axis}2"), axis))))
+    names = ("x1", "y1", "x2", "y2")
+    left = held.select(*keys, "_cx", "_cy", *[f"_{axis}{k}" for axis in "xy" for k in ("0", "cell")], F.col("_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in names])
+    right = held.select(*keys, "_cx", "_cy", F.col("_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in names])
+    met = left.join(right, [*keys, "_cx", "_cy"]).where("a < b and a_x1 < b_x2 and b_x1 < a_x2 and a_y1 < b_y2 and b_y1 < a_y2")
+    for axis in "xy":
+        met = met.where(cell(F.greatest(f"a_{axis}1", f"b_{axis}1").cast("double"), axis) == F.col(f"_c{axis}"))
+    return met.select(*keys, "a", "b", g.iou(g.corners("a_"), g.corners("b_")).alias("iou")).where(F.col("iou") > threshold)
+
+
+def overlap_matrix(rows: DataFrame, cols: DataFrame, keys: list[str], row: str, col: str) -> DataFrame:
+    """(keys, row, col, iou): every box of ``rows`` with every one of ``cols`` in the same group, a frame's tracks and detections say.
+
+    The matrix is whole: boxes that don't touch have 0, and a group that lacks one side has no rows. It is as large as
+    what it describes, so groups should be frames, not tables.
+    """
+    names = ("x1", "y1", "x2", "y2")
+    left = rows.select(*keys, F.col(row), *[F.col(c).alias(f"a_{c}") for c in names])
+    right = cols.select(*keys, F.col(col), *[F.col(c).alias(f"b_{c}") for c in names])
+    return left.join(right, keys).select(*keys, row, col, g.iou(g.corners("a_"), g.corners("b_")).alias("iou"))
 
 
 def tiles(images: DataFrame, size: int = 512, overlap: float = 0.2) -> DataFrame:

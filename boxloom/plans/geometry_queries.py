@@ -140,10 +140,12 @@ def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PAIRS_SQL = f"""
 with {shapes.WITH},
-t as (select a.image_id, a.label, a.det_idx as a, b.det_idx as b, (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) as shared,
+q as materialized (select image_id, label, det_idx, x1, y1, x2, y2 from boxes),
+t as materialized (select a.image_id, a.label, a.det_idx as a, b.det_idx as b, least(a.x2, b.x2) - greatest(a.x1, b.x1) as sx, least(a.y2, b.y2) - greatest(a.y1, b.y1) as sy,
   (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) as sides
-  from boxes a join boxes b on a.image_id = b.image_id and a.label = b.label and a.det_idx < b.det_idx and a.x1 < b.x2 and b.x1 < a.x2 and a.y1 < b.y2 and b.y1 < a.y2)
-select image_id, label, a, b, shared / (sides - shared) as iou from t where shared / (sides - shared) > 0.5
+  from q a join q b on a.image_id = b.image_id and a.label = b.label),
+s as (select image_id, label, a, b, sx * sy as shared, sides from t where a < b and sx > 0 and sy > 0)
+select image_id, label, a, b, shared / (sides - shared) as iou from s where shared / (sides - shared) > 0.5
 """
 
 

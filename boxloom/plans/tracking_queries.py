@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boxloom.functions.repair import repaired
+from boxloom.operators import boxes as box_ops
 from boxloom.operators import images as pix
 from boxloom.operators import rounds as round_ops
 from boxloom.plans import detect as loop
@@ -53,8 +54,6 @@ union all select user_id, event_id, 2, 'far', 300, 400 + user_id % 90, 380, 500
 
 def iou_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of consecutive frames' first boxes in a session, as the association sees it."""
-    from pyspark.sql import Window
-
     from boxloom.functions import geometry as g
 
     b = pass_through(spark, sf_dir).where("track_id = 1").select("session", "frame_id", F.col("xmin").alias("x1"), F.col("ymin").alias("y1"), F.col("xmax").alias("x2"), F.col("ymax").alias("y2"))
@@ -71,6 +70,24 @@ select session, frame_id, n / ((x2 - x1) * (y2 - y1) + (px2 - px1) * (py2 - py1)
 """
 
 
+def frame_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole matrix of every frame: what its session showed in the frame before, against what it shows now."""
+    b = pass_through(spark, sf_dir).select("session", "frame_id", "track_id", F.col("xmin").alias("x1"), F.col("ymin").alias("y1"), F.col("xmax").alias("x2"), F.col("ymax").alias("y2"))
+    shown = frames(spark, sf_dir).select("session", "frame_id", F.lead("frame_id").over(Window.partitionBy("session").orderBy("frame_id")).alias("next"))
+    before = b.join(shown, ["session", "frame_id"]).where("next is not null").drop("frame_id").withColumnRenamed("next", "frame_id")
+    return box_ops.overlap_matrix(before.withColumnRenamed("track_id", "track"), b.withColumnRenamed("track_id", "detection"), ["session", "frame_id"], "track", "detection")
+
+
+OVERLAPS_SQL = f"""
+with b as ({PASS_SQL}),
+n as (select user_id as session, event_id as frame_id, lead(event_id) over (partition by user_id order by event_id) as next from events),
+p as (select b.session, n.next as frame_id, track_id as track, xmin, ymin, xmax, ymax from b join n on b.session = n.session and b.frame_id = n.frame_id),
+m as (select p.session, p.frame_id, track, b.track_id as detection, greatest(0, least(p.xmax, b.xmax) - greatest(p.xmin, b.xmin)) * greatest(0, least(p.ymax, b.ymax) - greatest(p.ymin, b.ymin)) as s,
+  (p.xmax - p.xmin) * (p.ymax - p.ymin) + (b.xmax - b.xmin) * (b.ymax - b.ymin) as sides from p join b on p.session = b.session and p.frame_id = b.frame_id)
+select session, frame_id, track, detection, s / (sides - s) as iou from m
+"""
+
+
 def session_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks of a session on which a detection is asked for or applied."""
     ticks = frames(spark, sf_dir).select("session", "frame_id", (F.col("micros") / 1e6).alias("ts"), (F.col("frame_id") % 97 == 0).alias("reset"))
@@ -138,7 +155,7 @@ def region_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "bytetrack": bytetrack, "sot_merge": sot_merge, "tracker_ticks": tracker_ticks, "pass_through": pass_through, "iou_matrix": iou_matrix, "session_gate": session_gate, "detect_replay": detect_replay,
-    "json_repair": json_repair, "frame_metrics": frame_metrics, "conditioned": conditioned, "region_proposals": region_proposals,
+    "frame_overlaps": frame_overlaps, "json_repair": json_repair, "frame_metrics": frame_metrics, "conditioned": conditioned, "region_proposals": region_proposals,
 }
 
-ORACLES = {"pass_through": PASS_SQL, "iou_matrix": IOU_SQL, "detect_replay": DETECT_SQL, "json_repair": REPAIR_SQL}
+ORACLES = {"pass_through": PASS_SQL, "iou_matrix": IOU_SQL, "frame_overlaps": OVERLAPS_SQL, "detect_replay": DETECT_SQL, "json_repair": REPAIR_SQL}

@@ -18,8 +18,18 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 Step = Callable[[dict, dict], tuple[dict, list[dict]]]
 
 
+def as_json(state: dict) -> str:
+    """A state as text; arrays become lists, which every step takes as well."""
+    return json.dumps(state, default=lambda held: held.tolist())
+
+
 def fold_batch(df: DataFrame, key: str, order: list[str], init: Callable[[], dict], step: Step, schema: str) -> DataFrame:
-    """Outputs of ``step`` over each key's rows in ``order``."""
+    """Outputs of ``step`` over each key's rows in ``order``; null keys are one key.
+
+    Keys are dealt over as many partitions as the session shuffles into, however small their rows are: the work is in
+    the steps.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [part.split()[0] for part in schema.split(", ")]
@@ -27,13 +37,14 @@ def fold_batch(df: DataFrame, key: str, order: list[str], init: Callable[[], dic
         for b in batches:
             out = []
             for row in b.to_dict("records"):
-                if row[key] != current:
-                    current, state = row[key], init()
+                own = None if pd.isna(row[key]) else row[key]
+                if own != current:
+                    current, state = own, init()
                 state, rows = step(state, row)
                 out += rows
             yield pd.DataFrame(out, columns=names)
 
-    return df.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return df.repartition(n, F.col(key)).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 def fold_stream(df: DataFrame, key: str, order: list[str], init: Callable[[], dict], step: Step, schema: str) -> DataFrame:
@@ -54,7 +65,7 @@ def fold_stream(df: DataFrame, key: str, order: list[str], init: Callable[[], di
             state, more = step(state, row)
             out += more
         if last is not None:
-            held.update((json.dumps(state), last))
+            held.update((as_json(state), last))
         yield pd.DataFrame(out, columns=names)
 
     return df.groupBy(key).applyInPandasWithState(run, schema, "state string, last long", "append", GroupStateTimeout.NoTimeout)

@@ -1,7 +1,7 @@
 """Multi-object tracking as folds over frames of detections.
 
-A frame is a row with ``boxes``: a list of [ymin, xmin, ymax, xmax, label, score] in pixels, as JSON. Tracks are
-plain lists and numbers, so that a state can be kept as JSON.
+A frame is a row with ``boxes``: a list of [ymin, xmin, ymax, xmax, label, score] in pixels, as JSON. Tracks hold
+numbers and arrays; a state that was kept as JSON has lists in their place.
 """
 
 from __future__ import annotations
@@ -25,33 +25,48 @@ def measure(box: list) -> np.ndarray:
 
 
 def spread(at: np.ndarray, still: float, moving: float) -> np.ndarray:
-    """Variances of place and speed; those of the centre scale with its coordinates."""
-    return np.square([at[0] * still, at[1] * still, 1e-2, at[3] * still, at[0] * moving, at[1] * moving, 1e-5, at[3] * moving])
+    """Variances of place and speed, a row for each column of ``at``; those of the centre scale with its coordinates."""
+    out = np.empty((8, *at.shape[1:]))
+    out[[0, 1, 3]], out[[4, 5, 7]] = at[[0, 1, 3]] * still, at[[0, 1, 3]] * moving
+    out[2], out[6] = 1e-2, 1e-5
+    return np.square(out).T
 
 
 def new_track(box: list, label: str, score: float, ident: int) -> dict:
     at = measure(box)
-    cov = np.diag(spread(at, 0.1, 0.0625))
-    return {"id": ident, "mean": [*at.tolist(), 0.0, 0.0, 0.0, 0.0], "cov": cov.tolist(), "label": label, "score": score, "hits": 1, "since": 0}
-
-
-def predict(track: dict) -> None:
-    mean = np.array(track["mean"])
-    noise = np.diag(spread(mean, 0.1, 0.0625))
-    track["mean"] = (_F @ mean).tolist()
-    track["cov"] = (_F @ np.array(track["cov"]) @ _F.T + noise).tolist()
-    track["since"] += 1
-
-
-def correct(track: dict, box: list, label: str, score: float) -> None:
-    mean, cov, seen = np.array(track["mean"]), np.array(track["cov"]), measure(box)
-    inner = cov[:4, :4] + np.diag(spread(seen, 0.1, 0.0)[:4])
-    gain = cov[:, :4] @ np.linalg.inv(inner)
-    track |= {"mean": (mean + gain @ (seen - mean[:4])).tolist(), "cov": (cov - gain @ inner @ gain.T).tolist(), "label": label, "score": score, "hits": track["hits"] + 1, "since": 0}
+    return {"id": ident, "mean": np.concatenate([at, np.zeros(4)]), "cov": np.diag(spread(at, 0.1, 0.0625)), "label": label, "score": score, "hits": 1, "since": 0}
+
+
+def predict(tracks: list[dict]) -> None:
+    """Move all ``tracks`` on by their speed, at once."""
+    if not tracks:
+        return
+    mean, cov = np.array([t["mean"] for t in tracks]), np.array([t["cov"] for t in tracks])
+    noise = spread(mean.T, 0.1, 0.0625)
+    mean, cov = mean @ _F.T, _F @ cov @ _F.T
+    cov[:, range(8), range(8)] += noise
+    for t, m, c in zip(tracks, mean, cov):
+        t["mean"], t["cov"] = m, c
+        t["since"] += 1
+
+
+def correct(tracks: list[dict], found: list[tuple[list, str, float]]) -> None:
+    """Take each track to the detection beside it, all at once."""
+    if not tracks:
+        return
+    mean, cov = np.array([t["mean"] for t in tracks]), np.array([t["cov"] for t in tracks])
+    seen = np.array([measure(box) for box, _, _ in found])
+    inner = cov[:, :4, :4].copy()
+    inner[:, range(4), range(4)] += spread(seen.T, 0.1, 0.0)[:, :4]
+    gain = cov[:, :, :4] @ np.linalg.inv(inner)
+    mean = mean + (gain @ (seen - mean[:, :4])[:, :, None])[:, :, 0]
+    cov = cov - gain @ inner @ gain.transpose(0, 2, 1)
+    for t, m, c, (_, label, score) in zip(tracks, mean, cov, found):
+        t |= {"mean": m, "cov": c, "label": label, "score": score, "hits": t["hits"] + 1, "since": 0}
 
 
 def rect(track: dict) -> list[float]:
-    cx, cy, aspect, h = track["mean"][:4]
+    cx, cy, aspect, h = map(float, track["mean"][:4])
     return [cy - h / 2, cx - aspect * h / 2, cy + h / 2, cx + aspect * h / 2]
 
 
@@ -67,16 +82,14 @@ def overlaps(a: list, b: list) -> np.ndarray:
 
 def pair_up(score: np.ndarray, least: float) -> tuple[list[tuple[int, int]], list[int], list[int]]:
     """Greedy one-to-one pairs of highest score first, ties by row and column; and what is left of both."""
-    order = np.lexsort((np.tile(np.arange(score.shape[1]), score.shape[0]), np.repeat(np.arange(score.shape[0]), score.shape[1]), -score.ravel()))
+    r, c = np.nonzero(score >= least)
+    best = sorted(zip((-score[r, c]).tolist(), r.tolist(), c.tolist()))
     rows, cols, pairs = set(range(score.shape[0])), set(range(score.shape[1])), []
-    for k in order:
-        r, c = divmod(int(k), score.shape[1])
-        if score[r, c] < least:
-            break
-        if r in rows and c in cols:
-            pairs.append((r, c))
-            rows.discard(r)
-            cols.discard(c)
+    for _, i, j in best:
+        if i in rows and j in cols:
+            pairs.append((i, j))
+            rows.discard(i)
+            cols.discard(j)
     return pairs, sorted(rows), sorted(cols)
 
 
@@ -98,24 +111,19 @@ def byte_track(state: dict, row: dict) -> tuple[dict, list[dict]]:
     Strong detections that start a track are those that no track took, by their own index.
     """
     tracked, lost, last = state["tracked"], state["lost"], state["last_id"]
-    for t in tracked + lost:
-        predict(t)
+    predict(tracked + lost)
     found = _detections(row)
     strong = [d for d in found if d[2] >= HIGH]
     weak = [d for d in found if LOW <= d[2] < HIGH]
-    pairs, left, free = pair_up(overlaps([rect(t) for t in tracked], [d[0] for d in strong]), 1.0 - MATCH)
-    for t, d in pairs:
-        correct(tracked[t], *strong[d])
-    pairs, missed, _ = pair_up(overlaps([rect(tracked[t]) for t in left], [d[0] for d in weak]), LOW_MATCH)
-    for t, d in pairs:
-        correct(tracked[left[t]], *weak[d])
-    gone = [tracked[left[t]] for t in missed]
-    tracked = [t for t in tracked if not any(t is g for g in gone)]
-    lost = lost + gone
-    pairs, still, new = pair_up(overlaps([rect(t) for t in lost], [strong[d][0] for d in free]), 1.0 - MATCH)
-    for t, d in pairs:
-        correct(lost[t], *strong[free[d]])
-        tracked.append(lost[t])
+    met, left, free = pair_up(overlaps([rect(t) for t in tracked], [d[0] for d in strong]), 1.0 - MATCH)
+    again, missed, _ = pair_up(overlaps([rect(tracked[t]) for t in left], [d[0] for d in weak]), LOW_MATCH)
+    gone = {left[t] for t in missed}
+    lost = lost + [tracked[t] for t in sorted(gone)]
+    back, still, new = pair_up(overlaps([rect(t) for t in lost], [strong[d][0] for d in free]), 1.0 - MATCH)
+    # No track is in two pairs, and none is read between them: all are corrected together.
+    pairs = [(tracked[t], strong[d]) for t, d in met] + [(tracked[left[t]], weak[d]) for t, d in again] + [(lost[t], strong[free[d]]) for t, d in back]
+    correct([t for t, _ in pairs], [d for _, d in pairs])
+    tracked = [t for k, t in enumerate(tracked) if k not in gone] + [lost[t] for t, _ in back]
     lost = [lost[t] for t in still if lost[t]["since"] <= MAX_LOST]
     for d in new:
         last += 1
@@ -171,8 +179,7 @@ def tracker(name: str):
 
 def glide(state: dict, row: dict) -> tuple[dict, list[dict]]:
     """One frame without detections: tracks that are followed move on by their speed; lost ones wait."""
-    for t in state["tracked"]:
-        predict(t)
+    predict(state["tracked"])
     return state, [_output(row, t["id"], t["label"], t["score"], rect(t), t["hits"]) for t in state["tracked"]]
 
 
