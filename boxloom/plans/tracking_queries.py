@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,13 +13,19 @@ from boxloom.operators import images as pix
 from boxloom.operators import rounds as round_ops
 from boxloom.plans import detect as loop
 from boxloom.plans import shapes
+from boxloom.sources.durable import shared_folder
 from boxloom.sources.tables import read_table
-from boxloom.streaming import folds, tracking
+from boxloom.streaming import folds, live, tracking
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(session, frame_id, ts, boxes): a moving box by user, a second one on every third event."""
-    return read_table(spark, sf_dir, "events").select(
+    """(session, frame_id, micros, boxes): a moving box by user, a second one on every third event."""
+    return framed(read_table(spark, sf_dir, "events"))
+
+
+def framed(events: DataFrame) -> DataFrame:
+    """Frames of ``events``, a table or a stream."""
+    return events.select(
         F.col("user_id").alias("session"), F.col("event_id").alias("frame_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"),
         F.expr("""concat('[[', 100 + event_id % 50, ',', 60 + event_id % 40, ',', 220 + event_id % 50, ',', 190 + event_id % 40, ',"', event_type, '",', 0.3 + (event_id % 7) / 10, ']',
           case when event_id % 3 = 0 then concat(',[300,', 400 + user_id % 90, ',380,', 500 + user_id % 90, ',"far"]') else '' end, ']')""").alias("boxes"),
@@ -94,6 +102,30 @@ def session_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.fold_batch(ticks, "session", ["frame_id"], tracking.gate_start, tracking.make_gate(refresh=1800.0, latency=600.0), tracking.GATE_SCHEMA)
 
 
+#: Times of the gate for ticks that are minutes apart.
+LIVE_GATE = {"refresh": 1800.0, "latency": 600.0}
+
+
+def _live_ticks(events: DataFrame) -> DataFrame:
+    """Events as ticks of sessions that change their algorithm and begin anew now and then; every third has detections."""
+    name = F.expr("element_at(array('ByteTrack', 'CSRT (TrackerCSRT)', 'None (Pass-through)'), cast(1 + frame_id div 500 % 3 as int))")
+    rows = framed(events)
+    boxes = F.when((F.col("session") + F.col("frame_id")) % 3 == 0, F.col("boxes"))
+    return rows.select("session", "frame_id", (F.col("micros") / 1e6).alias("ts"), name.alias("algorithm"), boxes.alias("boxes"), (F.col("frame_id") % 97 == 0).alias("reset"))
+
+
+def live_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What live sessions ask for and show on every tick, from the recorded ticks."""
+    return live.session_batch(_live_ticks(read_table(spark, sf_dir, "events")), **LIVE_GATE)
+
+
+def live_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``live_ticks``, by a stream over the events' file, with its state kept by Spark."""
+    # A pattern, since a stream takes a single file by one only; it fits a folder of files as well.
+    events = spark.readStream.schema(read_table(spark, sf_dir, "events").schema).parquet(f"{sf_dir.rstrip('/')}/events.parque[t]")
+    return live.run_to_table(live.session_stream(_live_ticks(events), **LIVE_GATE), f"{shared_folder(spark).rstrip('/')}/streams/{uuid.uuid4().hex}")
+
+
 def detect_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole loop over recorded replies: an order is an image, its lines are the rounds' full-image replies.
 
@@ -155,7 +187,7 @@ def region_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "bytetrack": bytetrack, "sot_merge": sot_merge, "tracker_ticks": tracker_ticks, "pass_through": pass_through, "iou_matrix": iou_matrix, "session_gate": session_gate, "detect_replay": detect_replay,
-    "frame_overlaps": frame_overlaps, "json_repair": json_repair, "frame_metrics": frame_metrics, "conditioned": conditioned, "region_proposals": region_proposals,
+    "frame_overlaps": frame_overlaps, "live_ticks": live_ticks, "live_stream": live_stream, "json_repair": json_repair, "frame_metrics": frame_metrics, "conditioned": conditioned, "region_proposals": region_proposals,
 }
 
 ORACLES = {"pass_through": PASS_SQL, "iou_matrix": IOU_SQL, "frame_overlaps": OVERLAPS_SQL, "detect_replay": DETECT_SQL, "json_repair": REPAIR_SQL}
