@@ -58,8 +58,8 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     ("Proprietary", "All rights reserved."),
 )
-#: Short notices (licence, notice, words a unit must have): alike but for the licence's name, so the cosine alone
-#: would take one for another. They leave the weights of TEMPLATES as they are.
+#: Headers and short notices (licence, notice, words a unit must have): alike but for a name or a version, so the
+#: cosine alone would take one for another. They leave the weights of TEMPLATES as they are.
 NOTICES = (
     ("MIT", "This file is licensed under the MIT License.", ("mit",)),
     ("Apache-2.0", "This file is licensed under the Apache License, Version 2.0.", ("apache", "2")),
@@ -67,7 +67,67 @@ NOTICES = (
     ("GPL-3.0", "This file is licensed under the GPLv3.", ("gplv3",)),
     ("BSD-3-Clause", "This file is licensed under the BSD 3-Clause License.", ("bsd", "3", "clause")),
     ("MPL-2.0", "This file is licensed under the Mozilla Public License 2.0.", ("mozilla", "2")),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+        "by the Free Software Foundation; either version 2 of the License, or any later version.",
+        ("gnu", "general", "2"),
+    ),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.", ("gnu", "general", "2")),
+    (
+        "LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+        "by the Free Software Foundation; either version 2.1 of the License, or any later version.",
+        ("lesser", "2", "1"),
+    ),
+    (
+        "LGPL-3.0",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+        "by the Free Software Foundation, either version 3 of the License, or any later version.",
+        ("lesser", "3"),
+    ),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published "
+        "by the Free Software Foundation, either version 3 of the License, or any later version.",
+        ("affero", "3"),
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+        "copyright notice and this permission notice appear in all copies.",
+        ("permission", "fee", "granted"),
+    ),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.", ("eclipse", "2")),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.", ("unencumbered", "domain")),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0.", ("boost", "license", "1")),
+    (
+        "Zlib",
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising "
+        "from the use of this software.",
+        ("authors", "liable", "damages"),
+    ),
+    ("Artistic-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0.", ("artistic", "2")),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ("attribution", "sharealike")),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", ("noncommercial", "sharealike")),
 )
+#: Licences that a tag names, and the words of the name that must be there.
+TAGGED = (
+    "MIT Apache-2.0 GPL-2.0 GPL-3.0 LGPL-2.1 LGPL-3.0 AGPL-3.0 BSD-2-Clause BSD-3-Clause MPL-2.0 ISC EPL-2.0 Unlicense BSL-1.0 Zlib Artistic-2.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-NC-SA-4.0"
+).split()
+TAGS = tuple((name, f"SPDX-License-Identifier: {name}", ("spdx", *[w for w in name.lower().replace(".", "-").split("-") if w != "by"])) for name in TAGGED)
+NOTICES += TAGS
+#: Words that a unit must not have, whatever else it shares with a licence's templates.
+NEVER = {
+    "GPL-2.0": ("lesser", "library", "affero", "lgpl", "agpl", "3", "gplv3"),
+    "GPL-3.0": ("lesser", "library", "affero", "lgpl", "agpl", "2", "gplv2"),
+    "LGPL-2.1": ("affero", "agpl", "3"),
+    "LGPL-3.0": ("affero", "agpl", "2"),
+    "CC-BY-4.0": ("noncommercial", "sharealike", "noderivatives", "noderivs", "nc", "sa", "nd"),
+    "CC-BY-SA-4.0": ("noncommercial", "nc", "noderivatives", "nd"),
+    "CC-BY-NC-4.0": ("sharealike", "sa", "noderivatives", "noderivs", "nd"),
+    "CC-BY-NC-SA-4.0": ("noderivatives", "nd"),
+}
 #: Function words, which count for nothing.
 STOP_WORDS = tuple(
     "a an and any are as at be been by can do either for from has have in including is it its may not of on or so such that the their this to under unless was were whom with without you".split()
@@ -91,15 +151,16 @@ def _words(text: str) -> list[str]:
 class Model:
     """Weights of template words: ``idf`` by word, ``rare`` for others, ``unit`` (template, word) -> weight.
 
-    ``must`` has the words without which a template, by its number, does not count. ``notices`` come after ``templates``
-    and have no part in the frequencies.
+    ``must`` has the words without which a template, by its number, does not count, ``never`` those with which it does
+    not. ``notices`` come after ``templates`` and have no part in the frequencies.
     """
 
-    def __init__(self, templates: tuple = TEMPLATES, notices: tuple = ()):
+    def __init__(self, templates: tuple = TEMPLATES, notices: tuple = (), never: dict = NEVER):
         bags = [Counter(_words(t)) for _, t in templates]
         seen = Counter(w for bag in bags for w in bag)
         self.names = [name for name, *_ in (*templates, *notices)]
         self.must = {len(templates) + k: set(words) for k, (_, _, words) in enumerate(notices)}
+        self.never = {k: set(never[name]) for k, name in enumerate(self.names) if name in never}
         self.idf = {w: math.log((1 + len(bags)) / (1 + n)) + 1 for w, n in sorted(seen.items())}
         self.rare = math.log(1 + len(bags)) + 1
         bags += [Counter(_words(t)) for _, t, _ in notices]
@@ -170,7 +231,9 @@ def own_licences(files: DataFrame, model: Model, threshold: float) -> DataFrame:
     bag = F.transform(F.filter(F.array(words_of(F.col("line"))), some), split)
     near = units.select("file_key", "unit", "at", F.explode(F.filter(F.transform(bag, weigh), shares)).alias("b")).select("file_key", "unit", "at", "b.w")
     counts = near.select("file_key", "unit", "at", F.explode("w").alias("word")).groupBy("file_key", "unit", "at", "word").agg(F.count("*").alias("tf"))
-    weights = spark.createDataFrame([(k, w, x, int(w in model.must.get(k, ()))) for k, w, x in model.unit], "template int, t_word string, weight double, must int")
+    shared = [(k, w, x, int(w in model.must.get(k, ())), 0) for k, w, x in model.unit]
+    barred = [(k, w, 0.0, 0, 1) for k, words in model.never.items() for w in sorted(words)]
+    weights = spark.createDataFrame(shared + barred, "template int, t_word string, weight double, must int, never int")
     needed = F.array(*[F.lit(len(model.must.get(k, ()))) for k in range(len(model.names))])
     idfs = spark.createDataFrame(sorted(model.idf.items()), "i_word string, idf double")
     weighed = durable(
@@ -183,8 +246,8 @@ def own_licences(files: DataFrame, model: Model, threshold: float) -> DataFrame:
     scored = (
         weighed.join(F.broadcast(weights), F.col("word") == F.col("t_word"))
         .groupBy("file_key", "unit", "at", "template")
-        .agg(F.sum(F.col("x") * F.col("weight")).alias("dot"), F.sum("must").alias("must"))
-        .where(F.col("must") == F.get(needed, F.col("template")))
+        .agg(F.sum(F.col("x") * F.col("weight")).alias("dot"), F.sum("must").alias("must"), F.sum("never").alias("never"))
+        .where((F.col("must") == F.get(needed, F.col("template"))) & (F.col("never") == 0))
         .join(norms, ["file_key", "unit"])
         .select("file_key", "at", "template", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
         .where(F.col("score") >= threshold)
@@ -263,13 +326,15 @@ def document_files(docs: DataFrame) -> DataFrame:
 
 
 def _oracle() -> str:
-    m = Model()
+    m = Model(notices=NOTICES)
     quote = lambda w: "'" + w.replace("'", "''") + "'"
     idf = ", ".join(f"({quote(w)}, {v!r}::double)" for w, v in sorted(m.idf.items()))
-    unit = ", ".join(f"({t}, {quote(w)}, {v!r}::double)" for t, w, v in m.unit)
+    unit = ", ".join(f"({t}, {quote(w)}, {v!r}::double, {int(w in m.must.get(t, ()))})" for t, w, v in m.unit)
+    needed = ", ".join(f"({k}, {len(m.must.get(k, ()))})" for k in range(len(m.names)))
+    barred = ", ".join(f"({k}, {quote(w)})" for k, words in m.never.items() for w in sorted(words))
     names = ", ".join(f"({k}, {quote(n)})" for k, n in enumerate(m.names))
     return f"""
-with i(word, idf) as (values {idf}), tw(t, word, weight) as (values {unit}), names(t, licence) as (values {names}),
+with i(word, idf) as (values {idf}), tw(t, word, weight, must) as (values {unit}), nd(t, needed) as (values {needed}), nv(t, word) as (values {barred}), names(t, licence) as (values {names}),
 g as (select doc_id, coalesce(text, '') as text, concat_ws('/', coalesce(source, 'unknown'), case when doc_id % 1000 <> 0 then cast(doc_id // 1000 as varchar) end, case when doc_id % 100 <> 0 then cast(doc_id // 100 as varchar) end, case when doc_id % 10 <> 0 then cast(doc_id // 10 as varchar) end) as folder from documents),
 f as (select *, folder || '/' || cast(doc_id as varchar) as path from g),
 u as (select doc_id, 0 as unit, text as line from f union all
@@ -277,7 +342,9 @@ u as (select doc_id, 0 as unit, text as line from f union all
 w as (select doc_id, unit, unnest(list_filter(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), lambda x: x <> '' and x not in ({", ".join(map(quote, STOP_WORDS))}))) as word from u),
 c as (select doc_id, unit, w.word, count(*) * coalesce(any_value(idf), {m.rare!r}::double) as x from w left join i on w.word = i.word group by doc_id, unit, w.word),
 n as (select doc_id, unit, sqrt(sum(x * x)) as norm from c group by doc_id, unit),
-s as (select c.doc_id, c.unit, t, round(sum(x * weight) / any_value(norm), 6) as score from c join tw on c.word = tw.word join n on n.doc_id = c.doc_id and n.unit = c.unit group by c.doc_id, c.unit, t having score >= {THRESHOLD}),
+b as (select distinct doc_id, unit, t from c join nv on c.word = nv.word),
+m as (select c.doc_id, c.unit, t, round(sum(x * weight) / any_value(norm), 6) as score, sum(must) as must from c join tw on c.word = tw.word join n on n.doc_id = c.doc_id and n.unit = c.unit group by c.doc_id, c.unit, t having score >= {THRESHOLD}),
+s as (select doc_id, unit, t, score from m join nd using (t) where must = needed and (doc_id, unit, t) not in (select (doc_id, unit, t) from b)),
 own as (select doc_id, licence, score, unit <= 1 as first_line from (select *, row_number() over (partition by doc_id order by score desc, t, unit) as k from s) join names using (t) where k = 1),
 d as (select folder, licence as dir_licence from (select folder, licence, row_number() over (partition by folder order by score desc, path, licence) as k from f join own using (doc_id) where first_line or doc_id % 10 = 0) where k = 1),
 up as (select folder, unnest(list_transform(range(0, len(string_split(folder, '/')) + 1), lambda i: array_to_string(string_split(folder, '/')[1:i], '/'))) as above from (select distinct folder from f)),

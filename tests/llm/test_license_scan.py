@@ -106,3 +106,34 @@ def test_whole_query_inherits_from_several_levels_up(spark):
         "e": ("s/2/2300", "MIT", "inherited", "s/2"), "f": ("s/2/23/234/2345", "MIT", "inherited", "s/2"), "g": ("s/2/23/234/2346", "Apache-2.0", "own", None), "h": ("s/2/23/234/2347", "MIT", "inherited", "s/2"),
         "i": ("unknown/2/21/211/2111", None, "none", None), "j": (None, None, "none", None), "k": ("s/3/30/300/3001", "Apache-2.0", "inherited", "s"),
     }
+
+
+STANDARD = {
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Lesser General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as\npublished by the Free Software Foundation, either version 3 of the\nLicense, or (at your option) any later version.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or\nmodify it under the terms of the GNU General Public License\nas published by the Free Software Foundation; either version 2\nof the License, or (at your option) any later version.",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "EPL-2.0": "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.\n(See accompanying file LICENSE_1_0.txt)",
+    "Zlib": "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.",
+    "Artistic-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0.",
+}
+
+
+def test_standard_headers_and_tags_name_their_licence(spark):
+    code = "\n".join(f"value_{i} = compute(input_{i}, other_{i})" for i in range(40))
+    rows = [(f"{name}/x.py", "/*\n * " + text.replace("\n", "\n * ") + "\n */\n\n" + code) for name, text in STANDARD.items()]
+    rows += [(f"tag {name}/x.py", f"# SPDX-License-Identifier: {name}\n{code}") for name in ls.TAGGED]
+    rows += [("tag GPL-2.0/y.py", "// SPDX-License-Identifier: GPL-2.0-or-later"), ("tag LGPL-2.1/y.py", "// SPDX-License-Identifier: LGPL-2.1-only")]
+    got = {r[0]: (r[1], r[3]) for r in scan(spark, rows)[0]}
+    assert {path: said for path, said in got.items() if said != (path.split("/")[0].removeprefix("tag "), "own")} == {}
+    other = [("a/x", "# SPDX-License-Identifier: Foo-9.9"), ("b/x", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.")]
+    assert {r[3] for r in scan(spark, other)[0]} == {"none"}
