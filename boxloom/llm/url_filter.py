@@ -1,9 +1,10 @@
 """URL filters by a weighted vocabulary and host rules.
 
 An Aho-Corasick automaton finds strict and soft terms in the whole percent-decoded url: host, path, query and
-fragment. A term counts only between boundaries (no letter or digit on either side). One strict term, or
-SOFT_HITS distinct soft ones whose weights reach REJECT, block a url. Rules for hosts and paths come before the
-vocabulary; the longest that fits decides.
+fragment. A term counts only between boundaries (no letter or digit on either side). Soft terms that speak of one
+thing are one concept, which weighs what its heaviest term does: forms of a word, or a word in two languages, are
+one hit. One strict term, or SOFT_HITS distinct concepts whose weights reach REJECT, block a url. Rules for hosts
+and paths come before the vocabulary; the longest that fits decides.
 """
 
 from __future__ import annotations
@@ -30,15 +31,38 @@ RULES = (
 STRICT = tuple(
     "casino kasino casinos porn porno pornos xxx viagra cialis jackpot escort escorts hentai tragaperras spielautomaten tragamonedas camgirls payday-loan".split()
 )
-#: Weights of terms that block together with others, by what they speak of.
-SOFT_BY_WEIGHT = {
-    0.7: "spam adult nude nudes sex erotik erotica erotique paris-sportifs popunder adserver malware",
-    0.6: "pills pillen pilules pastillas bets betting wetten apuestas poker slots roulette ads werbung publicidad sexy hookup gewinnspiel",
-    0.5: "cheap billig barato pas-cher free gratis gratuit kostenlos win gewinn gagner gana bonus bono track tracker tracking loan loans kredit prestamo dating cams replica",
-    0.4: "farm deal deals discount rabatt descuento coupon credit affiliate pixel cam",
-    0.3: "x click klick clic offer angebot oferta",
-}
-SOFT = {term: weight for weight, terms in SOFT_BY_WEIGHT.items() for term in terms.split()}
+#: Soft terms by concept: (concept, weight, terms).
+VOCABULARY = (
+    ("spam", 0.7, "spam spammer spamming"),
+    ("adult", 0.7, "adult nude nudes nudity sex erotic erotica erotik erotique erotismo sexy"),
+    ("hookup", 0.6, "hookup hookups sexdating flirt"),
+    ("dating", 0.5, "dating singles rencontre rencontres citas cams camshow"),
+    ("rating", 0.3, "x xx uncensored nsfw"),
+    ("cam", 0.4, "cam webcamsex"),
+    ("betting", 0.7, "paris-sportifs sportwetten apuestas-deportivas"),
+    ("betting", 0.6, "bet bets betting bookmaker bookmakers wette wetten apuesta apuestas pari paris-en-ligne poker slots slot-machine roulette blackjack baccarat"),
+    ("pharmacy", 0.6, "pill pills pillen pilule pilules pastilla pastillas steroids levitra xanax tramadol slimming potenzmittel"),
+    ("adverts", 0.7, "popunder popunders adserver adservers"),
+    ("adverts", 0.6, "ads adclick doubleclick werbung publicidad publicite"),
+    ("tracking", 0.5, "track tracker trackers tracking"),
+    ("tracking", 0.4, "pixel pixels beacon"),
+    ("malware", 0.7, "malware trojan keylogger phishing"),
+    ("cracks", 0.6, "warez keygen keygens crack cracked serialz nulled"),
+    ("prize", 0.6, "gewinnspiel gewinnspiele sweepstake sweepstakes giveaway lottery loterie loteria"),
+    ("prize", 0.5, "win winner gewinn gewinne gagner gagnez gana ganar bonus bono bonos"),
+    ("bargain", 0.5, "cheap cheapest billig billiger barato baratos pas-cher free gratis gratuit gratuite gratuits kostenlos"),
+    ("bargain", 0.4, "deal deals discount discounts rabatt rabatte descuento descuentos coupon coupons"),
+    ("loans", 0.5, "loan loans kredit kredite prestamo prestamos pret-rapide payday"),
+    ("loans", 0.4, "credit"),
+    ("fakes", 0.5, "replica replicas counterfeit"),
+    ("link farm", 0.4, "farm linkfarm backlinks pbn"),
+    ("affiliate", 0.4, "affiliate affiliates partnerprogramm"),
+    ("clicks", 0.3, "click clicks klick clic"),
+    ("offer", 0.3, "offer offers angebot angebote oferta ofertas offre"),
+    ("crypto", 0.5, "pump-signals doubler hyip ponzi"),
+)
+SOFT = {term: weight for _, weight, terms in VOCABULARY for term in terms.split()}
+CONCEPTS = {term: concept for concept, _, terms in VOCABULARY for term in terms.split()}
 SOFT_HITS, REJECT = 2, 1.0
 
 
@@ -61,36 +85,39 @@ def rule_for(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return out
 
 
-def build_automaton(strict: tuple, soft: tuple | Mapping[str, float]) -> ahocorasick.Automaton:
-    """Finds ``strict`` and ``soft`` terms; soft terms without weights weigh REJECT together when there are SOFT_HITS."""
+def build_automaton(strict: tuple, soft: tuple | Mapping[str, float], concepts: Mapping[str, str] = CONCEPTS) -> ahocorasick.Automaton:
+    """Finds ``strict`` and ``soft`` terms; soft terms without weights weigh REJECT together when there are SOFT_HITS.
+
+    A term that ``concepts`` does not know is a concept of its own.
+    """
     words = ahocorasick.Automaton()
     for term in sorted({*strict, *soft}):
         weight = None if term in strict else soft[term] if isinstance(soft, Mapping) else REJECT / SOFT_HITS
-        words.add_word(term, (term, weight))
+        words.add_word(term, (term, concepts.get(term, term), weight))
     words.make_automaton()
     return words
 
 
 def weighed_hits(words: ahocorasick.Automaton, text: str) -> tuple[int, int, float]:
-    """Numbers of distinct strict and soft terms that stand between boundaries in ``text``, and the soft ones' weight."""
+    """Numbers of distinct strict terms and soft concepts that stand between boundaries in ``text``, and the concepts' weight."""
     strict, soft = set(), {}
-    for end, (term, weight) in words.iter(text):
+    for end, (term, concept, weight) in words.iter(text):
         start = end - len(term)
         if (start < 0 or not text[start].isalnum()) and (end + 1 == len(text) or not text[end + 1].isalnum()):
             if weight is None:
                 strict.add(term)
             else:
-                soft[term] = weight
+                soft[concept] = max(weight, soft.get(concept, 0.0))
     return len(strict), len(soft), round(sum(sorted(soft.values())), 6)
 
 
 def term_hits(words: ahocorasick.Automaton, text: str) -> tuple[int, int]:
-    """Numbers of distinct strict and soft terms that stand between boundaries in ``text``."""
+    """Numbers of distinct strict terms and soft concepts that stand between boundaries in ``text``."""
     return weighed_hits(words, text)[:2]
 
 
 def scan_urls(urls: DataFrame, strict: tuple = STRICT, soft: Mapping[str, float] = SOFT) -> DataFrame:
-    """``urls`` (with string column url) plus n_strict and n_soft (int) and soft_weight (double)."""
+    """``urls`` (with string column url) plus n_strict, n_soft (int, concepts) and soft_weight (double)."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = build_automaton(strict, soft)
@@ -124,7 +151,8 @@ def _oracle() -> str:
         return f"regexp_matches(u, '(^|[^\\p{{L}}\\p{{N}}]){term}($|[^\\p{{L}}\\p{{N}}])')"
 
     strict = " + ".join(f"cast({found(t)} as int)" for t in STRICT)
-    soft = ", ".join(f"case when {found(t)} then {w}::double end" for t, w in SOFT.items())
+    of = {c: [t for t in SOFT if CONCEPTS[t] == c] for c in dict.fromkeys(CONCEPTS.values())}
+    soft = ", ".join("greatest(" + ", ".join(f"case when {found(t)} then {SOFT[t]}::double end" for t in terms) + ", null)" for terms in of.values())
     fits = " union all ".join(f"select '{v}' as v, '{h}' as h, '{p}' as p" for v, h, p in RULES)
     return f"""
 with a as (
