@@ -116,6 +116,7 @@ class Block:
     inside: bool = False
     furniture: bool = False
     prior: float = 0.0
+    words: tuple[int, int] | None = None
 
 
 def _marked(token: str) -> bool:
@@ -269,15 +270,17 @@ def blocks_of(page: str) -> list[Block]:
 _ENDS = {"p": ("p",), "li": ("p", "li"), "td": ("p", "td", "th"), "th": ("p", "td", "th"), "tr": ("p", "td", "th", "tr"), "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd")}
 
 
-def stop_words(text: str) -> tuple[int, int]:
-    """Words of ``text``, and how many of them are stop words."""
-    words = _WORD.findall(text.lower())
-    return len(words), sum(w in STOP_WORDS for w in words)
+def stop_words(block: Block) -> tuple[int, int]:
+    """Words of the block's unlinked text, and how many of them are stop words; worked out once."""
+    if block.words is None:
+        words = _WORD.findall(block.unlinked.lower())
+        block.words = len(words), sum(map(STOP_WORDS.__contains__, words))
+    return block.words
 
 
 def in_known_language(blocks: list[Block]) -> bool:
     """True if the unlinked text of all blocks but furniture has as many stop words as prose of a listed language."""
-    counts = [stop_words(b.unlinked) for b in blocks if not b.furniture]
+    counts = [stop_words(b) for b in blocks if not b.furniture]
     return sum(n for _, n in counts) >= STOP_HIGH * max(1, sum(n for n, _ in counts))
 
 
@@ -288,12 +291,12 @@ def score(block: Block, known: bool = True) -> float:
     itself; a character of a script without spaces between words counts as several.
     """
     total = block.prior
-    others = 0 if block.unlinked.isascii() else len(_OTHER_SCRIPT.findall(block.unlinked))
+    others = _OTHER_SCRIPT.search(block.unlinked) is not None if not block.unlinked.isascii() else False
     size = len(block.unlinked) + (UNSPACED - 1) * (len(_UNSPACED.findall(block.unlinked)) if others else 0)
     if size >= SHORT:
-        words, stops = stop_words(block.unlinked)
+        words, stops = stop_words(block)
         share = stops / max(1, words)
-        if not known or 2 * others > sum(map(len, _WORD.findall(block.unlinked))):
+        if not known or (others and 2 * len(_OTHER_SCRIPT.findall(block.unlinked)) > sum(map(len, _WORD.findall(block.unlinked)))):
             share = max(share, STOP_HIGH)
         if size >= LONG:
             total += NO_PROSE if share < STOP_LOW else 0.0 if share < STOP_HIGH else PROSE if size < VERY_LONG else MUCH_PROSE
