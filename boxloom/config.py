@@ -78,6 +78,18 @@ class Settings:
         if self.task == "auto_label" and not (self.train_image and self.train_label and self.yaml_path):
             raise ValueError("auto_label needs train_image, train_label and yaml_path")
 
+    def preprocessing(self) -> dict[str, Any]:
+        """What is done to an image, by name; with preprocessing off, only the grid and the request hints stay as they are set."""
+        every = {f.name.removeprefix("prep_"): getattr(self, f.name) for f in dataclasses.fields(self) if f.name.startswith("prep_")}
+        if not every.pop("enabled"):
+            held = ("grid_style", "grid_step", "send_pixel_bounds", "min_pixels", "max_pixels")
+            off = {f.name.removeprefix("prep_"): f.default for f in dataclasses.fields(self) if f.name.startswith("prep_")}
+            every |= {k: off[k] for k in every if k not in held}
+            every["resolution"] = False
+        else:
+            every["resolution"] = True
+        return every
+
     def category_list(self) -> list[str]:
         return [c for c in (part.strip() for part in self.categories.split(",")) if c]
 

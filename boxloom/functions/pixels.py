@@ -66,7 +66,7 @@ def unsharp(plane: np.ndarray, percent: float = 150, least: int = 3) -> np.ndarr
 
 
 def resize(img: np.ndarray, w: int, h: int) -> np.ndarray:
-    """Bilinear resampling: a stand-in for the sinc filters of imaging libraries."""
+    """Bilinear resampling."""
     ys, xs = (np.arange(h) + 0.5) * img.shape[0] / h - 0.5, (np.arange(w) + 0.5) * img.shape[1] / w - 0.5
     ys, xs = np.clip(ys, 0, img.shape[0] - 1), np.clip(xs, 0, img.shape[1] - 1)
     y0, x0 = np.floor(ys).astype(int), np.floor(xs).astype(int)
@@ -77,12 +77,140 @@ def resize(img: np.ndarray, w: int, h: int) -> np.ndarray:
     return np.round(top * (1 - fy) + low * fy).astype(np.uint8)
 
 
+#: Half the width of the windowed sinc, in pixels of the coarser image.
+LOBES = 3
+
+
+def _sinc_weights(size: int, out: int) -> np.ndarray:
+    """(out, size): what each pixel of a line adds to each of the new one. On reduction the filter widens with the scale."""
+    scale = max(1.0, size / out)
+    centre = (np.arange(out) + 0.5) * size / out
+    x = (np.arange(size)[None, :] + 0.5 - centre[:, None]) / scale
+    weight = np.where(np.abs(x) < LOBES, np.sinc(x) * np.sinc(x / LOBES), 0.0)
+    return weight / weight.sum(axis=1, keepdims=True)
+
+
+def lanczos(img: np.ndarray, w: int, h: int) -> np.ndarray:
+    """Resampling by a windowed sinc, along rows and then along columns, rounded after each."""
+    if img.shape[1] != w:
+        img = np.clip(np.round(np.einsum("yxc,ox->yoc", img.astype(float), _sinc_weights(img.shape[1], w), optimize=True)), 0, 255).astype(np.uint8)
+    if img.shape[0] != h:
+        img = np.clip(np.round(np.einsum("yxc,oy->oxc", img.astype(float), _sinc_weights(img.shape[0], h), optimize=True)), 0, 255).astype(np.uint8)
+    return img
+
+
+#: sRGB to XYZ, and the white of D65 that LAB is told from.
+_XYZ = np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169], [0.019334, 0.119193, 0.950227]])
+_WHITE = np.array([0.950456, 1.0, 1.088754])
+
+
+def to_lab(img: np.ndarray) -> np.ndarray:
+    """Lightness scaled to 0-255 and both colour axes about 128, as bytes."""
+    c = img.astype(float) / 255
+    linear = np.where(c <= 0.04045, c / 12.92, ((c + 0.055) / 1.055) ** 2.4)
+    t = linear @ _XYZ.T / _WHITE
+    f = np.where(t > 0.008856, np.cbrt(t), 7.787 * t + 16 / 116)
+    light = np.where(t[..., 1] > 0.008856, 116 * np.cbrt(t[..., 1]) - 16, 903.3 * t[..., 1])
+    lab = np.stack([light * 255 / 100, 500 * (f[..., 0] - f[..., 1]) + 128, 200 * (f[..., 1] - f[..., 2]) + 128], -1)
+    return np.clip(np.round(lab), 0, 255).astype(np.uint8)
+
+
+def from_lab(lab: np.ndarray) -> np.ndarray:
+    light, a, b = lab[..., 0] * (100 / 255), lab[..., 1] - 128.0, lab[..., 2] - 128.0
+    y = np.where(light > 7.9996, ((light + 16) / 116) ** 3, light / 903.3)
+    fy = np.where(light > 7.9996, (light + 16) / 116, 7.787 * y + 16 / 116)
+    f = np.stack([fy + a / 500, fy, fy - b / 200], -1)
+    t = np.where(f > 0.206893, f**3, (f - 16 / 116) / 7.787)
+    t[..., 1] = y
+    linear = np.clip(t * _WHITE @ np.linalg.inv(_XYZ).T, 0, 1)
+    c = np.where(linear <= 0.0031308, linear * 12.92, 1.055 * linear ** (1 / 2.4) - 0.055)
+    return np.clip(np.round(c * 255), 0, 255).astype(np.uint8)
+
+
+def equalise_lightness(img: np.ndarray, clip: float = 2.0, grid: int = 8) -> np.ndarray:
+    """``equalise`` on the lightness alone; colours stay."""
+    lab = to_lab(img)
+    lab[..., 0] = equalise(lab[..., 0], clip, grid)
+    return from_lab(lab)
+
+
+def gamma(img: np.ndarray, value: float) -> np.ndarray:
+    """Every byte by the table of ((i / 255) ** (1 / value)) * 255, cut to whole numbers."""
+    return (((np.arange(256) / 255.0) ** (1.0 / value)) * 255).astype(np.uint8)[img]
+
+
+def non_local_means(img: np.ndarray, strength: float = 3.0, patch: int = 7, search: int = 21) -> np.ndarray:
+    """Each pixel as the mean of those in its search window, weighted by how alike the patches around both are.
+
+    A patch's distance d is the mean squared difference over its pixels and channels, its weight exp(-d / strength ** 2).
+    Distances to all pixels at one shift come from one summed-area table, so that the patch's size costs nothing.
+    """
+    img = img if img.ndim == 3 else img[..., None]
+    h, w, channels = img.shape
+    near, far = patch // 2, search // 2
+    full = _reflected(img.astype(float), near + far)
+    own = full[far : far + h + 2 * near, far : far + w + 2 * near]
+    total, weights = np.zeros((h, w, channels)), np.zeros((h, w))
+    for dy in range(-far, far + 1):
+        for dx in range(-far, far + 1):
+            other = full[far + dy : far + dy + h + 2 * near, far + dx : far + dx + w + 2 * near]
+            table = np.zeros((own.shape[0] + 1, own.shape[1] + 1))
+            table[1:, 1:] = ((own - other) ** 2).sum(-1).cumsum(0).cumsum(1)
+            around = table[patch:, patch:] - table[:-patch, patch:] - table[patch:, :-patch] + table[:-patch, :-patch]
+            weight = np.exp(-np.maximum(around, 0) / (patch * patch * channels * strength**2))
+            total += weight[..., None] * other[near : near + h, near : near + w]
+            weights += weight
+    return np.clip(np.round(total / weights[..., None]), 0, 255).astype(np.uint8)
+
+
+def _reflected(img: np.ndarray, by: int) -> np.ndarray:
+    """``img`` with ``by`` more pixels on every side, mirrored at its edge pixels as often as it takes."""
+    at = []
+    for n in img.shape[:2]:
+        k = np.abs(np.arange(-by, n + by)) % max(1, 2 * (n - 1))
+        at.append(np.minimum(k, 2 * (n - 1) - k) if n > 1 else np.zeros(n + 2 * by, int))
+    return img[at[0]][:, at[1]]
+
+
+def denoised(img: np.ndarray, strength: float = 3.0) -> np.ndarray:
+    """``non_local_means`` of the lightness, and of both colour axes together."""
+    lab = to_lab(img)
+    return from_lab(np.concatenate([non_local_means(lab[..., :1], strength), non_local_means(lab[..., 1:], strength)], -1))
+
+
+def oriented(img: np.ndarray, orientation: int) -> np.ndarray:
+    """``img`` upright, for the orientation that its file states."""
+    if orientation in (5, 6, 7, 8):
+        img = img.swapaxes(0, 1)
+    if orientation in (2, 3, 6, 7):
+        img = img[:, ::-1]
+    if orientation in (3, 4, 7, 8):
+        img = img[::-1]
+    return img
+
+
+def fitted(img: np.ndarray, short_edge: int, square: bool, fill: int = 128) -> np.ndarray:
+    """``img`` enlarged to a short edge, never reduced, and if ``square`` in the middle of a square."""
+    h, w = img.shape[:2]
+    if min(w, h) < short_edge:
+        scale = short_edge / min(w, h)
+        img = lanczos(img, round(w * scale), round(h * scale))
+    if square:
+        h, w = img.shape[:2]
+        side = max(w, h)
+        out = np.full((side, side, 3), fill, np.uint8)
+        out[(side - h) // 2 : (side - h) // 2 + h, (side - w) // 2 : (side - w) // 2 + w] = img
+        img = out
+    return img
+
+
 def letterbox(img: np.ndarray, w: int, h: int, fill: int = 0) -> np.ndarray:
+    """``img`` as large as a box of ``w`` by ``h`` takes, by ``lanczos``, in its middle."""
     scale = min(w / img.shape[1], h / img.shape[0])
     cw, ch = max(1, round(img.shape[1] * scale)), max(1, round(img.shape[0] * scale))
     out = np.full((h, w, 3), fill, np.uint8)
     top, left = (h - ch) // 2, (w - cw) // 2
-    out[top : top + ch, left : left + cw] = resize(img, cw, ch)
+    out[top : top + ch, left : left + cw] = lanczos(img, cw, ch)
     return out
 
 
@@ -120,20 +248,48 @@ def changed_ratio(img: np.ndarray, reference: np.ndarray | None, least: float =
 
 
 def regions(mask: np.ndarray) -> np.ndarray:
-    """Bounding boxes (x1, y1, x2, y2) of the 8-connected parts of ``mask``, in the order of their first pixel."""
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        near = np.where(mask, np.where(w := windows_zero(label), w, label.max() + 1).min((-1, -2)), 0)
-        if (near == label).all():
-            break
-        label = near
-    names, place = np.unique(label[mask], return_inverse=True)
-    ys, xs = np.nonzero(mask)
-    out = np.empty((len(names), 4), np.int64)
-    for k, (v, f) in enumerate(((xs, np.minimum), (ys, np.minimum), (xs + 1, np.maximum), (ys + 1, np.maximum))):
-        part = np.full(len(names), mask.size + 1 if f is np.minimum else 0)
-        f.at(part, place, v)
-        out[:, k] = part
+    """Bounding boxes (x1, y1, x2, y2) of the 8-connected parts of ``mask``, in the order of their first pixel.
+
+    Runs of pixels in a row are joined with those that they touch in the row above, by union and find.
+    """
+    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    ys, starts = np.nonzero(edge == 1)
+    return connected_runs(ys, starts, np.nonzero(edge == -1)[1])
+
+
+def connected_runs(ys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Bounding boxes (x1, y1, x2, y2) of the 8-connected parts of runs [starts, ends) in rows ``ys``.
+
+    Runs are in order of row and start, and those of a row don't touch; so are the boxes, by their first run.
+    """
+    parent = np.arange(len(ys))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    rows, first = np.unique(ys, return_index=True)
+    first = np.append(first, len(ys))
+    for k in range(1, len(rows)):
+        if rows[k] != rows[k - 1] + 1:
+            continue
+        up, here = first[k - 1], first[k]
+        while up < first[k] and here < first[k + 1]:
+            if starts[up] <= ends[here] and starts[here] <= ends[up]:
+                a, b = root(up), root(here)
+                parent[max(a, b)] = min(a, b)
+            if ends[up] < ends[here]:
+                up += 1
+            else:
+                here += 1
+    names = np.array([root(k) for k in range(len(ys))], np.int64)
+    heads, place = np.unique(names, return_inverse=True)
+    out = np.empty((len(heads), 4), np.int64)
+    for k, (v, f) in enumerate(((starts, np.minimum), (ys, np.minimum), (ends, np.maximum), (ys + 1, np.maximum))):
+        out[:, k] = v[heads]
+        f.at(out[:, k], place, v)
     return out
 
 

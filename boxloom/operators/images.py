@@ -1,82 +1,139 @@
-"""Pixel operators over tables of rasters; each task decodes, computes and drops its own images."""
+"""Pixel operators over tables of image files; each task decodes, computes and drops its own images, one at a time."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxloom.config import Settings
+from boxloom.functions import imagefile
 from boxloom.functions import pixels as px
 
 
 def read_binary(spark, path: str, pattern: str = "*.{jpg,jpeg,png}") -> DataFrame:
-    """(path, length, content) of image files, from any store Spark can read."""
+    """(path, length, content) of image files, from any store Spark can read; it passes over files of no bytes."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length", "content")
 
 
-def rasters(images: DataFrame, w: int, h: int) -> DataFrame:
-    """(image_id, w, h, data): RGB rasters drawn from the keys of ``images``.
+def _mapped(images: DataFrame, key: str, each: Callable[[np.ndarray], list[tuple]], columns: str) -> DataFrame:
+    """(key, columns): the rows that ``each`` makes of every image of ``images`` (key, content) that can be read, upright."""
+    kind = images.schema[key].dataType.simpleString()
+    names = [key, *[c.split()[0] for c in columns.split(", ")]]
 
-    Keys are few bytes and pixels much work, so the keys are dealt over all cores first.
-    """
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        y, x = np.mgrid[:h, :w]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            data = [np.stack([(x * (i % 7) + y * (i % 5) + i) % 256, (x * 3 + y * (i % 3) + i * 2) % 256, (x + y + i) % 256], -1).astype(np.uint8).tobytes() for i in b["image_id"]]
-            yield pd.DataFrame({"image_id": b["image_id"], "w": w, "h": h, "data": data})
-
-    cores = images.sparkSession.sparkContext.defaultParallelism
-    return images.select("image_id").repartition(cores, "image_id").mapInPandas(draw, "image_id long, w int, h int, data binary")
+            rows = []
+            for ident, content in zip(b[key], b["content"]):
+                _, img, turned = imagefile.decode(content)
+                if img is not None:
+                    rows += [(ident, *row) for row in each(px.oriented(img, turned))]
+            yield pd.DataFrame(rows, columns=names)
 
+    return images.select(key, "content").mapInPandas(run, f"`{key}` {kind}, {columns}")
 
-def _arrays(b: pd.DataFrame) -> list[np.ndarray]:
-    return [np.frombuffer(bytes(d), np.uint8).reshape(h, w, 3) for d, w, h in zip(b["data"], b["w"], b["h"])]
 
+def inspected(images: DataFrame, key: str = "image_id") -> DataFrame:
+    """(key, status, w, h, orientation, mean_r, mean_g, mean_b) of every file of ``images`` (key, content).
 
-def metrics(images: DataFrame) -> DataFrame:
-    """(image_id, laplacian_var, edge_density, texture_spread) of rasters."""
+    ``status`` is ok, unreadable for a file that is cut, damaged, empty or null, or unsupported for a format that is not
+    decoded. ``w`` and ``h`` are of the upright image; they and the means are null without one.
+    """
+    kind = images.schema[key].dataType.simpleString()
+    columns = ["status", "w", "h", "orientation", "mean_r", "mean_g", "mean_b"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            a = _arrays(b)
-            yield pd.DataFrame({"image_id": b["image_id"], "laplacian_var": [px.blur_score(i) for i in a], "edge_density": [px.edge_ratio(i) for i in a], "texture_spread": [px.texture(i) for i in a]})
-
-    return images.mapInPandas(run, "image_id long, laplacian_var double, edge_density double, texture_spread double")
+            rows = []
+            for content in b["content"]:
+                status, img, turned = imagefile.decode(content)
+                size = (None, None) if img is None else px.oriented(img, turned).shape[1::-1]
+                means = (None,) * 3 if img is None else img.reshape(-1, 3).mean(axis=0).tolist()
+                rows.append((status, *size, turned, *means))
+            out = pd.DataFrame(rows, columns=columns, dtype=object)
+            out.insert(0, key, b[key].to_numpy())
+            yield out
+
+    return images.select(key, "content").mapInPandas(run, f"`{key}` {kind}, status string, w int, h int, orientation int, mean_r double, mean_g double, mean_b double")
+
+
+def metrics(images: DataFrame, key: str = "image_id") -> DataFrame:
+    """(key, laplacian_var, edge_density, texture_spread) of images that can be read."""
+    each = lambda img: [(px.blur_score(img), px.edge_ratio(img), px.texture(img))]
+    return _mapped(images, key, each, "laplacian_var double, edge_density double, texture_spread double")
+
+
+def condition(img: np.ndarray, settings: Settings) -> np.ndarray:
+    """An upright image as a model gets it: white balance, contrast, gamma, denoising, sharpening, size."""
+    prep = settings.preprocessing()
+    if prep["white_balance"]:
+        img = px.white_balance(img)
+    if prep["contrast_method"] == "clahe":
+        img = px.equalise_lightness(img)
+    elif prep["contrast_method"] == "autocontrast":
+        img = px.stretch(img)
+    if prep["gamma"] != 1.0:
+        img = px.gamma(img, prep["gamma"])
+    if prep["denoise_method"] == "bilateral":
+        img = np.stack([px.bilateral(img[..., k]) for k in range(3)], -1)
+    elif prep["denoise_method"] == "nlm":
+        img = px.denoised(img)
+    if prep["sharpen"]:
+        img = np.stack([px.unsharp(img[..., k]) for k in range(3)], -1)
+    return px.fitted(img, prep["short_edge"], prep["pad_square"]) if prep["resolution"] else img
+
+
+def conditioned(images: DataFrame, settings: Settings, box: tuple[int, int] | None = None, key: str = "image_id") -> DataFrame:
+    """(key, w, h, mean_r, mean_g, mean_b) of images that can be read after ``condition``, and in a letterbox of ``box`` if given."""
+
+    def each(img: np.ndarray) -> list[tuple]:
+        out = condition(img, settings)
+        out = out if box is None else px.letterbox(out, *box)
+        return [(out.shape[1], out.shape[0], *out.reshape(-1, 3).mean(axis=0).tolist())]
+
+    return _mapped(images, key, each, "w int, h int, mean_r double, mean_g double, mean_b double")
+
+
+def proposals(images: DataFrame, least: float = 0.0005, most: float = 0.3, key: str = "image_id") -> DataFrame:
+    """(key, proposal_id, x1, y1, x2, y2): regions of images on the 0-1000 scale, at most 30 of an image."""
+    from boxloom.operators.boxes import suppress
 
+    def each(img: np.ndarray) -> list[tuple]:
+        h, w = img.shape[:2]
+        found = enumerate(px.regions(px.som_mask(img)).tolist())
+        return [
+            (k, *(round(v * 1000 / s) for v, s in ((x1, w), (y1, h), (x2, w), (y2, h))))
+            for k, (x1, y1, x2, y2) in found if least * w * h < (x2 - x1) * (y2 - y1) < most * w * h
+        ]
 
-def conditioned(images: DataFrame, w: int, h: int) -> DataFrame:
-    """(image_id, w, h, mean_r, mean_g, mean_b) after white balance, equalising, denoising and letterboxing."""
+    found = _mapped(images, key, each, "ord int, x1 int, y1 int, x2 int, y2 int")
+    return suppress(found, [key], ["ord"], 0.4, most=30).select(key, F.col("rank").alias("proposal_id"), "x1", "y1", "x2", "y2")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for i in _arrays(b):
-                i = px.stretch(px.white_balance(i))
-                i = np.stack([px.bilateral(px.equalise(i[..., k])) for k in range(3)], -1)
-                out.append(px.letterbox(i, w, h).reshape(-1, 3).mean(axis=0))
-            m = np.array(out).reshape(-1, 3)
-            yield pd.DataFrame({"image_id": b["image_id"], "w": w, "h": h, "mean_r": m[:, 0], "mean_g": m[:, 1], "mean_b": m[:, 2]})
 
-    return images.mapInPandas(run, "image_id long, w int, h int, mean_r double, mean_g double, mean_b double")
+#: A drawn pixel is more opaque than this.
+OPAQUE = 10
 
 
-def proposals(images: DataFrame, least: float = 0.0005, most: float = 0.3) -> DataFrame:
-    """(image_id, proposal_id, x1, y1, x2, y2): regions of rasters on the 0-1000 scale, at most 30 of an image."""
-    from boxloom.operators.boxes import suppress
+def drawn_regions(marks: DataFrame, key: str = "image_id") -> DataFrame:
+    """(key, region, x1, y1, x2, y2): the 8-connected parts of each image's drawn pixels, ``marks`` (key, x, y, alpha).
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for ident, img in zip(b["image_id"], _arrays(b)):
-                h, w = img.shape[:2]
-                for k, (x1, y1, x2, y2) in enumerate(px.regions(px.som_mask(img)).tolist()):
-                    if least * w * h < (x2 - x1) * (y2 - y1) < most * w * h:
-                        rows.append((ident, k, *(round(v * 1000 / s) for v, s in ((x1, w), (y1, h), (x2, w), (y2, h)))))
-            yield pd.DataFrame(rows, columns=["image_id", "ord", "x1", "y1", "x2", "y2"])
-
-    found = images.mapInPandas(run, "image_id long, ord int, x1 int, y1 int, x2 int, y2 int")
-    return suppress(found, ["image_id"], ["ord"], 0.4, most=30).select("image_id", F.col("rank").alias("proposal_id"), "x1", "y1", "x2", "y2")
+    Pixels are joined to runs by Spark; a task holds one image's runs. Regions are numbered from 1 by their first
+    pixel, row by row. Pixels that repeat count once, if one of them is opaque; null places count for nothing.
+    """
+    kind = marks.schema[key].dataType.simpleString()
+    pixels = marks.where((F.col("alpha") > OPAQUE) & F.col("x").isNotNull() & F.col("y").isNotNull()).select(key, "x", "y").distinct()
+    place = F.col("x") - F.row_number().over(Window.partitionBy(key, "y").orderBy("x"))
+    runs = pixels.withColumn("_run", place).groupBy(key, "y", "_run").agg(F.min("x").alias("start"), (F.max("x") + 1).alias("end"))
+
+    def join(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(["y", "start"])
+        boxes = px.connected_runs(*[b[c].to_numpy(np.int64) for c in ("y", "start", "end")])
+        out = pd.DataFrame(boxes, columns=["x1", "y1", "x2", "y2"])
+        out.insert(0, "region", np.arange(1, len(out) + 1))
+        out.insert(0, key, b[key].iloc[0] if len(b) else None)
+        return out
+
+    return runs.select(key, "y", "start", "end").groupBy(key).applyInPandas(join, f"`{key}` {kind}, region int, x1 int, y1 int, x2 int, y2 int")

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from boxloom.config import layered
+from boxloom.functions.imagefile import encode_png
 from boxloom.functions.repair import repaired
 from boxloom.operators import boxes as box_ops
 from boxloom.operators import images as pix
@@ -170,24 +175,94 @@ def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 REPAIR_SQL = "select event_id, event_id as a from events"
 
 
+#: Pixels in a row of a document's picture.
+PICTURE_WIDTH = 32
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, content): the bytes of every document's text as the pixels of a PNG file, row by row.
+
+    Its scan lines have the filter doc_id % 5, it states the orientation 1 + doc_id % 8, and every eleventh file is cut.
+    The texts are few and the pixels' work is much, so they are dealt over all cores.
+    """
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            files = []
+            for ident, text in zip(b["doc_id"], b["text"]):
+                raw = bytes(text) if text is not None else b""
+                rows = max(1, -(-len(raw) // (3 * PICTURE_WIDTH)))
+                img = np.frombuffer(raw.ljust(rows * 3 * PICTURE_WIDTH, b"\0"), np.uint8).reshape(rows, PICTURE_WIDTH, 3)
+                file = encode_png(img, int(ident % 5), int(1 + ident % 8))
+                files.append(file[: len(file) // 2] if ident % 11 == 0 else file)
+            yield pd.DataFrame({"image_id": b["doc_id"], "content": files})
+
+    docs = read_table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
+    return docs.repartition(spark.sparkContext.defaultParallelism, "doc_id").mapInPandas(draw, "image_id long, content binary")
+
+
+def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status, size, orientation and channel means of the documents' pictures, some of which are cut."""
+    out = pix.inspected(pictures(spark, sf_dir))
+    return out.select("image_id", "status", "w", "h", "orientation", *[F.round(c, 6).alias(c) for c in ("mean_r", "mean_g", "mean_b")])
+
+
+FILES_SQL = f"""
+with t as (select doc_id, hex(encode(coalesce(text, ''))) as x, strlen(coalesce(text, '')) as n from documents where doc_id is not null),
+s as (select *, cast(greatest(1, ceil(n / {3 * PICTURE_WIDTH})) as int) as rows, doc_id % 11 = 0 as cut, cast(case when doc_id % 11 = 0 then 1 else 1 + doc_id % 8 end as int) as o from t),
+m as (select *, list_transform([0, 1, 2], lambda c: coalesce(list_sum(list_transform(range(c, n, 3), lambda i: cast('0x' || x[2 * i + 1:2 * i + 2] as int))), 0)) as sums from s)
+select doc_id as image_id, case when cut then 'unreadable' else 'ok' end as status, case when cut then null when o < 5 then {PICTURE_WIDTH} else rows end as w, case when cut then null when o < 5 then rows else {PICTURE_WIDTH} end as h, o as orientation,
+  case when not cut then round(sums[1] / (rows * {PICTURE_WIDTH}), 6) end as mean_r, case when not cut then round(sums[2] / (rows * {PICTURE_WIDTH}), 6) end as mean_g, case when not cut then round(sums[3] / (rows * {PICTURE_WIDTH}), 6) end as mean_b
+from m
+"""
+
+
 def frame_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blur, edge and texture metrics of rasters, one by part."""
-    return pix.metrics(pix.rasters(shapes.images(spark, sf_dir), 32, 24))
+    """Blur, edge and texture metrics of the documents' pictures."""
+    return pix.metrics(pictures(spark, sf_dir))
+
+
+#: Two ways of conditioning that between them have all steps.
+CONDITIONED = {"prep_enabled": True, "prep_white_balance": True, "prep_contrast_method": "clahe", "prep_gamma": 1.2, "prep_denoise_method": "bilateral", "prep_sharpen": True, "prep_short_edge": 16}
+DENOISED = {"prep_enabled": True, "prep_contrast_method": "autocontrast", "prep_denoise_method": "nlm", "prep_short_edge": 48, "prep_pad_square": True}
 
 
 def conditioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Channel means of rasters after white balance, contrast, denoising and letterboxing."""
-    return pix.conditioned(pix.rasters(shapes.images(spark, sf_dir), 32, 24), 64, 64)
+    """Channel means of the pictures after white balance, equalised lightness, gamma, bilateral smoothing, sharpening and letterboxing."""
+    return pix.conditioned(pictures(spark, sf_dir), layered(CONDITIONED), (64, 64))
+
+
+def denoised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channel means of the pictures after stretching, non-local means, enlarging and padding to a square."""
+    return pix.conditioned(pictures(spark, sf_dir), layered(DENOISED))
 
 
 def region_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate regions of rasters: thresholded, closed, connected and sized."""
-    return pix.proposals(pix.rasters(shapes.images(spark, sf_dir), 32, 24))
+    """Candidate regions of the pictures: thresholded, closed, connected and sized."""
+    return pix.proposals(pictures(spark, sf_dir))
 
 
+def drawn_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected parts of what was drawn on images: a line of an order is two pixels, some of them too faint."""
+    marks = shapes.plain_boxes(spark, sf_dir).selectExpr("image_id", "cast(x1 % 64 as int) as x", "cast(y1 % 48 as int) as y", "cast(l_linenumber * 5 as int) as alpha")
+    wide = marks.withColumn("x", F.col("x") + 1)
+    return pix.drawn_regions(marks.union(wide))
+
+
+DRAWN_SQL = f"""
+with recursive b as (select cast(l_orderkey // {shapes.ORDERS_PER_IMAGE} as bigint) as image_id, cast(((l_partkey * 37) % 700) % 64 as int) as x, cast(((l_suppkey * 53 + l_orderkey * 11) % 700) % 48 as int) as y from lineitem where l_linenumber * 5 > 10),
+m as materialized (select distinct image_id, x, y from (select * from b union all select image_id, x + 1, y from b)),
+e as materialized (select p.image_id, p.y * 100 + p.x as a, q.y * 100 + q.x as b from (select *, unnest([-1, 0, 1]) as dx from (select *, unnest([-1, 0, 1]) as dy from m)) p join m q on p.image_id = q.image_id and q.x = p.x + dx and q.y = p.y + dy),
+r as (select image_id, y * 100 + x as a, y * 100 + x as b from m union select r.image_id, r.a, e.b from r join e on e.image_id = r.image_id and e.a = r.b),
+c as (select image_id, a, min(b) as part from r group by 1, 2),
+g as (select image_id, part, min(a % 100) as x1, min(a // 100) as y1, max(a % 100) + 1 as x2, max(a // 100) + 1 as y2 from c group by 1, 2)
+select image_id, cast(row_number() over (partition by image_id order by part) as int) as region, x1, y1, x2, y2 from g
+"""
+
 QUERIES = {
     "bytetrack": bytetrack, "sot_merge": sot_merge, "tracker_ticks": tracker_ticks, "pass_through": pass_through, "iou_matrix": iou_matrix, "session_gate": session_gate, "detect_replay": detect_replay,
     "frame_overlaps": frame_overlaps, "live_ticks": live_ticks, "live_stream": live_stream, "json_repair": json_repair, "frame_metrics": frame_metrics, "conditioned": conditioned, "region_proposals": region_proposals,
+    "image_files": image_files, "denoised": denoised, "drawn_regions": drawn_regions,
 }
 
-ORACLES = {"pass_through": PASS_SQL, "iou_matrix": IOU_SQL, "frame_overlaps": OVERLAPS_SQL, "detect_replay": DETECT_SQL, "json_repair": REPAIR_SQL}
+ORACLES = {"pass_through": PASS_SQL, "iou_matrix": IOU_SQL, "frame_overlaps": OVERLAPS_SQL, "detect_replay": DETECT_SQL, "json_repair": REPAIR_SQL, "image_files": FILES_SQL, "drawn_regions": DRAWN_SQL}
