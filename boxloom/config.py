@@ -122,6 +122,21 @@ def layered(*layers: dict[str, Any]) -> Settings:
     return Settings(**merged)
 
 
+def from_file(path: str) -> dict[str, Any]:
+    """The layer in a YAML file, which must be a mapping; an empty file is an empty one."""
+    try:
+        import yaml
+    except ImportError as missing:
+        raise RuntimeError("settings files need a YAML library") from missing
+    with open(path, encoding="utf-8") as f:
+        layer = yaml.safe_load(f)
+    if layer is None:
+        return {}
+    if not isinstance(layer, dict):
+        raise ValueError(f"{path} must hold a mapping")
+    return layer
+
+
 def key_values(tokens: list[str] | None) -> dict[str, Any]:
     """Options given as ``key=value``: true and false, integers, floats, else text."""
     out: dict[str, Any] = {}

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxloom.functions import colours
+
 #: Keys under which a reply may wrap its list of detections, in order of preference. Fixed values.
 WRAPPERS = ("detections", "objects", "results", "items", "data")
 
@@ -246,20 +248,20 @@ def extensions_of(text: Column) -> Column:
 
 
 def colour_of(text: Column, fallback: tuple[int, int, int], alpha: int = 255) -> Column:
-    """array(r, g, b, a) of a hex colour of 3, 4, 6 or 8 digits, ``rgb(r, g, b)`` or one of a few names, with ``alpha``.
+    """array(r, g, b, a) of a hex colour of 3, 4, 6 or 8 digits, ``rgb(r, g, b)``, ``hsl(h, s%, l%)`` or a name of the web, with ``alpha``.
 
     'none', empty and null are clear; others fall back. A colour's own alpha does not count.
     """
     t = F.lower(strip(text))
+    t = F.coalesce(colours.code_of(t), t)
     wide = F.when(t.rlike("^#[0-9a-f]{3,4}$"), F.regexp_replace(t, "([0-9a-f])", "$1$1")).otherwise(t)
     part = lambda i: F.conv(F.substring(wide, i, 2), 16, 10).cast("int")
     form = r"^rgb\(\s*(\d{1,3})\s*,\s*(\d{1,3})\s*,\s*(\d{1,3})\s*\)$"
-    named = {"red": (255, 0, 0), "lime": (0, 255, 0), "blue": (0, 0, 255), "white": (255, 255, 255), "black": (0, 0, 0), "cyan": (0, 255, 255)}
     out = F.when(F.coalesce(t, F.lit("")).isin("", "none"), F.array(*[F.lit(0)] * 4))
-    for name, rgb in named.items():
-        out = out.when(t == name, F.array(*[F.lit(v) for v in rgb], F.lit(alpha)))
     out = out.when(wide.rlike("^#([0-9a-f]{6}|[0-9a-f]{8})$"), F.array(part(2), part(4), part(6), F.lit(alpha)))
     out = out.when(t.rlike(form), F.array(*[F.regexp_extract(t, form, i).try_cast("int") for i in (1, 2, 3)], F.lit(alpha)))
+    hsl = colours.hsl(t)
+    out = out.when(hsl.isNotNull(), F.array_append(hsl, F.lit(alpha)))
     return out.otherwise(F.array(*[F.lit(v) for v in fallback], F.lit(alpha)))
 
 

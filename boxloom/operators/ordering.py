@@ -64,7 +64,7 @@ def shuffled_key(name: Column, seed: int) -> Column:
 def unique_stems(df: DataFrame, stem: str, order: list[str], name: str = "uniq_stem") -> DataFrame:
     """``df`` with ``name``: the stem itself if no row before has that name, else the first free of stem_1, stem_2 and so on.
 
-    Stems that differ by trailing numbers only can get in each other's way. Where all of such a family are one
+    A null stem has a null name. Stems that differ by trailing numbers only can get in each other's way. Where all of such a family are one
     stem, its rows are numbered; else they are walked in order, with the names given so far as the state.
     """
     family = F.regexp_replace(stem, "(_[0-9]+)+$", "")
@@ -72,7 +72,7 @@ def unique_stems(df: DataFrame, stem: str, order: list[str], name: str = "uniq_s
     mixed = rows.groupBy("_family").agg((F.min(stem) != F.max(stem)).alias("_mixed")).where("_mixed").select("_family")
     n = F.row_number().over(Window.partitionBy(stem).orderBy(*order)) - 1
     plain = rows.join(mixed, "_family", "left_anti").withColumn("_n", n)
-    plain = plain.select(*df.columns, F.when(F.col("_n") == 0, F.col(stem)).otherwise(F.concat_ws("_", stem, F.col("_n").cast("string"))).alias(name))
+    plain = plain.select(*df.columns, F.when(F.col("_n") == 0, F.col(stem)).otherwise(F.concat(stem, F.lit("_"), F.col("_n").cast("string"))).alias(name))
 
     def step(state: dict, row: dict) -> tuple[dict, list[dict]]:
         taken, k = state["names"], state["next"].get(row[stem], 0)

@@ -213,3 +213,11 @@ def test_second_look_drops_what_is_denied(spark):
     found = spark.createDataFrame([(1, 1, 0, k, "A", 10 * k, 10, x2, 900) for k, x2 in enumerate((500, 600, 700, 31))], "image_id long, round int, tile_idx int, pos int, label string, x1 int, y1 int, x2 int, y2 int")
     said = spark.createDataFrame([(0, "<present>NO</present>"), (1, "yes"), (3, "<present>NO</present>")], "pos int, reply string")
     assert sorted(r.pos for r in loop.verified(images, found, loop.replay(said, ["pos"])).collect()) == [1, 2, 3]
+
+
+def test_null_stems_have_null_names(spark):
+    from boxloom.operators import ordering
+
+    df = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, "a"), (5, "a_1")], "k int, s string")
+    got = {r.k: r.uniq_stem for r in ordering.unique_stems(df, "s", ["k"]).collect()}
+    assert got == {1: None, 2: None, 3: "a", 4: "a_1", 5: "a_1_1"}

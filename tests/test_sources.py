@@ -5,7 +5,7 @@ import json
 import pytest
 
 from boxloom import config
-from boxloom.sources import labels, sinks
+from boxloom.sources import labels, sinks, templates
 
 
 def test_layers_and_checks():
@@ -75,3 +75,19 @@ def test_damaged_ledger_files_are_done_again(spark, tmp_path):
     labels.record(spark.createDataFrame([("a", 0)], "stem string, batch int"), str(path), "s")
     (path / "part-bad.parquet").write_bytes(b"no parquet")
     assert [r.stem for r in labels.ledger(spark, str(path), "s").collect()] == ["a"]
+
+
+def test_settings_files_and_templates(tmp_path):
+    pytest.importorskip("yaml")
+    path = tmp_path / "s.yaml"
+    path.write_text("max_rounds: 4\nimages: [a, b]\nserving_extra: {x: 1}\n")
+    s = config.layered(config.from_file(str(path)), {"max_rounds": 6})
+    assert (s.max_rounds, s.images, s.serving_extra) == (6, ("a", "b"), {"x": 1})
+    path.write_text("")
+    assert config.from_file(str(path)) == {}
+    path.write_text("- a\n")
+    with pytest.raises(ValueError):
+        config.from_file(str(path))
+    (tmp_path / "t.txt").write_text("  Find {what}\n")
+    (tmp_path / "bad.txt").write_bytes(b"\xff\xfe\xff")
+    assert [templates.template(tmp_path, name, "else") for name in ("t.txt", "none.txt", "bad.txt")] == ["Find {what}", "else", "else"]

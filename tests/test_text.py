@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from boxloom.functions import colours
 from boxloom.functions import text as t
 from boxloom.functions.repair import repair, repaired
 from boxloom.operators.boxes import validated
@@ -172,3 +173,14 @@ def test_forms_of_colours(spark):
     cases = {"#1aF": [17, 170, 255, 9], "#1aFc": [17, 170, 255, 9], "#10203040": [16, 32, 48, 9], "rgb(1, 2,255)": [1, 2, 255, 9], "none": [0, 0, 0, 0], "": [0, 0, 0, 0], None: [0, 0, 0, 0], "Red": [255, 0, 0, 9], "#12": [7, 8, 9, 9], "transparent": [7, 8, 9, 9]}
     df = spark.createDataFrame([(c,) for c in cases], "c string")
     assert {r.c: r.rgba for r in df.select("c", t.colour_of(F.col("c"), (7, 8, 9), 9).alias("rgba")).collect()} == cases
+
+
+def test_colour_names_and_hues(spark):
+    import colorsys
+
+    hues = [(h, s, v) for h in (0, 30, 60, 119, 200, 300, 359, 360, 400) for s in (0, 50, 100) for v in (0, 25, 50, 80, 100)]
+    rows = [(f"HSL({h}, {s}%, {v}%)", [int(x * 255 + 0.5) for x in colorsys.hls_to_rgb(h / 360, v / 100, s / 100)]) for h, s, v in hues]
+    rows += [("RebeccaPurple", [102, 51, 153]), (" tan ", [210, 180, 140]), ("lime", [0, 255, 0]), ("green", [0, 128, 0]), ("hsl(1,2,3)", [7, 8, 9]), ("nocolour", [7, 8, 9])]
+    got = spark.createDataFrame(rows, "c string, rgb array<int>").select("c", "rgb", t.colour_of(F.col("c"), (7, 8, 9), 5).alias("rgba")).collect()
+    assert [(r.c, r.rgba) for r in got if r.rgba != [*r.rgb, 5]] == []
+    assert len(colours.NAMES) == 148
