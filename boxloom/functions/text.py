@@ -122,6 +122,32 @@ def judge_feedback(reply: Column) -> Column:
     return F.when(reply.rlike(r"(?s)<feedback>.*?</feedback>"), strip(F.regexp_extract(reply, r"(?s)<feedback>(.*?)</feedback>", 1))).otherwise(strip(reply))
 
 
+#: Forms of an action: to drop, rename or move box N of the round before, or to add one.
+_BOX = r"\[\s*([0-9.]+)\s*,\s*([0-9.]+)\s*,\s*([0-9.]+)\s*,\s*([0-9.]+)\s*\]"
+ACTIONS = {
+    "REMOVE": r"(?i)^\s*REMOVE\s+#(\d+)\s*$",
+    "RELABEL": r"(?i)^\s*RELABEL\s+#(\d+)\s*->\s*(\S.*?)\s*$",
+    "MODIFY": r"(?i)^\s*MODIFY\s+#(\d+)\s+bbox\s*->\s*" + _BOX + r"\s*$",
+    "ADD": r"(?i)^\s*ADD\s+(\S.*?)\s+at\s*" + _BOX + r"\s*$",
+}
+
+
+def action(line: Column) -> dict[str, Column]:
+    """verb, box (from 1), label and corners (array of four doubles) of one line of a judge's actions; all null for any other line."""
+    is_ = {verb: line.rlike(form) for verb, form in ACTIONS.items()}
+    part = lambda verb, k: F.regexp_extract(line, ACTIONS[verb], k)
+    corners = lambda verb: F.array(*[part(verb, k).try_cast("double") for k in range(2, 6)])
+    verb = None
+    for name, fits in is_.items():
+        verb = F.when(fits, name) if verb is None else verb.when(fits, name)
+    return {
+        "verb": verb,
+        "box": F.when(is_["REMOVE"], part("REMOVE", 1)).when(is_["RELABEL"], part("RELABEL", 1)).when(is_["MODIFY"], part("MODIFY", 1)).try_cast("int"),
+        "label": F.when(is_["RELABEL"], part("RELABEL", 2)).when(is_["ADD"], part("ADD", 1)),
+        "corners": F.when(is_["MODIFY"], corners("MODIFY")).when(is_["ADD"], corners("ADD")),
+    }
+
+
 def judge_actions(reply: Column) -> Column:
     """The actions block, trimmed; empty if there is none."""
     return strip(F.regexp_extract(reply, r"(?s)<actions>(.*?)</actions>", 1))

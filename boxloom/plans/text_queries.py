@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from boxloom.functions import text as t
 from boxloom.functions.repair import repaired
 from boxloom.operators import boxes as box_ops
+from boxloom.operators import rounds as round_ops
 from boxloom.plans import shapes
 from boxloom.sources.tables import read_table, spread
 
@@ -46,6 +47,28 @@ from l where line <> '' and line <> 'NONE'
 """
 
 
+def applied_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of images after a judge's actions: all kinds, repeated, in any case, and lines that are none."""
+    boxes = shapes.boxes(spark, sf_dir).select("image_id", "det_idx", "label", *[F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    text = F.expr(
+        """case image_id % 3 when 0 then 'NONE' else concat('REMOVE #', image_id % 7, '\nRELABEL #2 -> first\n relabel  #2 ->  Last one \nMODIFY #3 bbox -> [1, 2.5,', 30 + image_id % 50, '.5 ,40]\nModify #4 bbox -> [1,2,3]
+ADD new thing at [5,6,', 7 + image_id % 9, ',8]\nREMOVE #99999\nMODIFY #2 bbox->[9,9,19,19]\nadd X at [1.5,2.5,3,4]\nnothing\nADD bad at [1,2,3,4.5.6]') end"""
+    )
+    return round_ops.applied_actions(boxes, boxes.select("image_id").distinct().withColumn("actions", text))
+
+
+APPLIED_SQL = f"""
+with {shapes.WITH},
+i as (select image_id, max(det_idx) as last from boxes group by 1 having image_id % 3 <> 0),
+k as (select image_id, det_idx, label, x1, y1, x2, y2 from boxes where image_id % 3 = 0 or det_idx <> image_id % 7),
+c as (select image_id, det_idx, case when image_id % 3 <> 0 and det_idx = 2 then 'Last one' else label end as label,
+  case when image_id % 3 = 0 then null when det_idx = 2 then [9, 9, 19, 19] when det_idx = 3 then [1, 2, cast(round_even(30 + image_id % 50 + 0.5, 0) as int), 40] end as n, x1, y1, x2, y2 from k)
+select image_id, cast(det_idx as int) as det_idx, label, cast(coalesce(n[1], x1) as int) as x1, cast(coalesce(n[2], y1) as int) as y1, cast(coalesce(n[3], x2) as int) as x2, cast(coalesce(n[4], y2) as int) as y2 from c
+union all select image_id, cast(last + 1 as int), 'new thing', 5, 6, cast(7 + image_id % 9 as int), 8 from i
+union all select image_id, cast(last + 2 as int), 'X', 2, 2, 3, 4 from i
+"""
+
+
 def feedback_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feedback of an order kept and moved for the tile at (200, 100) of 512 x 512 in an image of 1000 x 800."""
     o = read_table(spark, sf_dir, "orders").selectExpr(
@@ -330,7 +353,7 @@ select p_partkey, case p_partkey % 3 when 0 then (p_partkey * 37 % 16777216) //
 """
 
 QUERIES = {
-    "judge_parse": judge_parse, "action_parse": action_parse, "feedback_translate": feedback_translate, "strip_think_answer": strip_think_answer,
+    "judge_parse": judge_parse, "action_parse": action_parse, "applied_actions": applied_actions, "feedback_translate": feedback_translate, "strip_think_answer": strip_think_answer,
     "balanced_array": balanced_array, "validate_json": validate_json, "json_unwrap": json_unwrap, "verify_filter": verify_filter,
     "detector_prompt": detector_prompt, "judge_prompt": judge_prompt, "classify_prompt": classify_prompt, "data_uri": data_uri,
     "serving_extra": serving_extra, "category_lists": category_lists, "model_sources": model_sources, "status_text": status_text, "colours": colours,
@@ -338,7 +361,7 @@ QUERIES = {
 }
 
 ORACLES = {
-    "judge_parse": JUDGE_SQL, "action_parse": ACTIONS_SQL, "feedback_translate": FEEDBACK_SQL, "strip_think_answer": STRIP_SQL,
+    "judge_parse": JUDGE_SQL, "action_parse": ACTIONS_SQL, "applied_actions": APPLIED_SQL, "feedback_translate": FEEDBACK_SQL, "strip_think_answer": STRIP_SQL,
     "balanced_array": BALANCED_SQL, "validate_json": VALIDATE_SQL, "json_unwrap": UNWRAP_SQL, "verify_filter": VERIFY_SQL,
     "detector_prompt": PROMPT_SQL, "judge_prompt": JUDGE_PROMPT_SQL, "classify_prompt": CLASSIFY_PROMPT_SQL, "data_uri": URI_SQL,
     "serving_extra": EXTRA_SQL, "category_lists": CATEGORY_SQL, "model_sources": MODEL_SQL, "status_text": STATUS_SQL, "colours": COLOUR_SQL,

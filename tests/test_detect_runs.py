@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxloom.plans import detect as loop
+from boxloom.plans import models
 
 BOX = json.dumps([{"label": "a", "bbox_2d": [100, 100, 300, 300]}])
 
@@ -97,3 +98,15 @@ def test_a_worker_keeps_a_client_for_each_configuration(spark):
     asked = spark.createDataFrame([(k, "p") for k in range(8)], "image_id long, prompt string")
     said = {r.reply for r in loop.live(make, workers=4, config={"url": "u"})(asked).collect()}
     assert said and all(s.startswith("u ") and s.endswith(" p") for s in said)
+
+
+def test_models_by_name(spark):
+    said = spark.createDataFrame([(1, "r")], "image_id long, reply string")
+    asked = spark.createDataFrame([(1, "p"), (2, "p")], "image_id long, prompt string")
+    assert sorted(map(tuple, models.model("replay", said, ["image_id"])(asked).collect())) == [(1, "p", "r"), (2, "p", None)]
+    models.register("same", lambda word: lambda requests: requests.withColumn("reply", F.lit(word)))
+    assert "same" in models.known() and {r.reply for r in models.model("same", word="w")(asked).collect()} == {"w"}
+    with pytest.raises(ValueError):
+        models.register("same", models.detect.live)
+    with pytest.raises(ValueError):
+        models.model("other")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from boxloom.functions import colours
 from boxloom.functions import text as t
 from boxloom.functions.repair import repair, repaired
+from boxloom.operators import rounds
 from boxloom.operators.boxes import validated
 from boxloom.plans import shapes, text_queries
 from tests.oracle import SF_DIR
@@ -184,3 +185,16 @@ def test_colour_names_and_hues(spark):
     got = spark.createDataFrame(rows, "c string, rgb array<int>").select("c", "rgb", t.colour_of(F.col("c"), (7, 8, 9), 5).alias("rgba")).collect()
     assert [(r.c, r.rgba) for r in got if r.rgba != [*r.rgb, 5]] == []
     assert len(colours.NAMES) == 148
+
+
+def test_actions_are_read_and_applied(spark):
+    lines = ["REMOVE #1", " remove #2 ", "RELABEL #3 -> a -> b", "MODIFY #4 bbox -> [1,2, 3.5 ,4]", "ADD red box at [1,2,3,4]", "NONE", "", "REMOVE 1", "ADD at [1,2,3,4]", "MODIFY #4 bbox -> [1,2,3]", None]
+    got = [tuple(r) for r in spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, l string").select("k", *[c.alias(n) for n, c in t.action(F.col("l")).items()]).orderBy("k").collect()]
+    none = (None,) * 4
+    assert [g[1:] for g in got] == [
+        ("REMOVE", 1, None, None), ("REMOVE", 2, None, None), ("RELABEL", 3, "a -> b", None), ("MODIFY", 4, None, [1.0, 2.0, 3.5, 4.0]), ("ADD", None, "red box", [1.0, 2.0, 3.0, 4.0]), *[none] * 6,
+    ]
+    found = spark.createDataFrame([(1, 1, "a", 0, 0, 9, 9), (1, 2, "b", 0, 0, 8, 8), (2, 1, "c", 1, 1, 2, 2)], "image_id long, det_idx int, label string, x1 int, y1 int, x2 int, y2 int")
+    asked = spark.createDataFrame([(1, "REMOVE #1\nRELABEL #1 -> z\nMODIFY #2 bbox -> [1,2,3,4]\nMODIFY #2 bbox -> [5,6,7.5,8.5]\nADD n at [0,0,1,1]"), (3, "ADD only at [4,4,5,5]\nADD two at [6,6,7,7]"), (2, None)], "image_id long, actions string")
+    out = sorted(map(tuple, rounds.applied_actions(found, asked).collect()))
+    assert out == [(1, 2, "b", 5, 6, 8, 8), (1, 3, "n", 0, 0, 1, 1), (2, 1, "c", 1, 1, 2, 2), (3, 1, "only", 4, 4, 5, 5), (3, 2, "two", 6, 6, 7, 7)]
