@@ -208,12 +208,13 @@ def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FILES_SQL = f"""
-with t as (select doc_id, hex(encode(coalesce(text, ''))) as x, strlen(coalesce(text, '')) as n from documents where doc_id is not null),
-s as (select *, cast(greatest(1, ceil(n / {3 * PICTURE_WIDTH})) as int) as rows, doc_id % 11 = 0 as cut, cast(case when doc_id % 11 = 0 then 1 else 1 + doc_id % 8 end as int) as o from t),
-m as (select *, list_transform([0, 1, 2], lambda c: coalesce(list_sum(list_transform(range(c, n, 3), lambda i: cast('0x' || x[2 * i + 1:2 * i + 2] as int))), 0)) as sums from s)
+with t as (select doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') as x, strlen(coalesce(text, '')) as n from documents where doc_id is not null),
+p as (select doc_id, unnest(x) as b, generate_subscripts(x, 1) - 1 as i from t),
+m as (select doc_id, sum(cast('0x' || b as int)) filter (i % 3 = 0) as r, sum(cast('0x' || b as int)) filter (i % 3 = 1) as g, sum(cast('0x' || b as int)) filter (i % 3 = 2) as b from p group by 1),
+s as (select *, cast(greatest(1, ceil(n / {3 * PICTURE_WIDTH})) as int) as rows, doc_id % 11 = 0 as cut, cast(case when doc_id % 11 = 0 then 1 else 1 + doc_id % 8 end as int) as o from t left join m using (doc_id))
 select doc_id as image_id, case when cut then 'unreadable' else 'ok' end as status, case when cut then null when o < 5 then {PICTURE_WIDTH} else rows end as w, case when cut then null when o < 5 then rows else {PICTURE_WIDTH} end as h, o as orientation,
-  case when not cut then round(sums[1] / (rows * {PICTURE_WIDTH}), 6) end as mean_r, case when not cut then round(sums[2] / (rows * {PICTURE_WIDTH}), 6) end as mean_g, case when not cut then round(sums[3] / (rows * {PICTURE_WIDTH}), 6) end as mean_b
-from m
+  case when not cut then round(coalesce(r, 0) / (rows * {PICTURE_WIDTH}), 6) end as mean_r, case when not cut then round(coalesce(g, 0) / (rows * {PICTURE_WIDTH}), 6) end as mean_g, case when not cut then round(coalesce(b, 0) / (rows * {PICTURE_WIDTH}), 6) end as mean_b
+from s
 """
 
 
