@@ -24,12 +24,13 @@ def measure(box: list) -> np.ndarray:
     return np.array([box[1] + w / 2, box[0] + h / 2, w / h, h])
 
 
+#: What of centre, aspect and height the variances scale with, and what of them is fixed.
+_SCALED, _PLACE, _SPEED = np.array([1.0, 1.0, 0.0, 1.0]), np.array([0.0, 0.0, 1e-2, 0.0]), np.array([0.0, 0.0, 1e-5, 0.0])
+
+
 def spread(at: np.ndarray, still: float, moving: float) -> np.ndarray:
-    """Variances of place and speed, a row for each column of ``at``; those of the centre scale with its coordinates."""
-    out = np.empty((8, *at.shape[1:]))
-    out[[0, 1, 3]], out[[4, 5, 7]] = at[[0, 1, 3]] * still, at[[0, 1, 3]] * moving
-    out[2], out[6] = 1e-2, 1e-5
-    return np.square(out).T
+    """Variances of place and speed along the last axis of ``at``; those of the centre scale with its coordinates."""
+    return np.square(np.concatenate([at * (still * _SCALED) + _PLACE, at * (moving * _SCALED) + _SPEED], axis=-1))
 
 
 def new_track(box: list, label: str, score: float, ident: int) -> dict:
@@ -42,7 +43,7 @@ def predict(tracks: list[dict]) -> None:
     if not tracks:
         return
     mean, cov = np.array([t["mean"] for t in tracks]), np.array([t["cov"] for t in tracks])
-    noise = spread(mean.T, 0.1, 0.0625)
+    noise = spread(mean[:, :4], 0.1, 0.0625)
     mean, cov = mean @ _F.T, _F @ cov @ _F.T
     cov[:, range(8), range(8)] += noise
     for t, m, c in zip(tracks, mean, cov):
@@ -57,7 +58,7 @@ def correct(tracks: list[dict], found: list[tuple[list, str, float]]) -> None:
     mean, cov = np.array([t["mean"] for t in tracks]), np.array([t["cov"] for t in tracks])
     seen = np.array([measure(box) for box, _, _ in found])
     inner = cov[:, :4, :4].copy()
-    inner[:, range(4), range(4)] += spread(seen.T, 0.1, 0.0)[:, :4]
+    inner[:, range(4), range(4)] += spread(seen, 0.1, 0.0)[:, :4]
     gain = cov[:, :, :4] @ np.linalg.inv(inner)
     mean = mean + (gain @ (seen - mean[:, :4])[:, :, None])[:, :, 0]
     cov = cov - gain @ inner @ gain.transpose(0, 2, 1)
@@ -82,6 +83,8 @@ def overlaps(a: list, b: list) -> np.ndarray:
 
 def pair_up(score: np.ndarray, least: float) -> tuple[list[tuple[int, int]], list[int], list[int]]:
     """Greedy one-to-one pairs of highest score first, ties by row and column; and what is left of both."""
+    if not score.size:
+        return [], list(range(score.shape[0])), list(range(score.shape[1]))
     r, c = np.nonzero(score >= least)
     best = sorted(zip((-score[r, c]).tolist(), r.tolist(), c.tolist()))
     rows, cols, pairs = set(range(score.shape[0])), set(range(score.shape[1])), []
