@@ -76,9 +76,11 @@ def class_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REPLIES_SQL = f"""
-c as (select event_id, case event_id % 11 when 0 then 'failed' when 1 then 'bad' when 2 then 'bad' when 3 then 'bad' else 'classified' end as status,
-  case event_id % 11 when 0 then null when 1 then null when 2 then null when 3 then null when 4 then lower(event_type) else lower(event_type || '_' || user_id % 7) end as class_name,
-  cast(case event_id % 11 when 0 then null when 1 then null when 2 then null when 3 then null when 4 then 0 else 1 + event_id % 5 end as int) as confidence from events),
+said as (select event_id, case event_id % 11 when 0 then null when 1 then '[1]' when 2 then '{{"class": 5}}' when 3 then '{{"class":"  "}}' when 4 then '{{"class":" ' || upper(event_type) || ' ","confidence":"x"}}'
+  else '{{"class":"' || event_type || '_' || user_id % 7 || '","confidence":' || (1 + event_id % 5) || '}}' end as reply from events),
+named as (select *, case when json_type(reply) = 'OBJECT' and json_type(reply, '$.class') = 'VARCHAR' then nullif(lower(trim(json_extract_string(reply, '$.class'))), '') end as class_name from said),
+c as (select event_id, case when reply is null then 'failed' when class_name is null then 'bad' else 'classified' end as status, class_name,
+  case when class_name is not null then coalesce(cast(trunc(try_cast(json_extract_string(reply, '$.confidence') as double)) as int), 0) end as confidence from named),
 cc as (select *, coalesce(confidence <= {REVIEW}, false) as low_confidence from c)
 """
 
