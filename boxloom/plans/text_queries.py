@@ -154,20 +154,18 @@ def validate_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VALIDATE_SQL = f"""
 with {shapes.WITH},
-r as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, label, x1, y1, x2, y2 from boxes),
-e as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, unnest([
-  {{'pos': 0, 'why': null, 'label': label, 'a': x1::double, 'b': y1::double, 'c': x2::double, 'd': y2 * 2.0::double}},
-  {{'pos': 1, 'why': 'unknown label', 'label': 'zz', 'a': 1, 'b': 2, 'c': 3, 'd': 4}},
-  {{'pos': 2, 'why': 'not an object', 'label': null, 'a': null, 'b': null, 'c': null, 'd': null}},
-  {{'pos': 3, 'why': 'not numeric', 'label': 'A', 'a': null, 'b': null, 'c': null, 'd': null}},
-  {{'pos': 4, 'why': null, 'label': 'R', 'a': 5, 'b': 7, 'c': 5, 'd': 900}},
-  {{'pos': 5, 'why': 'malformed box', 'label': 'A', 'a': null, 'b': null, 'c': null, 'd': null}},
-  {{'pos': 6, 'why': null, 'label': 'A', 'a': x2 + 0.7::double, 'b': 90.2::double, 'c': x1 + 0.2::double, 'd': 10.9::double}}]) as e from r),
-f as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, e.pos as pos, e.label as label, e.why as why, greatest(0, least(1000, least(e.a, e.c))) as x1, greatest(0, least(1000, least(e.b, e.d))) as y1, greatest(0, least(1000, greatest(e.a, e.c))) as x2, greatest(0, least(1000, greatest(e.b, e.d))) as y2 from e),
-g as (select *, case when why is not null then why when label not in ('A', 'R') then 'unknown label' when x2 - x1 < 1 or y2 - y1 < 1 then 'degenerate' end as drop_reason from f)
+r as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, '[{{"label":"' || label || '","bbox_2d":[' || x1 || ',' || y1 || ',"' || x2 || '",' || y2 * 2 || ']}},{{"label":"zz","bbox_2d":[1,2,3,4]}},"text",{{"label":"A","bbox_2d":[' || x1
+  || ',null,3,4]}},{{"label":"R","bbox_2d":[5,7,5,900]}},{{"label":"A","bbox_2d":[9,8,1.9]}},{{"label":"A","bbox_2d":[' || x2 || '.7,90.2,' || x1 || '.2,10.9]}}' || case when l_partkey % 5 = 0 then ',]' else ']' end as reply from boxes),
+l as (select * exclude (reply), json_extract(cast(regexp_replace(reply, ',\\]$', ']') as json), '$[*]') as entries from r),
+e as (select * exclude (entries), unnest(entries) as e, generate_subscripts(entries, 1) - 1 as pos from l),
+f as (select *, case when json_type(e, '$.label') = 'VARCHAR' then json_extract_string(e, '$.label') end as label,
+  case when json_type(e, '$.bbox_2d') = 'ARRAY' then list_transform(json_extract_string(e, '$.bbox_2d[*]'), lambda x: try_cast(x as double)) end as n from e),
+g as (select *, greatest(0, least(1000, least(n[1], n[3]))) as a, greatest(0, least(1000, least(n[2], n[4]))) as b, greatest(0, least(1000, greatest(n[1], n[3]))) as c, greatest(0, least(1000, greatest(n[2], n[4]))) as d from f),
+w as (select *, case when json_type(e) <> 'OBJECT' then 'not an object' when label is null or label not in ('A', 'R') then 'unknown label' when n is null or len(n) <> 4 then 'malformed box'
+  when len(list_filter(n, lambda x: x is null)) > 0 then 'not numeric' when c - a < 1 or d - b < 1 then 'degenerate' end as drop_reason from g)
 select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(pos as int) as pos, drop_reason, label,
-  case when drop_reason is null then cast(trunc(x1) as int) end as x1, case when drop_reason is null then cast(trunc(y1) as int) end as y1,
-  case when drop_reason is null then cast(trunc(x2) as int) end as x2, case when drop_reason is null then cast(trunc(y2) as int) end as y2 from g
+  case when drop_reason is null then cast(trunc(a) as int) end as x1, case when drop_reason is null then cast(trunc(b) as int) end as y1,
+  case when drop_reason is null then cast(trunc(c) as int) end as x2, case when drop_reason is null then cast(trunc(d) as int) end as y2 from w
 """
 
 
