@@ -195,7 +195,10 @@ def verify_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", t.said_present(reply).alias("kept"))
 
 
-VERIFY_SQL = "select event_id, event_id % 5 in (0, 2, 4) as kept from events"
+VERIFY_SQL = r"""
+with r as (select event_id, case event_id % 5 when 0 then '<present>YES</present>' when 1 then '<present> no </present> yes' when 2 then 'yes, it is' when 3 then 'absent' end as reply from events)
+select event_id, case when reply is null then true when regexp_matches(reply, '(?i)<present>\s*(yes|no)\s*</present>') then lower(regexp_extract(reply, '(?i)<present>\s*(yes|no)\s*</present>', 1)) = 'yes' else contains(lower(reply), 'yes') end as kept from r
+"""
 
 
 def detector_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,10 +304,10 @@ def serving_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", t.coerced(token).alias("c")).select("event_id", "c.key", "c.kind", "c.value")
 
 
-EXTRA_SQL = """
-select event_id, case event_id % 7 when 0 then 'n' when 1 then 'f' when 2 then 'b' when 3 then 's' when 4 then null when 5 then '' else 'e' end as key,
-  case event_id % 7 when 0 then 'int' when 1 then 'float' when 2 then 'bool' when 3 then 'str' when 6 then 'float' else 'error' end as kind,
-  case event_id % 7 when 0 then cast(user_id as varchar) when 1 then user_id || '.5' when 2 then 'TRUE' when 3 then event_type when 4 then null when 5 then '1' else '1e3' end as value from events
+EXTRA_SQL = r"""
+with t as (select event_id, case event_id % 7 when 0 then ' n = ' || user_id when 1 then 'f=' || user_id || '.5' when 2 then 'b=TRUE' when 3 then 's=' || event_type when 4 then event_type when 5 then '=1' else 'e=1e3' end as token from events),
+k as (select event_id, case when contains(token, '=') then trim(regexp_extract(token, '^([^=]*)=', 1)) end as key, case when contains(token, '=') then trim(regexp_extract(token, '^[^=]*=(.*)$', 1)) end as value from t)
+select event_id, key, case when coalesce(key, '') = '' then 'error' when lower(value) in ('true', 'false') then 'bool' when regexp_full_match(value, '[+-]?[0-9]+') then 'int' when try_cast(value as double) is not null then 'float' else 'str' end as kind, value from k
 """
 
 
@@ -314,7 +317,11 @@ def category_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array_join(t.extensions_of(F.concat(F.lit("JPG .png "), "event_type")), "|").alias("extensions"))
 
 
-CATEGORY_SQL = "select event_id, 'a|' || event_type || '|' || user_id as names, '.jpg|.png|.' || lower(event_type) as extensions from events"
+CATEGORY_SQL = r"""
+with t as (select event_id, ' a ,, ' || event_type || ', ,' || user_id as names, 'JPG .png ' || event_type as extensions from events)
+select event_id, array_to_string(list_filter(list_transform(string_split(names, ','), lambda x: trim(x)), lambda x: x <> ''), '|') as names,
+  array_to_string(list_transform(list_filter(string_split_regex(extensions, '[,\s]+'), lambda x: x <> ''), lambda x: case when starts_with(x, '.') then lower(x) else '.' || lower(x) end), '|') as extensions from t
+"""
 
 
 def model_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
