@@ -278,16 +278,20 @@ def colour_of(text: Column, fallback: tuple[int, int, int], alpha: int = 255) ->
 
     'none', empty and null are clear; others fall back. A colour's own alpha does not count.
     """
-    t = F.lower(strip(text))
-    t = F.coalesce(colours.code_of(t), t)
+    low = F.lower(strip(text))
+    # A name's code is looked up once: as a column, every use of it would look it up anew.
+    return F.get(F.transform(F.array(F.coalesce(colours.code_of(low), low)), lambda t: _rgba(t, fallback, alpha)), 0)
+
+
+def _rgba(t: Column, fallback: tuple[int, int, int], alpha: int) -> Column:
+    """``colour_of`` a text in lower case that is no name."""
     wide = F.when(t.rlike("^#[0-9a-f]{3,4}$"), F.regexp_replace(t, "([0-9a-f])", "$1$1")).otherwise(t)
     part = lambda i: F.conv(F.substring(wide, i, 2), 16, 10).cast("int")
     form = r"^rgb\(\s*(\d{1,3})\s*,\s*(\d{1,3})\s*,\s*(\d{1,3})\s*\)$"
     out = F.when(F.coalesce(t, F.lit("")).isin("", "none"), F.array(*[F.lit(0)] * 4))
     out = out.when(wide.rlike("^#([0-9a-f]{6}|[0-9a-f]{8})$"), F.array(part(2), part(4), part(6), F.lit(alpha)))
     out = out.when(t.rlike(form), F.array(*[F.regexp_extract(t, form, i).try_cast("int") for i in (1, 2, 3)], F.lit(alpha)))
-    hsl = colours.hsl(t)
-    out = out.when(hsl.isNotNull(), F.array_append(hsl, F.lit(alpha)))
+    out = out.when(t.startswith("hsl("), F.coalesce(F.array_append(colours.hsl(t), F.lit(alpha)), F.array(*[F.lit(v) for v in fallback], F.lit(alpha))))
     return out.otherwise(F.array(*[F.lit(v) for v in fallback], F.lit(alpha)))
 
 

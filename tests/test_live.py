@@ -51,7 +51,7 @@ def test_a_restarted_stream_equals_the_batch(spark, tmp_path):
 
 def test_timers_give_up_detections_and_forget_sessions(spark, tmp_path):
     stream = folder(spark, tmp_path, [(1, 0, 0.0, "ByteTrack", '[[0, 0, 50, 50, "a", 0.9]]', False)], 0)
-    held = live.session_stream(stream, give_up=2.0, expire=20.0, refresh=1000.0, latency=1000.0)
+    held = live.session_stream(stream, give_up=2.0, expire=40.0, refresh=1000.0, latency=1000.0)
     query = held.writeStream.format("memory").queryName("live").option("checkpointLocation", f"{tmp_path}/ckpt").trigger(processingTime="1 second").start()
 
     def seen(kind, n=1):
