@@ -51,7 +51,7 @@ def inspected(images: DataFrame, key: str = "image_id") -> DataFrame:
             for content in b["content"]:
                 status, img, turned = imagefile.decode(content)
                 size = (None, None) if img is None else px.oriented(img, turned).shape[1::-1]
-                means = (None,) * 3 if img is None else img.reshape(-1, 3).mean(axis=0).tolist()
+                means = (None,) * 3 if img is None else px.channel_means(img)
                 rows.append((status, *size, turned, *means))
             out = pd.DataFrame(rows, columns=columns, dtype=object)
             out.insert(0, key, b[key].to_numpy())
@@ -92,7 +92,7 @@ def conditioned(images: DataFrame, settings: Settings, box: tuple[int, int] | No
     def each(img: np.ndarray) -> list[tuple]:
         out = condition(img, settings)
         out = out if box is None else px.letterbox(out, *box)
-        return [(out.shape[1], out.shape[0], *out.reshape(-1, 3).mean(axis=0).tolist())]
+        return [(out.shape[1], out.shape[0], *px.channel_means(out))]
 
     return _mapped(images, key, each, "w int, h int, mean_r double, mean_g double, mean_b double")
 

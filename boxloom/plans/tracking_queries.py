@@ -198,7 +198,7 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.DataFrame({"image_id": b["doc_id"], "content": files})
 
     docs = read_table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
-    return docs.repartition(spark.sparkContext.defaultParallelism, "doc_id").mapInPandas(draw, "image_id long, content binary")
+    return docs.repartition(max(spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions()), "doc_id").mapInPandas(draw, "image_id long, content binary")
 
 
 def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
