@@ -78,7 +78,7 @@ def condition(img: np.ndarray, settings: Settings) -> np.ndarray:
     if prep["gamma"] != 1.0:
         img = px.gamma(img, prep["gamma"])
     if prep["denoise_method"] == "bilateral":
-        img = np.stack([px.bilateral(img[..., k]) for k in range(3)], -1)
+        img = px.bilateral(img)
     elif prep["denoise_method"] == "nlm":
         img = px.denoised(img)
     if prep["sharpen"]:

@@ -73,3 +73,14 @@ def test_box_sums_against_windows():
     for size in (1, 2, 3, 5, 7, 11, 13):
         want = np.lib.stride_tricks.sliding_window_view(a, (size, size), axis=(1, 2)).sum((-1, -2))
         assert np.array_equal(px.box_sums(a, size), want) and np.array_equal(px.box_sums(a[1], size), want[1])
+
+
+def test_bilateral_smoothing_holds_no_windows():
+    img = noise(5, 400, 100, 3)
+    assert peak(lambda: px.bilateral(img)) < 8 * img.size * 12
+    plane = img[:40, :30, 0]
+    near = px.windows(plane.astype(float), 9)
+    y, x = np.mgrid[-4:5, -4:5]
+    weight = np.exp(-(x**2 + y**2) / (2 * 75**2)) * np.exp(-((near - plane[..., None, None]) ** 2) / (2 * 75**2)) * (x**2 + y**2 <= 16)
+    assert np.array_equal(px.bilateral(plane), np.round((near * weight).sum((-1, -2)) / weight.sum((-1, -2))).astype(np.uint8))
+    assert all(np.array_equal(px.bilateral(img[:9, :50])[..., c], px.bilateral(img[:9, :50, c])) for c in range(3))
