@@ -98,3 +98,30 @@ def test_runs_join_in_time_about_their_number():
     grown = np.lib.stride_tricks.sliding_window_view(np.pad(dark, 1), (3, 3)).max((-1, -2))
     closed = np.lib.stride_tricks.sliding_window_view(np.pad(grown, 1, constant_values=True), (3, 3)).min((-1, -2))
     assert np.array_equal(px.som_mask(noise(7, 40, 30, 3)), closed)
+
+
+def test_a_long_edge_is_followed_in_one_go():
+    # One weak line that winds through the picture from a strong end: a step at a time takes as many steps as it is long.
+    img = np.zeros((400, 400, 3), np.uint8)
+    for k in range(0, 400, 12):
+        img[k : k + 6] = 22
+        side = slice(0, 6) if k % 24 else slice(394, 400)
+        img[k : k + 12, side] = 22
+    img[:6, :6] = 200
+    assert seconds(lambda: px.edge_ratio(img)) < 1.5
+    p = np.pad(px.grey(img), 1, mode="edge")
+    gx = p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:] - p[:-2, :-2] - 2 * p[1:-1, :-2] - p[2:, :-2]
+    gy = p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:] - p[:-2, :-2] - 2 * p[:-2, 1:-1] - p[:-2, 2:]
+    weak, strong = np.abs(gx) + np.abs(gy) > 50, np.abs(gx) + np.abs(gy) > 150
+    left = list(zip(*np.nonzero(strong)))
+    seen = set(left)
+    while left:
+        y, x = left.pop()
+        for q in [(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]:
+            if q not in seen and 0 <= q[0] < 400 and 0 <= q[1] < 400 and weak[q]:
+                seen.add(q)
+                left.append(q)
+    assert px.edge_ratio(img) == len(seen) / weak.size > 2 * strong.mean()
+    small = noise(8, 9, 12, 3)
+    near = px.windows(px.grey(small), 5)
+    assert px.texture(small) == pytest.approx(near.std((-1, -2)).std(), abs=1e-9)
