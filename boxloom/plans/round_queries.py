@@ -233,7 +233,7 @@ def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unique_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stems of four documents each; of every second four one has the name that another would get."""
     taken = F.expr("case when doc_id % 8 = 7 or doc_id % 16 = 1 then '_1' else '' end")
-    d = read_table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("img"), F.floor(F.col("doc_id") / 4).cast("string"), taken).alias("stem"))
+    d = read_table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("img"), F.expr("doc_id div 4").cast("string"), taken).alias("stem"))
     return ordering.unique_stems(d, "stem", ["doc_id"]).select("doc_id", "uniq_stem")
 
 

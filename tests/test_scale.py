@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 
 from boxloom.functions import pixels as px
+from boxloom.plans import relabel_queries, round_queries
+from tests.oracle import connect, same
 
 
 def noise(seed, *shape):
@@ -125,3 +127,14 @@ def test_a_long_edge_is_followed_in_one_go():
     small = noise(8, 9, 12, 3)
     near = px.windows(px.grey(small), 5)
     assert px.texture(small) == pytest.approx(near.std((-1, -2)).std(), abs=1e-9)
+
+
+def test_ids_beyond_a_double_and_below_zero_keep_their_families(spark, tmp_path):
+    ids = [*range(-20, 40), *range((1 << 53) - 9, (1 << 53) + 40), *range(10**18 + 3, 10**18 + 60)]
+    spark.createDataFrame([(i,) for i in ids], "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in ids[::7]], "doc_id long, quality long").write.parquet(f"{tmp_path}/labels.parquet")
+    con = connect(str(tmp_path / "none"))
+    for table in ("documents", "labels"):
+        con.execute(f"create view {table} as select * from read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    same(spark, con, round_queries.unique_stems, round_queries.STEMS_SQL, str(tmp_path))
+    same(spark, con, relabel_queries.batch_antijoin, relabel_queries.BATCH_SQL, str(tmp_path))
