@@ -50,6 +50,8 @@ def sliced(df: DataFrame, key: str, ties: list[str], start: int, end: int | None
         start, end = 0, None
     ends = [e for e in (end, None if head is None else start + head) if e is not None]
     last = min(ends) if ends else None
+    if not start and last is None:
+        return df
     if last is not None and last <= TOP:
         return df.orderBy(*[F.col(c).asc_nulls_first() for c in (key, *ties)]).offset(start).limit(last - start)
     out = numbered(df, key, ties, "_no").where(F.col("_no") > start)

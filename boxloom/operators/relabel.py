@@ -107,12 +107,12 @@ def merged_map(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "name", "full_outer").select("name", F.coalesce("old_id", "new_id").alias("id"))
 
 
-def label_lines(boxes: DataFrame, key: str, order: str) -> DataFrame:
-    """(key, n_lines, content): an image's relabelled lines in order, each ended by a newline."""
+def label_lines(boxes: DataFrame, key: str, order: str, *kept: str) -> DataFrame:
+    """(key, n_lines, content, kept): an image's relabelled lines in order, each ended by a newline; all its boxes share ``kept``."""
     line = F.when(F.col("class_id").isNotNull(), F.concat_ws(" ", *[F.col(c).cast("string") for c in ("class_id", "xc", "yc", "bw", "bh")]))
     rows = F.array_sort(F.collect_list(F.when(line.isNotNull(), F.struct(F.col(order).alias("o"), line.alias("line")))))
-    return boxes.groupBy(key).agg(rows.alias("rows")).select(
-        key, F.size("rows").alias("n_lines"), F.array_join(F.transform("rows", lambda r: F.concat(r.line, F.lit("\n"))), "").alias("content")
+    return boxes.groupBy(key, *kept).agg(rows.alias("rows")).select(
+        key, F.size("rows").alias("n_lines"), F.array_join(F.transform("rows", lambda r: F.concat(r.line, F.lit("\n"))), "").alias("content"), *kept
     )
 
 

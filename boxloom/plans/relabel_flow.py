@@ -1,7 +1,7 @@
 """The relabelling flow from labelled images to new label files, in batches that are done once.
 
 A classifier takes requests (stem, line_no, crop, prompt) and returns them with ``reply``, JSON; a null reply is a
-failed call. Every batch is an attempt: its files replace whatever is there, and its finished images, classes and
+failed call. Every batch, or step of several, is an attempt: its files replace whatever is there, and its finished images, classes and
 records for review count once the attempt is on record, so that a run that is killed goes on where it stopped.
 """
 
@@ -73,14 +73,19 @@ def review_records(boxes: DataFrame) -> DataFrame:
 
 def relabel(
     images: DataFrame, ask: Model, labels: str, state: str, settings: Settings, known: DataFrame | None = None,
-    progress: Callable[[dict], None] | None = None, stop: Callable[[], bool] | None = None,
+    progress: Callable[[dict], None] | None = None, stop: Callable[[], bool] | None = None, together: int | None = 1,
 ) -> DataFrame:
     """Relabel ``images`` (stem, w, h in pixels, content of the label file); counters of this run come back as one row.
 
     New files go to the folder ``labels``, below a folder for each batch unless saved in place or in one batch; ``state``
     is the folder of the run's tables. Images whose size is null can't be read: they are counted, not written and
-    not recorded, and so tried again by a later run. ``known`` (name, id) are the classes to begin with. Between
-    batches ``progress`` is told and, where ``stop`` says so, the run ends. Stems must not repeat.
+    not recorded, and so tried again by a later run. ``known`` (name, id) are the classes to begin with. Stems must not
+    repeat.
+
+    A step does ``together`` batches, or all that are left if that is None, as one attempt: the model is told the classes
+    known before the step, and ids are in order of first sight all the same. Steps of more batches are for models that
+    don't need the classes of the batch before, as work grows with the images then, not with the batches. Between steps
+    ``progress`` is told, with the step's last batch, and where ``stop`` says so the run ends.
     """
     spark = images.sparkSession
     attempts = Attempts(spark, state, settings_key(settings))
@@ -92,16 +97,19 @@ def relabel(
     watch = Progress(work.count(), progress)
     watch.done = watch.total - sum(n for n, _ in totals.values())
     counts: Counter = Counter()
-    for batch in sorted(totals):
+    todo = sorted(totals)
+    size = len(todo) if together is None else together
+    for at in range(0, len(todo), max(1, size)):
         if stop is not None and stop():
             break
-        if not totals[batch][1]:
-            watch.tell(0, batch=batch, boxes=0, failed=totals[batch][0])
+        batches = todo[at : at + size]
+        images_in, readable_in = (sum(totals[b][k] for b in batches) for k in (0, 1))
+        if not readable_in:
+            watch.tell(0, batch=batches[-1], boxes=0, failed=images_in)
             continue
         attempt = uuid.uuid4().hex
-        one = left.where(F.col("batch") == batch)
-        seen = one.where(readable)
-        parsed = ops.parsed_lines(lines_of(seen.select("row_no", "stem", "w", "h", "content")).drop("content"), "line")
+        seen = left.where(F.col("batch").between(batches[0], batches[-1])).where(readable)
+        parsed = ops.parsed_lines(lines_of(seen.select("row_no", "batch", "stem", "w", "h", "content")).drop("content"), "line")
         before = attempts.rows("classes", CLASSES)
         if known is not None:
             before = ops.merged_map(known.select("name", F.col("id").cast("long").alias("id")), before)
@@ -111,14 +119,16 @@ def relabel(
         new = durable(ops.first_seen_ids(sighted, before).select("name", "id"))
         ids = before.select("name", "id").union(new).select(F.col("name").alias("c_name"), F.col("id").alias("class_id"))
         numbered = boxes.join(ids, F.col("class_name") == F.col("c_name"), "left").withColumn("class_id", F.when(F.col("status") == "classified", F.col("class_id")))
-        files = ops.label_lines(numbered, "stem", "line_no").select("stem", "content", F.lit(batch).alias("batch"))
+        files = ops.label_lines(numbered, "stem", "line_no", "batch").select("stem", "content", "batch")
+        # Files are small and many: they are dealt by their number, most of a batch to one task.
+        files = files.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "batch", "stem")
         files, written = watch.watched(files, boxes=F.sum(F.size(F.split("content", "\n")) - 1))
         write_label_files(files, labels, batched=not settings.inplace_saving and settings.batch_size > 0)
         attempts.add("classes", new, attempt)
         attempts.add("review", review_records(boxes), attempt)
         attempts.add("images", seen.select("stem", "batch"), attempt)
-        attempts.record(attempt, batch)
+        attempts.record(attempt, *[b for b in batches if totals[b][1]])
         counts.update(ops.run_counters(boxes).first().asDict())
-        watch.tell(written.get["units"], batch=batch, boxes=written.get["boxes"] or 0, failed=totals[batch][0] - written.get["units"])
+        watch.tell(written.get["units"], batch=batches[-1], boxes=written.get["boxes"] or 0, failed=images_in - written.get["units"])
     names = ("boxes_seen", *(f"boxes_{k}" for k in KINDS), "boxes_low_confidence")
     return spark.range(1).select(*[F.lit(counts[n]).cast("long").alias(n) for n in names])

@@ -1,7 +1,7 @@
-"""Attempts at a batch, and the tables whose rows count only once their attempt is on record.
+"""Attempts at batches, and the tables whose rows count only once their attempt is on record.
 
-An attempt writes what it has under an id of its own and is recorded last, by one row in one file. Rows of an
-attempt that broke off are never read, however much of them is there.
+An attempt writes what it has under an id of its own and is recorded last, by one file with a row for each of its batches,
+one as a rule. Rows of an attempt that broke off are never read, however much of them is there.
 """
 
 from __future__ import annotations
@@ -37,10 +37,11 @@ class Attempts:
         """Write ``rows`` for ``attempt``."""
         rows.withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(f"{self.path}/{table}")
 
-    def record(self, attempt: str, batch: int) -> None:
-        """From here on, what ``attempt`` wrote counts."""
-        row = self.spark.range(1).select(F.lit(attempt).alias("attempt"), F.lit(self.settings).alias("settings"), F.lit(batch).alias("batch"), F.current_timestamp().alias("finished"))
-        row.coalesce(1).write.mode("append").parquet(f"{self.path}/attempts")
+    def record(self, attempt: str, *batches: int) -> None:
+        """From here on, what ``attempt`` wrote for ``batches`` counts."""
+        each = F.explode(F.split(F.lit(",".join(map(str, batches))), ",").cast("array<int>"))
+        rows = self.spark.range(1).select(F.lit(attempt).alias("attempt"), F.lit(self.settings).alias("settings"), each.alias("batch"), F.current_timestamp().alias("finished"))
+        rows.coalesce(1).write.mode("append").parquet(f"{self.path}/attempts")
 
     def rows(self, table: str, schema: str) -> DataFrame:
         """What recorded attempts have written to ``table``."""

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import time
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pytest
 
+from boxloom.config import layered
 from boxloom.functions import pixels as px
-from boxloom.plans import relabel_queries, round_queries
+from boxloom.plans import relabel_flow, relabel_queries, round_queries
+from tests import test_relabel_flow as flows
 from tests.oracle import connect, same
 
 
@@ -138,3 +141,25 @@ def test_ids_beyond_a_double_and_below_zero_keep_their_families(spark, tmp_path)
         con.execute(f"create view {table} as select * from read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
     same(spark, con, round_queries.unique_stems, round_queries.STEMS_SQL, str(tmp_path))
     same(spark, con, relabel_queries.batch_antijoin, relabel_queries.BATCH_SQL, str(tmp_path))
+
+
+@pytest.mark.parametrize("together", [2, None])
+def test_batches_of_one_step_are_what_they_are_one_by_one(spark, tmp_path, together):
+    images, replies, df, ask = flows.made(spark, 40)
+    settings, asked, steps = layered({"batch_size": 5}), [], []
+    known = spark.createDataFrame(flows.KNOWN, "name string, id int")
+
+    def counting(requests):
+        asked.append(requests.select("prompt").distinct().collect())
+        return ask(requests)
+
+    row = relabel_flow.relabel(df, counting, f"{tmp_path}/labels", f"{tmp_path}/state", settings, known, steps.append, together=together).first()
+    ids, out, review, counts = flows.plain(images, replies, 5)
+    got_ids, got_review, done = flows.state_of(spark, tmp_path, settings)
+    assert flows.files(tmp_path / "labels") == out and got_ids | dict(flows.KNOWN) == ids and got_review == review
+    assert done == sorted(Path(f).stem for f in out) and row.boxes_seen == counts["seen"]
+    batches = -(-sum(1 for i in images if i[3].strip()) // 5)
+    assert len(asked) == len(steps) == (1 if together is None else -(-batches // 2)) and all(len(told) <= 1 for told in asked)
+    recorded = relabel_flow.Attempts(spark, f"{tmp_path}/state", relabel_flow.settings_key(settings)).recorded().collect()
+    assert sorted(r.batch for r in recorded) == list(range(batches)) and len({r.attempt for r in recorded}) == len(steps)
+    assert steps[-1]["batch"] == batches - 1 and steps[-1]["done"] == len(out)
