@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,20 +121,49 @@ OPAQUE = 10
 def drawn_regions(marks: DataFrame, key: str = "image_id") -> DataFrame:
     """(key, region, x1, y1, x2, y2): the 8-connected parts of each image's drawn pixels, ``marks`` (key, x, y, alpha).
 
-    Pixels are joined to runs by Spark; a task holds one image's runs. Regions are numbered from 1 by their first
-    pixel, row by row. Pixels that repeat count once, if one of them is opaque; null places count for nothing.
+    Pixels are joined to runs by Spark; runs are clustered by image and sorted, and a task joins those of all images of a
+    batch at once. Regions are numbered from 1 by their first pixel, row by row. Pixels that repeat count once, if one of
+    them is opaque; null places count for nothing.
     """
     kind = marks.schema[key].dataType.simpleString()
-    pixels = marks.where((F.col("alpha") > OPAQUE) & F.col("x").isNotNull() & F.col("y").isNotNull()).select(key, "x", "y").distinct()
+    pixels = marks.where((F.col("alpha") > OPAQUE) & F.col("x").isNotNull() & F.col("y").isNotNull()).select(key, "x", "y").repartition(key, "y").distinct()
     place = F.col("x") - F.row_number().over(Window.partitionBy(key, "y").orderBy("x"))
     runs = pixels.withColumn("_run", place).groupBy(key, "y", "_run").agg(F.min("x").alias("start"), (F.max("x") + 1).alias("end"))
 
-    def join(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["y", "start"])
-        boxes = px.connected_runs(*[b[c].to_numpy(np.int64) for c in ("y", "start", "end")])
-        out = pd.DataFrame(boxes, columns=["x1", "y1", "x2", "y2"])
-        out.insert(0, "region", np.arange(1, len(out) + 1))
-        out.insert(0, key, b[key].iloc[0] if len(b) else None)
-        return out
-
-    return runs.select(key, "y", "start", "end").groupBy(key).applyInPandas(join, f"`{key}` {kind}, region int, x1 int, y1 int, x2 int, y2 int")
+    def regions(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts)
+        ys, starts, ends = (rows[c].to_numpy().astype(np.int64) for c in ("y", "start", "end"))
+        images = np.append(0, _changes(rows[key].combine_chunks()).cumsum())
+        # Rows of one image after those of another, with one between that is empty.
+        steps = np.where(np.diff(images) > 0, 2, np.minimum(np.diff(ys), 2))
+        heads, boxes = px.boxes_of(px.joined_runs(np.append(0, steps.cumsum()), starts, ends), ys, starts, ends)
+        own = images[heads]
+        number = np.arange(len(heads)) - np.searchsorted(own, own) + 1
+        columns = [rows[key].combine_chunks().take(pa.array(heads)), *[pa.array(v.astype(np.int32)) for v in (number, *boxes.T)]]
+        return pa.RecordBatch.from_arrays(columns, [key, "region", "x1", "y1", "x2", "y2"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the last image, which may go on in the next batch
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cuts = np.flatnonzero(_changes(b.column(key))) + 1
+            if len(cuts):
+                done, held = [*held, b.slice(0, cuts[-1])], [b.slice(cuts[-1])]
+            elif held and _changes(pa.concat_arrays([held[-1].column(key).slice(0, 1), b.column(key).slice(0, 1)]))[0]:
+                done, held = held, [b]
+            else:
+                held.append(b)
+                continue
+            yield regions(done)
+        if held:
+            yield regions(held)
+
+    sorted_runs = runs.select(key, "y", "start", "end").repartition(key).sortWithinPartitions(key, "y", "start")
+    return sorted_runs.mapInArrow(join, f"`{key}` {kind}, region int, x1 int, y1 int, x2 int, y2 int")
+
+
+def _changes(keys: pa.Array) -> np.ndarray:
+    """Whether each of ``keys`` but the first differs from the one before; nulls are alike."""
+    codes = keys.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+    return codes[1:] != codes[:-1]

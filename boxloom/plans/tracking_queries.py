@@ -246,8 +246,7 @@ def region_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drawn_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected parts of what was drawn on images: a line of an order is two pixels, some of them too faint."""
     marks = shapes.plain_boxes(spark, sf_dir).selectExpr("image_id", "cast(x1 % 64 as int) as x", "cast(y1 % 48 as int) as y", "cast(l_linenumber * 5 as int) as alpha")
-    wide = marks.withColumn("x", F.col("x") + 1)
-    return pix.drawn_regions(marks.union(wide))
+    return pix.drawn_regions(marks.withColumn("x", F.explode(F.array("x", F.col("x") + 1))))
 
 
 DRAWN_SQL = f"""

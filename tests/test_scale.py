@@ -11,6 +11,7 @@ import pytest
 
 from boxloom.config import layered
 from boxloom.functions import pixels as px
+from boxloom.operators import images as ops
 from boxloom.plans import relabel_flow, relabel_queries, round_queries
 from tests import test_relabel_flow as flows
 from tests.oracle import connect, same
@@ -163,3 +164,19 @@ def test_batches_of_one_step_are_what_they_are_one_by_one(spark, tmp_path, toget
     recorded = relabel_flow.Attempts(spark, f"{tmp_path}/state", relabel_flow.settings_key(settings)).recorded().collect()
     assert sorted(r.batch for r in recorded) == list(range(batches)) and len({r.attempt for r in recorded}) == len(steps)
     assert steps[-1]["batch"] == batches - 1 and steps[-1]["done"] == len(out)
+
+
+def test_drawn_regions_of_many_small_images_go_by_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = [(k, x, y, 99) for k in (None, *range(30), 10**18 + 1, 10**18 + 2) for x, y in ((1, 1), (2, 2), (4, 2), (-2_000_000_000, 2_000_000_000), (2_000_000_000, -2_000_000_000))]
+        rows += [(5, 2 * k, y, 99) for k in range(10) for y in range(0, 20, 2)]
+        df = ops.drawn_regions(spark.createDataFrame(rows, "image_id long, x int, y int, alpha int"))
+        got = {}
+        for r in df.orderBy("image_id", "region").collect():
+            got.setdefault(r.image_id, []).append((r.x1, r.y1, r.x2))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plain = [(2_000_000_000, -2_000_000_000, 2_000_000_001), (1, 1, 3), (4, 2, 5), (-2_000_000_000, 2_000_000_000, -1_999_999_999)]
+    assert len(got) == 33 and all(got[k] == plain for k in got if k != 5) and len(got[5]) > 90
+    assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
