@@ -8,9 +8,11 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from boxloom.config import layered
 from boxloom.functions import pixels as px
+from boxloom.functions import text as t
 from boxloom.operators import images as ops
 from boxloom.plans import relabel_flow, relabel_queries, round_queries
 from tests import test_relabel_flow as flows
@@ -180,3 +182,15 @@ def test_drawn_regions_of_many_small_images_go_by_batches(spark):
     plain = [(2_000_000_000, -2_000_000_000, 2_000_000_001), (1, 1, 3), (4, 2, 5), (-2_000_000_000, 2_000_000_000, -1_999_999_999)]
     assert len(got) == 33 and all(got[k] == plain for k in got if k != 5) and len(got[5]) > 90
     assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
+
+
+def test_short_replies_are_not_walked_bracket_by_bracket(spark):
+    texts = ["[]", "a [1,[2,[3,[4]]]] b]", "[[[[[5]]]]] x", "no", "]", "see [1, [2]", "[1] [2]", "[" * 300 + "]" * 300, "[[]" * 199, "[" + "[1]," * 148 + "]]", "[" + "[1]," * 5000 + "]] z", "", "[a]]", " \t[1]\x0b "]
+    rows = [(k, s) for k, s in enumerate([*texts, "<think>[9]</think> <answer>\n[7] </answer> [8]", "<think>[9]", "<answer>[3]", None])]
+    df = t.with_detection_json(spark.createDataFrame(rows, "k int, reply string"), "reply")
+    got = {r.k: r.json for r in df.collect()}
+    walked = {r.k: r.json for r in df.select("k", t.detection_json(F.col("reply")).alias("json")).collect()}
+    assert got == walked and got[1] == "[1,[2,[3,[4]]]]" and got[2] == "[[[[[5]]]]]" and got[14] == "[7]" and got[13] == "[1]"
+    # The pattern alone finds the array of a detector's usual reply.
+    usual = spark.createDataFrame([('x [{"bbox_2d":[1,2,3,4]},{"bbox_2d":[[5],6]}] y',)], "s string").select(F.regexp_extract("s", t.BALANCED, 0)).first()[0]
+    assert usual == '[{"bbox_2d":[1,2,3,4]},{"bbox_2d":[[5],6]}]'
