@@ -18,7 +18,7 @@ from boxloom.operators import images as pix
 from boxloom.operators import rounds as round_ops
 from boxloom.plans import detect as loop
 from boxloom.plans import shapes
-from boxloom.sources.durable import shared_folder
+from boxloom.sources.durable import durable, shared_folder
 from boxloom.sources.tables import read_table
 from boxloom.streaming import folds, live, tracking
 
@@ -140,6 +140,8 @@ def detect_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image_id"), F.lit(1000).alias("w"), F.lit(800).alias("h"))
     entry = F.expr("""concat('{"label":"', l_returnflag, '","bbox_2d":[', (l_partkey * 37) % 700, ',', (l_suppkey * 53) % 700, ',', (l_partkey * 37) % 700 + 90, ',', (l_suppkey * 53) % 700 + 80, ']}')""")
     listed = li.groupBy(F.col("l_orderkey").alias("image_id"), F.least("l_linenumber", F.lit(3)).alias("round")).agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    # All rounds read their replies from here, so that the lines are grouped once.
+    listed = durable(listed)
     end = F.when(F.col("image_id") % 5 == 0, ",]</answer>").otherwise("]</answer>")
     text = F.concat(F.lit("<think>t</think><answer>["), F.array_join("e", ","), end)
     replies = listed.select("image_id", "round", F.when((F.col("image_id") + F.col("round")) % 7 != 0, text).alias("reply"))

@@ -14,7 +14,7 @@ from boxloom.config import layered
 from boxloom.functions import pixels as px
 from boxloom.functions import text as t
 from boxloom.operators import images as ops
-from boxloom.plans import relabel_flow, relabel_queries, round_queries
+from boxloom.plans import relabel_flow, relabel_queries, round_queries, tracking_queries
 from tests import test_relabel_flow as flows
 from tests.oracle import connect, same
 
@@ -194,3 +194,15 @@ def test_short_replies_are_not_walked_bracket_by_bracket(spark):
     # The pattern alone finds the array of a detector's usual reply.
     usual = spark.createDataFrame([('x [{"bbox_2d":[1,2,3,4]},{"bbox_2d":[[5],6]}] y',)], "s string").select(F.regexp_extract("s", t.BALANCED, 0)).first()[0]
     assert usual == '[{"bbox_2d":[1,2,3,4]},{"bbox_2d":[[5],6]}]'
+
+
+def test_replayed_rounds_read_grouped_lines(spark, monkeypatch):
+    plans, replay = [], tracking_queries.loop.replay
+
+    def seen(recorded, keys):
+        plans.append(recorded._jdf.queryExecution().optimizedPlan().toString())
+        return replay(recorded, keys)
+
+    monkeypatch.setattr(tracking_queries.loop, "replay", seen)
+    tracking_queries.detect_replay(spark, "/root/testdata/sf0.001")
+    assert len(plans) == 3 and not any("l_orderkey" in p for p in plans)
