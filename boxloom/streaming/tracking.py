@@ -6,6 +6,7 @@ numbers and arrays; a state that was kept as JSON has lists in their place.
 
 from __future__ import annotations
 
+import functools
 import json
 
 import numpy as np
@@ -26,11 +27,17 @@ def measure(box: list) -> np.ndarray:
 
 #: What of centre, aspect and height the variances scale with, and what of them is fixed.
 _SCALED, _PLACE, _SPEED = np.array([1.0, 1.0, 0.0, 1.0]), np.array([0.0, 0.0, 1e-2, 0.0]), np.array([0.0, 0.0, 1e-5, 0.0])
+_FIXED = np.concatenate([_PLACE, _SPEED])
 
 
 def spread(at: np.ndarray, still: float, moving: float) -> np.ndarray:
     """Variances of place and speed along the last axis of ``at``; those of the centre scale with its coordinates."""
-    return np.square(np.concatenate([at * (still * _SCALED) + _PLACE, at * (moving * _SCALED) + _SPEED], axis=-1))
+    return np.square(np.concatenate([at, at], axis=-1) * _scales(still, moving) + _FIXED)
+
+
+@functools.lru_cache(maxsize=16)
+def _scales(still: float, moving: float) -> np.ndarray:
+    return np.concatenate([still * _SCALED, moving * _SCALED])
 
 
 def new_track(box: list, label: str, score: float, ident: int) -> dict:
@@ -71,22 +78,38 @@ def rect(track: dict) -> list[float]:
     return [cy - h / 2, cx - aspect * h / 2, cy + h / 2, cx + aspect * h / 2]
 
 
+#: Up to so many pairs of boxes, numbers by themselves take less time than arrays.
+FEW = 16
+
+
 def overlaps(a: list, b: list) -> np.ndarray:
     """Intersection over union of every box of ``a`` with every one of ``b``."""
     if not a or not b:
         return np.zeros((len(a), len(b)))
+    if len(a) * len(b) <= FEW:
+        return np.array([[_overlap(v, w) for w in b] for v in a])
     x, y = np.array([v[:4] for v in a], float)[:, None], np.array([v[:4] for v in b], float)[None]
     inter = np.clip(np.minimum(x[..., 2:], y[..., 2:]) - np.maximum(x[..., :2], y[..., :2]), 0, None).prod(-1)
     union = (x[..., 2:] - x[..., :2]).prod(-1) + (y[..., 2:] - y[..., :2]).prod(-1) - inter
     return np.where(union > 0, inter / np.where(union > 0, union, 1), 0.0)
 
 
+def _overlap(a: list, b: list) -> float:
+    """One entry of ``overlaps``, in the same steps."""
+    inter = max(min(a[2], b[2]) - max(a[0], b[0]), 0.0) * max(min(a[3], b[3]) - max(a[1], b[1]), 0.0)
+    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter
+    return inter / union if union > 0 else 0.0
+
+
 def pair_up(score: np.ndarray, least: float) -> tuple[list[tuple[int, int]], list[int], list[int]]:
     """Greedy one-to-one pairs of highest score first, ties by row and column; and what is left of both."""
     if not score.size:
         return [], list(range(score.shape[0])), list(range(score.shape[1]))
-    r, c = np.nonzero(score >= least)
-    best = sorted(zip((-score[r, c]).tolist(), r.tolist(), c.tolist()))
+    if score.size <= FEW:
+        best = sorted((-v, i, j) for i, row in enumerate(score.tolist()) for j, v in enumerate(row) if v >= least)
+    else:
+        r, c = np.nonzero(score >= least)
+        best = sorted(zip((-score[r, c]).tolist(), r.tolist(), c.tolist()))
     rows, cols, pairs = set(range(score.shape[0])), set(range(score.shape[1])), []
     for _, i, j in best:
         if i in rows and j in cols:

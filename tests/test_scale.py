@@ -15,6 +15,7 @@ from boxloom.functions import pixels as px
 from boxloom.functions import text as t
 from boxloom.operators import images as ops
 from boxloom.plans import relabel_flow, relabel_queries, round_queries, tracking_queries
+from boxloom.streaming import tracking
 from tests import test_relabel_flow as flows
 from tests.oracle import connect, same
 
@@ -206,3 +207,15 @@ def test_replayed_rounds_read_grouped_lines(spark, monkeypatch):
     monkeypatch.setattr(tracking_queries.loop, "replay", seen)
     tracking_queries.detect_replay(spark, "/root/testdata/sf0.001")
     assert len(plans) == 3 and not any("l_orderkey" in p for p in plans)
+
+
+def test_few_boxes_are_paired_without_arrays(monkeypatch):
+    rng = np.random.default_rng(11)
+    cases = [[(rng.integers(-5, 20, (rng.integers(0, 5), 4)) * rng.choice([1.0, 0.37])).tolist() for _ in range(2)] for _ in range(500)]
+    few = [(tracking.overlaps(a, b), tracking.pair_up(tracking.overlaps(a, b), 0.2)) for a, b in cases]
+    one = [[[10.0, 10.0, 30.0, 40.0]], [[12.0, 11.0, 33.0, 39.0]]]
+    work = lambda: [tracking.pair_up(tracking.overlaps(*one), 0.2) for _ in range(2000)]
+    short = seconds(work)
+    monkeypatch.setattr(tracking, "FEW", 0)
+    assert all(np.array_equal(x, tracking.overlaps(a, b)) and p == tracking.pair_up(x, 0.2) for (x, p), (a, b) in zip(few, cases))
+    assert short < 0.5 * seconds(work)
