@@ -219,3 +219,13 @@ def test_few_boxes_are_paired_without_arrays(monkeypatch):
     monkeypatch.setattr(tracking, "FEW", 0)
     assert all(np.array_equal(x, tracking.overlaps(a, b)) and p == tracking.pair_up(x, 0.2) for (x, p), (a, b) in zip(few, cases))
     assert short < 0.5 * seconds(work)
+
+
+def test_a_tick_of_a_live_session_pairs_as_the_trackers_do(monkeypatch):
+    # The stream's ticks go through the same step: a session of few boxes never builds a matrix.
+    arrays, zeros = [], np.nonzero
+    monkeypatch.setattr(tracking.np, "nonzero", lambda a: arrays.append(a) or zeros(a))
+    state = tracking.tick_start()
+    for k in range(20):
+        state, _ = tracking.tick(state, {"session": 1, "frame_id": k, "algorithm": "ByteTrack", "boxes": f'[[{10 + k},10,{60 + k},50,"a",0.9],[200,200,260,270,"b",0.3]]'})
+    assert not arrays
