@@ -197,6 +197,7 @@ def _output(row: dict, ident: int, label: str, score: float, box: list, hits: in
 ALGORITHMS = {"none": pass_through, "pass": pass_through, "bytetrack": byte_track, "siam": merge_track, "mosse": merge_track, "kcf": merge_track, "csrt": merge_track, "vit": merge_track}
 
 
+@functools.lru_cache(maxsize=64)
 def tracker(name: str):
     """The fold for an algorithm's display name; single-object merging if it is not known."""
     low = name.lower()

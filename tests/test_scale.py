@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from boxloom.config import layered
@@ -15,7 +16,7 @@ from boxloom.functions import pixels as px
 from boxloom.functions import text as t
 from boxloom.operators import images as ops
 from boxloom.plans import relabel_flow, relabel_queries, round_queries, tracking_queries
-from boxloom.streaming import tracking
+from boxloom.streaming import live, tracking
 from tests import test_relabel_flow as flows
 from tests.oracle import connect, same
 
@@ -229,3 +230,87 @@ def test_a_tick_of_a_live_session_pairs_as_the_trackers_do(monkeypatch):
     for k in range(20):
         state, _ = tracking.tick(state, {"session": 1, "frame_id": k, "algorithm": "ByteTrack", "boxes": f'[[{10 + k},10,{60 + k},50,"a",0.9],[200,200,260,270,"b",0.3]]'})
     assert not arrays
+
+
+class Store:
+    """A handle whose states are kept here, and every call of which is counted."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = {}, set(), 0
+
+    def getValueState(self, name, schema):
+        return Held(self, name)
+
+    getListState = getValueState
+
+    def listTimers(self):
+        self.calls += 1
+        return sorted(self.timers)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+    def getCurrentProcessingTimeInMs(self):
+        return 1000
+
+
+class Held:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def exists(self):
+        self.store.calls += 1
+        return self.name in self.store.rows
+
+    def get(self):
+        self.store.calls += 1
+        return self.store.rows.get(self.name, ())
+
+    def put(self, rows):
+        self.store.calls += 1
+        self.store.rows[self.name] = rows
+
+    update = put
+
+    def clear(self):
+        self.store.calls += 1
+        self.store.rows.pop(self.name, None)
+
+
+def processed(store, ticks):
+    """What a session puts out for ``ticks``: its pieces, and their rows."""
+    session = live.Session(30.0, 3600.0, {})
+    session.init(store)
+    names = [part.split()[0] for part in live.TICKS.split(", ")]
+    pieces = list(session.handleInputRows((7,), (Row(*names)(*t) for t in ticks), store))
+    return pieces, [dict(zip(live.FIELDS, (p.session, *r))) for p in pieces for r in zip(*p[1:])]
+
+
+def test_a_session_costs_few_calls_of_its_store_and_one_row():
+    # Sessions are as many as users: what each costs beside its ticks is what grows.
+    store = Store()
+    ticks = [(7, k, k * 0.1, "ByteTrack", f'[[{10 + k},10,{60 + k},50,"a",0.9]]' if k % 3 == 0 else None, False) for k in range(60)]
+    pieces, got = processed(store, ticks[::-1])
+    assert len(pieces) == 1 and store.calls <= 5 and set(store.rows) == {"session", "byte_tracked", "shown"} and len(store.timers) == 1
+    state, want = live.live_start(), []
+    for t in ticks:
+        state, made = live.make_live()(state, dict(zip(("session", "frame_id", "ts", "algorithm", "boxes", "reset"), t)))
+        want += [{f: m.get(f) for f in live.FIELDS} for m in made]
+    assert got == want
+    # What a list held is gone once the session has none; one timer stays.
+    _, got = processed(store, [(7, 60, 6.0, "ByteTrack", "[]", True), (7, 59, 5.9, "ByteTrack", "[]", False)])
+    assert [(g["frame_id"], g["kind"]) for g in got] == [(59, "late"), (60, "gate")]
+    assert set(store.rows) == {"session"} and len(store.timers) == 1
+
+
+def test_a_long_session_goes_out_in_pieces(monkeypatch):
+    ticks = [(7, k, k * 0.1, "None", "[[0,0,9,9]]", False) for k in range(50)]
+    (whole,), want = processed(Store(), ticks)
+    monkeypatch.setattr(live, "PIECE", 8)
+    pieces, got = processed(Store(), ticks)
+    assert got == want and len(want) == 100 and len(pieces) == 13 and max(len(p.kind) for p in pieces) == 8
