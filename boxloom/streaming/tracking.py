@@ -16,7 +16,7 @@ REINIT, MIN_AREA = 0.35, 16
 DEFAULT_SCORE = 0.9
 TRACK_SCHEMA = "session long, frame_id long, track_id int, label string, score double, ymin double, xmin double, ymax double, xmax double, hits int"
 
-_F = np.eye(8) + np.eye(8, k=4)
+_DIAGONAL = np.arange(8)
 
 
 def measure(box: list) -> np.ndarray:
@@ -51,8 +51,11 @@ def predict(tracks: list[dict]) -> None:
         return
     mean, cov = np.array([t["mean"] for t in tracks]), np.array([t["cov"] for t in tracks])
     noise = spread(mean[:, :4], 0.1, 0.0625)
-    mean, cov = mean @ _F.T, _F @ cov @ _F.T
-    cov[:, range(8), range(8)] += noise
+    # What a product with the motion's matrix and its transpose comes to: speeds are added to places.
+    mean[:, :4] += mean[:, 4:]
+    cov[:, :4] += cov[:, 4:]
+    cov[:, :, :4] += cov[:, :, 4:]
+    cov[:, _DIAGONAL, _DIAGONAL] += noise
     for t, m, c in zip(tracks, mean, cov):
         t["mean"], t["cov"] = m, c
         t["since"] += 1
