@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,16 +14,16 @@ from boxloom.streaming.folds import fold_batch
 TOP = 100_000
 
 
-def numbered(df: DataFrame, key: str, ties: list[str], name: str = "row_no", ranges: int | None = None) -> DataFrame:
+def numbered(df: DataFrame, key: str, ties: list[str], name: str = "row_no", ranges: int | None = None, hold: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
     """``df`` with ``name`` (long): the row's place from 1 in the order of ``key``, then ``ties``; nulls first.
 
     The table is cut into ranges of all these columns, ``ranges`` or as many as the session shuffles into, and sorted
     within them. Rows are numbered in their range and moved by the sizes of the ranges before it, of which there is one
-    small row each. What is numbered is written out first, so that a lost task finds the same ranges again.
+    small row each. What is numbered is written out first, by ``hold``, so that a lost task finds the same ranges again.
     """
     order = [F.col(c).asc_nulls_first() for c in (key, *ties)]
     dealt = df.repartitionByRange(*order) if ranges is None else df.repartitionByRange(ranges, *order)
-    ranged = durable(dealt.sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    ranged = hold(dealt.sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     ranged = ranged.withColumn("_range", F.shiftright("_at", 33))
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = sizes.select(

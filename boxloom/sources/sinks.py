@@ -25,13 +25,20 @@ def write_history(rounds: DataFrame, path: str) -> None:
     ops.history(rounds, [c for c in rounds.columns if c not in ("image_id", "reply")]).write.mode("overwrite").json(path)
 
 
-def write_label_files(files: DataFrame, path: str, batched: bool) -> None:
+def write_label_files(files: DataFrame, path: str, batched: bool, archives: int | None = None) -> None:
     """A file <stem>.txt for each row (stem, content, and batch if ``batched``, whose folder it goes to); other files stay.
 
-    An image without boxes has an empty file. Stems must not repeat within a folder.
+    An image without boxes has an empty file. Stems must not repeat within a folder. With ``archives`` a folder's files are
+    packed into so many archives, by their stems, of which each is one task's; a folder keeps to the number it began with.
     """
-    files.sparkSession.dataSource.register(LabelFiles)
+    spark = files.sparkSession
+    spark.dataSource.register(LabelFiles)
     columns = ["stem", "content"] + ["batch"] * batched
+    if archives is not None:
+        keys = ["batch"] * batched + ["archive"]
+        files = files.withColumn("archive", F.pmod(F.crc32(F.col("stem").cast("binary")), F.lit(archives)).cast("int"))
+        files = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+        columns.append("archive")
     files.select(*columns).write.format("label_files").mode("append").save(path)
 
 

@@ -12,9 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxloom.config import layered
-from boxloom.plans import progress, relabel_flow
+from boxloom.plans import progress, relabel_flow, relabel_queries
 from boxloom.plans.detect import replay
-from boxloom.sources import attempts, label_source, labels, sinks
+from boxloom.sources import attempts, durable, label_source, labels, sinks
 
 
 def files(folder):
@@ -244,3 +244,84 @@ def test_progress_log_of_one_moment_has_no_rate(spark):
     df = spark.createDataFrame([(1, k, t) for k, t in enumerate([0, 0, 2, 8])], "run int, k int, t long").withColumn("t", F.timestamp_seconds("t"))
     got = [(r.k, r.done, r.total, r.rate, r.eta) for r in progress.progress_log(df, "run", "t", ["k"]).orderBy("k").collect()]
     assert got == [(0, 1, 4, 0.0, None), (1, 2, 4, 0.0, None), (2, 3, 4, 1.5, 1 / 1.5), (3, 4, 4, 0.5, 0.0)]
+
+
+def packed_files(folder):
+    """Contents by name of the loose files and of the members of archives."""
+    out = {}
+    for p in sorted(Path(folder).rglob("*.tar.gz")):
+        for name, data in label_source.members(label_source.fs.LocalFileSystem(), str(p)):
+            assert (key := str(p.parent.relative_to(folder) / name)) not in out
+            out[key] = data
+    return {k: v for k, v in files(folder).items() if not k.endswith(".tar.gz")} | out
+
+
+@pytest.mark.parametrize("size", [10, 0])
+def test_packed_files_are_those_of_a_loose_run_in_few_files(spark, tmp_path, size):
+    images, replies, df, ask = made(spark, 60)
+    settings = layered({"batch_size": size})
+    known = spark.createDataFrame(KNOWN, "name string, id int")
+    steps = []
+    run = lambda **more: relabel_flow.relabel(df, ask, f"{tmp_path}/labels", f"{tmp_path}/state", settings, known, packed=True, **more)
+    run(progress=steps.append, stop=lambda: bool(steps))
+    run(together=None)
+    _, out, review, _ = plain(images, replies, size or 10**9)
+    out = out if size else {Path(k).name: v for k, v in out.items()}
+    assert packed_files(tmp_path / "labels") == out and state_of(spark, tmp_path, settings)[1:] == (review, sorted(Path(f).stem for f in out))
+    archives = list((tmp_path / "labels").rglob("*.tar.gz"))
+    assert not list((tmp_path / "labels").rglob("*.txt")) and len(archives) <= (-(-60 // size) if size else relabel_flow.ARCHIVES)
+    batch = lambda name: int(name.split("/")[0][6:]) if "/" in name else None
+    back = {(r.stem, r.batch): r.content.encode() for r in labels.label_files(spark, f"{tmp_path}/labels").collect()}
+    assert back == {(Path(k).stem, batch(k)): v for k, v in out.items()}
+    # Done again without its record, a run replaces what is there.
+    relabel_flow.relabel(df, ask, f"{tmp_path}/labels", f"{tmp_path}/again", settings, known, packed=True)
+    assert packed_files(tmp_path / "labels") == out
+
+
+def test_archives_take_over_other_files_and_break_off_whole(tmp_path):
+    def rows(*some):
+        stems, contents, archives = zip(*some)
+        return pa.RecordBatch.from_arrays([pa.array(stems), pa.array(contents, pa.string()), pa.array([3] * len(some), pa.int32()), pa.array(archives, pa.int32())], ["stem", "content", "batch", "archive"])
+
+    writer = label_source.Writer(str(tmp_path), ["stem", "content", "batch", "archive"], False)
+    long = "é" * 90 + " x\n'"
+    first = writer.write(iter([rows(("a", "1", 0), (long, None, 0)), rows(("b", "2" * 600, 0), ("c", "3", 4))]))
+    assert (first.files, first.bytes) == (4, 602) == (writer.write(iter([rows(("a", "1", 0), (long, "", 0), ("b", "2" * 600, 0), ("c", "3", 4))])).files, 602)
+    writer.write(iter([rows(("b", "new", 0), ("d", "4", 0))]))
+
+    def broken():
+        yield rows(("a", "half", 0), ("c", "half", 4))
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        writer.write(broken())
+    writer.commit([first])
+    want = {"batch_0003/a.txt": b"1", f"batch_0003/{long}.txt": b"", "batch_0003/b.txt": b"new", "batch_0003/c.txt": b"3", "batch_0003/d.txt": b"4"}
+    assert packed_files(tmp_path) == want and not (tmp_path / label_source.STAGING).exists()
+    for bad in ([("a", "1", 0), ("a", "2", 0)], [("a", "1", 0), ("b", "1", 1), ("c", "1", 0)], [("../x", "1", 0)]):
+        with pytest.raises(ValueError):
+            writer.write(iter([rows(*bad)]))
+    loose = label_source.Writer(str(tmp_path), ["stem", "content", "batch"], False)
+    with pytest.raises(ValueError, match="packed"):
+        loose.write(iter([rows(("z", "1", 0))]))
+    (tmp_path / "batch_0003" / label_source.PACKED).unlink()
+    (tmp_path / "batch_0003" / "z.txt").write_text("loose")
+    with pytest.raises(ValueError, match="loose"):
+        writer.write(iter([rows(("a", "1", 0))]))
+    writer.abort([])
+    label_source.Writer(str(tmp_path), ["stem", "content"], True)
+    assert packed_files(tmp_path) == {}
+
+
+def test_a_run_leaves_no_working_tables_and_no_file_for_each_image(spark, tmp_path, monkeypatch):
+    n = 300
+    rows = [(k, 10 + k, 20 + k, line) for k in range(n) for line in (1, 2)]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int")
+    df.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(relabel_queries, "shared_folder", lambda spark: f"{tmp_path}/shared")
+    monkeypatch.setattr(durable, "shared_folder", lambda spark: f"{tmp_path}/shared")
+    monkeypatch.setattr(relabel_queries, "RUN_BATCH", 100)
+    got = relabel_queries.relabel_run(spark, str(tmp_path)).collect()
+    assert len({r.stem for r in got}) == len(got) == n - len(range(0, n, 23)) and sorted({r.batch for r in got}) == [0, 1, 2]
+    assert len([p for p in (tmp_path / "shared" / "relabel").rglob("*") if p.is_file() and "labels" in p.parts]) < 12
+    assert not list((tmp_path / "shared" / "scratch").rglob("*.parquet"))
