@@ -12,6 +12,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from boxloom.config import layered
+from boxloom.functions import imagefile
 from boxloom.functions import pixels as px
 from boxloom.functions import text as t
 from boxloom.operators import images as ops
@@ -70,6 +71,27 @@ def test_non_local_means_cost_little_where_patches_differ(shape):
         assert seconds(lambda: px.non_local_means(img, 3.0)) < 0.4 * seconds(lambda: tabled_means(img, 3.0))
 
 
+@pytest.mark.parametrize("shape", [(66, 35, 1), (35, 70, 2), (71, 33, 3), (9, 40, 4), (2, 3, 1), (1, 2, 2)])
+def test_patches_are_told_apart_by_the_cores_they_share(shape):
+    img = noise(4, *shape)
+    some = img.copy()  # a few alike among many that differ, at the edge of a part and within
+    some[-4:], some[: shape[0] // 3, -1:] = 90, 7
+    twice = np.tile(img[: -(-shape[0] // 4)], (4, 1, 1))[: shape[0]]
+    for each in (img, some, twice, img // 64 + 100):
+        for strength in (3.0, 12.0):
+            assert np.array_equal(px.non_local_means(each, strength), tabled_means(each, strength))
+    if shape[0] * shape[1] > 1000 and shape[2] < 3:
+        least = lambda means: min(seconds(lambda: means(img, 3.0)) for _ in range(3))
+        assert least(px.non_local_means) < 0.06 * least(tabled_means)
+
+
+def test_scan_lines_of_one_filter_are_read_at_once():
+    img = noise(5, 60, 7, 3)
+    for kinds in ([k // 7 % 5 for k in range(60)], [k % 5 for k in range(60)], *([k] * 60 for k in range(5))):
+        status, got, _ = imagefile.decode(imagefile.encode_png(img, kinds))
+        assert status == "ok" and np.array_equal(got, img)
+
+
 def test_resampling_a_long_picture_takes_no_square_of_its_length():
     img = noise(3, 6000, 4, 3)
     assert peak(lambda: px.lanczos(img, 6, 9000)) < 60 << 20
