@@ -131,7 +131,7 @@ class Run:
 def detect_round(images: DataFrame, replies: DataFrame, categories: list[str], tiled: bool, tile: int, overlap: float) -> DataFrame:
     """(image_id, round, tile_idx, pos, label, x1..y2) of one round's replies; tiles are merged by suppression."""
     read = repaired(t.with_detection_json(replies.where("reply is not null"), "reply"), "json", "value")
-    read = read.select("image_id", "round", "tile_idx", F.posexplode(t.wrapped_list(F.col("value"), F.col("json"))).alias("pos", "item"))
+    read = read.select("image_id", "round", "tile_idx", F.posexplode(t.wrapped_list(F.col("value"), F.col("json"), box_ops.ENTRY)).alias("pos", "item"))
     valid = box_ops.validated(read, "item", categories).where("drop_reason is null").drop("drop_reason")
     if not tiled:
         return valid

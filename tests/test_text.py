@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxloom.functions import colours
+from boxloom.functions import repair as repairs
 from boxloom.functions import text as t
 from boxloom.functions.repair import repair, repaired
 from boxloom.operators import rounds
-from boxloom.operators.boxes import validated
+from boxloom.operators.boxes import ENTRY, validated
 from boxloom.plans import shapes, text_queries
 from tests.oracle import SF_DIR
 
@@ -198,3 +199,45 @@ def test_actions_are_read_and_applied(spark):
     asked = spark.createDataFrame([(1, "REMOVE #1\nRELABEL #1 -> z\nMODIFY #2 bbox -> [1,2,3,4]\nMODIFY #2 bbox -> [5,6,7.5,8.5]\nADD n at [0,0,1,1]"), (3, "ADD only at [4,4,5,5]\nADD two at [6,6,7,7]"), (2, None)], "image_id long, actions string")
     out = sorted(map(tuple, rounds.applied_actions(found, asked).collect()))
     assert out == [(1, 2, "b", 5, 6, 8, 8), (1, 3, "n", 0, 0, 1, 1), (2, 1, "c", 1, 1, 2, 2), (3, 1, "only", 4, 4, 5, 5), (3, 2, "two", 6, 6, 7, 7)]
+
+
+def test_short_arrays_are_mended_without_python(spark, monkeypatch):
+    texts = ['[1,]', '[{"a":[1,2,],},\n]', '["x,]",["\\\\\\",]"],]', '[[[[1,],],],] ', "[]"]
+    left = ['[1,] x', '["[",],]]', '{"a":1,}', "['a',]", '[1,,]', '["a,]', "[" * 6 + "1," + "]" * 6, "[" + "1, " * 300 + "]"]
+
+    def used(text):
+        if text in texts:
+            raise AssertionError(f"{text} went to Python")
+        return plain(text)
+
+    plain = repairs.repair
+    monkeypatch.setattr(repairs, "repair", used)
+    df = spark.createDataFrame(list(enumerate([*texts, *left, None])), "i int, j string")
+    got = {r.i: (r.j, r.v) for r in repaired(df, "j", "v").select("i", "j", F.to_json("v").alias("v")).collect()}
+    for i, text in enumerate(texts):
+        assert json.loads(got[i][0]) == json.loads(got[i][1]) == json.loads(plain(text) if text != "[]" else text)
+    for i, text in enumerate(left, len(texts)):
+        want = plain(text)
+        assert got[i][0] == want and (got[i][1] is None if want is None else json.loads(got[i][1]) == json.loads(want))
+    assert got[len(texts) + len(left)] == (None, None)
+
+
+def test_entries_are_read_alike_from_variants_and_at_once(spark):
+    entries = [{}, {"label": "A"}, {"label": "A", "bbox_2d": [1, "2", 30.5, 4e1]}, {"label": None}, {"label": 5, "bbox_2d": []}, "A", None, 7, [], {"label": "A", "bbox_2d": [1, None, 3, 4]},
+               {"bbox_2d": [9, 9, 1, 1], "label": "A", "more": {"label": "zz"}}, {"label": "A", "bbox_2d": "1,2,3,4"}, {"label": "zz", "bbox_2d": [1, 2, 3, 4]}, {"label": "A", "bbox_2d": [1, 2, 3, 4, 5]}, {"label": "A", "bbox_2d": [1, 2, [3], True]}]
+    df = spark.createDataFrame([(json.dumps(entries),), (json.dumps({"objects": entries}),), (json.dumps({"z": entries}),)], "j string").withColumn("v", F.try_parse_json("j"))
+    for kind in ("variant", ENTRY):
+        items = df.select(F.posexplode(t.wrapped_list(F.col("v"), F.col("j"), kind)).alias("pos", "item"))
+        got = validated(items, "item", ["A"]).collect()
+        assert len(got) == 3 * len(entries)
+        said = {r.pos: (r.drop_reason, r.label, r.x1, r.y1, r.x2, r.y2) for r in got}
+        assert len({tuple(r) for r in got}) == len(entries)
+        names, boxes = "unknown label", "malformed box"
+        assert [said[k][0] for k in range(len(entries))] == [names, boxes, None, names, names, *["not an object"] * 4, "not numeric", None, boxes, names, boxes, said[14][0]]
+        assert said[2] == (None, "A", 1, 2, 30, 40) and said[10] == (None, "A", 1, 1, 9, 9) and said[4][1] is None and said[12][1] == "zz"
+
+
+@pytest.mark.parametrize("reply", [None, "", " ", "\x0b[1]\f", "[1] ", "<think>x</think> [1]", "```\n[1]\n```", " <answer> [1] </answer>", "a [1] b", "[1", "]["])
+def test_json_text_in_steps_is_that_of_one_expression(spark, reply):
+    df = spark.createDataFrame([(reply,)], "reply string")
+    assert t.with_detection_json(df, "reply").select("json").collect() == df.select(t.detection_json(F.col("reply")).alias("json")).collect()
