@@ -105,10 +105,11 @@ def relabel(
     counts: Counter = Counter()
     with Scratch(spark) as scratch:
         with Scratch(spark) as ranges:
-            work = placed(images, settings, ranges.held)
+            counted = Observation()
+            work = placed(images, settings, ranges.held).observe(counted, F.count(F.lit(1)).alias("n"))
             done = attempts.rows("images", IMAGES) if settings.auto_resume else spark.createDataFrame([], IMAGES)
             left = scratch.held(ops.not_done(work, done, "stem"))
-            watch = Progress(work.count(), progress)
+        watch = Progress(counted.get.get("n", 0), progress)
         readable = F.expr("w is not null and h is not null")
         totals = {r.batch: (r.n, r.readable) for r in left.groupBy("batch").agg(F.count("*").alias("n"), F.count_if(readable).alias("readable")).collect()}
         watch.done = watch.total - sum(n for n, _ in totals.values())
@@ -124,8 +125,8 @@ def relabel(
                 continue
             seen = left.where(F.col("batch").between(batches[0], batches[-1])).where(readable)
             with Scratch(spark) as own:
-                written, counted = _step(seen, [b for b in batches if totals[b][1]], ask, labels, attempts, settings, known, packed, watch, own.held)
-            counts.update(counted)
+                written, found = _step(seen, [b for b in batches if totals[b][1]], ask, labels, attempts, settings, known, packed, watch, own.held)
+            counts.update(found)
             watch.tell(written.get["units"], batch=batches[-1], boxes=written.get["boxes"] or 0, failed=images_in - written.get["units"])
     names = ("boxes_seen", *(f"boxes_{k}" for k in KINDS), "boxes_low_confidence")
     return spark.range(1).select(*[F.lit(counts[n]).cast("long").alias(n) for n in names])
