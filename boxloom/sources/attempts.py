@@ -29,9 +29,12 @@ class Attempts:
     def __init__(self, spark: SparkSession, path: str, settings: str):
         self.spark, self.path, self.settings = spark, path.rstrip("/"), settings
 
+    def _records(self) -> DataFrame:
+        return _table(self.spark, f"{self.path}/attempts", RECORD).where(F.col("settings") == self.settings).select("attempt", "batch")
+
     def recorded(self) -> DataFrame:
         """(attempt, batch) of the attempts on record. Of a batch that has several, each counts for what it wrote."""
-        return _table(self.spark, f"{self.path}/attempts", RECORD).where(F.col("settings") == self.settings).select("attempt", "batch").distinct()
+        return self._records().distinct()
 
     def add(self, table: str, rows: DataFrame, attempt: str) -> None:
         """Write ``rows`` for ``attempt``."""
@@ -46,4 +49,4 @@ class Attempts:
     def rows(self, table: str, schema: str) -> DataFrame:
         """What recorded attempts have written to ``table``."""
         held = _table(self.spark, f"{self.path}/{table}", f"{schema}, attempt string")
-        return held.join(self.recorded().select("attempt").distinct(), "attempt", "left_semi").drop("attempt")
+        return held.join(self._records().select("attempt"), "attempt", "left_semi").drop("attempt")
